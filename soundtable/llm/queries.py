@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from soundtable.llm import bpe, exact_dedup, sharding, token_files, warc
+from soundtable.llm import bpe, exact_dedup, sharding, simhash, token_files, warc
 from soundtable.llm.common import load
 
 
@@ -15,6 +15,11 @@ def op1_bpe(spark, sf_dir):
     return bpe.digests(bpe.decode(encoded, ranks, public_tokenizers.PATTERN)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_simhash(spark, sf_dir):
+    found = simhash.near_groups(spark, load(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_elias_fano(spark, sf_dir):
     files = token_files.write_token_files(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -35,7 +40,7 @@ def op10_shards(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op7_elias_fano, op8_exact_dedup, op9_warc, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op7_elias_fano, op8_exact_dedup, op9_warc, op10_shards)}
 
 ORACLE_SQL = {
     "op8_exact_dedup": """
