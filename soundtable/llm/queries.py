@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from soundtable.llm import bpe, exact_dedup, sharding, simhash, token_files, warc
+from soundtable.llm import bpe, decontamination, exact_dedup, sharding, simhash, token_files, warc
 from soundtable.llm.common import load
 
 
@@ -20,6 +20,10 @@ def op2_simhash(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_decontaminate(spark, sf_dir):
+    return decontamination.contaminated(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op7_elias_fano(spark, sf_dir):
     files = token_files.write_token_files(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -40,9 +44,26 @@ def op10_shards(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op7_elias_fano, op8_exact_dedup, op9_warc, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_decontaminate, op7_elias_fano, op8_exact_dedup, op9_warc, op10_shards)}
 
 ORACLE_SQL = {
+    "op3_decontaminate": r"""
+        WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        i AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+        ds AS (SELECT id, len(w) AS words, unnest(range(len(w) - 4)) AS p, w FROM d WHERE len(w) >= 5),
+        dsh AS (SELECT id, words, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM ds),
+        ish AS (SELECT item_id, len(w) AS width, array_to_string(w[p + 1:p + 5], ' ') AS s
+                FROM (SELECT item_id, w, unnest(range(len(w) - 4)) AS p FROM i WHERE len(w) >= 5)),
+        ic AS (SELECT item_id, width, s, count(*) AS c FROM ish GROUP BY ALL),
+        st AS (SELECT DISTINCT id, item_id, width, least(p, greatest(words - width, 0)) AS position FROM dsh JOIN ic USING (s)),
+        wc AS (SELECT st.id, item_id, width, position, s, count(*) AS c FROM st
+               JOIN dsh ON dsh.id = st.id AND dsh.p BETWEEN position AND position + width - 5 GROUP BY ALL),
+        t AS (SELECT id, item_id, position, sum(wc.c) AS n, sum(least(wc.c, coalesce(ic.c, 0))) AS common
+              FROM wc LEFT JOIN ic USING (item_id, width, s) GROUP BY ALL),
+        m AS (SELECT item_id, sum(c) AS m FROM ic GROUP BY ALL),
+        v AS (SELECT id, item_id, position, common::DOUBLE / (n + m - common)::DOUBLE AS similarity FROM t JOIN m USING (item_id))
+        SELECT id AS doc_id, item_id, max(similarity) AS similarity, arg_max(position, (similarity, -position)) AS position
+        FROM v WHERE similarity >= 0.8 GROUP BY ALL""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
