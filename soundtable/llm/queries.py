@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from soundtable.llm import bpe, decontamination, exact_dedup, sharding, simhash, token_files, warc
+from soundtable.llm import bpe, decontamination, exact_dedup, language_id, sharding, simhash, token_files, toxicity, warc
 from soundtable.llm.common import load
 
 
@@ -24,6 +24,25 @@ def op3_decontaminate(spark, sf_dir):
     return decontamination.contaminated(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark, sf_dir):
+    model = language_id.train(spark, load(spark, sf_dir, "documents"), F.col("text"), F.col("lang"))
+    return language_id.identify_pages(spark, load(spark, sf_dir, "pages"), model)
+
+
+def _remainder(doc_id, by):
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
+
+
+def op5_toxicity(spark, sf_dir):
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    held_out = _remainder(F.col("doc_id"), 5) == 0
+    learnt = documents.join(labels, "doc_id").where(~held_out)
+    model = toxicity.train(spark, learnt, F.col("text"), F.col("toxic"))
+    scored = toxicity.score(documents, model, F.col("text"), [F.col("doc_id"), held_out.alias("held_out")])
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op7_elias_fano(spark, sf_dir):
     files = token_files.write_token_files(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -44,7 +63,7 @@ def op10_shards(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_decontaminate, op7_elias_fano, op8_exact_dedup, op9_warc, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_decontaminate, op4_language_id, op5_toxicity, op7_elias_fano, op8_exact_dedup, op9_warc, op10_shards)}
 
 ORACLE_SQL = {
     "op3_decontaminate": r"""
