@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from soundtable.llm import bpe, decontamination, exact_dedup, language_id, sharding, simhash, token_files, toxicity, warc
+from soundtable.llm import bpe, decontamination, exact_dedup, hmm, language_id, sharding, simhash, token_files, toxicity, warc
 from soundtable.llm.common import load
 
 
@@ -43,6 +43,11 @@ def op5_toxicity(spark, sf_dir):
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op6_hmm_score(spark, sf_dir):
+    held_out = _remainder(F.col("doc_id"), 7) == 2
+    return hmm.score_texts(spark, load(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id"), "held_out": held_out}, ~held_out)
+
+
 def op7_elias_fano(spark, sf_dir):
     files = token_files.write_token_files(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -63,7 +68,7 @@ def op10_shards(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_decontaminate, op4_language_id, op5_toxicity, op7_elias_fano, op8_exact_dedup, op9_warc, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_decontaminate, op4_language_id, op5_toxicity, op6_hmm_score, op7_elias_fano, op8_exact_dedup, op9_warc, op10_shards)}
 
 ORACLE_SQL = {
     "op3_decontaminate": r"""
