@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundtable.llm.common import remove_rows, write_table
+from soundtable.llm.common import broadcast_within, remove_rows, write_table
 
 #: Runs merged into one in a round, as a power of two.
 FAN_IN_BITS = 4
@@ -50,7 +50,8 @@ def exact_groups(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
     the shared folder, and only groups of two or more are joined back.
     """
     runs = write_table(spark, digest_runs(df, id_col, text_col), "digest-runs")
-    groups = merge_runs(runs, rounds).where("group_size > 1")
+    # Written: small, it is broadcast; else both sides are plain shuffles, and Spark can split the partition of a hot text.
+    groups = broadcast_within(write_table(spark, merge_runs(runs, rounds).where("group_size > 1"), "digest-groups"))
     out = runs.join(groups, _KEY, "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))

@@ -188,8 +188,11 @@ def near_groups(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
     groups = write_table(spark, rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "fingerprint-groups")
     linked = connected_components(spark, fingerprint_links(spark, groups.select("fp"), threshold))
     named = groups.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
-    shared = named.join(least, "label").where("group_size > 1").select("fp", "component_id", "group_size")
+    named = write_table(spark, named, "fingerprint-labels")
+    # Written before each join: small, they are broadcast; else Spark can split the partition of a hot label or fingerprint.
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size")).where("group_size > 1")
+    least = broadcast_within(write_table(spark, least, "component-ids"))
+    shared = broadcast_within(write_table(spark, named.join(least, "label").select("fp", "component_id", "group_size"), "linked-fingerprints"))
     found = rows.join(shared, "fp", "left")
     alone = F.col("group_size").isNull()
     return found.select("id", "fp", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))

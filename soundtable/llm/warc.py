@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soundtable.llm.common import new_path, write_table
+from soundtable.llm.common import broadcast_within, new_path, write_table
 from soundtable.llm.exact_dedup import digest_runs, merge_runs
 from soundtable.llm.files import committed, opened
 
@@ -110,8 +110,10 @@ def write_warc(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     runs = write_table(spark, digest_runs(pages, id_col, payload_col), "payload-runs")
     revisited = merge_runs(runs).where((F.col("group_size") > 1) & (F.col("n_bytes") >= min_revisit_bytes)).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
+    revisited = broadcast_within(write_table(spark, revisited, "revisited"))
     # Narrow rows only: which (id, digest) revisits which id.
     marks = runs.join(revisited, F.col("digest") == F.col("__digest")).where(~F.col("id").eqNullSafe(F.col("__keep"))).select(F.col("id").alias("__id"), "__digest", "__keep").distinct()
+    marks = broadcast_within(write_table(spark, marks, "revisits"))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("digest"))
     rows = rows.join(marks, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
     rows = rows.select("page_id", "url", F.col("payload").cast("binary").alias("payload"), "__keep", F.col("__digest").isNotNull().alias("revisit"), "digest")
