@@ -1,7 +1,539 @@
-"""The registered queries and their SQL, by name."""
+"""The registered queries over the driver's tables, each with the SQL that says the same."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from soundtable.functions import harmonics
+from soundtable.functions import scalars as H
+from soundtable.operators import meter, notes, objects, scene, session
+from soundtable.plans import bindings as B
+from soundtable.streaming import updates
+
 FLAGSHIP = "check_deliverable"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+P = ["program_id"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df, *names):
+    return df.withColumns({n: H.rounded(F.col(n)) for n in names})
+
+
+def r6(x: str) -> str:
+    return f"(round(({x}) * 1000000.0::DOUBLE) / 1000000.0::DOUBLE + 0.0::DOUBLE)"
+
+
+def db(p: str, floor: str = "-144.0") -> str:
+    return f"(CASE WHEN {p} > 1e-24 THEN 10 * log10({p}) ELSE {floor}::DOUBLE END)"
+
+
+def lufs(p: str) -> str:
+    return f"(CASE WHEN {p} > 1e-24 THEN -0.691::DOUBLE + 10 * log10({p}) ELSE -144.0::DOUBLE END)"
+
+
+# ---- metering
+
+METRICS = f"SELECT program_id, {r6(db('avg(x * x)'))} AS rms_db, {r6('20 * log10(max(abs(x)))')} AS peak_db"
+
+
+@query(f"WITH {B.SIGNAL} {METRICS} FROM signal GROUP BY program_id")
+def channel_metrics(spark, sf):
+    return rounded(meter.channel_metrics(B.signal(spark, sf), P), "rms_db", "peak_db")
+
+
+@query(f"""WITH {B.MULTI}, j AS (SELECT a.program_id, a.x AS u, b.x AS v FROM multi a JOIN multi b USING (program_id, frame) WHERE a.channel = 0 AND b.channel = 1),
+    s AS (SELECT program_id, count(*)::DOUBLE AS n, sum(u) su, sum(v) sv, sum(u * u) uu, sum(v * v) vv, sum(u * v) uv FROM j GROUP BY 1),
+    d AS (SELECT *, sqrt(greatest((uu - su * su / n) * (vv - sv * sv / n), 0)) AS spread FROM s),
+    c AS (SELECT program_id, n, CASE WHEN spread < 1e-20 THEN 0 ELSE greatest(least((uv - su * sv / n) / spread, 1), -1) END AS corr FROM d)
+    SELECT program_id, n::BIGINT AS frames, {r6('corr')} AS corr, CASE WHEN corr < -0.2 THEN 'out_of_phase' WHEN corr < 0.4 THEN 'wide' ELSE 'ok' END AS band FROM c""")
+def channel_correlation(spark, sf):
+    out = meter.channel_correlation(B.multichannel(spark, sf), P, 0, 1)
+    return rounded(out.withColumn("frames", F.col("n").cast("long")).drop("n"), "corr")
+
+
+@query(f"WITH {B.SIGNAL} SELECT program_id, {r6('avg(x)')} AS dc, count(*) FILTER (abs(x) >= 0.9) AS clipped FROM signal GROUP BY 1")
+def dc_clip(spark, sf):
+    return rounded(meter.dc_clip(B.signal(spark, sf), P, 0.9), "dc")
+
+
+@query(f"""WITH {B.SIGNAL}, n AS (SELECT program_id, count(*) AS n, least(count(*), 16) AS b FROM signal GROUP BY 1)
+    SELECT program_id, ((frame + 1) * b - 1) // n AS bucket, min(x) AS low, max(x) AS high FROM signal JOIN n USING (program_id) GROUP BY 1, 2""")
+def waveform_overview(spark, sf):
+    return meter.waveform_overview(B.signal(spark, sf), P, 16)
+
+
+GATED = f"""bins AS (SELECT program_id, frame AS bin, x * x AS power FROM signal),
+    b0 AS (SELECT program_id, bin, sum(power) OVER w / 4 AS p, count(*) OVER w AS k FROM bins WINDOW w AS (PARTITION BY program_id ORDER BY bin ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+    blk AS (SELECT program_id, p, {lufs('p')} AS l FROM b0 WHERE k = 4),
+    g1 AS (SELECT program_id, count(*) AS total_blocks, avg(p) FILTER (l > -70) AS mean1 FROM blk GROUP BY 1),
+    g2 AS (SELECT program_id, avg(p) AS mean2, count(*) AS gated_blocks FROM blk JOIN g1 USING (program_id) WHERE l > -70 AND l > {lufs('mean1')} - 10 GROUP BY 1),
+    un AS (SELECT program_id, avg(power) AS pw FROM bins GROUP BY 1),
+    loud AS (SELECT program_id, CASE WHEN coalesce(total_blocks, 0) = 0 THEN {lufs('pw')} ELSE {lufs('coalesce(mean2, 0)')} END AS integrated, {lufs('pw')} AS ungated,
+        coalesce(total_blocks, 0) AS total_blocks, coalesce(gated_blocks, 0) AS gated_blocks, CASE WHEN coalesce(total_blocks, 0) = 0 THEN 0 ELSE coalesce(gated_blocks, 0) / total_blocks END AS activity
+        FROM un LEFT JOIN g1 USING (program_id) LEFT JOIN g2 USING (program_id))"""
+
+
+@query(f"WITH {B.SIGNAL}, {GATED} SELECT program_id, {r6('integrated')} AS integrated, {r6('ungated')} AS ungated, total_blocks, gated_blocks, {r6('activity')} AS activity FROM loud")
+def gated_loudness(spark, sf):
+    return rounded(meter.gated_loudness(meter.power_bins(B.signal(spark, sf), P, 1), P), "integrated", "ungated", "activity")
+
+
+TIMELINE = f"""tl AS (SELECT program_id, frame AS bin, avg(x * x) OVER m AS pm, count(*) OVER m AS nm, avg(x * x) OVER s AS ps, count(*) OVER s AS ns FROM signal
+    WINDOW m AS (PARTITION BY program_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), s AS (PARTITION BY program_id ORDER BY frame ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+    timeline AS (SELECT program_id, bin, {lufs('pm')} AS momentary, {lufs('ps')} AS short_term, ns = 30 AS full_window FROM tl WHERE nm = 4)"""
+
+
+@query(f"WITH {B.SIGNAL}, {TIMELINE} SELECT program_id, bin, {r6('momentary')} AS momentary, {r6('short_term')} AS short_term, full_window FROM timeline")
+def loudness_timeline(spark, sf):
+    out = meter.loudness_timeline(meter.power_bins(B.signal(spark, sf), P, 1), P)
+    return rounded(out.withColumnRenamed("full", "full_window"), "momentary", "short_term")
+
+
+@query(f"""WITH {B.SIGNAL}, {TIMELINE}, af AS (SELECT program_id, bool_or(full_window) AS any_full FROM timeline GROUP BY 1),
+    pool AS (SELECT program_id, short_term, pow(10, (short_term + 0.691) / 10) AS p FROM timeline JOIN af USING (program_id) WHERE (full_window OR NOT any_full) AND short_term > -70),
+    gate AS (SELECT program_id, {lufs('avg(p)')} - 20 AS gate FROM pool GROUP BY 1),
+    q AS (SELECT program_id, quantile_cont(short_term, 0.95) - quantile_cont(short_term, 0.1) AS lra FROM pool JOIN gate USING (program_id) WHERE short_term > gate GROUP BY 1)
+    SELECT program_id, {r6('coalesce(lra, 0)')} AS lra FROM af LEFT JOIN q USING (program_id)""")
+def loudness_range(spark, sf):
+    return rounded(meter.loudness_range(meter.loudness_timeline(meter.power_bins(B.signal(spark, sf), P, 1), P), P), "lra")
+
+
+@query(f"""WITH {B.SIGNAL}, l AS (SELECT program_id, frame AS bin, {db('avg(x * x) OVER (PARTITION BY program_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} < -20 AS quiet FROM signal),
+    r AS (SELECT *, bin - row_number() OVER (PARTITION BY program_id, quiet ORDER BY bin) AS run FROM l),
+    g AS (SELECT program_id, run, min(bin) AS "start", max(bin) + 1 AS "end" FROM r WHERE quiet GROUP BY 1, 2 HAVING max(bin) + 1 - min(bin) >= 2),
+    e AS (SELECT program_id, max(frame) AS last FROM signal GROUP BY 1)
+    SELECT program_id, "start", "end", CASE WHEN "start" = 0 AND "end" = last + 1 THEN 'all' WHEN "start" = 0 THEN 'leading' WHEN "end" = last + 1 THEN 'trailing' ELSE 'internal' END AS kind FROM g JOIN e USING (program_id)""")
+def detect_silence(spark, sf):
+    return meter.detect_silence(meter.power_bins(B.signal(spark, sf), P, 1), P, -20.0, 3, 2)
+
+
+STEMS = "signal AS (SELECT program_id * 10 + channel AS program_id, frame, x FROM multi)"
+
+
+@query(f"""WITH {B.MULTI}, {STEMS}, {GATED}, s AS (SELECT program_id // 10 AS program, program_id % 10 AS channel, integrated, pow(10, (ungated + 0.691) / 10) AS p FROM loud)
+    SELECT program AS program_id, channel::INT AS channel, {r6('integrated')} AS integrated, {r6('integrated - max(integrated) OVER w')} AS delta, {r6('p / sum(p) OVER w')} AS energy_share FROM s WINDOW w AS (PARTITION BY program)""")
+def stem_loudness(spark, sf):
+    out = meter.stem_loudness(meter.power_bins(B.multichannel(spark, sf), ["program_id", "channel"], 1), "program_id", "channel")
+    return rounded(out, "integrated", "delta", "energy_share")
+
+
+FOLD = [(0, 1.0, 0.0), (1, 0.0, 1.0), (2, 0.5**0.5, 0.5**0.5), (3, 0.0, 0.0), (4, 0.5**0.5, 0.0)]
+FOLDED = f"""coef(channel, l, r) AS (VALUES {', '.join(f'({c}, {a!r}::DOUBLE, {b!r}::DOUBLE)' for c, a, b in FOLD)}),
+    fold AS (SELECT program_id, frame, sum(x * l) AS lo, sum(x * r) AS ro FROM multi JOIN coef USING (channel) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {B.MULTI}, {FOLDED}, s AS (SELECT program_id, {db('avg(lo * lo + ro * ro)')} AS s, {db('avg((lo + ro) * 0.5 * (lo + ro) * 0.5)')} AS m FROM fold GROUP BY 1)
+    SELECT program_id, {r6('s')} AS stereo_db, {r6('m')} AS mono_db, CASE WHEN m - s > -3.5 THEN 'ok' WHEN m - s > -6.5 THEN 'wide' ELSE 'cancellation' END AS verdict FROM s""")
+def downmix_fold(spark, sf):
+    coefficients = spark.createDataFrame(FOLD, "channel int, left double, right double")
+    return rounded(meter.downmix_check(meter.downmix(B.multichannel(spark, sf), P, coefficients), P), "stereo_db", "mono_db")
+
+
+@query(f"""WITH {B.MULTI}, {FOLDED}, s AS (SELECT program_id, {db(f'avg((lo + ro) * {0.5**0.5!r} * (lo + ro) * {0.5**0.5!r})')} AS m, {db(f'avg((lo - ro) * {0.5**0.5!r} * (lo - ro) * {0.5**0.5!r})')} AS s FROM fold GROUP BY 1)
+    SELECT program_id, {r6('m')} AS mid_db, {r6('s')} AS side_db, {r6('s - m')} AS ratio_db FROM s""")
+def mid_side(spark, sf):
+    coefficients = spark.createDataFrame(FOLD, "channel int, left double, right double")
+    return rounded(meter.mid_side(meter.downmix(B.multichannel(spark, sf), P, coefficients), P), "mid_db", "side_db", "ratio_db")
+
+
+def _measures(spark, sf, samples, keys):
+    bins = meter.power_bins(samples, keys, 1)
+    loud = meter.gated_loudness(bins, keys).select(*keys, F.col("integrated").alias("lufs"))
+    peak = meter.channel_metrics(samples, keys).select(*keys, F.col("peak_db").alias("true_peak"))
+    short = meter.loudness_timeline(bins, keys).groupBy(*keys).agg(F.max("short_term").alias("short_term"))
+    return loud.join(peak, keys).join(short, keys, "left").withColumn("channels", F.lit(1))
+
+
+CHECK = f"""meas AS (SELECT program_id, integrated AS lufs, true_peak, short_term FROM loud JOIN (SELECT program_id, 20 * log10(max(abs(x))) AS true_peak FROM signal GROUP BY 1) USING (program_id)
+        LEFT JOIN (SELECT program_id, max(short_term) AS short_term FROM timeline GROUP BY 1) USING (program_id)),
+    chk AS (SELECT *, lufs + 19 AS delta, abs(lufs + 19) <= 1.0 + 1e-6 AS lufs_pass, NULL::BOOLEAN AS short_term_pass, true_peak <= -1 + 1e-6 AS true_peak_pass FROM meas)"""
+
+
+@query(f"""WITH {B.SIGNAL}, {GATED}, {TIMELINE}, {CHECK}
+    SELECT program_id, {r6('lufs')} AS lufs, {r6('true_peak')} AS true_peak, {r6('delta')} AS delta, lufs_pass, short_term_pass, true_peak_pass, coalesce(lufs_pass, true) AND coalesce(true_peak_pass, true) AS pass FROM chk""")
+def check_deliverable(spark, sf):
+    out = meter.check_deliverable(_measures(spark, sf, B.signal(spark, sf), P), "podcast")
+    return rounded(out.drop("channels", "short_term"), "lufs", "true_peak", "delta")
+
+
+@query(f"""WITH {B.MULTI}, {STEMS}, {GATED}, {TIMELINE}, {CHECK}, b AS (SELECT program_id // 10 AS program, (program_id % 10)::INT AS bed, *, lufs_pass AND true_peak_pass AS pass FROM chk)
+    SELECT program AS program_id, bool_and(pass) AS pass, count(*) FILTER (NOT pass) AS failing, arg_max(bed, (true_peak, bed)) AS worst_peak_bed, arg_max(bed, (abs(delta), bed)) AS worst_lufs_bed, {r6('max(true_peak)')} AS worst_peak FROM b GROUP BY 1""")
+def check_per_bed_rollup(spark, sf):
+    m = B.multichannel(spark, sf)
+    checked = meter.check_deliverable(_measures(spark, sf, m, ["program_id", "channel"]), "podcast")
+    return rounded(meter.check_per_bed(checked, "program_id", "channel"), "worst_peak")
+
+
+@query(f"WITH {B.SIGNAL} SELECT program_id, {r6('avg(CASE WHEN ' + db('x * x') + ' > -12 THEN 1.0::DOUBLE ELSE 0.0 END)')} AS active FROM signal GROUP BY 1")
+def active_fraction(spark, sf):
+    return rounded(meter.active_fraction(meter.power_bins(B.signal(spark, sf), P, 1), P, -12.0), "active")
+
+
+# ---- scenes
+
+FIELD = f"""SELECT {{keys}}, {r6('degrees(atan2(-ix / n, iy / n))')} AS az, {r6('degrees(atan2(iz / n, sqrt(ix / n * ix / n + iy / n * iy / n)))')} AS el,
+    {r6('CASE WHEN 0.5 * (ww + dd) / n > 1e-20 THEN greatest(least(1 - sqrt(ix / n * ix / n + iy / n * iy / n + iz / n * iz / n) / (0.5 * (ww + dd) / n), 1), 0) ELSE 1 END')} AS diffuseness,
+    {r6('CASE WHEN ww > 1e-20 THEN sqrt(ix / n * ix / n + iy / n * iy / n + iz / n * iz / n) * n / ww ELSE 0 END')} AS rv"""
+SUMS = "count(*)::DOUBLE AS n, sum(acn[1] * acn[1]) AS ww, sum(acn[2] * acn[2] + acn[3] * acn[3] + acn[4] * acn[4]) AS dd, sum(-acn[1] * acn[2]) AS ix, sum(acn[1] * acn[4]) AS iy, sum(acn[1] * acn[3]) AS iz"
+
+
+@query(f"WITH {B.SCENE}, s AS (SELECT program_id, {SUMS} FROM scene GROUP BY 1) {FIELD.format(keys='program_id')} FROM s")
+def spatial_field(spark, sf):
+    return rounded(scene.spatial_field(B.scene(spark, sf), P), "az", "el", "diffuseness", "rv")
+
+
+@query(f"""WITH {B.SCENE}, h AS (SELECT program_id, frame // 5 AS bin, {SUMS} FROM scene GROUP BY 1, 2),
+    s AS (SELECT program_id, bin, {', '.join(f'sum({c}) OVER w AS {c}' for c in ('n', 'ww', 'dd', 'ix', 'iy', 'iz'))} FROM h WINDOW w AS (PARTITION BY program_id ORDER BY bin ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING))
+    {FIELD.format(keys='program_id, bin')} FROM s WHERE n = 10""")
+def spatial_field_timeline(spark, sf):
+    return rounded(scene.spatial_field_timeline(B.scene(spark, sf), P, 10, 5), "az", "el", "diffuseness", "rv")
+
+
+def energies_sql(layout, channels=16) -> str:
+    rows = [f"({i}, '{label}', {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE, {y_k!r}::DOUBLE[])" for i, ((label, x, y, z), y_k) in enumerate(zip(harmonics.speakers(layout), harmonics.basis(layout, channels), strict=True))]
+    return f"""{B.SCENE}, spk(idx, label, sx, sy, sz, yk) AS (VALUES {', '.join(rows)}),
+    en AS (SELECT program_id, idx, label, sx AS x, sy AS y, sz AS z, sum(list_inner_product(acn[1:{channels}], yk) * list_inner_product(acn[1:{channels}], yk)) AS energy FROM scene, spk GROUP BY ALL)"""
+
+
+@query(f"""WITH {energies_sql(36)}, s AS (SELECT program_id, sum(energy * x) / sum(energy) AS x, sum(energy * y) / sum(energy) AS y, sum(energy * z) / sum(energy) AS z FROM en GROUP BY 1)
+    SELECT program_id, {r6('sqrt(x * x + y * y + z * z)')} AS re, {r6('degrees(atan2(-x, y))')} AS az, {r6('degrees(atan2(z, sqrt(x * x + y * y)))')} AS el FROM s""")
+def energy_vector(spark, sf):
+    return rounded(scene.energy_vector(scene.speaker_energies(B.scene(spark, sf), P, 36), P), "re", "az", "el")
+
+
+@query(f"""WITH {B.SCENE}, e AS (SELECT program_id, (k - 1)::INT AS k, acn[k] AS a FROM (SELECT program_id, acn, unnest(range(1, 65)) AS k FROM scene)), s AS (SELECT program_id, k, sum(a * a) AS e, avg(a * a) AS p FROM e GROUP BY 1, 2)
+    SELECT program_id, k, {r6('e / sum(e) OVER (PARTITION BY program_id)')} AS share, {r6('CASE WHEN p > 1e-12 THEN 10 * log10(p) ELSE -120 END')} AS rms_db FROM s""")
+def acn_energy(spark, sf):
+    return rounded(scene.acn_energy(B.scene(spark, sf), P), "share", "rms_db")
+
+
+@query(f"WITH {energies_sql('7.1.4')}, t AS (SELECT *, row_number() OVER (PARTITION BY program_id ORDER BY energy DESC, idx) AS rank FROM en) SELECT program_id, label, {r6('energy')} AS energy, rank::INT AS rank FROM t WHERE rank <= 5")
+def decode_coverage(spark, sf):
+    top = scene.top_hotspots(scene.speaker_energies(B.scene(spark, sf), P, "7.1.4"), P)
+    return rounded(top.select("program_id", "label", "energy", "rank"), "energy")
+
+
+@query(f"""WITH {energies_sql(64)}, p AS (SELECT *, energy / sum(energy) OVER w AS p, row_number() OVER (PARTITION BY program_id ORDER BY energy DESC, idx) AS r FROM en WINDOW w AS (PARTITION BY program_id))
+    SELECT program_id, count(*) AS speakers, {r6('min(p)')} AS least, {r6('max(p)')} AS most, {r6('stddev_pop(p) * count(*)')} AS cv, {r6('sum(-p * ln(p)) / ln(count(*))')} AS uniformity, count(*) FILTER (p < 0.1 / 64) AS dead_zones,
+    {r6('sum(p) FILTER (r <= 7)')} AS top_share, {r6('sum(p) FILTER (y > 0)')} AS front, {r6('sum(p) FILTER (x < 0)')} AS "left", {r6('sum(p) FILTER (z > 0)')} AS upper,
+    {r6('coalesce(sum(p) FILTER (abs(degrees(atan2(z, sqrt(x * x + y * y)))) <= 15), 0)')} AS ear_level, min(label) FILTER (r = 1) AS dominant FROM p GROUP BY 1""")
+def coverage_stats(spark, sf):
+    out = scene.coverage_stats(scene.speaker_energies(B.scene(spark, sf), P, 64), P)
+    return rounded(out, "least", "most", "cv", "uniformity", "top_share", "front", "left", "upper", "ear_level")
+
+
+def _arrays(df, column="acn"):
+    return df.select("program_id", "frame", F.posexplode(column).alias("k", "value")).withColumn("value", H.rounded(F.col("value").cast("double")))
+
+
+@query(f"WITH {B.SCENE} SELECT program_id, frame, (k - 1)::INT AS k, {r6('acn[k] * sqrt(2 * floor(sqrt(k - 1)) + 1)')} AS value FROM (SELECT *, unnest(range(1, 65)) AS k FROM scene)")
+def convert_normalization(spark, sf):
+    return _arrays(B.scene(spark, sf).withColumn("acn", scene.convert_normalization(F.col("acn"), "sn3d_n3d")))
+
+
+@query(f"WITH {B.SCENE} SELECT program_id, frame, (k - 1)::INT AS k, {r6('acn[k]')} AS value FROM (SELECT *, unnest(range(1, 10)) AS k FROM scene)")
+def convert_order(spark, sf):
+    return _arrays(B.scene(spark, sf).withColumn("acn", scene.convert_order(F.col("acn"), 2)))
+
+
+@query(f"WITH {B.SCENE}, e AS (SELECT *, k - 1 - floor(sqrt(k - 1)) * floor(sqrt(k - 1)) - floor(sqrt(k - 1)) AS m FROM (SELECT *, unnest(range(1, 65)) AS k FROM scene)) SELECT program_id, frame, (k - 1)::INT AS k, {r6('CASE WHEN m < 0 THEN -acn[k] ELSE acn[k] END')} AS value FROM e")
+def mirror_scene(spark, sf):
+    return _arrays(B.scene(spark, sf).withColumn("acn", scene.mirror(F.col("acn"), "left_right")))
+
+
+# ---- objects
+
+XYZ = "xyz AS (SELECT *, -cos(radians(el)) * sin(radians(az)) AS x, cos(radians(el)) * cos(radians(az)) AS y, sin(radians(el)) AS z FROM traj)"
+
+
+def decode_sql(layout: str) -> str:
+    rows = [f"({i}, '{label}', {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, (label, x, y, z) in enumerate(harmonics.speakers(layout))]
+    g = "(1 + c + (3 * c * c - 1) / 2 + (5 * c * c * c - 3 * c) / 2)"
+    return f"""{B.TRAJ}, {XYZ}, spk(idx, label, sx, sy, sz) AS (VALUES {', '.join(rows)}),
+    cs AS (SELECT object_id, seq, t, gain, idx, label, greatest(least(x * sx + y * sy + z * sz, 1), -1) AS c FROM xyz, spk),
+    dec AS (SELECT object_id, seq, t, idx, label, {g} * {g} * gain * gain AS energy FROM cs)"""
+
+
+DOMINANT = "dom AS (SELECT object_id, seq, t, arg_max(label, (round(energy * 1000000000.0::DOUBLE), -idx)) AS label FROM dec GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {decode_sql('7.1.4')} SELECT object_id, label, {r6('avg(energy)')} AS energy FROM dec GROUP BY 1, 2")
+def object_decode_timeline(spark, sf):
+    decoded = objects.decode_timeline(B.trajectory(spark, sf), "7.1.4")
+    return rounded(decoded.groupBy("object_id", "label").agg(F.avg("energy").alias("energy")), "energy")
+
+
+@query(f"""WITH {B.TRAJ}, {XYZ}, s AS (SELECT object_id, el, degrees(acos(greatest(least(x * lag(x) OVER w + y * lag(y) OVER w + z * lag(z) OVER w, 1), -1))) AS step FROM xyz WINDOW w AS (PARTITION BY object_id ORDER BY t, seq))
+    SELECT object_id, {r6('coalesce(sum(step), 0)')} AS travel, max(el) AS max_el, min(el) AS min_el, coalesce(sum(step), 0) < 1 AS static FROM s GROUP BY 1""")
+def angular_travel(spark, sf):
+    return rounded(objects.angular_travel(B.trajectory(spark, sf), ["t", "seq"]), "travel")
+
+
+@query(f"""WITH {decode_sql('5.1')}, {DOMINANT}, c AS (SELECT *, CASE WHEN label <> lag(label) OVER w THEN 1 ELSE 0 END AS ch FROM dom WINDOW w AS (PARTITION BY object_id ORDER BY t, seq)),
+    r AS (SELECT *, sum(ch) OVER (PARTITION BY object_id ORDER BY t, seq) AS run FROM c)
+    SELECT object_id, run::BIGINT AS run, min(label) AS label, min(t) AS "start", max(t) AS "end", count(*) AS samples FROM r GROUP BY 1, 2""")
+def migration_runs(spark, sf):
+    dominants = objects.dominant(objects.decode_timeline(B.trajectory(spark, sf), "5.1"), ["object_id", "seq", "t"])
+    return objects.migration_runs(dominants, ["t", "seq"])
+
+
+@query(f"""WITH {decode_sql('5.1')}, {DOMINANT}, w0 AS (SELECT *, coalesce(greatest(lead(t) OVER w - t, 0), greatest(t - lag(t) OVER w, 0), 1) AS w FROM dom WINDOW w AS (PARTITION BY object_id ORDER BY t, seq)),
+    w1 AS (SELECT object_id, label, CASE WHEN sum(w) OVER (PARTITION BY object_id) > 0 THEN w ELSE 1 END AS w FROM w0), s AS (SELECT object_id, label, sum(w) AS w FROM w1 GROUP BY 1, 2),
+    d AS (SELECT object_id, label, w / sum(w) OVER (PARTITION BY object_id) AS dwell, row_number() OVER (PARTITION BY object_id ORDER BY w DESC, label) AS rank FROM s)
+    SELECT object_id, label, {r6('dwell')} AS dwell, rank::INT AS rank FROM d WHERE rank <= 6 AND dwell > 0""")
+def dwell_fractions(spark, sf):
+    dominants = objects.dominant(objects.decode_timeline(B.trajectory(spark, sf), "5.1"), ["object_id", "seq", "t"])
+    return rounded(objects.dwell_fractions(objects.sample_weights(dominants, ["t", "seq"])), "dwell")
+
+
+@query(f"""WITH {B.TRAJ}, b AS (SELECT object_id, seq, t AS rtime, CASE WHEN seq % 3 = 0 THEN 2.0::DOUBLE ELSE 0.0 END AS dur, seq % 2 = 0 AS jump FROM traj),
+    f AS (SELECT object_id, seq, rtime, jump, CASE WHEN dur > 0 THEN dur ELSE greatest(coalesce(lead(rtime) OVER (PARTITION BY object_id ORDER BY rtime, seq), 3000.0) - rtime, 0) END AS duration FROM b)
+    SELECT object_id, seq, rtime, jump, duration, CASE WHEN jump THEN rtime ELSE rtime + duration END AS reach FROM f""")
+def fill_block_durations(spark, sf):
+    seq = F.col("seq")
+    blocks = B.trajectory(spark, sf).select("object_id", "seq", F.col("t").alias("rtime"), F.when(seq % 3 == 0, 2.0).otherwise(0.0).alias("duration"), (seq % 2 == 0).alias("jump"))
+    return objects.fill_block_durations(blocks, ["object_id"], ["rtime", "seq"], F.lit(3000.0))
+
+
+@query(f"""WITH pts AS (SELECT user_id AS env, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 3)::DOUBLE AS time, value FROM events),
+    grid AS (SELECT DISTINCT o_custkey % 150 AS env, (o_orderkey % 200)::DOUBLE AS pos FROM orders),
+    lo AS (SELECT grid.env, pos, max(time) AS t0 FROM grid LEFT JOIN pts ON pts.env = grid.env AND time <= pos GROUP BY 1, 2),
+    hi AS (SELECT grid.env, pos, min(time) AS t1 FROM grid LEFT JOIN pts ON pts.env = grid.env AND time >= pos GROUP BY 1, 2),
+    j AS (SELECT lo.env, lo.pos, t0, t1, a.value AS v0, b.value AS v1 FROM lo JOIN hi USING (env, pos) LEFT JOIN pts a ON a.env = lo.env AND a.time = t0 LEFT JOIN pts b ON b.env = lo.env AND b.time = t1)
+    SELECT env, pos, {r6('CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR pos = t0 THEN v0 ELSE v0 + (v1 - v0) * (pos - t0) / (t1 - t0) END')} AS value FROM j""")
+def sample_envelope(spark, sf):
+    points = B.signal(spark, sf).select(F.col("program_id").alias("env"), ((F.col("frame") + 1) * 3).cast("double").alias("time"), (F.col("x") * 500).alias("value"))
+    grid = B.table(spark, sf, "orders").select((F.col("o_custkey") % 150).alias("env"), (F.col("o_orderkey") % 200).cast("double").alias("pos"))
+    return rounded(objects.sample_envelope(points, grid, "env", "pos"), "value")
+
+
+# ---- notes
+
+NK = "take_id, l_linenumber, l_partkey, l_suppkey"
+HALF = "(sign({0}) * floor(abs({0}) + 0.5))"
+
+
+def _note(df, *names):
+    return df.select("take_id", "l_linenumber", "l_partkey", "l_suppkey", *names)
+
+
+SLOT = HALF.format("start / 0.25::DOUBLE")
+
+
+@query(f"WITH {B.NOTES} SELECT {NK}, {r6(f'greatest(start + 0.8::DOUBLE * ({SLOT} * 0.25 + CASE WHEN {SLOT}::BIGINT % 2 <> 0 THEN 0.3::DOUBLE * 0.25 ELSE 0 END - start), 0)')} AS start FROM notes")
+def quantize_notes(spark, sf):
+    return rounded(_note(B.notes(spark, sf).withColumn("start", H.quantize(F.col("start"), 0.25, 0.8, 0.3)), "start"), "start")
+
+
+GROOVE = f"""g AS (SELECT take_id, ({SLOT}::BIGINT % 2)::INT AS slot, avg(start - {SLOT} * 0.25) AS o, avg(velocity / 96.0::DOUBLE) AS v FROM notes GROUP BY 1, 2),
+    groove AS (SELECT take_id, slot, coalesce(o, 0) AS time_offset, coalesce(v, 1) AS vel_scale FROM (SELECT DISTINCT take_id, unnest([0, 1]) AS slot FROM notes) LEFT JOIN g USING (take_id, slot))"""
+
+
+@query(f"WITH {B.NOTES}, {GROOVE} SELECT take_id, slot, {r6('time_offset')} AS time_offset, round(vel_scale * 1000000000.0::DOUBLE) / 1000000000.0::DOUBLE AS vel_scale FROM groove")
+def groove_extract(spark, sf):
+    return rounded(notes.extract_groove(B.notes(spark, sf)), "time_offset").withColumn("vel_scale", H.rounded(F.col("vel_scale"), 9))
+
+
+@query(f"""WITH {B.NOTES}, {GROOVE}, w AS (SELECT *, ({SLOT}::BIGINT % 2)::INT AS slot FROM notes)
+    SELECT {NK}, {r6('start + 0.5 * time_offset')} AS start, greatest(least({HALF.format('(round(velocity * (1 + 0.5 * (vel_scale - 1)) * 1000000000.0::DOUBLE) / 1000000000.0::DOUBLE)')}, 127), 1)::INT AS velocity FROM w JOIN groove USING (take_id, slot)""")
+def groove_apply(spark, sf):
+    n = B.notes(spark, sf)
+    return rounded(_note(notes.apply_groove(n, notes.extract_groove(n), strength=0.5), "start", "velocity"), "start")
+
+
+@query(f"""WITH {B.NOTES}, l AS (SELECT *, lead(start) OVER (PARTITION BY take_id ORDER BY {B.NOTE_ORDER_SQL}) AS nx FROM notes)
+    SELECT {NK}, {r6('CASE WHEN nx IS NULL THEN length ELSE greatest(nx - start - 0.1, 0.03125) END')} AS length FROM l""")
+def legato(spark, sf):
+    return rounded(_note(notes.legato(B.notes(spark, sf), B.NOTE_ORDER, 0.1), "length"), "length")
+
+
+@query(f"WITH {B.NOTES} SELECT {NK}, CASE WHEN pitch + 12 BETWEEN 0 AND 127 THEN pitch + 12 ELSE pitch END AS pitch FROM notes")
+def transpose(spark, sf):
+    return _note(B.notes(spark, sf).withColumn("pitch", H.transpose(F.col("pitch"), 12)), "pitch")
+
+
+@query(f"WITH {B.NOTES} SELECT {NK}, greatest(least({HALF.format('(64 + (velocity - 64) * 1.25::DOUBLE + 3)')}, 127), 1)::INT AS velocity FROM notes")
+def scale_velocity(spark, sf):
+    return _note(B.notes(spark, sf).withColumn("velocity", H.scale_velocity(F.col("velocity"), 1.25, 3.0)), "velocity")
+
+
+@query(f"WITH {B.NOTES} SELECT {NK}, {r6('4 + (start - 4) * 1.5::DOUBLE')} AS start FROM notes")
+def stretch(spark, sf):
+    return rounded(_note(B.notes(spark, sf).withColumn("start", H.stretch(F.col("start"), 1.5, 4.0)), "start"), "start")
+
+
+@query(f"WITH {B.NOTES} SELECT {NK}, pitch BETWEEN 36 AND 84 AND start >= 10 AND start < 60 AS selected FROM notes")
+def select_notes(spark, sf):
+    return _note(notes.select_notes(B.notes(spark, sf), 36, 84, start=10.0, end=60.0), "selected")
+
+
+@query(f"WITH {B.SIGNAL} SELECT program_id, frame, x FROM signal WHERE NOT (frame >= 10 AND frame < 20)")
+def clear_range(spark, sf):
+    return notes.clear_range(B.signal(spark, sf), 10, 20, "frame")
+
+
+@query("""SELECT event_id, CASE s WHEN 160 THEN 'poly_aftertouch' WHEN 176 THEN 'cc' WHEN 192 THEN 'program_change' WHEN 208 THEN 'channel_pressure' WHEN 224 THEN 'pitch_bend' ELSE 'other' END AS type,
+    CASE WHEN s = 224 THEN m2 | (m3 << 7) WHEN s IN (160, 176) THEN m3 ELSE m2 END AS value
+    FROM (SELECT event_id, (128 + 16 * (event_id % 8))::INT AS s, (user_id % 128)::INT AS m2, (floor(value) % 128)::INT AS m3 FROM events)""")
+def cc_decode(spark, sf):
+    e = B.table(spark, sf, "events").select("event_id", (128 + 16 * (F.col("event_id") % 8) + 3).cast("int").alias("status"), (F.col("user_id") % 128).cast("int").alias("m2"), (F.floor("value") % 128).cast("int").alias("m3"))
+    return e.select("event_id", H.cc_type(F.col("status")).alias("type"), H.cc_value(F.col("status"), F.col("m2"), F.col("m3")).alias("value"))
+
+
+# ---- routing and sessions
+
+
+@query("""SELECT s_suppkey, dst, width, packed, CASE WHEN packed >> 10 = 0 THEN 2 WHEN packed >> 10 = 1 THEN 1 ELSE (packed >> 10) * 2 END AS decoded
+    FROM (SELECT *, (dst & 1023) | (CASE width WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE width // 2 END << 10) AS packed FROM (SELECT s_suppkey, (s_suppkey % 16)::INT AS dst, (CASE WHEN s_suppkey % 3 = 2 THEN 4 + 2 * (s_suppkey % 5) ELSE 1 + s_suppkey % 3 END)::INT AS width FROM supplier))""")
+def send_codec(spark, sf):
+    k = F.col("s_suppkey")
+    s = B.table(spark, sf, "supplier").select("s_suppkey", (k % 16).cast("int").alias("dst"), F.when(k % 3 == 2, 4 + 2 * (k % 5)).otherwise(1 + k % 3).cast("int").alias("width"))
+    s = s.withColumn("packed", H.encode_send(F.col("dst"), F.col("width")))
+    return s.withColumn("decoded", H.decode_send_width(F.col("packed")))
+
+
+def _sends(spark, sf):
+    k = F.col("s_suppkey")
+    return B.table(spark, sf, "supplier").select(k.alias("source"), F.col("s_nationkey").alias("bus"), (k % 16).cast("int").alias("dst"), (1 + k % 2).cast("int").alias("width"))
+
+
+@query("""WITH e AS (SELECT s_nationkey AS bus, unnest(range(s_suppkey % 16, s_suppkey % 16 + 1 + s_suppkey % 2)) AS channel FROM supplier), u AS (SELECT bus, channel, count(*) AS uses FROM e GROUP BY 1, 2),
+    a AS (SELECT bus, unnest(range(0, max(channel) + 1)) AS channel FROM u GROUP BY bus)
+    SELECT bus, channel::INT AS channel, coalesce(uses, 0) AS uses, CASE WHEN uses > 1 THEN 'collision' WHEN uses IS NULL THEN 'gap' END AS issue FROM a LEFT JOIN u USING (bus, channel)""")
+def send_occupancy(spark, sf):
+    return session.send_occupancy(_sends(spark, sf), "bus")
+
+
+@query("""SELECT s_suppkey AS "from", CASE WHEN s_suppkey % 10 = 0 THEN -1 ELSE n_nationkey END AS "to", CASE WHEN s_suppkey % 10 = 0 THEN 'hwout' ELSE 'send' END AS kind, s_acctbal / 1000 AS vol_db, s_acctbal < 0 AS muted FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""")
+def routing_graph(spark, sf):
+    tracks = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("idx"), F.concat(F.lit("g"), "n_nationkey").alias("guid"))
+    sends = B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source"), F.concat(F.lit("g"), "s_nationkey").alias("dest_guid"), (F.col("s_suppkey") % 10 == 0).alias("hardware"), (F.col("s_acctbal") / 1000).alias("vol_db"), (F.col("s_acctbal") < 0).alias("muted"))
+    return session.routing_graph(tracks, sends)[1]
+
+
+@query(f"""WITH t AS (SELECT n_regionkey AS map, (n_nationkey * 10)::DOUBLE AS time, (60 + 7 * n_nationkey)::DOUBLE AS bpm FROM nation),
+    l AS (SELECT *, lead(time) OVER w AS until FROM t WINDOW w AS (PARTITION BY map ORDER BY time)), q AS (SELECT *, coalesce(sum((until - time) * bpm / 60) OVER (PARTITION BY map ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q0 FROM l),
+    g AS (SELECT o_orderkey, (o_custkey % 5)::INT AS map, (o_orderkey % 300)::DOUBLE AS pos FROM orders)
+    SELECT o_orderkey, g.map, pos, {r6('coalesce(q0 + (pos - time) * bpm / 60, pos * 2)')} AS qn FROM g LEFT JOIN q ON q.map = g.map AND pos >= time AND (until IS NULL OR pos < until)""")
+def qn_time(spark, sf):
+    n = F.col("n_nationkey")
+    tempo = B.table(spark, sf, "nation").select(F.col("n_regionkey").alias("map"), (n * 10).cast("double").alias("time"), (60 + 7 * n).cast("double").alias("bpm"))
+    grid = B.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 5).cast("int").alias("map"), (F.col("o_orderkey") % 300).cast("double").alias("pos"))
+    return rounded(notes.time_to_qn(grid, tempo, "map", "pos"), "qn").select("o_orderkey", "map", "pos", "qn")
+
+
+@query(f"""WITH base AS (SELECT c_custkey AS track, c_acctbal / 1000 AS vol_db, 0.0::DOUBLE AS pan FROM customer WHERE c_custkey < 100),
+    e AS (SELECT user_id AS track, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'set' END AS op, CASE WHEN event_type = 'click' THEN 'pan' ELSE 'vol_db' END AS field, value, event_id AS seq FROM events),
+    l AS (SELECT track, arg_max(op, seq) AS last_op, max(seq) FILTER (op = 'delete') AS deleted FROM e GROUP BY 1),
+    v AS (SELECT e.track, arg_max(value, seq) FILTER (field = 'vol_db') AS vol, arg_max(value, seq) FILTER (field = 'pan') AS pn FROM e JOIN l USING (track) WHERE op = 'set' AND (deleted IS NULL OR seq > deleted) GROUP BY 1),
+    j AS (SELECT coalesce(base.track, l.track) AS track, vol_db, pan, last_op, deleted FROM base FULL JOIN l ON base.track = l.track WHERE coalesce(last_op <> 'delete', true))
+    SELECT j.track, {r6("coalesce(vol, CASE WHEN deleted IS NULL THEN vol_db END)")} AS vol_db, {r6("coalesce(CASE WHEN pn IS NOT NULL THEN greatest(-1, least(1, pn / 250 - 1)) END, CASE WHEN deleted IS NULL THEN pan END)")} AS pan FROM j LEFT JOIN v USING (track)""")
+def apply_edits(spark, sf):
+    tracks = B.table(spark, sf, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("track"), (F.col("c_acctbal") / 1000).alias("vol_db"), F.lit(0.0).alias("pan"))
+    kind = F.col("event_type")
+    edits = B.table(spark, sf, "events").select(F.col("user_id").alias("track"), F.when(kind == "error", "delete").otherwise("set").alias("op"), F.when(kind == "click", "pan").otherwise("vol_db").alias("field"), F.col("value").cast("string").alias("value"), F.col("event_id").alias("seq"))
+    number = F.expr("try_cast(value as double)")
+    return rounded(session.apply_edits(tracks, edits, "track", {"vol_db": number, "pan": H.clamp(number / 250 - 1, -1.0, 1.0)}), "vol_db", "pan")
+
+
+@query("""WITH i AS (SELECT o_orderkey AS item, (o_custkey % 50)::DOUBLE AS pos, (10 + o_orderkey % 7)::DOUBLE AS len, (o_orderkey % 70)::DOUBLE AS cut FROM orders), k AS (SELECT *, cut > pos AND cut < pos + len AS ok FROM i)
+    SELECT item, ok, pos, CASE WHEN ok THEN cut - pos ELSE len END AS len FROM k UNION ALL SELECT item, ok, cut, pos + len - cut FROM k WHERE ok""")
+def split_items(spark, sf):
+    o = B.table(spark, sf, "orders")
+    items = o.select(F.col("o_orderkey").alias("item"), (F.col("o_custkey") % 50).cast("double").alias("pos"), (10 + F.col("o_orderkey") % 7).cast("double").alias("len"))
+    return session.split_items(items, o.select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 70).cast("double").alias("cut")), "item")
+
+
+@query("""WITH r(asked) AS (VALUES ('NATION_7'), ('nation_11'), ('ION_2'), ('_24'), ('nobody')), m AS (SELECT asked, n_nationkey AS idx, CASE WHEN asked = n_name THEN 1 WHEN lower(asked) = lower(n_name) THEN 2 ELSE 3 END AS tier FROM nation JOIN r ON contains(lower(n_name), lower(asked))),
+    b AS (SELECT asked, tier, count(*) AS candidates, min(idx) AS idx FROM m GROUP BY 1, 2), f AS (SELECT asked, min(tier) AS tier FROM b GROUP BY 1)
+    SELECT asked, tier, candidates, CASE WHEN candidates = 1 THEN idx END AS idx FROM f JOIN b USING (asked, tier)""")
+def param_resolve(spark, sf):
+    asked = spark.createDataFrame([(x,) for x in ("NATION_7", "nation_11", "ION_2", "_24", "nobody")], "asked string")
+    return session.resolve_params(asked, B.table(spark, sf, "nation").withColumn("idx", F.col("n_nationkey")), "asked", "n_name")
+
+
+NAMES = "CASE WHEN c_custkey % 4 = 0 THEN 'Track ' || c_custkey WHEN c_custkey % 4 = 1 THEN '' WHEN c_custkey % 4 = 2 THEN c_name ELSE '?? !' END"
+
+
+@query(f"SELECT c_custkey, name = '' OR regexp_matches(name, '(?i)^(track|object|audio) ?[0-9]+$') AS default_shaped, CASE WHEN regexp_matches(s, '^_*$') THEN 'unnamed' ELSE s END AS slug FROM (SELECT *, regexp_replace(name, '[^A-Za-z0-9_-]', '_', 'g') AS s FROM (SELECT c_custkey, {NAMES} AS name FROM customer))")
+def name_hygiene(spark, sf):
+    k = F.col("c_custkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("Track "), k)).when(k % 4 == 1, "").when(k % 4 == 2, F.col("c_name")).otherwise("?? !")
+    c = B.table(spark, sf, "customer").select("c_custkey", name.alias("name"))
+    return c.select("c_custkey", H.default_shaped(F.col("name")).alias("default_shaped"), H.slug(F.col("name"), "unnamed").alias("slug"))
+
+
+@query("""SELECT event_id, NOT (event_id % 50 = 0 OR name LIKE '%save project as%' OR name LIKE '%export project%') AS allowed, CASE WHEN event_id % 50 = 0 THEN 'command' WHEN name LIKE '%save project as%' THEN 'save project as' WHEN name LIKE '%export project%' THEN 'export project' END AS reason
+    FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'file: save project as...' WHEN 'signup' THEN 'file: export project' ELSE 'item: ' || event_type END AS name FROM events)""")
+def action_audit(spark, sf):
+    kind = F.col("event_type")
+    name = F.when(kind == "error", "File: Save project as...").when(kind == "signup", "File: EXPORT project").otherwise(F.concat(F.lit("Item: "), kind))
+    log = B.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, 40860).otherwise(1).alias("command"), name.alias("name"))
+    return session.audit_actions(log, "name", "command").select("event_id", "allowed", "reason")
+
+
+LINES = """l AS (SELECT doc_id, unnest(range(len(p))) AS line_no, p FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+    d AS (SELECT doc_id, line_no, p[line_no + 1] AS line FROM l), c AS (SELECT *, CASE WHEN trim(line) LIKE '<%' THEN 1 WHEN trim(line) = '>' THEN -1 ELSE 0 END AS ch FROM d),
+    lines AS (SELECT doc_id, line_no, line, sum(ch) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS depth FROM c)"""
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no::INT AS line_no, depth, md5(line) AS line_md5 FROM lines")
+def chunk_lines(spark, sf):
+    lines = session.chunk_lines(B.table(spark, sf, "documents"), "doc_id", "text")
+    return lines.select("doc_id", "line_no", "depth", F.md5("line").alias("line_md5"))
+
+
+@query("""WITH r AS (SELECT o_custkey % 100 AS file, 'AP_' || lpad(hex(o_orderkey % 6), 8 - 4, '0') || lpad(lower(hex(o_custkey * 7 % 8192)), 4, '0') AS ref FROM orders),
+    g AS (SELECT DISTINCT file, ref, substr(ref, 7, 1) AS type, o.n FROM r, LATERAL (SELECT ('0x' || substr(ref, 8, 4))::BIGINT AS n) o)
+    SELECT file, count(*) FILTER (type = '1') AS type1, count(*) FILTER (type = '2') AS type2, count(*) FILTER (type = '3') AS type3, count(*) FILTER (type = '4') AS type4, count(*) FILTER (type = '5') AS type5, count(*) FILTER (n <= 4095) AS common, count(*) FILTER (type NOT IN ('1', '2', '3', '4', '5')) AS other FROM g GROUP BY 1""")
+def pack_census(spark, sf):
+    o = B.table(spark, sf, "orders")
+    ref = F.concat(F.lit("AP_"), F.lpad(F.hex(F.col("o_orderkey") % 6), 4, "0"), F.lpad(F.lower(F.hex(F.col("o_custkey") * 7 % 8192)), 4, "0"))
+    return session.pack_census(o.select((F.col("o_custkey") % 100).alias("file"), ref.alias("ref")), "file", "ref")
+
+
+TONES = [(0, 1.0), (1, 2.0), (2, 3.5)]
+
+
+@query(f"""WITH {B.MULTI}, plan(slot, hz) AS (VALUES {', '.join(f'({s}, {h}::DOUBLE)' for s, h in TONES)}),
+    t AS (SELECT program_id, channel, slot, sum(x * cos(frame * hz * 2 * 3.141592653589793::DOUBLE / 10)) AS c, sum(x * sin(frame * hz * 2 * 3.141592653589793::DOUBLE / 10)) AS s FROM multi, plan GROUP BY ALL)
+    SELECT program_id, channel::INT AS channel, slot, {r6('c * c + s * s')} AS power FROM t""")
+def identity_tones(spark, sf):
+    plan = spark.createDataFrame(TONES, "slot int, hz double")
+    return rounded(session.identity_powers(B.multichannel(spark, sf), P, plan, 10.0), "power")
+
+
+# ---- streams, on tables
+
+
+@query("""WITH e AS (SELECT time_bucket(INTERVAL '100 milliseconds', ts) AS window_start, CASE event_type WHEN 'signup' THEN ['project/state', 'project/routing'] WHEN 'view' THEN ['project/state'] ELSE ['project/state', 'track/' || user_id || '/chunk'] END AS u FROM events),
+    x AS (SELECT window_start, unnest(u) AS uri FROM e) SELECT window_start, uri, count(*) AS events FROM x WHERE uri = 'project/routing' OR uri IN (SELECT 'track/' || n_nationkey || '/chunk' FROM nation) GROUP BY 1, 2""")
+def coalesce_updates(spark, sf):
+    kind = F.col("event_type")
+    events = B.table(spark, sf, "events").select("ts", F.when(kind == "signup", "TrackList").when(kind == "view", "PlayState").otherwise("Volume").alias("kind"), F.col("user_id").alias("track"))
+    subscribed = B.table(spark, sf, "nation").select(F.concat(F.lit("track/"), "n_nationkey", F.lit("/chunk")).alias("uri")).union(spark.range(1).select(F.lit("project/routing")))
+    return updates.coalesce_updates(events, subscribed)
+
+
+@query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, user_id AS track, event_type AS channel, max(value) AS most, arg_max(value, (ts, value)) AS latest FROM events GROUP BY 1, 2, 3""")
+def live_peaks(spark, sf):
+    return updates.live_peaks(B.table(spark, sf, "events").select("ts", F.col("user_id").alias("track"), F.col("event_type").alias("channel"), F.col("value").alias("peak")))
+
+
+@query("""WITH m AS (SELECT user_id AS source, CASE event_type WHEN 'view' THEN 'yaw' WHEN 'click' THEN 'pitch' WHEN 'error' THEN 'roll' END AS axis, value, ts, event_id AS seq FROM events)
+    SELECT source, arg_max(value, (ts, seq)) FILTER (axis = 'yaw') AS yaw, arg_max(value, (ts, seq)) FILTER (axis = 'pitch') AS pitch, arg_max(value, (ts, seq)) FILTER (axis = 'roll') AS roll FROM m GROUP BY 1""")
+def head_orientation(spark, sf):
+    kind = F.col("event_type")
+    axis = F.when(kind == "view", "yaw").when(kind == "click", "pitch").when(kind == "error", "roll")
+    return updates.head_orientation(B.table(spark, sf, "events").select("ts", F.col("event_id").alias("seq"), F.col("user_id").alias("source"), axis.alias("axis"), "value"))
