@@ -225,12 +225,59 @@ def _verified(spark: SparkSession, docs: DataFrame, key: Column, text: Column, p
     return write_table(spark, both.where(close).select("a", "b"), "links")
 
 
-def _hubs(nodes: DataFrame) -> DataFrame:
-    """Of texts in dense places, those whose fingerprint has the most others within one bit among its neighbours."""
+#: Bits of a sketch of one-bit minima of shingle hashes, and how many may differ. At the similarity s, (1 - s) / 2 of them
+#: differ in the mean; the limit is 3.5 deviations above that of 0.8.
+SKETCH_BITS = 512
+_DRAW = np.random.RandomState(11)
+_FACTORS = (_DRAW.randint(0, 1 << 31, SKETCH_BITS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+_SHIFTS = _DRAW.randint(0, 1 << 31, SKETCH_BITS).astype(np.uint32)
+
+
+def sketch_limit(similarity: float) -> int:
+    part = (1 - similarity) / 2
+    return int(SKETCH_BITS * part + 3.5 * (SKETCH_BITS * part * (1 - part)) ** 0.5) + 1
+
+
+def sketch(text: str, k: int) -> list[int]:
+    """One bit of the least value of each of SKETCH_BITS hashes of the k-word shingles, as eight longs; a block of shingles at a time."""
+    least, carry, some = np.full(SKETCH_BITS, 0xFFFFFFFF, np.uint32), [], False
+    for block in word_blocks(text):
+        block = carry + block
+        if len(block) >= k:
+            found = (_hashes(block, k) >> np.uint64(32)).astype(np.uint32)
+            for start in range(0, len(found), 256):
+                least = np.minimum(least, (found[start : start + 256, None] * _FACTORS + _SHIFTS).min(axis=0))
+            block, some = block[len(block) - k + 1 :], True
+        carry = block
+    if not some and carry:
+        least = (_hashes(carry, len(carry)) >> np.uint64(32)).astype(np.uint32) * _FACTORS + _SHIFTS
+    return np.packbits((least >> np.uint32(15)) & np.uint32(1)).view(np.int64).tolist()
+
+
+def _sketches(spark: SparkSession, docs: DataFrame, key: Column, text: Column, keys: DataFrame, k: int) -> DataFrame:
+    """(key, sketch) of the texts named."""
+    keys = broadcast_within(keys.select(F.col("key").alias("__need")))
+    chosen = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(keys, F.col("key") == F.col("__need"), "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(x.as_py(), k) for x in batch.column(1)], pa.list_(pa.int64()))], names=["key", "sketch"])
+
+    return chosen.mapInArrow(run, "key binary, sketch array<long>").groupBy("key").agg(F.first("sketch").alias("sketch"))
+
+
+def _dense(fps: DataFrame) -> DataFrame:
+    """The fingerprints that share a part's value with many more than the mean."""
     parts = F.array(*[F.struct(F.lit(p).alias("part"), v.alias("value")) for p, v in enumerate(_parts(16))])
-    spread = nodes.select("fp", F.inline(parts))
-    dense = spread.groupBy("part", "value").count().where(F.col("count") > DENSE).select("part", "value")
-    mids = midpoints(spread.join(dense, ["part", "value"], "left_semi").select("fp").distinct())
+    spread = fps.select("fp", F.inline(parts))
+    limit = DENSE * max(1, fps.count() >> 16)
+    dense = spread.groupBy("part", "value").count().where(F.col("count") > limit).select("part", "value")
+    return spread.join(dense, ["part", "value"], "left_semi").select("fp").distinct()
+
+
+def _hubs(dense: DataFrame) -> DataFrame:
+    """Of dense fingerprints, those that have the most others within one bit among their neighbours."""
+    mids = midpoints(dense)
     counts = mids.groupBy("mid").agg(F.count("*").alias("n")).where("n >= 4")
     best = mids.join(counts, "mid").groupBy("fp").agg(F.max("n").alias("most"), F.max(F.when(F.col("mid") == F.col("fp"), F.col("n"))).alias("own"))
     return best.where("own = most").select("fp")
@@ -242,8 +289,8 @@ def near_duplicate_texts(spark: SparkSession, docs: DataFrame, id_col: str = "do
     Two texts link when the Jaccard similarity of their sets of k-word shingles is at least `similarity`; groups are
     connected components. Candidates are pairs whose fingerprints of distinct words differ by at most `radius` (up to 7)
     bits, which holds for nearly all such texts; anchors are those of 16-bit quarters. So as not to emit all pairs of a
-    large group of near copies, hubs of dense places are compared with their surroundings first, and later only texts
-    of different groups are compared. Null counts as empty; an empty text links with none but itself. A null id counts
+    large group of near copies, hubs of dense places are compared with their surroundings first, later only texts of
+    different groups are compared, and two texts in dense places meet only if sketches of their shingles are near. Null counts as empty; an empty text links with none but itself. A null id counts
     only where a text has no other.
     """
     if not 0 <= radius <= 7:
@@ -252,16 +299,27 @@ def near_duplicate_texts(spark: SparkSession, docs: DataFrame, id_col: str = "do
     rows = fingerprints(docs, [key.alias("key"), F.col(f"`{id_col}`").alias("id")], text, 1, True)
     nodes = write_table(spark, rows.groupBy("key").agg(F.min("id").alias("id"), F.first("fp").alias("fp")), "texts")
     some = nodes.where("fp != 0").select("key", "fp")
-    fps = some.select("fp").distinct()
-    hubs = some.join(_hubs(fps), "fp", "left_semi")
+    dense = write_table(spark, _dense(write_table(spark, some.select("fp").distinct(), "word-fingerprints")), "dense-fingerprints")
+    crowded = write_table(spark, some.join(broadcast_within(dense), "fp", "left_semi").select("key"), "dense-texts")
+    sketched = write_table(spark, _sketches(spark, docs, key, text, crowded, k), "sketches")
+    some = write_table(spark, some.join(sketched, "key", "left"), "sketched-texts")
+    hubs = some.join(_hubs(dense), "fp", "left_semi")
     at = (F.col("part") == F.col("p")) & (F.col("anchor") == F.col("c"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fb"))) <= radius)
-    visit = visits(some, 16).select(F.col("part").alias("p"), F.col("anchor").alias("c"), F.col("key").alias("b"), F.col("fp").alias("fb"))
-    first = homes(hubs, 16).withColumnRenamed("key", "a").join(visit, at & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = F.col("fp").bitwiseXOR(F.col("fb"))
+    near = (F.col("a") != F.col("b")) & (F.bit_count(apart) <= radius)
+    # A pair meets in each part in which it differs by one bit at most; the first of them keeps it.
+    meets = F.lit(4)
+    for p in reversed(range(4)):
+        meets = F.when(F.bit_count(F.shiftrightunsigned(apart, 16 * p).bitwiseAND(F.lit(0xFFFF).cast("long"))) <= 1, F.lit(p)).otherwise(meets)
+    near = near & (F.col("part") == meets)
+    differ = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    near = near & F.coalesce(differ <= sketch_limit(similarity), F.lit(True))
+    visitor = [F.col("part").alias("p"), F.col("anchor").alias("c"), F.col("key").alias("b"), F.col("fp").alias("fb"), F.col("sketch").alias("sketch_b")]
+    first = homes(hubs, 16).withColumnRenamed("key", "a").join(visits(some, 16).select(*visitor), at & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     star = _verified(spark, docs, key, text, first, similarity, k)
     joined = connected_components(spark, star)
-    some = write_table(spark, some.join(joined, F.col("key") == F.col("node"), "left").select("key", "fp", F.coalesce("label", "key").alias("comp")), "joined-texts")
-    visit = visits(some, 16).select(F.col("part").alias("p"), F.col("anchor").alias("c"), F.col("key").alias("b"), F.col("fp").alias("fb"), F.col("comp").alias("comp_b"))
+    some = write_table(spark, some.join(joined, F.col("key") == F.col("node"), "left").select("key", "fp", "sketch", F.coalesce("label", "key").alias("comp")), "joined-texts")
+    visit = visits(some, 16).select(*visitor, F.col("comp").alias("comp_b"))
     rest = homes(some, 16).withColumnRenamed("key", "a").join(visit, at & near & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b"))).select("a", "b")
     links = _verified(spark, docs, key, text, rest, similarity, k)
     labels = connected_components(spark, star.union(links))
