@@ -169,7 +169,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_file: str,
     """
     folder = path or new_path(spark, "tokens")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # By id alone: the driver samples the range's columns, and texts are not to go there.
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         found = tokenizer(tokenizer_file)
