@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,7 +26,15 @@ from soundtable.llm.files import committed, opened
 #: Ones between two entries of the select directory.
 SELECT_STEP = 256
 #: Characters encoded at once.
-ENCODE_CHARS = 1 << 20
+ENCODE_CHARS = 1 << 21
+#: Pieces of text whose ids a task remembers (about 100 bytes each), and the characters of the longest such piece.
+MEMO_PIECES, MEMO_CHARS = 1 << 19, 48
+#: New pieces that go to the library as one text.
+JOINED = 128
+
+# After a non-blank, before a space or line end: no match of the byte-level splitting pattern spans such a place, and
+# none looks ahead past it, so both sides get the ids that they have in the whole text.
+_SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, bytes long"
 
@@ -100,10 +109,10 @@ class TokenFileWriter:
     def __init__(self, out, id_bytes: int):
         self.out, self.id_bytes, self.ends, self.doc_ids, self.nulls, self.total = out, id_bytes, [], [], 0, 0
 
-    def add(self, doc_id: int | None, ids: list[int]) -> None:
-        """Documents come in ascending order of doc_id, nulls first."""
-        self.out.write(np.asarray(ids, dtype=f"<u{self.id_bytes}").tobytes())
-        self.total += len(ids)
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: little-endian, id_bytes each. Documents come in ascending order of doc_id, nulls first."""
+        self.out.write(ids)
+        self.total += len(ids) // self.id_bytes
         self.ends.append(self.total)
         if doc_id is None:
             self.nulls += 1
@@ -159,10 +168,50 @@ def tokenizer(path: str):
     return found
 
 
+class PieceEncoder:
+    """Encodes texts by a byte-level tokenizer into bytes (little-endian, `width` each), every piece between safe places
+    once for as long as it is remembered: common words repeat, and the library's time goes into splitting and merging."""
+
+    def __init__(self, found, width: int):
+        self.found, self.dtype, self.memo = found, f"<u{width}", {}
+        vocabulary = found.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id starts with a space byte
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [_SAFE.split(text) for text in texts]
+        if len(self.memo) > MEMO_PIECES:
+            self.memo.clear()
+        known = self.memo
+        self._learn(list({p for one in pieces for p in one if p not in known}))
+        coded = [b"".join([known[p] for p in one]) for one in pieces]
+        for p in [p for one in pieces for p in one if len(p) > MEMO_CHARS]:
+            known.pop(p, None)
+        return coded
+
+    def _learn(self, new: list[str]) -> None:
+        # Pieces with one space, in front, go to the library together: their ids part where an id starts with a space.
+        simple = [p for p in new if p.rfind(" ") == 0 and not p[-1].isspace()]
+        together = [simple[k : k + JOINED] for k in range(0, len(simple), JOINED)]
+        for group, coded in zip(together, self._library(["".join(group) for group in together])):
+            ids = np.array(coded.ids)
+            data, starts = ids.astype(self.dtype).tobytes(), (np.flatnonzero(self.opens[ids]) * int(self.dtype[-1])).tolist()
+            if len(starts) != len(group):
+                raise ValueError("the tokenizer does not part words at spaces")
+            self.memo.update(zip(group, [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]))
+        others = [p for p in new if p.rfind(" ") != 0 or p[-1].isspace()]
+        for piece, coded in zip(others, self._library(others)):
+            self.memo[piece] = np.array(coded.ids, dtype=self.dtype).tobytes()
+
+    def _library(self, texts: list[str]) -> list:
+        return self.found.encode_batch_fast(texts, add_special_tokens=False)
+
+
 def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Writes the documents' ids in ascending order of id and returns the manifest (shard, path, n_docs, n_tokens, bytes), a row for each file.
 
-    Each text (null: empty) is encoded whole without special tokens, and end_id is appended. Rows are range-partitioned
+    Each text (null: empty) is encoded whole without special tokens, and end_id is appended. The tokenizer is byte-level,
+    with the usual splitting pattern (a word takes the space before it). Rows are range-partitioned
     by id and sorted, so file k + 1 goes on where file k ends; null ids come first, rows that share an id are ordered by
     text. An empty table makes no file. Other columns are not read. A task streams ids to its file and holds one offset
     for each document; a repeated task writes the same bytes again and renames them over the first.
@@ -180,6 +229,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_file: str,
         if batch is None:
             return
         name = f"{folder}/shard-{shard:06d}.tokens"
+        encoder, end = PieceEncoder(found, width), end_id.to_bytes(width, "little")
         with committed(name) as out:
             writer = TokenFileWriter(out, width)
             while batch is not None:
@@ -189,8 +239,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_file: str,
                     while first + len(part) < batch.num_rows and size < ENCODE_CHARS:
                         part.append(texts[first + len(part)].as_py())
                         size += len(part[-1])
-                    for k, one in enumerate(found.encode_batch_fast(part, add_special_tokens=False)):
-                        writer.add(ids[first + k], [*one.ids, end_id])
+                    for k, coded in enumerate(encoder.encode(part)):
+                        writer.add(ids[first + k], coded + end)
                     first += len(part)
                 batch = next(batches, None)
             writer.close()

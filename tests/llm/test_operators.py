@@ -177,6 +177,17 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(spark, table(spark, []), P.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_pieces_get_the_ids_of_the_whole_text(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_PIECES", 3)
+    found = token_files.tokenizer(P.path("byte_bpe_50k.json"))
+    texts = ["a\x1c b", "a \x1cb", "  x  y\n\n z", "!\x85 x", "a\u3000b \u3000c", "\n x'll 'll go", "日本 語。 x", "\u200b b <|endoftext|> c", " ", "", "a   b c d\t e ", "x" * 5000 + " y", "\u0120 a \u0120\u0120 b", *[t or "" for t in TEXTS]]
+    for width in (2, 4):
+        encoder = token_files.PieceEncoder(found, width)
+        for _ in range(2):
+            whole = [np.array(found.encode(t, add_special_tokens=False).ids, f"<u{width}").tobytes() for t in texts]
+            assert encoder.encode(texts) == whole
+
+
 def test_exact(spark):
     rows = exact_dedup.exact_groups(spark, table(spark)).collect()
     docs = [(r.doc_id, r.text or "") for r in table(spark).collect()]
