@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,3 +79,37 @@ def time_to_qn(df: DataFrame, tempo: DataFrame, key: str, time: str) -> DataFram
     at: Column = F.col(time)
     joined = df.join(laid, (df[key] == laid[key]) & (at >= F.col("t0")) & (at < F.coalesce("until", F.lit(float("inf")))), "left").drop(laid[key])
     return joined.withColumn("qn", F.coalesce(F.col("q0") + (at - F.col("t0")) * F.col("bpm") / 60, at * 2.0)).drop("t0", "until", "bpm", "q0")
+
+
+@lru_cache(maxsize=8)
+def _draws(seed: int, pairs: int) -> np.ndarray:
+    """The first pairs of numbers in [-1, 1) of the xorshift64* generator."""
+    # State of seed 0, shifts, multiplier.
+    state, multiplier, mask = seed or 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D, (1 << 64) - 1
+    out = np.empty(2 * pairs)
+    for i in range(2 * pairs):
+        state ^= state >> 12
+        state = (state ^ state << 25) & mask
+        state ^= state >> 27
+        out[i] = (state * multiplier & mask) >> 11
+    return (out / 2.0**52 - 1).reshape(pairs, 2)
+
+
+def humanize(notes: DataFrame, order: list[str], timing: float = 0.02, velocity: int = 8, seed: int = 1) -> DataFrame:
+    """notes whose starts (not below 0) and velocities are nudged; lengths stay.
+
+    The k-th note of every take gets the k-th pair of one generator's numbers, so a row needs its place in the take
+    only, and no take is gathered in Python.
+    """
+
+    @F.pandas_udf("timing double, velocity double")
+    def draw(place: pd.Series) -> pd.DataFrame:
+        # Sizes of powers of two, so that a worker makes few tables.
+        table = _draws(seed, 1 << int(place.max()).bit_length())
+        return pd.DataFrame(table[place.to_numpy()], columns=["timing", "velocity"])
+
+    place = F.row_number().over(W.partitionBy("take_id").orderBy(*order)) - 1
+    wide = notes.withColumn("__place", place).withColumn("__draw", draw("__place"))
+    moved = F.greatest(F.col("start") + F.col("__draw.timing") * timing, F.lit(0.0))
+    louder = clamp(F.col("velocity") + half_away(F.col("__draw.velocity") * velocity), 1, 127).cast("int")
+    return wide.withColumns({"start": moved, "velocity": louder}).select(*notes.columns)

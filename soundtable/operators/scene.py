@@ -144,3 +144,12 @@ def mirror(acn: Column, plane: str, channels: int = 64) -> Column:
         return -1.0 if flips[plane] else 1.0
 
     return scale_channels(acn, [sign(k) for k in range(channels)])
+
+
+def rotate_yaw(acn: Column, degrees: float, channels: int = 64) -> Column:
+    """The scene turned about the vertical axis: a source at azimuth a comes to a + degrees. Exact at any order."""
+    order = [math.isqrt(k) for k in range(channels)]
+    m = [k - n * n - n for k, n in enumerate(order)]
+    cos, sin, partner = (F.array(*[F.lit(v) for v in row]) for row in ([math.cos(math.radians(j * degrees)) for j in m], [math.sin(math.radians(j * degrees)) for j in m], [k - 2 * j + 1 for k, j in enumerate(m)]))
+    other = lambda k: F.element_at(acn, F.element_at(partner, k + 1)).cast("double")
+    return F.transform(acn, lambda a, k: a.cast("double") * F.element_at(cos, k + 1) - other(k) * F.element_at(sin, k + 1))

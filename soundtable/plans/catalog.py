@@ -242,6 +242,12 @@ def convert_normalization(spark, sf):
     return _arrays(B.scene(spark, sf).withColumn("acn", scene.convert_normalization(F.col("acn"), "sn3d_n3d")))
 
 
+@query(f"""WITH {B.SCENE}, e AS (SELECT *, (k - 1 - l * l - l)::INT AS m FROM (SELECT *, floor(sqrt(k - 1))::INT AS l FROM (SELECT *, unnest(range(1, 65)) AS k FROM scene)))
+    SELECT program_id, frame, (k - 1)::INT AS k, {r6('acn[k] * cos(radians(m * 33.0::DOUBLE)) - acn[k - 2 * m] * sin(radians(m * 33.0::DOUBLE))')} AS value FROM e""")
+def rotate_yaw(spark, sf):
+    return _arrays(B.scene(spark, sf).withColumn("acn", scene.rotate_yaw(F.col("acn"), 33.0)))
+
+
 @query(f"WITH {B.SCENE} SELECT program_id, frame, (k - 1)::INT AS k, {r6('acn[k]')} AS value FROM (SELECT *, unnest(range(1, 10)) AS k FROM scene)")
 def convert_order(spark, sf):
     return _arrays(B.scene(spark, sf).withColumn("acn", scene.convert_order(F.col("acn"), 2)))
@@ -514,6 +520,21 @@ def identity_tones(spark, sf):
     return rounded(session.identity_powers(B.multichannel(spark, sf), P, plan, 10.0), "power")
 
 
+def _between(row):
+    return "abs(" + " + ".join(f"coalesce(lag(x, {5 - i}) OVER w, 0) * {c!r}::DOUBLE" if i <= 5 else f"coalesce(lead(x, {i - 5}) OVER w, 0) * {c!r}::DOUBLE" for i, c in enumerate(row)) + ")"
+
+
+@query(f"""WITH {B.SIGNAL}, p AS (SELECT program_id, greatest(abs(x), {', '.join(map(_between, meter.true_peak_taps()))}) AS m FROM signal WINDOW w AS (PARTITION BY program_id ORDER BY frame))
+    SELECT program_id, {r6("CASE WHEN max(m) > 1e-12 THEN 20 * log10(max(m)) ELSE -144.0::DOUBLE END")} AS true_peak_db FROM p GROUP BY 1""")
+def true_peak(spark, sf):
+    return rounded(meter.true_peak(B.signal(spark, sf), P), "true_peak_db")
+
+
+@query()
+def humanize(spark, sf):
+    return rounded(notes.humanize(B.notes(spark, sf), B.NOTE_ORDER), "start", "length")
+
+
 # ---- streams, on tables
 
 

@@ -1,12 +1,14 @@
 """Signals and notes whose answers are known."""
 
 import math
+import struct
 
 from pyspark.sql import functions as F
 
 from soundtable.functions import harmonics
 from soundtable.functions import scalars as H
-from soundtable.operators import meter, scene, session
+from soundtable.operators import meter, notes, scene, session
+from soundtable.sources import wav
 
 
 def test_sine_levels(spark):
@@ -59,3 +61,67 @@ def test_chunk_depth(spark):
     df = spark.createDataFrame([(1, "<TRACK\nNAME x\n<FX\n>\n>"), (2, "<TRACK\n<A\n>")], "k int, t string")
     found = {r.k: (r.valid, r.open) for r in session.validate_chunks(session.chunk_lines(df, "k", "t"), "k").collect()}
     assert found == {1: (True, 0), 2: (False, 1)}
+
+
+def test_true_peak_lies_above_the_samples(spark):
+    """A tone at a quarter of the rate, sampled off its crests; small blocks give what one block gives."""
+    frames = spark.range(400).select(F.lit("p").alias("program_id"), F.col("id").alias("frame"), F.sin(F.col("id") * math.pi / 2 + math.pi / 4).alias("x"))
+    low = meter.channel_metrics(frames, ["program_id"]).first().peak_db
+    one, many = (meter.true_peak(frames, ["program_id"], block).first().true_peak_db for block in (1 << 16, 16))
+    assert abs(low + 3.01) < 0.2 and one > low + 2 and one == many
+    assert meter.true_peak(frames.limit(0), ["program_id"]).count() == 0
+
+
+def test_yaw_moves_a_source(spark):
+    def acn(az):
+        a = math.radians(az)
+        return [1.0, math.sin(a), 0.0, math.cos(a), math.sin(2 * a), 0.0, -0.5, 0.0, math.cos(2 * a)]
+
+    row = spark.createDataFrame([(acn(20.0),)], "acn array<double>").select(scene.rotate_yaw(F.col("acn"), 50.0).alias("a")).first()
+    assert all(abs(u - v) < 1e-12 for u, v in zip(row.a, acn(70.0), strict=True))
+
+
+def test_humanize_draws_in_note_order(spark):
+    rows = [(take, i * 0.5, 0.25, 60, 100, 0) for take in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "take_id long, start double, length double, pitch int, velocity int, channel int")
+    got = sorted(notes.humanize(df, ["start"], 0.02, 8, 7).collect())
+    state, mask = 7, (1 << 64) - 1
+
+    def draw():
+        nonlocal state
+        for shift in (-12, 25, -27):
+            state ^= (state << shift if shift > 0 else state >> -shift) & mask
+        return ((state * 0x2545F4914F6CDD1D & mask) >> 11) / 2**53 * 2 - 1
+
+    for i in range(40):
+        start, d = max(0.0, i * 0.5 + draw() * 0.02), draw() * 8
+        velocity = min(127, max(1, 100 + int(math.copysign(math.floor(abs(d) + 0.5), d))))
+        for r in (got[i], got[40 + i]):
+            assert abs(r.start - start) < 1e-12 and (r.length, r.velocity) == (0.25, velocity)
+    assert notes.humanize(df.limit(0), ["start"]).count() == 0
+
+
+def test_wav_corpus(spark, tmp_path):
+    def write(name, tag, bits, data, channels=2, extra=b""):
+        form = struct.pack("<HHIIHH", tag, channels, 8000, 0, 0, bits) + extra
+        body = b"WAVE" + b"junk" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(data)) + data
+        (tmp_path / name).write_bytes(b"RIFF" + struct.pack("<I", len(body)) + body)
+
+    values = [[0.5, -0.25], [0.0, 1 / 1024], [-1.0, 0.75]]
+    flat = [v for frame in values for v in frame]
+    write("a16.wav", 1, 16, struct.pack("<6h", *[int(v * 32768) for v in flat]))
+    write("b24.wav", 1, 24, b"".join(int(v * 8388608).to_bytes(3, "little", signed=True) for v in flat))
+    write("c32.wav", 0xFFFE, 32, struct.pack("<6f", *flat), extra=struct.pack("<HHIH", 22, 32, 0, 3) + bytes(14))
+    write("d64.wav", 3, 64, struct.pack("<6d", *flat))
+    write("e8.wav", 1, 8, b"abcdef")
+    write("f.wav", 1, 16, b"")
+    write("g.wav", 1, 16, b"ab", channels=0)
+    (tmp_path / "h.wav").write_bytes(b"no")
+    rows = wav.read_wav_corpus(spark, str(tmp_path), chunk_sec=2 / 8000).collect()
+    errors = {r.program_id[-5:]: r.error for r in rows if r.error}
+    assert errors == {"8.wav": "invalid bit depth", "f.wav": "no data chunk / empty audio", "g.wav": "missing/invalid fmt chunk", "h.wav": "not a RIFF/WAVE file"}
+    good = [r for r in rows if not r.error]
+    assert len(good) == 4 * 2 * 2
+    for r in good:
+        assert r.samples == [v[r.channel] for v in values[r.frame0 : r.frame0 + 2]] and (r.rate, r.frame0) == (8000.0, 2 * r.chunk_no)
+    assert meter.chunks_to_samples(spark.createDataFrame(good, wav.CHUNKS)).count() == 24
