@@ -59,7 +59,7 @@ def fingerprint(text: str | None, k: int = 3, distinct: bool = False) -> int:
     for block in word_blocks(text or ""):
         block = carry + block
         if len(block) >= k:
-            found = _hashes(block, k)
+            found = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(block)], np.uint64) if distinct and k == 1 else _hashes(block, k)
             if distinct:
                 seen.append(np.unique(found))
             else:
@@ -97,40 +97,61 @@ def fingerprints(df: DataFrame, keep: list[Column], text: Column, k: int = 3, di
 CODES = {32: (31,), 16: (15,)}
 
 
-def _anchor(value: Column, width: int) -> Column:
-    """The code word within the covering radius: in each Hamming block the bit that the syndrome names is flipped."""
-    out, offset = value, 0
+def _flips(width: int) -> list[int]:
+    """By syndrome: the bits to turn to get to the code word within the covering radius. A code of several blocks has mixed syndromes."""
+    out, offset = [0], 0
     for length in CODES[width]:
-        syndrome = None
-        for j in range(length.bit_length()):
-            mask = sum(1 << (offset + i) for i in range(length) if (i + 1) >> j & 1)
-            bit = F.shiftleft(F.bit_count(value.bitwiseAND(F.lit(mask).cast("long"))).bitwiseAND(F.lit(1)).cast("long"), j)
-            syndrome = bit if syndrome is None else syndrome + bit
-        flip = F.when(syndrome > 0, F.expr("1L").cast("long")).otherwise(F.lit(0).cast("long"))
-        out = out.bitwiseXOR(F.call_function("shiftleft", flip, (F.greatest(syndrome - 1, F.lit(0)) + offset).cast("int")))
+        out = [m | (1 << (offset + s - 1) if s else 0) for s in range(length + 1) for m in out]
         offset += length
     return out
 
 
+def _bit_syndromes(width: int) -> list[int]:
+    """What turning each bit of a part adds (XOR) to the syndrome."""
+    out, shift = [], 0
+    for length in CODES[width]:
+        out += [(i + 1) << shift for i in range(length)]
+        shift += length.bit_length()
+    return out + [0] * (width - len(out))
+
+
+def _syndrome(value: Column, width: int) -> Column:
+    bits, out = _bit_syndromes(width), None
+    for j in range(max(bits).bit_length()):
+        mask = sum(1 << i for i, s in enumerate(bits) if s >> j & 1)
+        bit = F.shiftleft(F.bit_count(value.bitwiseAND(F.lit(mask).cast("long"))).bitwiseAND(F.lit(1)), j)
+        out = bit if out is None else out.bitwiseOR(bit)
+    return out
+
+
 def _parts(width: int) -> list[Column]:
     mask = F.lit((1 << width) - 1).cast("long")
     return [F.shiftrightunsigned("fp", width * p).bitwiseAND(mask) for p in range(64 // width)]
 
 
+def _to_anchors(fps: DataFrame, width: int, turns: list[list[int]]) -> DataFrame:
+    """fps with (part, anchor): each part's value with the bits turned that its syndrome has in `turns`, a row for each."""
+    if {"__value", "__syndrome", "__turn"} & set(fps.columns):
+        raise ValueError("column names in use")
+    each = F.array(*[F.struct(F.lit(p).alias("part"), v.alias("__value"), _syndrome(v, width).alias("__syndrome")) for p, v in enumerate(_parts(width))])
+    table = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in turns])
+    turned = fps.select("*", F.inline(each)).select("*", F.explode(F.get(table, F.col("__syndrome"))).alias("__turn"))
+    return turned.withColumn("anchor", F.col("__value").bitwiseXOR(F.col("__turn"))).drop("__value", "__syndrome", "__turn")
+
+
 def homes(fps: DataFrame, width: int) -> DataFrame:
     """fps with (part, anchor): where each fingerprint is at home, a row for each part."""
-    each = F.array(*[F.struct(F.lit(p).alias("part"), _anchor(v, width).alias("anchor")) for p, v in enumerate(_parts(width))])
-    return fps.select("*", F.inline(each))
+    return _to_anchors(fps, width, [[m] for m in _flips(width)])
 
 
 def visits(fps: DataFrame, width: int) -> DataFrame:
-    """fps with (part, anchor): all anchors within covering radius plus one bit of each fingerprint, its home among them."""
+    """fps with (part, anchor): all anchors within covering radius plus one bit of each fingerprint, its home among them.
 
-    def near(p: int, value: Column) -> Column:
-        turned = F.transform(F.sequence(F.lit(-1), F.lit(width - 1)), lambda i: _anchor(value.bitwiseXOR(F.when(i < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(i, F.lit(0))))), width))
-        return F.transform(F.array_distinct(turned), lambda a: F.struct(F.lit(p).alias("part"), a.alias("anchor")))
-
-    return fps.select("*", F.inline(F.concat(*[near(p, v) for p, v in enumerate(_parts(width))])))
+    The code is linear, so which bits lead from a value to those anchors depends on its syndrome alone.
+    """
+    flips, bits = _flips(width), _bit_syndromes(width)
+    turns = [sorted({flips[s]} | {(1 << i) ^ flips[s ^ e] for i, e in enumerate(bits)}) for s in range(len(flips))]
+    return _to_anchors(fps, width, turns)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -306,7 +327,7 @@ def near_duplicate_texts(spark: SparkSession, docs: DataFrame, id_col: str = "do
     hubs = some.join(_hubs(dense), "fp", "left_semi")
     at = (F.col("part") == F.col("p")) & (F.col("anchor") == F.col("c"))
     apart = F.col("fp").bitwiseXOR(F.col("fb"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(apart) <= radius)
+    near = (F.bit_count(apart) <= radius) & (F.col("a") != F.col("b"))
     # A pair meets in each part in which it differs by one bit at most; the first of them keeps it.
     meets = F.lit(4)
     for p in reversed(range(4)):
@@ -314,12 +335,13 @@ def near_duplicate_texts(spark: SparkSession, docs: DataFrame, id_col: str = "do
     near = near & (F.col("part") == meets)
     differ = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
     near = near & F.coalesce(differ <= sketch_limit(similarity), F.lit(True))
-    visitor = [F.col("part").alias("p"), F.col("anchor").alias("c"), F.col("key").alias("b"), F.col("fp").alias("fb"), F.col("sketch").alias("sketch_b")]
-    first = homes(hubs, 16).withColumnRenamed("key", "a").join(visits(some, 16).select(*visitor), at & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    other = [F.col("part").alias("p"), F.col("anchor").alias("c"), F.col("key").alias("b"), F.col("fp").alias("fb"), F.col("sketch").alias("sketch_b")]
+    # Pairs meet whichever of the two visits; hubs are few, so they do.
+    first = visits(hubs, 16).withColumnRenamed("key", "a").join(homes(some, 16).select(*other), at & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     star = _verified(spark, docs, key, text, first, similarity, k)
     joined = connected_components(spark, star)
     some = write_table(spark, some.join(joined, F.col("key") == F.col("node"), "left").select("key", "fp", "sketch", F.coalesce("label", "key").alias("comp")), "joined-texts")
-    visit = visits(some, 16).select(*visitor, F.col("comp").alias("comp_b"))
+    visit = visits(some, 16).select(*other, F.col("comp").alias("comp_b"))
     rest = homes(some, 16).withColumnRenamed("key", "a").join(visit, at & near & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b"))).select("a", "b")
     links = _verified(spark, docs, key, text, rest, similarity, k)
     labels = connected_components(spark, star.union(links))
