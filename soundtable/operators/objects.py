@@ -94,3 +94,42 @@ def sample_envelope(points: DataFrame, grid: DataFrame, key: str, at: str = "at"
     line = a["value"] + (b["value"] - a["value"]) * (F.col("at") - a["time"]) / (b["time"] - a["time"])
     value = F.when(a.isNull(), b["value"]).when(b.isNull() | (F.col("at") == a["time"]), a["value"]).otherwise(line)
     return both.where("asked").select(key, F.col("at").alias(at), value.alias("value"))
+
+
+def sample_trajectory(points: DataFrame, spans: DataFrame, key: str, step: float = 0.1) -> DataFrame:
+    """(key, slice, t, x, y, z, gain) at the middle of each slice of a span (key, start, end): max(1, rounded length / step) slices.
+
+    Between points (key, t, az, el, dist, gain; times of a key differ) vectors and gains are interpolated along the
+    chord; outside, the end points hold. A span without points faces front with gain one. Points and middles meet in one
+    ordered window of a key.
+    """
+    x, y, z = direction(F.col("az"), F.col("el"))
+    point = F.struct(F.col("t").cast("double").alias("t"), (x * F.col("dist")).alias("x"), (y * F.col("dist")).alias("y"), (z * F.col("dist")).alias("z"), F.col("gain").cast("double").alias("gain"))
+    known = points.select(key, F.col("t").cast("double").alias("t"), point.alias("point"), F.lit(None).cast("long").alias("slice"))
+    count = F.greatest(F.lit(1).cast("long"), F.floor((F.col("end") - F.col("start")) / step + 0.5))
+    asked = spans.select(key, "start", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("slice"))
+    asked = asked.select(key, (F.col("start") + (F.col("slice") + 0.5) * step).alias("t"), F.lit(None).cast(known.schema["point"].dataType).alias("point"), "slice")
+    w = W.partitionBy(key).orderBy("t", F.col("slice").isNotNull())
+    both = known.unionByName(asked).withColumns({"a": F.last("point", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "b": F.first("point", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))})
+    part = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+
+    def at(name: str, absent: float):
+        a, b = F.col(f"a.{name}"), F.col(f"b.{name}")
+        return F.when(F.col("a").isNull(), F.coalesce(b, F.lit(absent))).when(F.col("b").isNull(), a).otherwise(a + part * (b - a)).alias(name)
+
+    return both.where("slice is not null").select(key, "slice", "t", at("x", 0.0), at("y", 1.0), at("z", 0.0), at("gain", 1.0))
+
+
+def thin_timeline(slices: DataFrame, keys: list[str], order: list[str], most: int = 48) -> DataFrame:
+    """At most `most` (2 to 512) rows of each key, evenly spaced in order: the indices round(r * (n - 1) / (most - 1)).
+
+    Whether an index is one of them follows from the index alone, so nothing is joined.
+    """
+    if not 2 <= most <= 512:
+        raise ValueError("2 to 512 rows")
+    everything = W.partitionBy(*keys)
+    wide = slices.withColumns({"idx": F.row_number().over(everything.orderBy(*order)) - 1, "__last": F.count("*").over(everything) - 1})
+    idx, last = F.col("idx"), F.col("__last")
+    r = F.ceil((2 * idx - 1) * (most - 1) / (2 * last))  # the first whose index is not below this one
+    kept = (last < most) | (F.floor((2 * r * last + (most - 1)) / (2 * (most - 1))) == idx)
+    return wide.where(kept).drop("__last")

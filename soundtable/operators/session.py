@@ -73,9 +73,18 @@ def chunk_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def validate_chunks(lines: DataFrame, key: str) -> DataFrame:
-    """Whether the depth never falls below zero and ends there, and how many blocks stay open."""
-    out = lines.groupBy(key).agg(F.min("depth").alias("least"), F.max_by("depth", "line_no").alias("open"))
-    return out.select(key, "open", ((F.col("least") >= 0) & (F.col("open") == 0)).alias("valid"))
+    """(key, open, valid): a track's text begins with its block, the depth never falls below zero and ends there; `open` blocks stay."""
+    bare = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
+    first = F.min(F.when(bare != "", F.struct("line_no", bare.startswith("<TRACK").alias("begins"))))
+    out = lines.groupBy(key).agg(F.min("depth").alias("least"), F.max_by("depth", "line_no").alias("open"), first.alias("first"))
+    valid = F.coalesce(F.col("first.begins"), F.lit(False)) & (F.col("least") >= 0) & (F.col("open") == 0)
+    return out.select(key, "open", valid.alias("valid"))
+
+
+def implode_to_takes(items: DataFrame, keys: list[str], order: list[str], item: str) -> DataFrame:
+    """Selected items as takes of the first of them: `take` from 0 in order, `into` the item that they join."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    return items.withColumns({"take": F.row_number().over(w) - 1, "into": F.first(item).over(w)})
 
 
 def resolve_params(requests: DataFrame, params: DataFrame, asked: str, name: str) -> DataFrame:

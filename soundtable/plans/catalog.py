@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from soundtable.functions import harmonics
 from soundtable.functions import scalars as H
-from soundtable.operators import meter, notes, objects, scene, session
+from soundtable.operators import meter, notes, objects, scene, sends, session, weighting
 from soundtable.plans import bindings as B
 from soundtable.streaming import updates
 
@@ -558,3 +558,107 @@ def head_orientation(spark, sf):
     kind = F.col("event_type")
     axis = F.when(kind == "view", "yaw").when(kind == "click", "pitch").when(kind == "error", "roll")
     return updates.head_orientation(B.table(spark, sf, "events").select("ts", F.col("event_id").alias("seq"), F.col("user_id").alias("source"), axis.alias("axis"), "value"))
+
+
+# ---- rosters, stems against each other, thinned and sampled timelines
+
+
+@query("""SELECT c_nationkey AS project, c_custkey AS number, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place FROM customer WHERE c_acctbal > 0""")
+def discover_objects(spark, sf):
+    name = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("Object "), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("Object "), F.col("c_custkey").cast("string"), F.lit("b")))
+    tracks = B.table(spark, sf, "customer").select(F.col("c_nationkey").alias("project"), name.alias("name"))
+    return sends.discover_objects(tracks, ["project"]).select("project", "number", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey AS track, (o_orderkey % 30)::BIGINT AS channels FROM orders WHERE o_orderkey % 30 IN (6, 8, 12, 16, 24)")
+def detect_beds(spark, sf):
+    return sends.detect_beds(B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("track"), (F.col("o_orderkey") % 30).cast("long").alias("channels")))
+
+
+@query("""WITH m AS (SELECT o_custkey AS master, (o_custkey % 24)::BIGINT AS bed_width, 10 * count(*) AS objects FROM orders GROUP BY 1, 2)
+    SELECT master, concat_ws(',', CASE WHEN objects > 118 THEN 'over_118' END, CASE WHEN bed_width + objects > 128 THEN 'over_128' END, CASE WHEN bed_width > 10 THEN 'wide_bed' END) AS codes, objects > 118 OR bed_width + objects > 128 AS fatal FROM m""")
+def check_master_limits(spark, sf):
+    masters = B.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("master")).agg((10 * F.count("*")).alias("objects")).withColumn("bed_width", F.col("master") % 24)
+    return sends.check_master_limits(masters).select("master", F.array_join("codes", ",").alias("codes"), "fatal")
+
+
+@query("""WITH b AS (SELECT n_nationkey AS bus, n_nationkey % 3 * 6 AS width FROM nation), o AS (SELECT c_nationkey AS bus, c_custkey AS source, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS slot FROM customer)
+    SELECT bus::BIGINT AS bus, 0::BIGINT AS slot, 'bed' AS kind, -1::BIGINT AS source, 0::BIGINT AS dst, width::BIGINT AS width FROM b WHERE width > 0
+    UNION ALL SELECT bus, slot, 'object', source, width + slot - 1, 1 FROM o JOIN b USING (bus)""")
+def build_roster(spark, sf):
+    beds = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("bus"), F.lit(-1).alias("source"), (F.col("n_nationkey") % 3 * 6).alias("width"))
+    tracks = B.table(spark, sf, "customer").select(F.col("c_nationkey").alias("bus"), F.col("c_custkey").alias("source"), F.col("c_custkey").alias("number"))
+    out = sends.build_roster(beds, tracks, "bus")
+    return out.select(*[F.col(c).cast("long").alias(c) for c in ("bus", "slot", "source", "dst", "width")], "kind")
+
+
+@query("""WITH r AS (SELECT o_orderkey % 100 AS bus, o_orderkey AS source, o_custkey % 4 AS dst FROM orders), e AS (SELECT l_orderkey % 100 AS bus, l_orderkey AS source, row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS send_index, l_partkey % 4 AS dst, 1 + l_suppkey % 2 AS width FROM lineitem),
+    j AS (SELECT r.bus, r.source AS slot, send_index, CASE WHEN send_index IS NULL THEN 'add' WHEN r.dst = e.dst AND width = 1 THEN 'reuse' ELSE 'fix' END AS action, row_number() OVER (PARTITION BY r.bus, r.source ORDER BY CASE WHEN r.dst = e.dst AND width = 1 THEN 0 ELSE 1 END, send_index) AS n FROM r LEFT JOIN e USING (bus, source)),
+    c AS (SELECT bus, slot, send_index, action FROM j WHERE n = 1)
+    SELECT bus::BIGINT AS bus, slot::BIGINT AS slot, send_index, action FROM c UNION ALL SELECT bus, NULL, send_index, 'stray' FROM e ANTI JOIN c USING (bus, send_index)""")
+def reconcile_sends(spark, sf):
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    roster = B.table(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("bus"), F.col("o_orderkey").alias("slot"), F.col("o_orderkey").alias("source"), (F.col("o_custkey") % 4).alias("dst"), F.lit(1).alias("width"))
+    lines = B.table(spark, sf, "lineitem").withColumn("bus", F.col("l_orderkey") % 100)
+    existing = notes.ordered(lines, "bus", order, "send_index").select("bus", (F.col("send_index") + 1).alias("send_index"), F.col("l_orderkey").alias("source"), (F.col("l_partkey") % 4).alias("dst"), (1 + F.col("l_suppkey") % 2).alias("width"))
+    return sends.reconcile_sends(roster, existing)
+
+
+@query(f"""SELECT program_id, arg_max(channel, (integrated, -channel)) AS channel, max(integrated) AS integrated FROM ({ORACLE_SQL["stem_loudness"]}) GROUP BY 1""")
+def loudest_stem(spark, sf):
+    return weighting.loudest(stem_loudness(spark, sf), "program_id", "channel", "integrated")
+
+
+@query(f"""SELECT p.program_id, {r6('p.integrated')} AS program_lufs, {r6('d.integrated')} AS dialog_lufs, {r6('d.activity')} AS activity, {r6('CASE WHEN p.integrated > -143 AND d.integrated > -143 THEN p.integrated - d.integrated END')} AS offset_lu
+    FROM (WITH {B.SIGNAL}, {GATED} SELECT * FROM loud) p LEFT JOIN (WITH {B.MULTI}, signal AS (SELECT program_id, frame, x FROM multi WHERE channel = 0), {GATED} SELECT * FROM loud) d USING (program_id)""")
+def dialog_loudness(spark, sf):
+    spoken = meter.power_bins(B.multichannel(spark, sf).where("channel = 0"), P, 1)
+    out = weighting.dialog_loudness(spoken, meter.power_bins(B.signal(spark, sf), P, 1), P)
+    return rounded(out, "program_lufs", "dialog_lufs", "activity", "offset_lu")
+
+
+@query()
+def k_weighted_level(spark, sf):
+    """The table's frames taken as samples at 48 kHz. SQL has no recursive filter; a sample loop is the test's comparison."""
+    chunks = weighting.k_weight(weighting.chunk_samples(B.signal(spark, sf), P, 48_000), P, 48_000)
+    samples = chunks.select(*P, "frame0", F.posexplode("samples").alias("i", "x")).select(*P, (F.col("frame0") + F.col("i")).alias("frame"), "x")
+    return rounded(samples.groupBy(*P).agg(H.lufs(F.avg(F.col("x") * F.col("x"))).alias("k_level")), "k_level")
+
+
+@query(f"""WITH {B.TRAJ}, pts AS (SELECT object_id, t, min(seq) AS seq FROM traj GROUP BY 1, 2), v AS (SELECT p.object_id, p.t, -cos(radians(el)) * sin(radians(az)) * 2 AS x, cos(radians(el)) * cos(radians(az)) * 2 AS y, sin(radians(el)) * 2 AS z, gain FROM pts p JOIN traj USING (object_id, seq)),
+    g AS (SELECT object_id, s AS slice, (s + 0.5::DOUBLE) * 100 AS t FROM (SELECT DISTINCT object_id FROM traj), range(24) r(s)),
+    m AS (SELECT g.object_id, slice, g.t, a.t AS ta, b.t AS tb, a.x AS ax, a.y AS ay, a.z AS az, a.gain AS ag, b.x AS bx, b.y AS by, b.z AS bz, b.gain AS bg FROM g ASOF LEFT JOIN v a ON g.object_id = a.object_id AND g.t >= a.t ASOF LEFT JOIN v b ON g.object_id = b.object_id AND g.t < b.t)
+    SELECT object_id, slice::BIGINT AS slice, t, """ + ", ".join(f"{r6(f'CASE WHEN ta IS NULL THEN b{c} WHEN tb IS NULL THEN a{c} ELSE a{c} + (t - ta) / (tb - ta) * (b{c} - a{c}) END')} AS {n}" for c, n in (("x", "x"), ("y", "y"), ("z", "z"), ("g", "gain"))) + " FROM m")
+def sample_trajectory(spark, sf):
+    traj = B.trajectory(spark, sf).withColumn("dist", F.lit(2.0))
+    one = traj.groupBy("object_id", "t").agg(F.min_by(F.struct("az", "el", "dist", "gain"), "seq").alias("p")).select("object_id", "t", "p.*")
+    spans = traj.select("object_id").distinct().withColumns({"start": F.lit(0.0), "end": F.lit(2400.0)})
+    return rounded(objects.sample_trajectory(one, spans, "object_id", 100.0), "x", "y", "z", "gain")
+
+
+@query(f"""WITH {B.SIGNAL}, n AS (SELECT program_id, count(*) AS n FROM signal GROUP BY 1),
+    k AS (SELECT DISTINCT program_id, CASE WHEN n <= 8 THEN r ELSE (2 * r * (n - 1) + 7) // 14 END AS frame FROM n, range(8) t(r) WHERE r < n)
+    SELECT program_id, frame, x FROM signal JOIN k USING (program_id, frame)""")
+def thin_timeline(spark, sf):
+    return objects.thin_timeline(B.signal(spark, sf), P, ["frame"], 8).drop("idx")
+
+
+@query("""SELECT event_id, row_number() OVER w - 1 AS take, first_value(event_id) OVER w AS "into" FROM events WHERE event_type = 'click' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def implode_to_takes(spark, sf):
+    items = B.table(spark, sf, "events").where("event_type = 'click'")
+    return session.implode_to_takes(items, ["user_id"], ["ts", "event_id"], "event_id").select("event_id", F.col("take").cast("long").alias("take"), "into")
+
+
+BLOCKED = "(SELECT doc_id, '<TRACK' || chr(10) || text || chr(10) || '>' AS text FROM documents)"
+
+
+@query(f"""WITH {LINES.replace("FROM documents", "FROM " + BLOCKED)}, f AS (SELECT doc_id, min(depth) AS least, arg_max(depth, line_no) AS open FROM lines GROUP BY 1) SELECT doc_id, open, least >= 0 AND open = 0 AS valid FROM f""")
+def validate_chunks(spark, sf):
+    text = F.concat(F.lit("<TRACK\n"), F.col("text"), F.lit("\n>"))
+    docs = B.table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return session.validate_chunks(session.chunk_lines(docs, "doc_id", "text"), "doc_id")
+
+
+@query(f"WITH {B.SIGNAL}, c AS (SELECT *, count(*) OVER (PARTITION BY program_id) AS point_count FROM signal) SELECT program_id, frame AS time, x, point_count FROM c WHERE frame BETWEEN 3 AND 10")
+def envelope_window(spark, sf):
+    return notes.envelope_window(B.signal(spark, sf).withColumnRenamed("frame", "time"), P, 3, 10)

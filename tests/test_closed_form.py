@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from soundtable.functions import harmonics
 from soundtable.functions import scalars as H
-from soundtable.operators import meter, notes, scene, session
+from soundtable.operators import meter, notes, scene, sends, session, weighting
 from soundtable.sources import wav
 
 
@@ -125,3 +125,32 @@ def test_wav_corpus(spark, tmp_path):
     for r in good:
         assert r.samples == [v[r.channel] for v in values[r.frame0 : r.frame0 + 2]] and (r.rate, r.frame0) == (8000.0, 2 * r.chunk_no)
     assert meter.chunks_to_samples(spark.createDataFrame(good, wav.CHUNKS)).count() == 24
+
+
+def test_k_weighting_of_chunks_is_that_of_the_stream(spark):
+    """Against a sample loop over the whole stream, whose first sample is loud; and a full-scale 997 Hz tone reads -3.01."""
+    rate, n = 8000, 20500
+    x = [1.0] + [math.sin(i * i * 1e-4) * 0.3 for i in range(1, n)]
+    chunks = spark.createDataFrame([("p", at, x[at : at + rate]) for at in range(0, n, rate)], "k string, frame0 long, samples array<double>")
+    got = [v for r in weighting.k_weight(chunks, ["k"], rate).orderBy("frame0").collect() for v in r.samples]
+    want = x
+    for top, bottom in weighting.sections(rate):
+        b, a = [float(v / bottom[0]) for v in top], [float(v / bottom[0]) for v in bottom]
+        out, x1, x2, y1, y2 = [], 0.0, 0.0, 0.0, 0.0
+        for v in want:
+            y = b[0] * v + b[1] * x1 + b[2] * x2 - a[1] * y1 - a[2] * y2
+            x1, x2, y1, y2 = v, x1, y, y1
+            out.append(y)
+        want = out
+    assert max(abs(u - v) for u, v in zip(got, want, strict=True)) < 1e-9
+    tone = spark.range(48000).select(F.lit("p").alias("k"), F.col("id").alias("frame"), F.sin(F.col("id") * 2 * math.pi * 997 / 48000).alias("x"))
+    level = weighting.k_weight(weighting.chunk_samples(tone, ["k"], 48000), ["k"], 48000).select(F.explode("samples").alias("y")).agg(H.lufs(F.avg(F.col("y") * F.col("y"))).alias("l")).first().l
+    assert abs(level + 3.01) < 0.05
+
+
+def test_sends_of_a_source_with_several_roster_rows(spark):
+    """The exact fit of the first row is not taken; the third row finds nothing left; the other source's send is a stray."""
+    roster = spark.createDataFrame([(1, 0, 7, 0, 1), (1, 1, 7, 5, 1), (1, 2, 7, 6, 1), (1, 3, 8, 9, 2)], "bus int, slot int, source int, dst int, width int")
+    existing = spark.createDataFrame([(1, 10, 7, 5, 1), (1, 11, 7, 0, 1), (1, 12, 9, 1, 1), (1, 13, 8, 3, 2), (1, 14, 8, 9, 2)], "bus int, send_index int, source int, dst int, width int")
+    got = {(r.slot, r.send_index, r.action) for r in sends.reconcile_sends(roster, existing).collect()}
+    assert got == {(0, 11, "reuse"), (1, 10, "reuse"), (2, None, "add"), (3, 14, "reuse"), (None, 12, "stray"), (None, 13, "stray")}
