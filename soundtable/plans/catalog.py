@@ -627,8 +627,8 @@ def k_weighted_level(spark, sf):
 
 @query(f"""WITH {B.TRAJ}, pts AS (SELECT object_id, t, min(seq) AS seq FROM traj GROUP BY 1, 2), v AS (SELECT p.object_id, p.t, -cos(radians(el)) * sin(radians(az)) * 2 AS x, cos(radians(el)) * cos(radians(az)) * 2 AS y, sin(radians(el)) * 2 AS z, gain FROM pts p JOIN traj USING (object_id, seq)),
     g AS (SELECT object_id, s AS slice, (s + 0.5::DOUBLE) * 100 AS t FROM (SELECT DISTINCT object_id FROM traj), range(24) r(s)),
-    m AS (SELECT g.object_id, slice, g.t, a.t AS ta, b.t AS tb, a.x AS ax, a.y AS ay, a.z AS az, a.gain AS ag, b.x AS bx, b.y AS by, b.z AS bz, b.gain AS bg FROM g ASOF LEFT JOIN v a ON g.object_id = a.object_id AND g.t >= a.t ASOF LEFT JOIN v b ON g.object_id = b.object_id AND g.t < b.t)
-    SELECT object_id, slice::BIGINT AS slice, t, """ + ", ".join(f"{r6(f'CASE WHEN ta IS NULL THEN b{c} WHEN tb IS NULL THEN a{c} ELSE a{c} + (t - ta) / (tb - ta) * (b{c} - a{c}) END')} AS {n}" for c, n in (("x", "x"), ("y", "y"), ("z", "z"), ("g", "gain"))) + " FROM m")
+    m AS (SELECT g.object_id, slice, g.t, a.t AS ta, b.t AS tb, a.x AS px, a.y AS py, a.z AS pz, a.gain AS pg, b.x AS qx, b.y AS qy, b.z AS qz, b.gain AS qg FROM g ASOF LEFT JOIN v a ON g.object_id = a.object_id AND g.t >= a.t ASOF LEFT JOIN v b ON g.object_id = b.object_id AND g.t < b.t)
+    SELECT object_id, slice::BIGINT AS slice, t, """ + ", ".join(f"{r6(f'CASE WHEN ta IS NULL THEN q{c} WHEN tb IS NULL THEN p{c} ELSE p{c} + (t - ta) / (tb - ta) * (q{c} - p{c}) END')} AS {n}" for c, n in (("x", "x"), ("y", "y"), ("z", "z"), ("g", "gain"))) + " FROM m")
 def sample_trajectory(spark, sf):
     traj = B.trajectory(spark, sf).withColumn("dist", F.lit(2.0))
     one = traj.groupBy("object_id", "t").agg(F.min_by(F.struct("az", "el", "dist", "gain"), "seq").alias("p")).select("object_id", "t", "p.*")
