@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from soundtable.functions import harmonics
 from soundtable.functions import scalars as H
-from soundtable.operators import meter, notes, objects, scene, sends, session, weighting
+from soundtable.operators import deliveries, meter, notes, objects, scene, sends, session, weighting
 from soundtable.plans import bindings as B
 from soundtable.streaming import updates
 
@@ -662,3 +662,59 @@ def validate_chunks(spark, sf):
 @query(f"WITH {B.SIGNAL}, c AS (SELECT *, count(*) OVER (PARTITION BY program_id) AS point_count FROM signal) SELECT program_id, frame AS time, x, point_count FROM c WHERE frame BETWEEN 3 AND 10")
 def envelope_window(spark, sf):
     return notes.envelope_window(B.signal(spark, sf).withColumnRenamed("frame", "time"), P, 3, 10)
+
+
+# ---- deliveries
+
+
+@query(f"""SELECT o_custkey AS stats, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS file_no, 'mix' || o_orderkey || '.wav' AS file, {r6('-(o_totalprice / 10000)')} AS lufs_integrated, CASE WHEN o_orderkey % 2 = 0 THEN -(o_orderkey % 20)::DOUBLE END AS true_peak FROM orders""")
+def parse_render_stats(spark, sf):
+    o = B.table(spark, sf, "orders")
+    peak = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("-"), (F.col("o_orderkey") % 20).cast("string"))).otherwise("n/a")
+    one = F.concat(F.lit("FILE:mix"), F.col("o_orderkey").cast("string"), F.lit(".wav;LUFS-I:5;LUFSI:-"), F.format_string("%.8f", F.col("o_totalprice").cast("double") / 10000), F.lit(";True Peak:"), peak)
+    texts = o.groupBy(F.col("o_custkey").alias("stats")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", one.alias("one")))).alias("all")).select("stats", F.concat(F.lit("RMS:1;"), F.array_join("all.one", ";")).alias("text"))
+    out = deliveries.parse_render_stats(texts, "stats", "text").withColumn("true_peak", F.col("true_peak") + 0.0)
+    return rounded(out.select("stats", F.col("file_no").cast("long").alias("file_no"), "file", "lufs_integrated", "true_peak"), "lufs_integrated")
+
+
+PLACES = "places(descriptor, paz, pel, spread) AS (VALUES ('front', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('wide', NULL, 0.0, 45.0), ('side-right', -105.0, 0.0, 20.0), ('voice-of-god', 0.0, 90.0, 0.0), ('height', NULL, 45.0, 20.0), ('nowhere', 1000.0, 0.0, 0.0))"
+ASKED = ["Front", " wide", "Side_Right", "Voice of God", "height ", "nowhere"]
+
+
+@query(f"""WITH {PLACES}, s AS (SELECT o_orderkey AS stem, ['front', 'wide', 'side-right', 'voice-of-god', 'height', 'nowhere'][1 + (o_orderkey % 6)::INT] AS descriptor, (o_custkey % 90)::DOUBLE AS source_az, CASE WHEN o_orderkey % 7 = 0 THEN 12.0::DOUBLE END AS az FROM orders)
+    SELECT stem, CASE WHEN az IS NOT NULL THEN az WHEN descriptor <> 'nowhere' THEN coalesce(paz, source_az) END AS az, CASE WHEN descriptor <> 'nowhere' THEN pel END AS el, CASE WHEN descriptor <> 'nowhere' THEN spread END AS spread, CASE WHEN descriptor = 'nowhere' AND az IS NULL THEN 'unknown_descriptor' END AS error FROM s JOIN places USING (descriptor)""")
+def apply_placement(spark, sf):
+    key = F.col("o_orderkey")
+    asked = F.get(F.array(*[F.lit(a) for a in ASKED]), (key % 6).cast("int"))
+    stems = B.table(spark, sf, "orders").select(key.alias("stem"), asked.alias("descriptor"), (F.col("o_custkey") % 90).cast("double").alias("source_az"), F.when(key % 7 == 0, 12.0).alias("az"), F.lit(None).cast("double").alias("el"))
+    return deliveries.apply_placement(stems).select("stem", "az", "el", "spread", "error")
+
+
+@query("""WITH t AS (SELECT c_nationkey AS project, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, c_mktsegment AS name FROM customer), n AS (SELECT project, name, min(idx) AS idx FROM t GROUP BY 1, 2),
+    r AS (SELECT c_nationkey AS project, c_custkey AS request, CASE c_custkey % 3 WHEN 0 THEN 'master' WHEN 1 THEN c_mktsegment ELSE (c_custkey % 40)::VARCHAR END AS want FROM customer),
+    f AS (SELECT r.*, CASE WHEN want = 'master' THEN -1 WHEN try_cast(want AS INT) IS NOT NULL THEN t.idx ELSE n.idx END AS idx FROM r LEFT JOIN t ON r.project = t.project AND try_cast(want AS INT) = t.idx LEFT JOIN n ON r.project = n.project AND want = n.name)
+    SELECT project, request, want, idx::BIGINT AS idx, CASE WHEN idx IS NULL THEN 'target_not_found' WHEN row_number() OVER (PARTITION BY project, idx ORDER BY request) > 1 THEN 'duplicate_stem' END AS error FROM f""")
+def resolve_targets(spark, sf):
+    c = B.table(spark, sf, "customer").withColumn("project", F.col("c_nationkey"))
+    tracks = notes.ordered(c, "project", ["c_custkey"]).select("project", "idx", F.col("c_mktsegment").alias("name"))
+    want = F.when(F.col("c_custkey") % 3 == 0, "master").when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment")).otherwise((F.col("c_custkey") % 40).cast("string"))
+    return deliveries.resolve_targets(c.select("project", F.col("c_custkey").alias("request"), want.alias("want")), tracks).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query("""SELECT o_orderkey AS track, CASE WHEN o_custkey % 5 > 0 THEN md5('<TRACK' || chr(10) || '  NAME new' || o_custkey || chr(10) || '  <FX' || chr(10) || '  PAN 9' || chr(10) || '  >' || chr(10) || '  PAN 1' || chr(10) || '  NAME b' || chr(10) || '>') END AS text_md5, CASE WHEN o_custkey % 5 > 0 THEN '' ELSE 'VOL' END AS missing FROM orders""")
+def patch_keys(spark, sf):
+    o = B.table(spark, sf, "orders").withColumn("track", F.col("o_orderkey"))
+    text = F.concat(F.lit("<TRACK\n  NAME "), F.col("o_orderkey").cast("string"), F.lit("\n  <FX\n  PAN 9\n  >\n  PAN 0\n  NAME b\n>"))
+    name = F.struct(F.lit("NAME").alias("name"), F.concat(F.lit("new"), F.col("o_custkey").cast("string")).alias("value"))
+    other = F.struct(F.when(F.col("o_custkey") % 5 > 0, "PAN").otherwise("VOL").alias("name"), F.lit("1").alias("value"))
+    lines = session.chunk_lines(o.select("track", text.alias("text")), "track", "text")
+    out = deliveries.patch_keys(lines, o.select("track", F.inline(F.array(name, other))), "track")
+    return out.select("track", F.md5("text").alias("text_md5"), F.array_join("missing", ",").alias("missing"))
+
+
+@query(f"""WITH {B.TRAJ}, b AS (SELECT object_id, seq, row_number() OVER (PARTITION BY object_id ORDER BY t, seq) = 1 AS first, CASE seq % 3 WHEN 0 THEN 250.0::DOUBLE / 48000 WHEN 1 THEN 0.0 END AS i FROM traj)
+    SELECT object_id, seq, {r6('CASE WHEN first THEN 0 ELSE 250.0::DOUBLE / 48000 END')} AS ramp, coalesce(abs(i - CASE WHEN first THEN 0 ELSE 250.0::DOUBLE / 48000 END) <= 0.0001, first) AS ok FROM b""")
+def check_ramp(spark, sf):
+    length = F.when(F.col("seq") % 3 == 0, 250.0 / 48000).when(F.col("seq") % 3 == 1, 0.0)
+    out = deliveries.check_ramp(B.trajectory(spark, sf).withColumn("interpolation", length), ["object_id"], ["t", "seq"], F.lit(48000.0))
+    return rounded(out.select("object_id", "seq", "ramp", "ok"), "ramp")
