@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundtable.llm.common import ascii_lower, broadcast_within, remove_rows, shingle_hashes, text_key, words, write_table
+from soundtable.llm.common import ascii_lower, broadcast_within, discard, remove_rows, shingle_hashes, text_key, words, write_table
 from soundtable.llm.components import connected_components
 
 SEED = 42
@@ -304,15 +304,107 @@ def _hubs(dense: DataFrame) -> DataFrame:
     return best.where("own = most").select("fp")
 
 
+#: One text in so many is counted for the order of shingles, and so many frequent shingles at most are told apart.
+SAMPLE, FREQUENT = 16, 1 << 17
+
+
+def _text_shingles(text: str, k: int) -> np.ndarray:
+    """The different hashes of the k-word shingles; a text under k words has its whole sequence, one without words nothing."""
+    found, carry = [np.zeros(0, np.uint64)], []
+    for block in word_blocks(text):
+        block = carry + block
+        if len(block) >= k:
+            found.append(np.unique(_hashes(block, k)))
+            block = block[len(block) - k + 1 :] if k > 1 else []
+        carry = block
+    if len(found) == 1 and carry:
+        found.append(_hashes(carry, len(carry)))
+    return np.unique(np.concatenate(found))
+
+
+def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, similarity: float, k: int) -> DataFrame:
+    """(key, h, n, at): of each text's n shingles the first n - ceil(similarity n) + 1 in an order that is the same for all texts.
+
+    Texts of that similarity share a shingle of these. The order puts those last that are frequent in a sample; any
+    order is right, this one keeps the lists of texts with a shingle short.
+    """
+    rows = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def sampled(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_text_shingles(x.as_py(), k).view(np.int64))], names=["h"])
+
+    counts = rows.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(sampled, "h long").groupBy("h").count()
+    often = counts.where("count >= 4").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
+    hashes = often["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    shared = spark.sparkContext.broadcast((hashes[order], often["count"].to_numpy(np.int64)[order]))
+
+    def run(batches):
+        frequent, times = shared.value
+        for batch in batches:
+            hs, ns, sizes = [np.zeros(0, np.uint64)], [], []
+            for x in batch.column(1):
+                found = _text_shingles(x.as_py(), k)
+                if len(found) and len(frequent):
+                    place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+                    found = found[np.lexsort((found, np.where(frequent[place] == found, times[place], 0)))]
+                size = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1 if len(found) else 0
+                hs.append(found[:size])
+                ns.append(len(found))
+                sizes.append(size)
+            sizes = np.array(sizes, np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns = [batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.array(ns, np.int32)[owner]), pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "n", "at"])
+
+    return rows.mapInArrow(run, "key binary, h long, n int, at int")
+
+
+def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Column, links: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Links (a, b) that, with the given ones, connect all texts of that similarity: an exact join by prefixes.
+
+    Only texts not connected yet are compared, inside the join by shingle, and only if lengths and the places of the
+    shingle leave room for the similarity. Where many texts share a shingle, one of them is compared with the others first.
+    """
+    posted = write_table(spark, _prefixes(spark, docs, key, text, similarity, k), "prefixes")
+    one = F.xxhash64("key")
+    many = posted.groupBy("h").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low != high").select("h")
+    many = broadcast_within(write_table(spark, many, "shared-shingles"))
+    met = write_table(spark, posted.join(many, "h", "left_semi").dropDuplicates(["h", "key"]), "shared-prefixes")
+    discard(spark, posted)
+
+    def meeting(left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:
+        labels = broadcast_within(connected_components(spark, links))
+        named = lambda df: df.join(labels, F.col("key") == F.col("node"), "left").select("key", "h", "n", "at", F.coalesce("label", "key").alias("comp"))
+        other = named(right).select(F.col("h").alias("g"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("comp").alias("comp_b"))
+        long = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-6
+        room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
+        return named(left).withColumnRenamed("key", "a").join(other, (F.col("h") == F.col("g")) & (F.col("comp") != F.col("comp_b")) & long & room)
+
+    hubs = met.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("at", "key", "n")).alias("hub")).where(F.col("c") > DENSE)
+    hubs = write_table(spark, hubs.select("h", "hub.key", "hub.n", "hub.at"), "prefix-hubs")
+    found = None
+    if hubs.limit(1).count():
+        star = meeting(hubs, met, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = _verified(spark, docs, key, text, star, similarity, k)
+        links = links.union(found)
+    rest = _verified(spark, docs, key, text, meeting(met, met, links).where("a < b").select("a", "b"), similarity, k)
+    return rest if found is None else found.union(rest)
+
+
 def near_duplicate_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 7, similarity: float = 0.8, k: int = 5) -> DataFrame:
     """(key, id, label): each distinct text, its smallest id and its group, for texts linked by similarity.
 
     Two texts link when the Jaccard similarity of their sets of k-word shingles is at least `similarity`; groups are
-    connected components. Candidates are pairs whose fingerprints of distinct words differ by at most `radius` (up to 7)
-    bits, which holds for nearly all such texts; anchors are those of 16-bit quarters. So as not to emit all pairs of a
-    large group of near copies, hubs of dense places are compared with their surroundings first, later only texts of
-    different groups are compared, and two texts in dense places meet only if sketches of their shingles are near. Null counts as empty; an empty text links with none but itself. A null id counts
-    only where a text has no other.
+    connected components. First candidates are pairs whose fingerprints of distinct words differ by at most `radius` (up
+    to 7) bits; anchors are those of 16-bit quarters. So as not to emit all pairs of a large group of near copies, hubs
+    of dense places are compared with their surroundings first, later only texts of different groups are compared, and
+    two texts in dense places meet only if sketches of their shingles are near. What fingerprints and sketches miss is
+    found by an exact join of shingle prefixes, so groups are those of all pairs. Null counts as empty; an empty text
+    links with none but itself. A null id counts only where a text has no other.
     """
     if not 0 <= radius <= 7:
         raise ValueError("quarters cover at most seven bits")
@@ -344,7 +436,9 @@ def near_duplicate_texts(spark: SparkSession, docs: DataFrame, id_col: str = "do
     visit = visits(some, 16).select(*other, F.col("comp").alias("comp_b"))
     rest = homes(some, 16).withColumnRenamed("key", "a").join(visit, at & near & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b"))).select("a", "b")
     links = _verified(spark, docs, key, text, rest, similarity, k)
-    labels = connected_components(spark, star.union(links))
+    links = star.union(links)
+    links = links.union(_prefix_links(spark, docs, key, text, links, similarity, k))
+    labels = connected_components(spark, links)
     return nodes.join(labels, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("label", "key").alias("label"), F.col("node").isNotNull().alias("linked"))
 
 

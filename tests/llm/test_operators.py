@@ -93,6 +93,41 @@ def test_near_copies(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").where("doc_id is not null").distinct().collect()) == [0, 3, 4, 6]
 
 
+def shingle_groups(texts, similarity=0.8, k=5):
+    """Connected components of all pairs, as a set of sets of positions."""
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))})
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and len(a & b) >= similarity * len(a | b):
+                label = [label[j] if x == label[i] else x for x in label]
+    return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+
+def found_groups(spark, texts):
+    rows = simhash.near_duplicate_texts(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(bytes(r.label), set()).add(r.id)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_near_copies_of_other_lengths(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = ["one two three", "One two  three", "one two four"]
+    for _ in range(30):
+        base = draw(int(rng.integers(80, 200)))
+        swapped = list(base)
+        for i in rng.integers(0, len(base), 2):
+            swapped[i] = "other"
+        texts += [" ".join(x) for x in (base, base[: int(len(base) * rng.uniform(0.8, 0.95))], base + draw(int(len(base) * rng.uniform(0.1, 0.24))), swapped)]
+    assert found_groups(spark, texts) == shingle_groups(texts)
+
+
 def test_decontamination(spark):
     item = " ".join(f"Item{i}" for i in range(20))
     near = item.replace("Item10", "other")
