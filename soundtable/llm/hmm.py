@@ -1,13 +1,13 @@
 """Hidden Markov language model: Baum-Welch counts from all partitions, exact likelihoods by the scaled forward recursion.
 
-Symbols are the frequent words (at least a share of 1/SHARE of the training tokens, so at most SHARE of them), one symbol
-for all rarer words, and the end. A state emits the rare symbol with its own probability; which rare word it is follows
-one add-one distribution for all states, so its factor leaves the recursion and is joined in by word.
+Every training word is a symbol with emissions of its own, and so is the end of a text. Frequent words (at least a share
+of 1/SHARE of the training tokens, so at most SHARE of them) are known to the driver and all tasks; expected counts of
+the rarer ones are a Spark table, and each block of texts meets those of its words in a join. A state's emissions are
+smoothed so that all states together follow the add-one unigram; an unknown word has its add-one probability in each.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,20 +17,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundtable.llm.common import ascii_lower, text_or_empty, words, write_table
+from soundtable.llm.common import ascii_lower, discard, text_or_empty, words, write_table
 from soundtable.llm.simhash import word_blocks
 
 STATES = 8
 ITERATIONS = 4
-#: A word is a symbol of its own if it is at least this part of the training tokens (and occurs twice).
+#: A word is sent to all tasks if it is at least this part of the training tokens (and occurs twice); others are joined.
 SHARE = 1 << 16
 #: Tokens after which a training text is cut into a new sequence; every token trains. Likelihoods are of whole texts.
 SEGMENT = 512
-#: Sequences are handled together up to so many tokens.
+#: Texts and sequences are handled together up to so many tokens.
 BLOCK_TOKENS = 1 << 19
 #: Tokens from which a text's likelihood is computed as a product of transfer matrices of its pieces.
 LONG = 2048
-RARE = 0
 
 
 @dataclass
@@ -121,95 +120,151 @@ def _long_likelihood(model: Hmm, ids: np.ndarray) -> float:
     return float(total)
 
 
-def starting_model(counts: np.ndarray, states: int) -> Hmm:
-    """States that stay, with the words' frequencies disturbed by fixed noise to tell them apart."""
-    noise = np.random.RandomState(7).normal(size=(len(counts), states))
-    noise[RARE] = noise[-1] = 0.0
-    emission = (counts[:, None] + 0.5) * np.exp(noise)
-    even = np.full(states, 1 / states)
-    stay = 0.9 * np.eye(states) + 0.1 / states
-    return Hmm(even, even, stay, emission / emission.sum(axis=0))
+def starting_emissions(counts: np.ndarray, hashes: np.ndarray, states: int) -> np.ndarray:
+    """The words' frequencies disturbed by fixed noise, drawn from the word's hash, to tell the states apart."""
+
+    def uniform(draw):
+        with np.errstate(over="ignore"):
+            z = hashes.view(np.uint64)[:, None] + np.uint64(0x9E3779B97F4A7C15) * draw[None, :]
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+    k = np.arange(states, dtype=np.uint64)
+    noise = np.sqrt(-2 * np.log(uniform(2 * k + np.uint64(1)))) * np.cos(2 * np.pi * uniform(2 * k + np.uint64(2)))
+    return (counts[:, None] + 0.5) * np.exp(noise)
 
 
-def improved(model: Hmm, begun: np.ndarray, moved: np.ndarray, emitted: np.ndarray, counts: np.ndarray) -> Hmm:
-    """The next model; each state is smoothed by one token spread as in the corpus."""
-    share = (counts + 0.5) / (counts + 0.5).sum()
-    emission = emitted + share[:, None]
-    usual = emitted.sum(axis=0) + 1.0
-    return Hmm((begun + 1.0) / (begun + 1.0).sum(), usual / usual.sum(), (moved + 1.0) / (moved + 1.0).sum(axis=1, keepdims=True), emission / emission.sum(axis=0))
+@dataclass
+class State:
+    """What all tasks get: bounded, whatever the input."""
+
+    initial: np.ndarray
+    usual: np.ndarray
+    transition: np.ndarray
+    #: Emissions of frequent words and the end.
+    shared: np.ndarray
+    #: Expected tokens of each state; None before the first iteration.
+    tokens: np.ndarray | None
+    total: int
+    distinct: int
+
+    def emissions(self, expected: np.ndarray) -> np.ndarray:
+        """Of words with these expected counts by state: in the sum over the states, each word is met once more."""
+        part = np.divide(expected * self.total, self.tokens, out=np.zeros_like(expected), where=self.tokens > 0)
+        return (part + 1) / (self.total + self.distinct + 1)
+
+    def model(self, block: pa.Table, counts: np.ndarray, columns: list[str]) -> Hmm:
+        """With the emissions of the block's own words, one row each."""
+        if self.tokens is None:
+            own = starting_emissions(counts, block["h"].to_numpy(), len(columns))
+        else:
+            expected = np.stack([np.nan_to_num(block[c].to_numpy().astype(float)) for c in columns], axis=1)
+            own = self.emissions(expected)
+        return Hmm(self.initial, self.usual, self.transition, np.concatenate([self.shared, own]))
 
 
 def _encode(df: DataFrame, names: list[str], vocabulary: dict[str, int]) -> DataFrame:
-    """A number for each row, its ids with the end, and its rare words with their counts."""
+    """The named columns, of which the last is whether the row trains, its block, its ids and, in one row of a block, its own words.
+
+    Ids from len(vocabulary) + 2 on are places in the words of the block. Numbers of blocks that train are odd.
+    """
     shared = df.sparkSession.sparkContext.broadcast({w.encode(): i for w, i in vocabulary.items()})
 
     def run(batches):
         number = TaskContext.get().partitionId() << 40
-        find, end = shared.value.get, len(shared.value) + 1
+        end = len(shared.value) + 1
         for batch in batches:
-            rows, ids, rare = [], [], []
-            for text in batch.column(len(names)):
-                mine, others = [], Counter()
-                for block in word_blocks(text.as_py()):
-                    found = [find(w, RARE) for w in block]
-                    mine += found
-                    others.update(w for w, i in zip(block, found, strict=True) if not i)
-                ids.append(np.array([*mine, end], dtype=np.int32))
-                rare.append([{"word": w.decode(), "n": n} for w, n in others.items()])
-                rows.append(number)
-                number += 1
-            ends = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(rows, pa.int64()), lists, pa.array(rare, _RARE)], names=[*names, "row", "ids", "rare"])
-
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField("row", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])))])
+            flags = np.array(batch.column(len(names) - 1).to_pylist(), bool)
+            for flag in (False, True):
+                rows, ids, own, size = [], [], {}, 0
+                chosen = np.flatnonzero(flags == flag)
+                for i in chosen.tolist():
+                    mine = []
+                    for block in word_blocks(batch.column(len(names))[i].as_py()):
+                        for w in block:
+                            found = shared.value.get(w)
+                            mine.append(own.setdefault(w, end + 1 + len(own)) if found is None else found)
+                    ids.append(np.array([*mine, end], dtype=np.int32))
+                    rows.append(i)
+                    size += len(ids[-1])
+                    if size >= BLOCK_TOKENS or i == chosen[-1]:
+                        ends = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32))
+                        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
+                        words_ = pa.array([[w.decode() for w in own]] + [None] * (len(rows) - 1), pa.list_(pa.string()))
+                        blocks = pa.array(np.full(len(rows), 2 * number + flag, np.int64))
+                        yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(rows)) for j in range(len(names))), blocks, lists, words_], names=[*names, "block", "ids", "words"])
+                        rows, ids, own, size, number = [], [], {}, 0, number + 1
+
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.StringType()))])
     return df.mapInArrow(run, schema)
 
 
-_RARE = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+def _sequences(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    column = column.combine_chunks()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    return column.flatten().to_numpy(), np.cumsum(lengths) - lengths, lengths
+
+
+def _counting(shared, columns: list[str], states: int):
+    """From a block and its words to its expected counts."""
+
+    def run(left, right):
+        ids, starts, lengths = _sequences(left["ids"])
+        right = right.sort_by("local")
+        now, first = shared.value.model(right, right["c"].to_numpy(), columns), len(shared.value.shared)
+        pieces = -(-lengths // SEGMENT)
+        owner = np.repeat(np.arange(len(lengths)), pieces)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = starts[owner] + within * SEGMENT
+        size = np.minimum(SEGMENT, lengths[owner] - within * SEGMENT)
+        part, total = np.cumsum(size) // BLOCK_TOKENS, None
+        for b in np.unique(part):
+            mine = part == b
+            found = expectations(now, ids, begin[mine], size[mine], within[mine] == 0)
+            total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
+        used = np.flatnonzero(total[2][:first].sum(axis=1))
+        table = np.vstack([total[0][None, :], total[1], total[2][used], total[2][first:]])
+        kinds = np.repeat(np.arange(4, dtype=np.int32), [1, states, len(used), len(table) - 1 - states - len(used)])
+        at = np.concatenate([[0], np.arange(states), used, right["wid"].to_numpy()]).astype(np.int64)
+        return pa.table([pa.array(kinds), pa.array(at), *(pa.array(table[:, k].copy()) for k in range(states))], names=["kind", "at", *columns])
 
+    return run
 
-def _sequences(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy(), offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
 
+def train(spark: SparkSession, encoded: DataFrame, own: DataFrame, state: State, states: int = STATES, iterations: int = ITERATIONS) -> tuple[State, DataFrame | None]:
+    """Baum-Welch over the ids of all blocks that train: what all tasks need, and (wid, expected counts) of the other words.
 
-def train(spark: SparkSession, encoded: DataFrame, counts: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Hmm:
-    """Baum-Welch over the ids of all rows. A task sums the expected counts of its rows; Spark adds them up by symbol."""
-    model = starting_model(counts, states)
-    schema = "kind string, at int, " + ", ".join(f"s{k} double" for k in range(states))
+    A task sums the expected counts of a block; Spark adds them up by symbol and by word.
+    """
+    columns = [f"s{k}" for k in range(states)]
+    schema = "kind int, at long, " + ", ".join(f"{c} double" for c in columns)
+    blocks, own, rare = encoded.where("block % 2 = 1").select("block", "ids"), own.where("block % 2 = 1"), None
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches, shared=shared):
-            now, total = shared.value, None
-            for batch in batches:
-                ids, starts, lengths = _sequences(batch.column(0))
-                pieces = -(-lengths // SEGMENT)
-                owner = np.repeat(np.arange(len(lengths)), pieces)
-                within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                begin = starts[owner] + within * SEGMENT
-                size = np.minimum(SEGMENT, lengths[owner] - within * SEGMENT)
-                block = np.cumsum(size) // BLOCK_TOKENS
-                for b in np.unique(block):
-                    mine = block == b
-                    found = expectations(now, ids, begin[mine], size[mine], within[mine] == 0)
-                    total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
-            if total is not None:
-                used = np.flatnonzero(total[2].sum(axis=1))
-                table = np.vstack([total[0][None, :], total[1], total[2][used]])
-                kinds = ["begin"] + ["move"] * len(total[1]) + ["emit"] * len(used)
-                at = np.concatenate([[0], np.arange(len(total[1])), used]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at), *(pa.array(table[:, k].copy()) for k in range(states))], names=["kind", "at", *(f"s{k}" for k in range(states))])
-
-        sums = encoded.select("ids").mapInArrow(run, schema).groupBy("kind", "at").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).toPandas()
-        begun, moved, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((len(counts), states))
-        columns = [f"s{k}" for k in range(states)]
-        for kind, table in (("begin", begun[None, :]), ("move", moved), ("emit", emitted)):
-            part = sums[sums.kind == kind]
-            table[part["at"].to_numpy(dtype=int)] = part[columns].to_numpy(dtype=float)
-        model = improved(model, begun, moved, emitted, counts)
-    return model
+        needed = _with_counts(own, rare, columns)
+        found = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_counting(spark.sparkContext.broadcast(state), columns, states), schema)
+        sums = write_table(spark, found.groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in columns]), "expected-counts")
+        if rare is not None:
+            discard(spark, before)
+        before, rare = sums, sums.where("kind = 3").select(F.col("at").alias("wid"), *columns)
+        begun, moved, emitted = np.zeros(states), np.zeros((states, states)), np.zeros_like(state.shared)
+        small = sums.where("kind < 3").toPandas()
+        for kind, table in enumerate((begun[None, :], moved, emitted)):
+            mine = small[small.kind == kind]
+            table[mine["at"].to_numpy(dtype=int)] = mine[columns].to_numpy(dtype=float)
+        others = rare.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first()
+        tokens = emitted.sum(axis=0) + np.array(others, dtype=float)
+        state = State((begun + 1.0) / (begun + 1.0).sum(), (tokens + 1.0) / (tokens + 1.0).sum(), (moved + 1.0) / (moved + 1.0).sum(axis=1, keepdims=True), state.shared, tokens, state.total, state.distinct)
+        state.shared = state.emissions(emitted)
+    return state, rare
+
+
+def _with_counts(own: DataFrame, rare: DataFrame | None, columns: list[str]) -> DataFrame:
+    """The blocks' own words with their expected counts; null for a word not learnt."""
+    if rare is None:
+        return own
+    return own.join(rare, "wid", "left").select("block", "local", own["wid"], "c", *columns)
 
 
 def score_texts(spark: SparkSession, df: DataFrame, keep: dict[str, Column], trains: Column, text_col: str = "text", states: int = STATES, iterations: int = ITERATIONS, share: int = SHARE) -> DataFrame:
@@ -217,45 +272,47 @@ def score_texts(spark: SparkSession, df: DataFrame, keep: dict[str, Column], tra
 
     Tokens are the lower-cased (A-Z) words and one end; the rows where `trains` is true are learnt from, a null text is
     empty. base_score is the add-one unigram score, score the model's log10 probability of the whole text. Words are
-    counted by a partial aggregation; only frequent ones, whose number is bounded by `share`, go to the driver and the
-    tasks, and the rarer words of a text meet their counts in a join by word. With no training row every word is
-    unknown and scores are defined all the same. Rows may repeat, ids may be null; other columns are not read.
+    counted by a partial aggregation; only frequent ones, whose number is bounded by `share`, go to the driver and all
+    tasks. The rarer words are joined to the blocks of texts that have them; the result does not depend on `share`.
+    With no training row every word is unknown and scores are defined all the same. Rows may repeat, ids may be null;
+    other columns are not read.
     """
-    rows = df.select(*[c.alias(n) for n, c in keep.items()], F.coalesce(trains, F.lit(False)).alias("__train"), text_or_empty(text_col).alias("__text"))
+    trained = F.coalesce(trains, F.lit(False))
+    rows = df.select(*[c.alias(n) for n, c in keep.items()], trained.alias("__train"), text_or_empty(text_col).alias("__text"))
     learnt = rows.where("__train").select(F.explode(words(ascii_lower(F.col("__text")))).alias("word"))
-    counted = write_table(spark, learnt.groupBy("word").agg(F.count("*").alias("c")), "word-counts")
-    texts = df.where(F.coalesce(trains, F.lit(False))).count()
+    counted = write_table(spark, learnt.groupBy("word").agg(F.count("*").alias("c")).withColumn("wid", F.monotonically_increasing_id()), "word-counts")
+    texts = df.where(trained).count()
     n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = n + texts, v + (1 if texts else 0)
-    frequent = counted.where((F.col("c") * share >= total) & (F.col("c") >= 2)).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    frequent = counted.where((F.col("c") * share >= total) & (F.col("c") >= 2)).withColumn("h", F.xxhash64("word")).toPandas().sort_values(["c", "word"], ascending=[False, True])
     vocabulary = {w: i + 1 for i, w in enumerate(frequent.word)}
-    rare_n, rare_v = n - int(frequent.c.sum()), v - len(frequent)
-    counts = np.array([rare_n, *frequent.c, texts], dtype=float)
-    names = [*keep, "__train"]
-    encoded = write_table(spark, _encode(rows, names, vocabulary), "word-ids")
-    model = train(spark, encoded.where("__train"), counts, states, iterations)
+    counts = np.array([0, *frequent.c, texts], dtype=float)
+    encoded = write_table(spark, _encode(rows, [*keep, "__train"], vocabulary), "word-ids")
+    places = encoded.where("words is not null").select("block", F.posexplode("words").alias("local", "word"))
+    # Unknown words get numbers that no word has, so that they do not all meet in one task.
+    unknown = -1 - F.pmod(F.xxhash64("word"), F.lit(1 << 40))
+    own = places.join(counted, "word", "left").select("block", "local", F.coalesce("wid", unknown).alias("wid"), F.coalesce("c", F.lit(0)).alias("c"), F.xxhash64("word").alias("h"))
+    own = write_table(spark, own, "block-words")
+    even = np.full(states, 1 / states)
+    # The first and last symbols are no words: none of them tells states apart at the start.
+    plain = np.repeat(counts[[0, -1]][:, None] + 0.5, states, axis=1)
+    start = np.concatenate([plain[:1], starting_emissions(counts[1:-1], frequent["h"].to_numpy(np.int64), states), plain[1:]])
+    state = State(even, even, 0.9 * np.eye(states) + 0.1 / states, start, None, total, distinct)
+    state, rare = train(spark, encoded, own, state, states, iterations)
     base = np.log10((counts + 1) / (total + distinct + 1))
-    known = counts > 0
-    base[RARE], known[RARE] = 0.0, False
-    shared, kept = spark.sparkContext.broadcast((model, base, known)), list(keep)
+    shared, kept, columns = spark.sparkContext.broadcast((state, base, counts > 0)), list(keep), [f"s{k}" for k in range(states)]
 
-    def run(batches):
+    def run(left, right):
         now, base, known = shared.value
-        for batch in batches:
-            ids, starts, lengths = _sequences(batch.column(len(kept) + 1))
-            values = log_likelihoods(now, ids, starts, lengths) / np.log(10)
-            sums = np.add.reduceat(np.stack([base[ids], known[ids]]), starts, axis=1) if len(ids) else np.zeros((2, 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], pa.array(lengths), pa.array(sums[1].astype(np.int64)), pa.array(sums[0]), pa.array(values)], names=[*kept, "row", "n_tokens", "known", "base", "value"])
-
-    chosen = encoded.select(*keep, "row", "ids")
-    schema = T.StructType([*chosen.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("value", T.DoubleType())])
-    scored = chosen.mapInArrow(run, schema)
-    pairs = encoded.select("row", F.inline("rare"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    met = pairs.join(counted, "word", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(total + distinct + 1)))).alias("rare_base"),
-        F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(rare_n + rare_v + 1)))).alias("rare_value"),
-    )
-    nothing = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return scored.join(met, "row", "left").select(*keep, "n_tokens", (F.col("known") + nothing("rare_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + nothing("rare_base")).alias("base_score"), (F.col("value") + nothing("rare_value")).alias("score"))
+        ids, starts, lengths = _sequences(left["ids"])
+        right = right.sort_by("local")
+        c = right["c"].to_numpy()
+        values = log_likelihoods(now.model(right, c, columns), ids, starts, lengths) / np.log(10)
+        base, known = np.concatenate([base, np.log10((c + 1) / (now.total + now.distinct + 1))]), np.concatenate([known, c > 0])
+        sums = np.add.reduceat(np.stack([base[ids], known[ids]]), starts, axis=1)
+        return pa.table([*(left[k] for k in kept), pa.array(lengths), pa.array(sums[1].astype(np.int64)), pa.array(sums[0]), pa.array(values)], names=[*kept, "n_tokens", "n_known", "base_score", "score"])
+
+    chosen = encoded.select("block", *keep, "ids")
+    schema = T.StructType([*chosen.schema.fields[1:-1], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    scored = chosen.groupBy("block").cogroup(_with_counts(own, rare, columns).groupBy("block")).applyInArrow(run, schema)
+    return scored.select(*keep, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

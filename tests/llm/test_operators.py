@@ -192,6 +192,17 @@ def test_hmm_scores(spark):
     assert hmm.score_texts(spark, table(spark, []), {"doc_id": F.col("doc_id")}, ~held, iterations=1).count() == 0
 
 
+def test_hmm_scores_do_not_depend_on_what_is_broadcast(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 40, 60)) for i in range(40)]
+    found = []
+    for share in (1, 1 << 16):
+        rows = hmm.score_texts(spark, table(spark, texts), {"doc_id": F.col("doc_id")}, F.col("doc_id") % 4 != 0, states=2, share=share).collect()
+        found.append(sorted(((r.doc_id is None, r.doc_id or 0), r.n_known, r.base_score, r.score) for r in rows))
+    for one, other in zip(*found, strict=True):
+        assert one[:2] == other[:2] and np.allclose(one[2:], other[2:], rtol=1e-6)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for values in ([], [0], [5, 5, 5], np.cumsum(rng.integers(0, 900, 3000)), [0] * 700 + [10**9]):
