@@ -446,7 +446,16 @@ def qn_time(spark, sf):
     j AS (SELECT coalesce(base.track, l.track) AS track, vol_db, pan, last_op, deleted FROM base FULL JOIN l ON base.track = l.track WHERE coalesce(last_op <> 'delete', true))
     SELECT j.track, {r6("coalesce(vol, CASE WHEN deleted IS NULL THEN vol_db END)")} AS vol_db, {r6("coalesce(CASE WHEN pn IS NOT NULL THEN greatest(-1, least(1, pn / 250 - 1)) END, CASE WHEN deleted IS NULL THEN pan END)")} AS pan FROM j LEFT JOIN v USING (track)""")
 def apply_edits(spark, sf):
-    tracks = B.table(spark, sf, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("track"), (F.col("c_acctbal") / 1000).alias("vol_db"), F.lit(0.0).alias("pan"))
+    return _edited(spark, sf, B.table(spark, sf, "customer").where("c_custkey < 100"))
+
+
+@query(ORACLE_SQL["apply_edits"].replace(" WHERE c_custkey < 100", ""))
+def apply_edits_whole(spark, sf):
+    return _edited(spark, sf, B.table(spark, sf, "customer"))
+
+
+def _edited(spark, sf, customers):
+    tracks = customers.select(F.col("c_custkey").alias("track"), (F.col("c_acctbal") / 1000).alias("vol_db"), F.lit(0.0).alias("pan"))
     kind = F.col("event_type")
     edits = B.table(spark, sf, "events").select(F.col("user_id").alias("track"), F.when(kind == "error", "delete").otherwise("set").alias("op"), F.when(kind == "click", "pan").otherwise("vol_db").alias("field"), F.col("value").cast("string").alias("value"), F.col("event_id").alias("seq"))
     number = F.expr("try_cast(value as double)")

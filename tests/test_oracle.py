@@ -29,3 +29,12 @@ def test_same_rows(spark, name):
     assert columns == sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
     assert sorted([canonical(r[c]) for c in columns] for r in got.collect()) == sorted([canonical(r[i]) for i in at] for r in want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_edits_keep_every_customer(spark):
+    """Every customer whose last event is no delete stays."""
+    con = duckdb.connect()
+    want = con.sql(f"SELECT c_custkey FROM '{SF}/customer.parquet' EXCEPT SELECT user_id FROM '{SF}/events.parquet' GROUP BY 1 HAVING arg_max(event_type, event_id) = 'error'").fetchall()
+    got = {r.track for r in QUERIES["apply_edits_whole"](spark, SF).select("track").collect()}
+    assert len(want) and {k for (k,) in want} <= got
