@@ -128,6 +128,16 @@ def test_near_copies_of_other_lengths(spark):
     assert found_groups(spark, texts) == shingle_groups(texts)
 
 
+def test_sketches_refuse_no_pair_for_good(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "sketch_limit", lambda similarity: -1)
+    monkeypatch.setattr(simhash, "DENSE", 8)
+    base = [f"base{i}" for i in range(150)]
+    texts = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(90)] + ["a text of its own words"]
+    rows = simhash.fingerprints(spark.createDataFrame([(t,) for t in texts], "text string"), [], F.col("text"), 1, True)
+    assert simhash._dense(rows.distinct()).count()
+    assert found_groups(spark, texts) == shingle_groups(texts)
+
+
 def test_decontamination(spark):
     item = " ".join(f"Item{i}" for i in range(20))
     near = item.replace("Item10", "other")
