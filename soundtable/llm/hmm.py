@@ -1,13 +1,22 @@
 """Hidden Markov language model: Baum-Welch counts from all partitions, exact likelihoods by the scaled forward recursion.
 
-Every training word is a symbol with emissions of its own, and so is the end of a text. Frequent words (at least a share
-of 1/SHARE of the training tokens, so at most SHARE of them) are known to the driver and all tasks; expected counts of
-the rarer ones are a Spark table, and each block of texts meets those of its words in a join. A state's emissions are
-smoothed so that all states together follow the add-one unigram; an unknown word has its add-one probability in each.
+Every training word ends up with emissions of its own, and so does the end of a text. Words are read once: a task turns
+its texts into blocks of word numbers with the block's own word list, and counts, training and scoring work on blocks.
+
+* Frequent words (at least a share of 1/SHARE of the training tokens, so at most SHARE of them) are known to the driver
+  and all tasks. In all iterations but the last the rarer ones share one emission (which of them it is says nothing about
+  the state); nothing is joined or shuffled there but sums.
+* The last iteration also gathers, for every rarer word, the expected counts of each state. A block sends one row for
+  each of its words, its posterior shares in steps of 1/255, and Spark adds them up by word.
+* For scoring, the blocks' rarer words meet these counts in a join.
+
+A state's emissions are smoothed so that all states together follow the add-one unigram; an unknown word has its add-one
+probability in each.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,19 +26,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundtable.llm.common import ascii_lower, discard, text_or_empty, words, write_table
+from soundtable.llm.common import discard, short_shuffles, sliced, text_or_empty, write_table
 from soundtable.llm.simhash import word_blocks
 
 STATES = 8
 ITERATIONS = 4
-#: A word is sent to all tasks if it is at least this part of the training tokens (and occurs twice); others are joined.
+#: A word is sent to all tasks if it is at least this part of the training tokens (and occurs twice).
 SHARE = 1 << 16
 #: Tokens after which a training text is cut into a new sequence; every token trains. Likelihoods are of whole texts.
 SEGMENT = 512
-#: Texts and sequences are handled together up to so many tokens.
-BLOCK_TOKENS = 1 << 19
+#: Tokens after which a block ends (with the text it is in), and those whose recursions run side by side.
+BLOCK_TOKENS, SIDE_TOKENS = 1 << 21, 1 << 19
 #: Tokens from which a text's likelihood is computed as a product of transfer matrices of its pieces.
 LONG = 2048
+#: The symbol of all words that are not frequent.
+RARE = 0
+_SHARES = 255
 
 
 @dataclass
@@ -41,39 +53,49 @@ class Hmm:
     #: symbols x states
     emission: np.ndarray
 
+    def single(self) -> Hmm:
+        return Hmm(*(x.astype(np.float32) for x in (self.initial, self.usual, self.transition, self.emission)))
+
 
 def _steps(lengths: np.ndarray):
     """For lengths in descending order: how many sequences reach each position."""
     return len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right") if len(lengths) else []
 
 
-def expectations(model: Hmm, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray):
-    """Baum-Welch counts of sequences ids[start : start + length]; `first` marks those that begin a text."""
+def expectations(model: Hmm, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, slots: np.ndarray | None = None, n_slots: int = 0):
+    """Baum-Welch counts of sequences ids[start : start + length]; `first` marks those that begin a text.
+
+    Emissions are counted by symbol, or by `slots`, which has a number under n_slots for each place of ids.
+    """
+    slots, n_slots = (ids, len(model.emission)) if slots is None else (slots, n_slots)
     order = np.argsort(-lengths, kind="stable")
     starts, lengths, first = starts[order], lengths[order], first[order]
     active = _steps(lengths)
-    alphas, scales, symbols = [], [], []
+    alphas, scales, emits, places = [], [], [], []
     for t, n in enumerate(active):
-        seen = ids[starts[:n] + t]
+        at = starts[:n] + t
         before = np.where(first[:, None], model.initial, model.usual) if t == 0 else alphas[-1][:n] @ model.transition
-        alpha = before * model.emission[seen]
+        emit = model.emission[ids[at]]
+        alpha = before * emit
         scale = alpha.sum(axis=1)
         alphas.append(alpha / scale[:, None])
         scales.append(scale)
-        symbols.append(seen)
+        emits.append(emit)
+        places.append(at)
     states = len(model.initial)
-    moved, begun, beta, gammas = np.zeros((states, states)), np.zeros(states), np.ones((0, states)), [None] * len(active)
+    moved, begun, beta, gammas = np.zeros((states, states)), np.zeros(states), np.ones((0, states), model.emission.dtype), [None] * len(active)
+    back = model.transition.T.copy()
     for t in range(len(active) - 1, -1, -1):
-        beta = np.concatenate([beta, np.ones((active[t] - len(beta), states))])
+        beta = np.concatenate([beta, np.ones((active[t] - len(beta), states), beta.dtype)])
         gammas[t] = alphas[t] * beta
         if t:
-            ahead = model.emission[symbols[t]] * beta / scales[t][:, None]
+            ahead = emits[t] * beta / scales[t][:, None]
             moved += alphas[t - 1][: active[t]].T @ ahead
-            beta = ahead @ model.transition.T
+            beta = ahead @ back
         else:
             begun = gammas[0][first].sum(axis=0)
-    gamma, flat = np.concatenate(gammas), np.concatenate(symbols)
-    emitted = np.stack([np.bincount(flat, weights=gamma[:, k], minlength=len(model.emission)) for k in range(states)], axis=1)
+    gamma, flat = np.concatenate(gammas), slots[np.concatenate(places)]
+    emitted = np.stack([np.bincount(flat, weights=gamma[:, k], minlength=n_slots) for k in range(states)], axis=1)
     return begun, moved * model.transition, emitted
 
 
@@ -136,183 +158,275 @@ def starting_emissions(counts: np.ndarray, hashes: np.ndarray, states: int) -> n
 
 
 @dataclass
-class State:
-    """What all tasks get: bounded, whatever the input."""
+class Shared:
+    """What all tasks get for scoring: bounded, whatever the input."""
 
     initial: np.ndarray
-    usual: np.ndarray
     transition: np.ndarray
-    #: Emissions of frequent words and the end.
-    shared: np.ndarray
-    #: Expected tokens of each state; None before the first iteration.
-    tokens: np.ndarray | None
+    #: Expected tokens of each state.
+    tokens: np.ndarray
+    #: Training tokens and distinct ones.
     total: int
     distinct: int
+    #: Emissions and counts of the symbols.
+    emission: np.ndarray
+    counts: np.ndarray
 
     def emissions(self, expected: np.ndarray) -> np.ndarray:
         """Of words with these expected counts by state: in the sum over the states, each word is met once more."""
         part = np.divide(expected * self.total, self.tokens, out=np.zeros_like(expected), where=self.tokens > 0)
         return (part + 1) / (self.total + self.distinct + 1)
 
-    def model(self, block: pa.Table, counts: np.ndarray, columns: list[str]) -> Hmm:
-        """With the emissions of the block's own words, one row each."""
-        if self.tokens is None:
-            own = starting_emissions(counts, block["h"].to_numpy(), len(columns))
-        else:
-            expected = np.stack([np.nan_to_num(block[c].to_numpy().astype(float)) for c in columns], axis=1)
-            own = self.emissions(expected)
-        return Hmm(self.initial, self.usual, self.transition, np.concatenate([self.shared, own]))
+
+# ---- blocks
 
 
-def _encode(df: DataFrame, names: list[str], vocabulary: dict[str, int]) -> DataFrame:
-    """The named columns, of which the last is whether the row trains, its block, its ids and, in one row of a block, its own words.
+def encode_blocks(rows: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of texts; `rows` has columns to keep, then whether the row trains, then its text.
 
-    Ids from len(vocabulary) + 2 on are places in the words of the block. Numbers of blocks that train are odd.
+    (block, docs, low, middle, high, words, counts): for each text what is kept and its number of words; a number for
+    each word of the texts, in three planes of bytes; the word of each number, frequent ones first, and how often the
+    training texts have it.
     """
-    shared = df.sparkSession.sparkContext.broadcast({w.encode(): i for w, i in vocabulary.items()})
+    names = rows.columns[:-1]
+    doc = T.StructType([*rows.schema.fields[:-1], T.StructField("__n", T.IntegerType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(doc)), *(T.StructField(c, T.BinaryType()) for c in ("low", "middle", "high")), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+
+    def block(number: int, kept: list[pa.RecordBatch], ids: list[np.ndarray], own: dict[bytes, int]) -> pa.RecordBatch:
+        lengths = np.array([len(x) for x in ids], np.int32)
+        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+        table = pa.Table.from_batches(kept).combine_chunks()
+        trains = np.repeat(table.column(len(names) - 1).to_numpy().astype(bool), lengths)
+        order = np.argsort(-np.bincount(flat, minlength=len(own)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        counts = np.bincount(flat[trains], minlength=len(own))[order]
+        planes = rank[flat].astype("<u4").view(np.uint8).reshape(-1, 4)
+        if len(own) >= 1 << 24:
+            raise ValueError("a text has too many different words for a block")
+        spelt = list(own)
+        fields = [*(table.column(c).combine_chunks() for c in range(len(names))), pa.array(lengths)]
+        fields = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in fields]
+        docs = pa.StructArray.from_arrays(fields, names=[*names, "__n"])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        columns = [pa.array([number], pa.int64()), one(docs), *(pa.array([planes[:, j].tobytes()], pa.binary()) for j in range(3)), one(pa.array([spelt[i] for i in order.tolist()], pa.binary())), one(pa.array(counts, pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 40
-        end = len(shared.value) + 1
-        for batch in batches:
-            flags = np.array(batch.column(len(names) - 1).to_pylist(), bool)
-            for flag in (False, True):
-                rows, ids, own, size = [], [], {}, 0
-                chosen = np.flatnonzero(flags == flag)
-                for i in chosen.tolist():
-                    mine = []
-                    for block in word_blocks(batch.column(len(names))[i].as_py()):
-                        for w in block:
-                            found = shared.value.get(w)
-                            mine.append(own.setdefault(w, end + 1 + len(own)) if found is None else found)
-                    ids.append(np.array([*mine, end], dtype=np.int32))
-                    rows.append(i)
-                    size += len(ids[-1])
-                    if size >= BLOCK_TOKENS or i == chosen[-1]:
-                        ends = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32))
-                        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
-                        words_ = pa.array([[w.decode() for w in own]] + [None] * (len(rows) - 1), pa.list_(pa.string()))
-                        blocks = pa.array(np.full(len(rows), 2 * number + flag, np.int64))
-                        yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(rows)) for j in range(len(names))), blocks, lists, words_], names=[*names, "block", "ids", "words"])
-                        rows, ids, own, size, number = [], [], {}, 0, number + 1
-
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.StringType()))])
-    return df.mapInArrow(run, schema)
-
-
-def _sequences(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    column = column.combine_chunks()
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = np.diff(column.offsets.to_numpy()).astype(np.int64)
-    return column.flatten().to_numpy(), np.cumsum(lengths) - lengths, lengths
-
-
-def _counting(shared, columns: list[str], states: int):
-    """From a block and its words to its expected counts."""
+        number = TaskContext.get().partitionId() << 32
+        kept, ids, size, own = [], [], 0, defaultdict()
+        own.default_factory = own.__len__
+        for batch in sliced(batches, len(names)):
+            first = 0
+            for i, text in enumerate(batch.column(len(names))):
+                mine = [np.fromiter(map(own.__getitem__, found), np.int32, len(found)) for found in word_blocks(text.as_py())]
+                ids.append(np.concatenate([*mine, np.zeros(0, np.int32)]))
+                size += len(ids[-1]) + 1
+                if size >= block_tokens or i + 1 == batch.num_rows:
+                    kept.append(batch.select(names).slice(first, i + 1 - first))
+                    first = i + 1
+                if size >= block_tokens:
+                    yield block(number, kept, ids, own)
+                    number, kept, ids, size = number + 1, [], [], 0
+                    own.clear()
+        if kept:
+            yield block(number, kept, ids, own)
 
-    def run(left, right):
-        ids, starts, lengths = _sequences(left["ids"])
-        right = right.sort_by("local")
-        now, first = shared.value.model(right, right["c"].to_numpy(), columns), len(shared.value.shared)
-        pieces = -(-lengths // SEGMENT)
-        owner = np.repeat(np.arange(len(lengths)), pieces)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = starts[owner] + within * SEGMENT
-        size = np.minimum(SEGMENT, lengths[owner] - within * SEGMENT)
-        part, total = np.cumsum(size) // BLOCK_TOKENS, None
-        for b in np.unique(part):
-            mine = part == b
-            found = expectations(now, ids, begin[mine], size[mine], within[mine] == 0)
-            total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
-        used = np.flatnonzero(total[2][:first].sum(axis=1))
-        table = np.vstack([total[0][None, :], total[1], total[2][used], total[2][first:]])
-        kinds = np.repeat(np.arange(4, dtype=np.int32), [1, states, len(used), len(table) - 1 - states - len(used)])
-        at = np.concatenate([[0], np.arange(states), used, right["wid"].to_numpy()]).astype(np.int64)
-        return pa.table([pa.array(kinds), pa.array(at), *(pa.array(table[:, k].copy()) for k in range(states))], names=["kind", "at", *columns])
+    return rows.mapInArrow(run, schema)
 
-    return run
 
+def _symbols(row: dict, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The symbol of each of the block's own words."""
+    return np.fromiter((vocabulary.get(w, RARE) for w in row["words"]), np.int32, len(row["words"]))
 
-def train(spark: SparkSession, encoded: DataFrame, own: DataFrame, state: State, states: int = STATES, iterations: int = ITERATIONS) -> tuple[State, DataFrame | None]:
-    """Baum-Welch over the ids of all blocks that train: what all tasks need, and (wid, expected counts) of the other words.
 
-    A task sums the expected counts of a block; Spark adds them up by symbol and by word.
-    """
-    columns = [f"s{k}" for k in range(states)]
-    schema = "kind int, at long, " + ", ".join(f"{c} double" for c in columns)
-    blocks, own, rare = encoded.where("block % 2 = 1").select("block", "ids"), own.where("block % 2 = 1"), None
-    for _ in range(iterations):
-        needed = _with_counts(own, rare, columns)
-        found = blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_counting(spark.sparkContext.broadcast(state), columns, states), schema)
-        sums = write_table(spark, found.groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in columns]), "expected-counts")
-        if rare is not None:
-            discard(spark, before)
-        before, rare = sums, sums.where("kind = 3").select(F.col("at").alias("wid"), *columns)
-        begun, moved, emitted = np.zeros(states), np.zeros((states, states)), np.zeros_like(state.shared)
-        small = sums.where("kind < 3").toPandas()
-        for kind, table in enumerate((begun[None, :], moved, emitted)):
-            mine = small[small.kind == kind]
-            table[mine["at"].to_numpy(dtype=int)] = mine[columns].to_numpy(dtype=float)
-        others = rare.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first()
-        tokens = emitted.sum(axis=0) + np.array(others, dtype=float)
-        state = State((begun + 1.0) / (begun + 1.0).sum(), (tokens + 1.0) / (tokens + 1.0).sum(), (moved + 1.0) / (moved + 1.0).sum(axis=1, keepdims=True), state.shared, tokens, state.total, state.distinct)
-        state.shared = state.emissions(emitted)
-    return state, rare
+def _tokens(row: dict, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of a block with `end` after each text, and where each text starts and how long it is."""
+    planes = [np.frombuffer(row[c], np.uint8).astype(np.int32) for c in ("low", "middle", "high")]
+    numbers = planes[0] | planes[1] << 8 | planes[2] << 16
+    sizes = lengths.astype(np.int64) + 1
+    starts = np.cumsum(sizes) - sizes
+    out = np.full(len(numbers) + len(lengths), end, np.int32)
+    out[np.arange(len(numbers)) + np.repeat(np.arange(len(lengths)), lengths)] = numbers
+    return out, starts, sizes
+
 
+def _row(batch, i: int) -> dict:
+    return {name: batch.column(name)[i].as_py() for name in ("low", "middle", "high", "words")}
 
-def _with_counts(own: DataFrame, rare: DataFrame | None, columns: list[str]) -> DataFrame:
-    """The blocks' own words with their expected counts; null for a word not learnt."""
-    if rare is None:
-        return own
-    return own.join(rare, "wid", "left").select("block", "local", own["wid"], "c", *columns)
 
+def _docs(batch, i: int) -> pa.StructArray:
+    return batch.column("docs")[i].values
 
-def score_texts(spark: SparkSession, df: DataFrame, keep: dict[str, Column], trains: Column, text_col: str = "text", states: int = STATES, iterations: int = ITERATIONS, share: int = SHARE) -> DataFrame:
+
+# ---- training
+
+
+def train(spark: SparkSession, blocks: DataFrame, vocabulary: dict[bytes, int], start: Hmm, counts: np.ndarray, iterations: int):
+    """Baum-Welch over the training texts of all blocks: begun, moved and emitted counts of the last iteration, the model
+    that gave them, and a written table (word, c, shares) of all words that are not in the vocabulary.
+
+    A task sums the expected counts of its blocks; Spark adds them up by symbol. `shares` holds a byte for each state.
+    """
+    states = len(start.initial)
+    columns, end = [f"s{k}" for k in range(states)], len(vocabulary) + 1
+    schema = "kind int, at long, " + ", ".join(f"{c} double" for c in columns) + ", word binary, c long, shares binary"
+    chosen, model, last = blocks.select("docs.__train", "docs.__n", "low", "middle", "high", "words"), start, None
+    for iteration in range(max(1, iterations)):
+        untied = iteration + 1 == max(1, iterations)
+        shared = spark.sparkContext.broadcast((model.single(), vocabulary))
+
+        def run(batches, shared=shared, untied=untied):
+            now, words = shared.value
+            total = None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = _row(batch, i)
+                    numbers, starts, lengths = _tokens(row, batch.column("__n")[i].values.to_numpy(), len(row["words"]))
+                    trains = np.array(batch.column("__train")[i].values.to_pylist(), bool)
+                    symbol = np.append(_symbols(row, words), end)
+                    slot = np.where(symbol == RARE, end + 1 + np.arange(len(symbol)), symbol) if untied else symbol
+                    found = _block_counts(now, symbol[numbers], starts[trains], lengths[trains], slot[numbers], int(end + 1 + len(symbol)) if untied else end + 1)
+                    if found is None:
+                        continue
+                    if untied:
+                        yield _rare_rows(found[2][end + 1 : -1], row["words"], states)
+                        found = (*found[:2], found[2][: end + 1])
+                    total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
+            if total is not None:
+                used = np.flatnonzero(total[2].sum(axis=1))
+                table = np.vstack([total[0][None, :], total[1], total[2][used]])
+                kinds = np.repeat(np.arange(3, dtype=np.int32), [1, states, len(used)])
+                at = np.concatenate([[0], np.arange(states), used]).astype(np.int64)
+                none = [pa.nulls(len(at), kind) for kind in (pa.binary(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at), *(pa.array(table[:, k].copy()) for k in range(states)), *none], names=["kind", "at", *columns, "word", "c", "shares"])
+
+        found = chosen.mapInArrow(run, schema)
+        last = write_table(spark, found, "expected-counts", "zstd") if untied else None
+        sums = (last.where("kind < 3") if untied else found).groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in columns])
+        with short_shuffles(spark):
+            small = sums.toPandas()
+        shared.destroy()
+        begun, moved, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((end + 1, states))
+        for kind, table in enumerate((begun[None, :], moved, emitted)):
+            mine = small[small.kind == kind]
+            table[mine["at"].to_numpy(dtype=int)] = mine[columns].to_numpy(dtype=float)
+        if not untied:
+            share = (counts + 0.5) / (counts + 0.5).sum()
+            emission, usual = emitted + share[:, None], emitted.sum(axis=0) + 1.0
+            model = Hmm(*_moves(begun, moved), emission / emission.sum(axis=0))
+            model.usual = usual / usual.sum()
+    byte = [F.conv(F.hex(F.substring("shares", k + 1, 1)), 16, 10).cast("long") for k in range(states)]
+    # Each block sends a word once, so rows are not reduced before they leave; whole numbers add up alike in any order.
+    rare = last.where("kind = 3").select("word", "c", *[(F.col("c") * b).alias(c) for c, b in zip(columns, byte, strict=True)]).repartition("word")
+    rare = rare.groupBy("word").agg(F.sum("c").alias("c"), *[F.sum(c).alias(c) for c in columns])
+    code = [F.lpad(F.hex(F.round(F.col(c) / F.col("c")).cast("long")), 2, "0") for c in columns]
+    rare = write_table(spark, rare.select("word", "c", F.unhex(F.concat(*code)).alias("shares")), "rare-words")
+    discard(spark, last)
+    return begun, moved, emitted, rare
+
+
+def _moves(begun: np.ndarray, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start = (begun + 1.0) / (begun + 1.0).sum()
+    return start, start, (moved + 1.0) / (moved + 1.0).sum(axis=1, keepdims=True)
+
+
+def _block_counts(model: Hmm, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, slots: np.ndarray, n_slots: int):
+    """Expected counts of a block's training texts, cut into segments; None without any."""
+    pieces = -(-lengths // SEGMENT)
+    owner = np.repeat(np.arange(len(lengths)), pieces)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = starts[owner] + within * SEGMENT
+    size = np.minimum(SEGMENT, lengths[owner] - within * SEGMENT)
+    part, total = np.cumsum(size) // SIDE_TOKENS, None
+    for p in np.unique(part):
+        mine = part == p
+        found = expectations(model, ids, begin[mine], size[mine], within[mine] == 0, slots, n_slots)
+        total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
+    return total
+
+
+def _rare_rows(expected: np.ndarray, words: list[bytes], states: int) -> pa.RecordBatch:
+    """A row for each word with expected counts: how often it occurs and each state's share of that."""
+    used = np.flatnonzero(expected.sum(axis=1) > 0.5)
+    c = np.rint(expected[used].sum(axis=1)).astype(np.int64)
+    shares = np.rint(expected[used] / expected[used].sum(axis=1, keepdims=True) * _SHARES).astype(np.uint8)
+    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(states), len(used), [None, pa.py_buffer(shares.tobytes())]).cast(pa.binary())
+    none = [pa.nulls(len(used), pa.float64())] * states
+    spelt = pa.array([words[i] for i in used.tolist()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), 3, np.int32)), pa.nulls(len(used), pa.int64()), *none, spelt, pa.array(c), packed], names=["kind", "at", *(f"s{k}" for k in range(states)), "word", "c", "shares"])
+
+
+# ---- scores
+
+
+def score_texts(spark: SparkSession, df: DataFrame, keep: dict[str, Column], trains: Column, text_col: str = "text", states: int = STATES, iterations: int = ITERATIONS, share: int = SHARE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(the `keep` columns, n_tokens, n_known, train_tokens, base_score, score), one row for each row of df.
 
     Tokens are the lower-cased (A-Z) words and one end; the rows where `trains` is true are learnt from, a null text is
-    empty. base_score is the add-one unigram score, score the model's log10 probability of the whole text. Words are
-    counted by a partial aggregation; only frequent ones, whose number is bounded by `share`, go to the driver and all
-    tasks. The rarer words are joined to the blocks of texts that have them; the result does not depend on `share`.
-    With no training row every word is unknown and scores are defined all the same. Rows may repeat, ids may be null;
-    other columns are not read.
+    empty. base_score is the add-one unigram score, score the model's log10 probability of the whole text. All words are
+    counted; only frequent ones, whose number is bounded by `share`, go to the driver and all tasks, the rarer ones are
+    tables. With no training row every word is unknown and scores are defined all the same. Rows may repeat, ids may be
+    null; other columns are not read; `keep` must not name "__train" or "__n". An empty table gives an empty result.
     """
     trained = F.coalesce(trains, F.lit(False))
     rows = df.select(*[c.alias(n) for n, c in keep.items()], trained.alias("__train"), text_or_empty(text_col).alias("__text"))
-    learnt = rows.where("__train").select(F.explode(words(ascii_lower(F.col("__text")))).alias("word"))
-    counted = write_table(spark, learnt.groupBy("word").agg(F.count("*").alias("c")).withColumn("wid", F.monotonically_increasing_id()), "word-counts")
-    texts = df.where(trained).count()
+    blocks = write_table(spark, encode_blocks(rows, block_tokens), "word-blocks", "zstd")
+    listed = blocks.select(F.inline(F.arrays_zip("words", "counts"))).where("counts > 0")
+    counted = write_table(spark, listed.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "word-counts")
+    texts = blocks.agg(F.sum(F.size(F.filter("docs", lambda d: d["__train"])))).first()[0] or 0
     n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = n + texts, v + (1 if texts else 0)
-    frequent = counted.where((F.col("c") * share >= total) & (F.col("c") >= 2)).withColumn("h", F.xxhash64("word")).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    often = counted.where((F.col("c") * share >= total) & (F.col("c") >= 2))
+    frequent = often.withColumn("h", F.xxhash64("word")).toPandas()
+    frequent = frequent.assign(word=[bytes(w) for w in frequent.word]).sort_values(["c", "word"], ascending=[False, True])
     vocabulary = {w: i + 1 for i, w in enumerate(frequent.word)}
-    counts = np.array([0, *frequent.c, texts], dtype=float)
-    encoded = write_table(spark, _encode(rows, [*keep, "__train"], vocabulary), "word-ids")
-    places = encoded.where("words is not null").select("block", F.posexplode("words").alias("local", "word"))
-    # Unknown words get numbers that no word has, so that they do not all meet in one task.
-    unknown = -1 - F.pmod(F.xxhash64("word"), F.lit(1 << 40))
-    own = places.join(counted, "word", "left").select("block", "local", F.coalesce("wid", unknown).alias("wid"), F.coalesce("c", F.lit(0)).alias("c"), F.xxhash64("word").alias("h"))
-    own = write_table(spark, own, "block-words")
+    counts = np.array([n - int(frequent.c.sum()), *frequent.c, texts], dtype=float)
     even = np.full(states, 1 / states)
-    # The first and last symbols are no words: none of them tells states apart at the start.
+    # Neither the rare symbol nor the end tells states apart at the start.
     plain = np.repeat(counts[[0, -1]][:, None] + 0.5, states, axis=1)
-    start = np.concatenate([plain[:1], starting_emissions(counts[1:-1], frequent["h"].to_numpy(np.int64), states), plain[1:]])
-    state = State(even, even, 0.9 * np.eye(states) + 0.1 / states, start, None, total, distinct)
-    state, rare = train(spark, encoded, own, state, states, iterations)
-    base = np.log10((counts + 1) / (total + distinct + 1))
-    shared, kept, columns = spark.sparkContext.broadcast((state, base, counts > 0)), list(keep), [f"s{k}" for k in range(states)]
+    emission = np.concatenate([plain[:1], starting_emissions(counts[1:-1], frequent["h"].to_numpy(np.int64), states), plain[1:]])
+    start = Hmm(even, even, 0.9 * np.eye(states) + 0.1 / states, emission / emission.sum(axis=0))
+    begun, moved, emitted, rare = train(spark, blocks, vocabulary, start, counts, iterations)
+    byte = [F.conv(F.hex(F.substring("shares", k + 1, 1)), 16, 10).cast("long") for k in range(states)]
+    others = rare.agg(*[F.coalesce(F.sum(F.col("c") * b), F.lit(0)) for b in byte]).first()
+    tokens = emitted[1:].sum(axis=0) + np.array(others, dtype=float) / _SHARES
+    initial, _, transition = _moves(begun, moved)
+    now = Shared(initial, transition, tokens, total, distinct, emitted, counts)
+    now.emission = now.emissions(emitted)
+    now.counts[RARE] = 0
+    frequents = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "often binary"))  # at most `share` words
+    own = blocks.select("block", F.posexplode("words").alias("local", "word")).join(frequents, F.col("word") == F.col("often"), "left_anti")
+    met = write_table(spark, own.join(rare.hint("merge"), "word").select("block", "local", "c", "shares"), "block-words")
+    discard(spark, rare, counted)
+    run = _scoring(spark.sparkContext.broadcast((now, vocabulary)), list(keep))
+    doc = blocks.schema["docs"].dataType.elementType.fields
+    schema = T.StructType([*doc[: len(keep)], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    scored = blocks.select("block", "docs", "low", "middle", "high", "words").groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run, schema)
+    return scored.select(*keep, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _scoring(shared, kept: list[str]):
+    """From a block and the counts of its rarer words to its texts' scores."""
 
     def run(left, right):
-        now, base, known = shared.value
-        ids, starts, lengths = _sequences(left["ids"])
-        right = right.sort_by("local")
-        c = right["c"].to_numpy()
-        values = log_likelihoods(now.model(right, c, columns), ids, starts, lengths) / np.log(10)
-        base, known = np.concatenate([base, np.log10((c + 1) / (now.total + now.distinct + 1))]), np.concatenate([known, c > 0])
-        sums = np.add.reduceat(np.stack([base[ids], known[ids]]), starts, axis=1)
-        return pa.table([*(left[k] for k in kept), pa.array(lengths), pa.array(sums[1].astype(np.int64)), pa.array(sums[0]), pa.array(values)], names=[*kept, "n_tokens", "n_known", "base_score", "score"])
-
-    chosen = encoded.select("block", *keep, "ids")
-    schema = T.StructType([*chosen.schema.fields[1:-1], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    scored = chosen.groupBy("block").cogroup(_with_counts(own, rare, columns).groupBy("block")).applyInArrow(run, schema)
-    return scored.select(*keep, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        now, vocabulary = shared.value
+        left = left.combine_chunks().to_batches()[0]
+        row, docs = _row(left, 0), _docs(left, 0)
+        numbers, starts, lengths = _tokens(row, docs.field("__n").to_numpy(), len(row["words"]))
+        symbol, first = np.append(_symbols(row, vocabulary), len(vocabulary) + 1), len(vocabulary) + 2
+        c, expected = np.zeros(len(symbol)), np.zeros((len(symbol), len(now.tokens)))
+        if right.num_rows:
+            local = right["local"].to_numpy()
+            c[local] = right["c"].to_numpy()
+            shares = np.frombuffer(b"".join(right["shares"].to_pylist()), np.uint8).reshape(len(local), -1)
+            expected[local] = shares * (c[local] / _SHARES)[:, None]
+        emission, count = np.concatenate([now.emission, now.emissions(expected)]), np.concatenate([now.counts, c])
+        ids = np.where(symbol == RARE, first + np.arange(len(symbol)), symbol)[numbers]
+        values = log_likelihoods(Hmm(now.initial, now.initial, now.transition, emission), ids, starts, lengths) / np.log(10)
+        base = np.log10((count + 1) / (now.total + now.distinct + 1))
+        sums = np.add.reduceat(np.stack([base[ids], count[ids] > 0]), starts, axis=1)
+        names = [f.name for f in docs.type]
+        return pa.table([*(docs.field(names.index(k)) for k in kept), pa.array(lengths), pa.array(sums[1].astype(np.int64)), pa.array(sums[0]), pa.array(values)], names=[*kept, "n_tokens", "n_known", "base_score", "score"])
+
+    return run
