@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundtable.llm.common import broadcast_within, remove_rows, write_table
+from soundtable.llm.common import broadcast_within, remove_rows, sliced, write_table
 
 #: Labelled rows taken for each language, about (all, where there are fewer).
 SAMPLE_ROWS = 2000
@@ -59,20 +59,21 @@ class TextModel:
         return total / max(n, 1) * min(n, EVIDENCE), n
 
 
-def train(spark: SparkSession, labelled: DataFrame, text: Column, language: Column, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """A model of the languages named in `labelled`, fitted on about sample_rows whole texts of each, drawn by a hash of the text.
+def train(spark: SparkSession, labelled: DataFrame, text: Column, language: Column, key: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> TextModel:
+    """A model of the languages named in `labelled`, fitted on about sample_rows whole texts of each, drawn by a hash of `key`.
 
-    Rows without a language or a text do not count. The counts come back as one row for each language and bucket, so
+    `key` should tell rows apart (default: the text, whose copies are then drawn together or not at all). Rows without a
+    language or a text do not count. The counts come back as one row for each language and bucket, so
     their size is bounded whatever the input's. No labelled row: only UNDETERMINED is known.
     """
-    rows = labelled.select(language.alias("language"), text.alias("text")).where("language is not null and text is not null")
+    rows = labelled.select(language.alias("language"), text.alias("text"), (text if key is None else key).alias("key")).where("language is not null and text is not null")
     sizes = rows.groupBy("language").count()
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(1_000_000.0) * sample_rows / F.col("count")
+    draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.lit(1_000_000.0) * sample_rows / F.col("count")
     drawn = rows.join(F.broadcast(sizes), "language").where(draw).select("language", "text")
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 mine = counts.setdefault(language, np.zeros(BUCKETS, np.int64))
                 for found in _buckets(text):
@@ -89,18 +90,24 @@ def train(spark: SparkSession, labelled: DataFrame, text: Column, language: Colu
 
 
 def html_text(html: Column) -> Column:
-    """The text of a page, roughly: without scripts, styles, comments and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    """The text of a page, roughly: without scripts, styles, comments and tags; what is not closed goes to the end of the page.
+
+    "<" before anything but a letter, "/", "!" or "?" is text. Every match begins where it cannot fail later, so the
+    time is linear in the page, whatever is in it. Null stays null.
+    """
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)|<[a-z/!?][^>]*+(?:>|\z)", " ")
     return F.regexp_replace(F.regexp_replace(bare, r"&[a-zA-Z#0-9]+;", " "), r"\s+", " ")
 
 
 def declared_language(html: Column) -> Column:
     """The primary subtag that the html element declares, in lower case; null where there is none."""
-    tag = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", 1))
-    return F.when(tag != "", tag)
+    tag = F.regexp_extract(html, r"(?i)<html\b([^>]*+)", 1)
+    said = F.lower(F.regexp_extract(tag, r"(?i)\slang\s*+=\s*+[\"']?([a-z]{2,3})\b", 1))
+    return F.when(said != "", said)
 
 
 def host(url: Column) -> Column:
+    """The host of an address, in lower case and without user and port; empty where there is none, null for null."""
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
@@ -112,7 +119,7 @@ def _score(df: DataFrame, keys: dict[str, Column], text: Column, model: TextMode
 
     def run(batches):
         found = shared.value
-        for batch in batches:
+        for batch in sliced(batches, len(names)):
             ev, post, n = [], [], []
             for x in batch.column(len(names)):
                 logits, count = found.logits(x.as_py())
@@ -177,12 +184,20 @@ def identify(spark: SparkSession, df: DataFrame, model: TextModel, keys: dict[st
 
 
 def identify_pages(spark: SparkSession, pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, language, posterior, text_language, n) of each page: `identify` over its text, the language that its html
+    element declares and its address. A null page is an empty one, a null address says nothing; ids may be null or
+    repeat, each row stands alone; other columns are not read; an empty table gives an empty result.
+    """
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     return identify(spark, pages, model, {id_col: F.col(f"`{id_col}`")}, html_text(html), declared_language(html), host(F.col(f"`{url_col}`")))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs without the rows that are in no known language; the source stands for the host. Columns stay as they are."""
+    """docs without the rows that are in no known language; the source stands for the host. Columns stay as they are.
+
+    Null, empty and letterless texts are in none. Rows that repeat id, text and source share their fate; a null id or
+    source is a value like any other. An empty table stays empty.
+    """
     keys = {"id": F.col(f"`{id_col}`"), "hash": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), "origin": F.col(f"`{source_col}`")}
     found = identify(spark, docs, model, keys, F.col(f"`{text_col}`"), place=F.col(f"`{source_col}`"))
     gone = write_table(spark, found.where(F.col("language") == UNDETERMINED).select(*keys), "undetermined")

@@ -11,8 +11,8 @@ from soundtable.llm.common import load
 
 def op1_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, ranks, public_tokenizers.PATTERN)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    encoded = bpe.encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
+    return bpe.digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op2_simhash(spark, sf_dir):
@@ -25,7 +25,7 @@ def op3_decontaminate(spark, sf_dir):
 
 
 def op4_language_id(spark, sf_dir):
-    model = language_id.train(spark, load(spark, sf_dir, "documents"), F.col("text"), F.col("lang"))
+    model = language_id.train(spark, load(spark, sf_dir, "documents"), F.col("text"), F.col("lang"), F.col("doc_id"))
     return language_id.identify_pages(spark, load(spark, sf_dir, "pages"), model)
 
 
@@ -34,11 +34,9 @@ def _remainder(doc_id, by):
 
 
 def op5_toxicity(spark, sf_dir):
-    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    documents = load(spark, sf_dir, "documents")
     held_out = _remainder(F.col("doc_id"), 5) == 0
-    learnt = documents.join(labels, "doc_id").where(~held_out)
-    model = toxicity.train(spark, learnt, F.col("text"), F.col("toxic"))
+    model = toxicity.train(spark, documents, load(spark, sf_dir, "labels").where(~held_out))
     scored = toxicity.score(documents, model, F.col("text"), [F.col("doc_id"), held_out.alias("held_out")])
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
