@@ -2,56 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundtable.llm.common import broadcast_within, remove_rows, write_table
 
 #: Runs merged into one in a round, as a power of two.
 FAN_IN_BITS = 4
-#: Rounds of merging; the last merges what is left.
-ROUNDS = 2
 
 _KEY = ["digest", "n_bytes", "check_hash"]
 
 
-def digest_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, SHA-256, length and a second hash of each row's text (null: empty)."""
+def digest_runs(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """id, SHA-256, length and a second hash of each row's text (null: empty), and `more`."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return df.select(
         F.col(f"`{id_col}`").alias("id"),
         F.unhex(F.sha2(text, 256)).alias("digest"),
         F.octet_length(text).alias("n_bytes"),
         F.xxhash64(text).alias("check_hash"),
+        *more,
     )
 
 
-def merge_runs(runs: DataFrame, rounds: int = ROUNDS, fan_in_bits: int = FAN_IN_BITS) -> DataFrame:
-    """(digest, n_bytes, check_hash, keep_id, group_size) for each distinct text.
+def rounds_for(runs: DataFrame, fan_in_bits: int = FAN_IN_BITS) -> int:
+    """Rounds after which every run has met every other: each joins 2^fan_in_bits of them."""
+    last = runs.select(F.spark_partition_id().alias("run")).agg(F.max("run")).first()[0] or 0
+    return max(1, -(-last.bit_length() // fan_in_bits))
 
-    A partition's rows are a leaf run, aggregated before they leave it. In round r, runs whose numbers agree without
-    their lowest r * fan_in_bits bits meet and merge, and of equal texts only the largest id and the count go up, so a
-    hot text sends one row for each run. Length and second hash are part of the key at each level: rows of one digest
-    that differ in them never merge.
+
+def merge_runs(runs: DataFrame, rounds: int, fan_in_bits: int = FAN_IN_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(digest, n_bytes, check_hash, keep_id, the `carry` columns, group_size) for each distinct text.
+
+    A partition's rows are a leaf run. In round r, the 2^fan_in_bits runs whose numbers agree in all but their r-th digit
+    exchange their rows: each keeps those digests that have its digit in that place. So after all rounds a run's number
+    is the beginning of its digests, and equal texts have met, without one task ever taking in more than a fan-in of
+    runs. What is kept is a struct, so Spark merges by sorting: runs are sorted by digest and reduced before they leave a
+    task, and sorted together and reduced again where they meet. Of equal texts only the row with the largest id (ties:
+    the largest `carry`) and the count go up, so a hot text sends one row for each run. Length and second hash are part
+    of the key at each level: rows of one digest that differ in them never merge.
     """
-    level = runs.select(*_KEY, F.spark_partition_id().alias("run"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    merged = [F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")]
-    for _ in range(rounds - 1):
-        level = level.withColumn("run", F.shiftright("run", fan_in_bits)).groupBy("run", *_KEY).agg(*merged)
-    return level.groupBy(*_KEY).agg(*merged)
+    number = F.pmod(F.spark_partition_id().cast("long"), F.lit(1 << rounds * fan_in_bits))
+    level = runs.select(*_KEY, number.alias("run"), F.struct(F.col("id").alias("keep_id"), *carry).alias("keep"), F.lit(1).cast("long").alias("group_size"))
+    leading = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
+    for r in range(rounds):
+        digit = ((1 << fan_in_bits) - 1) << r * fan_in_bits
+        kept = F.col("run").bitwiseAND(F.lit(~digit).cast("long")).bitwiseOR(leading.bitwiseAND(F.lit(digit).cast("long")))
+        level = level.withColumn("run", kept).groupBy("run", *_KEY).agg(F.max("keep").alias("keep"), F.sum("group_size").alias("group_size"))
+    return level.select(*_KEY, "keep.*", "group_size")
 
 
-def exact_groups(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def exact_groups(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """(id, digest, keep_id, group_size, kept), one row for each row of df.
 
     Texts are equal when identical; null counts as empty. The row with the largest id stays. Rows that repeat an id and
     its text share its fate. A null id ranks below all others; a group with none but null ids keeps all of them. An
     empty table gives an empty result. Other columns are not read. Texts are read once: their digests are written to
-    the shared folder, and only groups of two or more are joined back.
+    the shared folder, and only groups of two or more are joined back. The number of rounds follows the number of runs.
     """
     runs = write_table(spark, digest_runs(df, id_col, text_col), "digest-runs")
     # Written: small, it is broadcast; else both sides are plain shuffles, and Spark can split the partition of a hot text.
-    groups = broadcast_within(write_table(spark, merge_runs(runs, rounds).where("group_size > 1"), "digest-groups"))
+    merged = merge_runs(runs, rounds or rounds_for(runs)).where("group_size > 1")
+    groups = broadcast_within(write_table(spark, merged, "digest-groups"))
     out = runs.join(groups, _KEY, "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))

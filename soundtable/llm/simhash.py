@@ -19,14 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundtable.llm.common import ascii_lower, broadcast_within, discard, remove_rows, shingle_hashes, text_key, words, write_table
+from soundtable.llm.common import broadcast_within, discard, remove_rows, sliced, text_key, write_table
 from soundtable.llm.components import connected_components
 
 SEED = 42
 #: Fingerprints at home at an anchor above which its pairs are found by midpoints instead.
 HOT_HOMES = 32
-#: Texts that share a part's value above which hubs are looked for among them.
-DENSE = 64
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -79,12 +77,16 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, keep: list[Column], text: Column, k: int = 3, distinct: bool = False) -> DataFrame:
-    """The `keep` columns and `fp` (long) for each row."""
+    """The `keep` columns and `fp` (long), one row for each row of df.
+
+    Null and empty texts have fingerprint zero; rows may repeat; other columns are not read; `keep` must not name a
+    column "fp" or "__text". A text is split into words a block at a time. An empty table gives an empty result.
+    """
     narrow = df.select(*keep, F.coalesce(text, F.lit("")).alias("__text"))
     names = narrow.columns[:-1]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, len(names)):
             found = [fingerprint(x.as_py(), k, distinct) for x in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.int64())], names=[*names, "fp"])
 
@@ -94,7 +96,7 @@ def fingerprints(df: DataFrame, keep: list[Column], text: Column, k: int = 3, di
 # ---- the code
 
 #: For a part of so many bits: lengths of its Hamming blocks (2^r - 1); what is left over are free bits.
-CODES = {32: (31,), 16: (15,)}
+CODES = {32: (31,)}
 
 
 def _flips(width: int) -> list[int]:
@@ -170,7 +172,8 @@ def midpoints(fps: DataFrame) -> DataFrame:
 def fingerprint_links(spark: SparkSession, fps: DataFrame, threshold: int = 2) -> DataFrame:
     """Edges (a, b) between different fingerprints of fps (distinct, column fp) that connect all within `threshold` (0 to 2) bits.
 
-    Anchors of 32-bit halves: within two bits, one half differs by at most one. At an anchor at most HOT_HOMES
+    Anchors of 32-bit halves: within two bits, one half differs by at most one. Homes and visits meet in a shuffled
+    join, whatever the optimizer takes their sizes for: a fingerprint makes 66 visits. At an anchor at most HOT_HOMES
     fingerprints are at home, so pairs grow with the visits, not with their square. Fingerprints at hotter anchors are
     linked exactly by another road: two are within two bits if and only if both are within one bit of a third point, and
     at most 65 fingerprints are that near to a point; each is linked to the smallest of them. (For thresholds below two
@@ -184,14 +187,14 @@ def fingerprint_links(spark: SparkSession, fps: DataFrame, threshold: int = 2) -
     visit = visits(fps, 32)
     left = home.join(hot, ["part", "anchor"], "left_anti").withColumnRenamed("fp", "a")
     right = visit.join(hot, ["part", "anchor"], "left_anti").select(F.col("part").alias("p"), F.col("anchor").alias("c"), F.col("fp").alias("b"))
-    cold = left.join(right, (F.col("part") == F.col("p")) & (F.col("anchor") == F.col("c")) & (F.col("a") < F.col("b")) & (_distance("a", "b") <= threshold)).select("a", "b")
+    cold = left.join(right.hint("merge"), (F.col("part") == F.col("p")) & (F.col("anchor") == F.col("c")) & (F.col("a") < F.col("b")) & (_distance("a", "b") <= threshold)).select("a", "b")
     crowded = visit.join(hot, ["part", "anchor"], "left_semi").select("fp").distinct()
     mids = midpoints(crowded)
     if threshold == 2:
         centre = mids.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a != top").select("mid", "a")
-        warm = mids.join(centre, "mid").where("a != fp").select("a", F.col("fp").alias("b"))
+        warm = mids.join(centre.hint("merge"), "mid").where("a != fp").select("a", F.col("fp").alias("b"))
     else:
-        one = mids.select("mid", F.col("fp").alias("a")).join(crowded.select(F.col("fp").alias("b")), F.col("mid") == F.col("b"))
+        one = mids.select("mid", F.col("fp").alias("a")).join(crowded.select(F.col("fp").alias("b")).hint("merge"), F.col("mid") == F.col("b"))
         warm = one.where((F.col("a") < F.col("b")) & (_distance("a", "b") <= threshold)).select("a", "b")
     return cold.union(warm).distinct()
 
@@ -223,13 +226,17 @@ def near_groups(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
 
 
 def _shingle_sets(spark: SparkSession, docs: DataFrame, key: Column, text: Column, needed: DataFrame, k: int) -> DataFrame:
-    """(key, shingles) of the needed texts; texts under k words have their whole sequence."""
+    """(key, s): the shingle hashes of the needed texts, a row for each text; texts under k words have their whole sequence."""
     needed = broadcast_within(needed.select(F.col("key").alias("__need")))
     chosen = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(needed, F.col("key") == F.col("__need"), "left_semi")
-    split = chosen.select("key", words(ascii_lower(F.col("text"))).alias("w"))
-    whole = F.array(F.xxhash64(F.array_join("w", " ")))
-    sets = split.select("key", F.array_distinct(F.when(F.size("w") < k, whole).otherwise(shingle_hashes(F.col("w"), k))).alias("s"))
-    return write_table(spark, sets.groupBy("key").agg(F.first("s").alias("s")), "shingle-sets")
+
+    def run(batches):
+        for batch in sliced(batches, 1):
+            sets = [_text_shingles(x.as_py(), k).view(np.int64) for x in batch.column(1)]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["key", "s"])
+
+    return write_table(spark, chosen.mapInArrow(run, "key binary, s array<long>").dropDuplicates(["key"]), "shingle-sets")
 
 
 def _verified(spark: SparkSession, docs: DataFrame, key: Column, text: Column, pairs: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -243,69 +250,16 @@ def _verified(spark: SparkSession, docs: DataFrame, key: Column, text: Column, p
     both = sized.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     close = common >= (F.size("sa") + F.size("sb") - common) * similarity
-    return write_table(spark, both.where(close).select("a", "b"), "links")
-
-
-#: Bits of a sketch of one-bit minima of shingle hashes, and how many may differ. At the similarity s, (1 - s) / 2 of them
-#: differ in the mean; the limit is 3.5 deviations above that of 0.8.
-SKETCH_BITS = 512
-_DRAW = np.random.RandomState(11)
-_FACTORS = (_DRAW.randint(0, 1 << 31, SKETCH_BITS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_SHIFTS = _DRAW.randint(0, 1 << 31, SKETCH_BITS).astype(np.uint32)
-
-
-def sketch_limit(similarity: float) -> int:
-    part = (1 - similarity) / 2
-    return int(SKETCH_BITS * part + 3.5 * (SKETCH_BITS * part * (1 - part)) ** 0.5) + 1
-
-
-def sketch(text: str, k: int) -> list[int]:
-    """One bit of the least value of each of SKETCH_BITS hashes of the k-word shingles, as eight longs; a block of shingles at a time."""
-    least, carry, some = np.full(SKETCH_BITS, 0xFFFFFFFF, np.uint32), [], False
-    for block in word_blocks(text):
-        block = carry + block
-        if len(block) >= k:
-            found = (_hashes(block, k) >> np.uint64(32)).astype(np.uint32)
-            for start in range(0, len(found), 256):
-                least = np.minimum(least, (found[start : start + 256, None] * _FACTORS + _SHIFTS).min(axis=0))
-            block, some = block[len(block) - k + 1 :], True
-        carry = block
-    if not some and carry:
-        least = (_hashes(carry, len(carry)) >> np.uint64(32)).astype(np.uint32) * _FACTORS + _SHIFTS
-    return np.packbits((least >> np.uint32(15)) & np.uint32(1)).view(np.int64).tolist()
-
-
-def _sketches(spark: SparkSession, docs: DataFrame, key: Column, text: Column, keys: DataFrame, k: int) -> DataFrame:
-    """(key, sketch) of the texts named."""
-    keys = broadcast_within(keys.select(F.col("key").alias("__need")))
-    chosen = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(keys, F.col("key") == F.col("__need"), "left_semi")
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(x.as_py(), k) for x in batch.column(1)], pa.list_(pa.int64()))], names=["key", "sketch"])
+    links = write_table(spark, both.where(close).select("a", "b"), "links")
+    discard(spark, pairs, needed, sets)
+    return links
 
-    return chosen.mapInArrow(run, "key binary, sketch array<long>").groupBy("key").agg(F.first("sketch").alias("sketch"))
 
-
-def _dense(fps: DataFrame) -> DataFrame:
-    """The fingerprints that share a part's value with many more than the mean."""
-    parts = F.array(*[F.struct(F.lit(p).alias("part"), v.alias("value")) for p, v in enumerate(_parts(16))])
-    spread = fps.select("fp", F.inline(parts))
-    limit = DENSE * max(1, fps.count() >> 16)
-    dense = spread.groupBy("part", "value").count().where(F.col("count") > limit).select("part", "value")
-    return spread.join(dense, ["part", "value"], "left_semi").select("fp").distinct()
-
-
-def _hubs(dense: DataFrame) -> DataFrame:
-    """Of dense fingerprints, those that have the most others within one bit among their neighbours."""
-    mids = midpoints(dense)
-    counts = mids.groupBy("mid").agg(F.count("*").alias("n")).where("n >= 4")
-    best = mids.join(counts, "mid").groupBy("fp").agg(F.max("n").alias("most"), F.max(F.when(F.col("mid") == F.col("fp"), F.col("n"))).alias("own"))
-    return best.where("own = most").select("fp")
-
-
-#: One text in so many is counted for the order of shingles, and so many frequent shingles at most are told apart.
+#: One text in so many is counted for the order of shingles, and so many frequent shingles at most are told apart. Any
+#: order gives the same groups; these decide how long the lists of texts with a shingle are.
 SAMPLE, FREQUENT = 16, 1 << 17
+#: Texts that share a shingle above which one of them is compared with the others first.
+DENSE = 64
 
 
 def _text_shingles(text: str, k: int) -> np.ndarray:
@@ -323,7 +277,7 @@ def _text_shingles(text: str, k: int) -> np.ndarray:
 
 
 def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, similarity: float, k: int) -> DataFrame:
-    """(key, h, n, at): of each text's n shingles the first n - ceil(similarity n) + 1 in an order that is the same for all texts.
+    """(key, h, n, at), written: of each text's n shingles the first n - ceil(similarity n) + 1 in an order that is the same for all texts.
 
     Texts of that similarity share a shingle of these. The order puts those last that are frequent in a sample; any
     order is right, this one keeps the lists of texts with a shingle short.
@@ -331,7 +285,7 @@ def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, s
     rows = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
 
     def sampled(batches):
-        for batch in batches:
+        for batch in sliced(batches, 0):
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(_text_shingles(x.as_py(), k).view(np.int64))], names=["h"])
 
@@ -343,7 +297,7 @@ def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, s
 
     def run(batches):
         frequent, times = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 1):
             hs, ns, sizes = [np.zeros(0, np.uint64)], [], []
             for x in batch.column(1):
                 found = _text_shingles(x.as_py(), k)
@@ -360,7 +314,9 @@ def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, s
             columns = [batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.array(ns, np.int32)[owner]), pa.array(at.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "n", "at"])
 
-    return rows.mapInArrow(run, "key binary, h long, n int, at int")
+    found = write_table(spark, rows.mapInArrow(run, "key binary, h long, n int, at int"), "prefixes")
+    shared.destroy()
+    return found
 
 
 def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Column, links: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -369,12 +325,12 @@ def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Colum
     Only texts not connected yet are compared, inside the join by shingle, and only if lengths and the places of the
     shingle leave room for the similarity. Where many texts share a shingle, one of them is compared with the others first.
     """
-    posted = write_table(spark, _prefixes(spark, docs, key, text, similarity, k), "prefixes")
+    posted = _prefixes(spark, docs, key, text, similarity, k)
     one = F.xxhash64("key")
     many = posted.groupBy("h").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low != high").select("h")
-    many = broadcast_within(write_table(spark, many, "shared-shingles"))
-    met = write_table(spark, posted.join(many, "h", "left_semi").dropDuplicates(["h", "key"]), "shared-prefixes")
-    discard(spark, posted)
+    many = write_table(spark, many, "shared-shingles")
+    met = write_table(spark, posted.join(broadcast_within(many), "h", "left_semi").dropDuplicates(["h", "key"]), "shared-prefixes")
+    discard(spark, posted, many)
 
     def meeting(left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:
         labels = broadcast_within(connected_components(spark, links))
@@ -392,62 +348,43 @@ def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Colum
         found = _verified(spark, docs, key, text, star, similarity, k)
         links = links.union(found)
     rest = _verified(spark, docs, key, text, meeting(met, met, links).where("a < b").select("a", "b"), similarity, k)
+    discard(spark, met, hubs)
     return rest if found is None else found.union(rest)
 
 
-def near_duplicate_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 7, similarity: float = 0.8, k: int = 5) -> DataFrame:
-    """(key, id, label): each distinct text, its smallest id and its group, for texts linked by similarity.
+def near_duplicate_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, similarity: float = 0.8, k: int = 5) -> DataFrame:
+    """(key, id, label, linked): each distinct text, its smallest id and its group, for texts linked by similarity.
 
     Two texts link when the Jaccard similarity of their sets of k-word shingles is at least `similarity`; groups are
-    connected components. First candidates are pairs whose fingerprints of distinct words differ by at most `radius` (up
-    to 7) bits; anchors are those of 16-bit quarters. So as not to emit all pairs of a large group of near copies, hubs
-    of dense places are compared with their surroundings first, later only texts of different groups are compared, and
-    two texts in dense places meet only if sketches of their shingles are near. What fingerprints and sketches miss is
-    found by an exact join of shingle prefixes, so groups are those of all pairs. Null counts as empty; an empty text
-    links with none but itself. A null id counts only where a text has no other.
+    connected components of all such pairs. First, texts whose fingerprints differ by at most `threshold` bits are found
+    by anchors and verified: copies of one fingerprint against one of them, and fingerprints that anchors link against
+    each other, so candidates grow with the texts. That connects most near copies. An exact join of shingle prefixes
+    then finds every pair between texts that are not connected yet, so the groups depend on neither fingerprints nor
+    table size. Null counts as empty; an empty text links with none but itself. A null id counts only where a text has
+    no other. Repeated rows are one text. An empty table gives an empty result; other columns are not read.
     """
-    if not 0 <= radius <= 7:
-        raise ValueError("quarters cover at most seven bits")
     key, text = text_key(text_col), F.col(f"`{text_col}`")
-    rows = fingerprints(docs, [key.alias("key"), F.col(f"`{id_col}`").alias("id")], text, 1, True)
+    rows = fingerprints(docs, [key.alias("key"), F.col(f"`{id_col}`").alias("id")], text)
     nodes = write_table(spark, rows.groupBy("key").agg(F.min("id").alias("id"), F.first("fp").alias("fp")), "texts")
-    some = nodes.where("fp != 0").select("key", "fp")
-    dense = write_table(spark, _dense(write_table(spark, some.select("fp").distinct(), "word-fingerprints")), "dense-fingerprints")
-    crowded = write_table(spark, some.join(broadcast_within(dense), "fp", "left_semi").select("key"), "dense-texts")
-    sketched = write_table(spark, _sketches(spark, docs, key, text, crowded, k), "sketches")
-    some = write_table(spark, some.join(sketched, "key", "left"), "sketched-texts")
-    hubs = some.join(_hubs(dense), "fp", "left_semi")
-    at = (F.col("part") == F.col("p")) & (F.col("anchor") == F.col("c"))
-    apart = F.col("fp").bitwiseXOR(F.col("fb"))
-    near = (F.bit_count(apart) <= radius) & (F.col("a") != F.col("b"))
-    # A pair meets in each part in which it differs by one bit at most; the first of them keeps it.
-    meets = F.lit(4)
-    for p in reversed(range(4)):
-        meets = F.when(F.bit_count(F.shiftrightunsigned(apart, 16 * p).bitwiseAND(F.lit(0xFFFF).cast("long"))) <= 1, F.lit(p)).otherwise(meets)
-    near = near & (F.col("part") == meets)
-    differ = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    near = near & F.coalesce(differ <= sketch_limit(similarity), F.lit(True))
-    other = [F.col("part").alias("p"), F.col("anchor").alias("c"), F.col("key").alias("b"), F.col("fp").alias("fb"), F.col("sketch").alias("sketch_b")]
-    # Pairs meet whichever of the two visits; hubs are few, so they do.
-    first = visits(hubs, 16).withColumnRenamed("key", "a").join(homes(some, 16).select(*other), at & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    star = _verified(spark, docs, key, text, first, similarity, k)
-    joined = connected_components(spark, star)
-    some = write_table(spark, some.join(joined, F.col("key") == F.col("node"), "left").select("key", "fp", "sketch", F.coalesce("label", "key").alias("comp")), "joined-texts")
-    visit = visits(some, 16).select(*other, F.col("comp").alias("comp_b"))
-    rest = homes(some, 16).withColumnRenamed("key", "a").join(visit, at & near & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b"))).select("a", "b")
-    links = _verified(spark, docs, key, text, rest, similarity, k)
-    links = star.union(links)
+    groups = write_table(spark, nodes.where("fp != 0").groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "text-fingerprints")
+    several = broadcast_within(write_table(spark, groups.where("n > 1").select("fp", "head"), "shared-fingerprints"))
+    same = nodes.join(several, "fp").where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    near = write_table(spark, fingerprint_links(spark, groups.select("fp"), threshold), "fingerprint-links")
+    head = groups.select("fp", "head")
+    apart = near.join(head.withColumnsRenamed({"fp": "a", "head": "ha"}), "a").join(head.withColumnsRenamed({"fp": "b", "head": "hb"}), "b")
+    links = _verified(spark, docs, key, text, same.union(apart.select(F.least("ha", "hb"), F.greatest("ha", "hb"))), similarity, k)
+    discard(spark, near)
     links = links.union(_prefix_links(spark, docs, key, text, links, similarity, k))
     labels = connected_components(spark, links)
     return nodes.join(labels, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("label", "key").alias("label"), F.col("node").isNotNull().alias("linked"))
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 7, similarity: float = 0.8, k: int = 5) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, similarity: float = 0.8, k: int = 5) -> DataFrame:
     """docs with one document of each group of near_duplicate_texts: the one with the smallest id (nulls last, ties by text key).
 
     Exact copies count as one group too; rows that repeat an id and its text share its fate. Columns stay as they are.
     """
-    texts = write_table(spark, near_duplicate_texts(spark, docs, id_col, text_col, radius, similarity, k), "near-groups")
+    texts = write_table(spark, near_duplicate_texts(spark, docs, id_col, text_col, threshold, similarity, k), "near-groups")
     best = texts.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("best"))
     keep = texts.join(best, "label").select("key", F.col("best.id").alias("keep_id"), F.col("best.key").alias("keep_key"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(text_col).alias("key"))
