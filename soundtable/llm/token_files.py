@@ -12,29 +12,32 @@ import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from soundtable.llm.common import new_path, write_table
+from soundtable.llm.common import new_path, sliced, write_table
 from soundtable.llm.files import committed, opened
+from soundtable.llm.ranges import range_bounds, shard_count, shard_of
 
 #: Ones between two entries of the select directory.
 SELECT_STEP = 256
-#: Characters encoded at once.
-ENCODE_CHARS = 1 << 21
-#: Pieces of text whose ids a task remembers (about 100 bytes each), and the characters of the longest such piece.
-MEMO_PIECES, MEMO_CHARS = 1 << 19, 48
+#: Bytes of text encoded at once.
+ENCODE_BYTES = 1 << 21
+#: Pieces of text whose ids a worker remembers (about 200 bytes each), and the characters of the longest such piece.
+MEMO_PIECES, MEMO_CHARS = 1 << 20, 48
 #: New pieces that go to the library as one text.
 JOINED = 128
 
 # After a non-blank, before a space or line end: no match of the byte-level splitting pattern spans such a place, and
 # none looks ahead past it, so both sides get the ids that they have in the whole text.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+# Where no two blanks follow each other and the text does not begin with one, every space and line end is such a place.
+_PAIR = re.compile(r"\s\s|\A\s")
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, bytes long"
 
@@ -170,78 +173,102 @@ def tokenizer(path: str):
 
 class PieceEncoder:
     """Encodes texts by a byte-level tokenizer into bytes (little-endian, `width` each), every piece between safe places
-    once for as long as it is remembered: common words repeat, and the library's time goes into splitting and merging."""
+    once for as long as it is remembered: common words repeat, and the library's time goes into splitting and merging.
+
+    Pieces are remembered in two generations: when the younger is full, it becomes the older, and what was the older
+    and not asked for since is forgotten. A piece's key lacks the space that it begins with.
+    """
 
     def __init__(self, found, width: int):
-        self.found, self.dtype, self.memo = found, f"<u{width}", {}
+        self.found, self.dtype, self.young, self.old = found, f"<u{width}", {}, {}
         vocabulary = found.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id starts with a space byte
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [_SAFE.split(text) for text in texts]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        known = self.memo
-        self._learn(list({p for one in pieces for p in one if p not in known}))
-        coded = [b"".join([known[p] for p in one]) for one in pieces]
-        for p in [p for one in pieces for p in one if len(p) > MEMO_CHARS]:
-            known.pop(p, None)
+        heads, tails = [], []
+        for text in texts:
+            head, *tail = text.replace("\n", " \n").split(" ") if _PAIR.search(text) is None else _keys(_SAFE.split(text))
+            heads.append(head)
+            tails.append(tail)
+        if len(self.young) > MEMO_PIECES // 2:
+            self.young, self.old = {}, self.young
+        new = set().union(*tails).difference(self.young)
+        self._learn(new)
+        known = self.young.__getitem__
+        begun = self._library(heads)
+        coded = [np.array(head.ids, self.dtype).tobytes() + b"".join(map(known, tail)) for head, tail in zip(begun, tails, strict=True)]
+        for piece in new:
+            if len(piece) > MEMO_CHARS:
+                del self.young[piece]
         return coded
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
+        again = new & self.old.keys()
+        self.young.update((p, self.old[p]) for p in again)
         # Pieces with one space, in front, go to the library together: their ids part where an id starts with a space.
-        simple = [p for p in new if p.rfind(" ") == 0 and not p[-1].isspace()]
+        simple, others = [], []
+        for p in new - again:
+            (others if not p or p[0] in "\n" or " " in p or p[-1].isspace() else simple).append(p)
         together = [simple[k : k + JOINED] for k in range(0, len(simple), JOINED)]
-        for group, coded in zip(together, self._library(["".join(group) for group in together])):
+        size = int(self.dtype[-1])
+        for group, coded in zip(together, self._library([" " + " ".join(group) for group in together]), strict=True):
             ids = np.array(coded.ids)
-            data, starts = ids.astype(self.dtype).tobytes(), (np.flatnonzero(self.opens[ids]) * int(self.dtype[-1])).tolist()
+            data, starts = ids.astype(self.dtype).tobytes(), (np.flatnonzero(self.opens[ids]) * size).tolist()
             if len(starts) != len(group):
                 raise ValueError("the tokenizer does not part words at spaces")
-            self.memo.update(zip(group, [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]))
-        others = [p for p in new if p.rfind(" ") != 0 or p[-1].isspace()]
-        for piece, coded in zip(others, self._library(others)):
-            self.memo[piece] = np.array(coded.ids, dtype=self.dtype).tobytes()
+            starts.append(len(data))
+            self.young.update(zip(group, [data[a:b] for a, b in pairwise(starts)], strict=True))
+        for piece, coded in zip(others, self._library([p if p[:1] == "\n" else f" {p}" for p in others]), strict=True):
+            self.young[piece] = np.array(coded.ids, dtype=self.dtype).tobytes()
 
     def _library(self, texts: list[str]) -> list:
         return self.found.encode_batch_fast(texts, add_special_tokens=False)
 
 
+def _keys(pieces: list[str]) -> list[str]:
+    """Pieces after the first begin with a space, which their keys lack, or a line end."""
+    return [pieces[0], *(p[1:] if p[0] == " " else p for p in pieces[1:])]
+
+
+@lru_cache(maxsize=2)
+def piece_encoder(tokenizer_file: str, width: int) -> PieceEncoder:
+    """One for each worker process, so that what a task has learnt serves the next."""
+    return PieceEncoder(tokenizer(tokenizer_file), width)
+
+
 def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Writes the documents' ids in ascending order of id and returns the manifest (shard, path, n_docs, n_tokens, bytes), a row for each file.
 
     Each text (null: empty) is encoded whole without special tokens, and end_id is appended. The tokenizer is byte-level,
-    with the usual splitting pattern (a word takes the space before it). Rows are range-partitioned
-    by id and sorted, so file k + 1 goes on where file k ends; null ids come first, rows that share an id are ordered by
-    text. An empty table makes no file. Other columns are not read. A task streams ids to its file and holds one offset
+    with the usual splitting pattern (a word takes the space before it). Rows are dealt to shards by ranges of the id
+    (rows that share it by a hash of the text) and sorted, so file k + 1 goes on where file k ends; null ids come first.
+    Where a shard begins follows from the rows alone, so the same rows make the same files. An empty table makes no file. Other columns are not read. A task streams ids to its file and holds one offset
     for each document; a repeated task writes the same bytes again and renames them over the first.
     """
     folder = path or new_path(spark, "tokens")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    # By id alone: the driver samples the range's columns, and texts are not to go there.
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    place = [F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.xxhash64("text")]
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bounds = range_bounds(rows.select(place[0].alias("a"), place[1].alias("b")), count, shard_count(size + 16 * count))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), shard_of(*place, bounds).alias("shard"))
+    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("doc_id", "tie", "text")
 
     def run(batches):
         found = tokenizer(tokenizer_file)
         width = 2 if max(found.get_vocab_size() - 1, end_id) < 1 << 16 else 4
-        shard, batches = TaskContext.get().partitionId(), (b for b in batches if b.num_rows)
+        batches = sliced(batches, 1, ENCODE_BYTES)
         batch = next(batches, None)
         if batch is None:
             return
+        shard = batch.column(3)[0].as_py()  # that of all rows of the task
         name = f"{folder}/shard-{shard:06d}.tokens"
-        encoder, end = PieceEncoder(found, width), end_id.to_bytes(width, "little")
+        encoder, end = piece_encoder(tokenizer_file, width), end_id.to_bytes(width, "little")
         with committed(name) as out:
             writer = TokenFileWriter(out, width)
             while batch is not None:
-                ids, texts, first = batch.column(0).to_pylist(), batch.column(1), 0
-                while first < batch.num_rows:
-                    part, size = [], 0
-                    while first + len(part) < batch.num_rows and size < ENCODE_CHARS:
-                        part.append(texts[first + len(part)].as_py())
-                        size += len(part[-1])
-                    for k, coded in enumerate(encoder.encode(part)):
-                        writer.add(ids[first + k], coded + end)
-                    first += len(part)
+                for doc_id, coded in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                    writer.add(doc_id, coded + end)
                 batch = next(batches, None)
             writer.close()
             done = out.tell()
