@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from soundtable.llm import bpe, decontamination, exact_dedup, hmm, language_id, sharding, simhash, token_files, toxicity, warc
@@ -128,14 +130,13 @@ def test_near_copies_of_other_lengths(spark):
     assert found_groups(spark, texts) == shingle_groups(texts)
 
 
-def test_sketches_refuse_no_pair_for_good(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "sketch_limit", lambda similarity: -1)
-    monkeypatch.setattr(simhash, "DENSE", 8)
+@pytest.mark.parametrize("dense", [2, 64])
+def test_near_copies_in_a_large_group(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
     base = [f"base{i}" for i in range(150)]
-    texts = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(90)] + ["a text of its own words"]
-    rows = simhash.fingerprints(spark.createDataFrame([(t,) for t in texts], "text string"), [], F.col("text"), 1, True)
-    assert simhash._dense(rows.distinct()).count()
-    assert found_groups(spark, texts) == shingle_groups(texts)
+    texts = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(90)] + ["a text of its own words", " ", "\n\n", ""]
+    found = found_groups(spark, texts)
+    assert found == shingle_groups(texts[:91]) | {frozenset({i}) for i in (91, 92, 93)}
 
 
 def test_decontamination(spark):
@@ -161,18 +162,55 @@ def test_language(spark):
     assert {r.doc_id for r in language_id.keep_identified(spark, df, model).collect()} == {1, 2}
 
 
-def test_toxicity(spark):
+def toxic_tables(spark):
     good = [f"the weather of day {i} was fine and we went to the garden with friends number {i * 7}" for i in range(60)]
     bad = [f"you are a stupid worthless idiot number {i} and such a pathetic loser friend" for i in range(60)]
-    df = spark.createDataFrame([(t, 0) for t in good] + [(t, 1) for t in bad], "text string, toxic int")
-    model = toxicity.train(spark, df, F.col("text"), F.col("toxic"))
+    docs = spark.createDataFrame(list(enumerate([*good, *bad])), "doc_id long, text string")
+    return docs, docs.select("doc_id", (F.col("doc_id") >= 60).cast("int").alias("toxic"), F.lit("x").alias("text"))
+
+
+def test_toxicity(spark):
+    docs, labels = toxic_tables(spark)
+    model = toxicity.train(spark, docs, labels)
     test = spark.createDataFrame([(1, "a worthless stupid idiot and pathetic loser"), (2, "we went to the garden with friends"), (3, None), (4, "")], "doc_id long, text string")
     score = {r.doc_id: r.score for r in toxicity.score(test, model, F.col("text"), [F.col("doc_id")]).collect()}
     assert score[1] > score[2] and score[3] == score[4] and all(0 <= s <= 1 for s in score.values())
-    nothing = toxicity.train(spark, df.limit(0), F.col("text"), F.col("toxic"))
+    assert toxicity.score(test.limit(0), model, F.col("text"), []).count() == 0
+    nothing = toxicity.train(spark, docs.limit(0), labels)
     assert [r.score for r in toxicity.score(test, nothing, F.col("text"), []).collect()] == [0.0] * 4
 
 
+def test_toxicity_score_by_hand(spark):
+    """The score of a text over 1 MB and of a short one, from the library's compressors alone."""
+    docs, labels = toxic_tables(spark)
+    model = toxicity.train(spark, docs.union(docs), labels.union(labels))
+    assert np.allclose(model.weights, toxicity.train(spark, docs, labels).weights)
+    texts = ["You are a STUPID  idiot\tfriend " * 9, "we went to the garden and you stupid idiot " * 30_000]
+    got = [r.score for r in toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model, F.col("text"), []).collect()]
+    made = [zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(model.dictionaries.common + x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for x in (model.dictionaries.toxic, model.dictionaries.ordinary)]
+    for text, score in zip(texts, got, strict=True):
+        w = [x.encode() for x in words(text)]
+        saved = np.array([len(made[1].compress(b" " + b" ".join(w[i : i + toxicity.SCORE_WORDS]) + b" ")) - len(made[0].compress(b" " + b" ".join(w[i : i + toxicity.SCORE_WORDS]) + b" ")) for i in range(0, len(w), toxicity.SCORE_WORDS)], float)
+        best = sorted(saved)[-3:]
+        values = np.array([saved.mean(), saved.sum() / len(saved) ** 0.5, (saved >= toxicity.MARK_BYTES).mean(), sum(best) / len(best), math.log(len(saved))])
+        z = ((values - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1] - model.shift
+        assert abs(score - 1 / (1 + math.exp(-max(-50, min(50, z))))) < 1e-9
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Copies of one text under many ids count as ids, so no more than the sample is drawn."""
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, "you stupid worthless idiot of a friend").otherwise(F.concat(F.lit("a fine day in the garden "), F.col("id"))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") < 400).cast("int").alias("toxic"))
+    seen = []
+    real = toxicity.write_table
+    toxicity.write_table = lambda spark, df, label: seen.append((label, (got := real(spark, df, label)).count())) or got
+    try:
+        toxicity.train(spark, docs, labels, sample_docs=30)
+    finally:
+        toxicity.write_table = real
+    assert dict(seen) == {"drawn-ids": 60, "toxicity-sample": 60}
+
+
 def test_hmm_likelihood_is_exact():
     rng = np.random.default_rng(5)
     random = lambda *s: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(s))
@@ -188,6 +226,33 @@ def test_hmm_likelihood_is_exact():
         assert abs(got[0] - total) < 1e-8 * max(1, abs(total))
 
 
+def test_baum_welch_counts_from_all_paths():
+    rng = np.random.default_rng(7)
+    random = lambda *s: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(s))
+    model = hmm.Hmm(random(3), random(3), random(3, 3), random(3, 4).T)
+    ids = rng.integers(0, 4, 12).astype(np.int32)
+    starts, lengths, first = np.array([0, 5, 6]), np.array([5, 1, 6]), np.array([True, True, False])
+    begun, moved, emitted = np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3))
+    for s, n, f in zip(starts, lengths, first, strict=True):
+        paths = list(itertools.product(range(3), repeat=int(n)))
+        weight = []
+        for p in paths:
+            x = (model.initial if f else model.usual)[p[0]] * model.emission[ids[s], p[0]]
+            for t in range(1, n):
+                x *= model.transition[p[t - 1], p[t]] * model.emission[ids[s + t], p[t]]
+            weight.append(x)
+        for p, x in zip(paths, np.array(weight) / sum(weight), strict=True):
+            begun[p[0]] += x * f
+            for t in range(n):
+                emitted[ids[s + t], p[t]] += x
+                if t:
+                    moved[p[t - 1], p[t]] += x
+    got = hmm.expectations(model, ids, starts, lengths, first)
+    assert all(np.allclose(x, y) for x, y in zip(got, (begun, moved, emitted), strict=True))
+    slots = np.arange(12, dtype=np.int32)
+    assert np.allclose([hmm.expectations(model, ids, starts, lengths, first, slots, 12)[2][ids == w].sum(axis=0) for w in range(4)], emitted)
+
+
 def test_hmm_scores(spark):
     df = table(spark).withColumn("row", F.lit(1))
     held = F.col("doc_id") % 3 == 0
@@ -202,15 +267,32 @@ def test_hmm_scores(spark):
     assert hmm.score_texts(spark, table(spark, []), {"doc_id": F.col("doc_id")}, ~held, iterations=1).count() == 0
 
 
-def test_hmm_scores_do_not_depend_on_what_is_broadcast(spark):
+def test_hmm_scores_by_the_model(spark, monkeypatch):
+    """Scores are the likelihoods of the model whose emissions every word has: checked against the counts that training wrote."""
     rng = np.random.default_rng(3)
-    texts = [" ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 40, 60)) for i in range(40)]
-    found = []
-    for share in (1, 1 << 16):
-        rows = hmm.score_texts(spark, table(spark, texts), {"doc_id": F.col("doc_id")}, F.col("doc_id") % 4 != 0, states=2, share=share).collect()
-        found.append(sorted(((r.doc_id is None, r.doc_id or 0), r.n_known, r.base_score, r.score) for r in rows))
-    for one, other in zip(*found, strict=True):
-        assert one[:2] == other[:2] and np.allclose(one[2:], other[2:], rtol=1e-6)
+    texts = [" ".join(f"{'ab'[i % 2]}{int(x)}" for x in rng.exponential(30, 60)) for i in range(60)]
+    found = {}
+    real_train, real_scoring = hmm.train, hmm._scoring
+    monkeypatch.setattr(hmm, "discard", lambda *a: None)
+    monkeypatch.setattr(hmm, "train", lambda *a: found.setdefault("train", real_train(*a)))
+    monkeypatch.setattr(hmm, "_scoring", lambda shared, kept: found.setdefault("now", shared.value) and real_scoring(shared, kept))
+    rows = hmm.score_texts(spark, table(spark, texts), {"doc_id": F.col("doc_id")}, F.col("doc_id") % 4 != 0, states=3, share=100, block_tokens=500).collect()
+    now, vocabulary = found["now"]
+    rare = {bytes(r.word): r.c * np.frombuffer(r.shares, np.uint8).astype(float) / 255 for r in found["train"][3].collect()}
+    assert 0 < len(vocabulary) <= 100 and len(rare) > 20
+    seen = [w for i, t in enumerate(texts) if i % 4 for w in words(t)] + words(texts[-1]) * ((len(texts) - 1) % 4 != 0)
+    assert {w: seen.count(w.decode()) for w in rare} == {bytes(r.word): r.c for r in found["train"][3].collect()}
+    emission = {w: now.emission[i] for w, i in vocabulary.items()} | dict(zip(rare, now.emissions(np.array(list(rare.values()))), strict=True))
+    unknown = np.full(3, 1 / (now.total + now.distinct + 1))
+    assert np.allclose(sum(emission.values()) + now.emission[-1] + unknown, 1, atol=0.02)
+    for r in rows:
+        text, alpha, total = dict(enumerate(texts)).get(r.doc_id, "null id"), None, 0.0
+        for e in [*(emission.get(w.encode(), unknown) for w in words(text)), now.emission[-1]]:
+            alpha = (now.initial if alpha is None else alpha @ now.transition) * e
+            total, alpha = total + math.log10(alpha.sum()), alpha / alpha.sum()
+        assert abs(total - r.score) < 1e-6 * abs(total)
+    better = [r.score > r.base_score for r in rows if r.doc_id is not None and r.doc_id % 4]
+    assert sum(better) > len(better) / 2
 
 
 def test_elias_fano():
@@ -255,6 +337,53 @@ def test_exact(spark):
     assert kept.columns == table(spark).columns and kept.count() == sum(r.kept for r in rows)
 
 
+@pytest.mark.parametrize("leaves", [2, 17, 300])
+def test_tree_merge_meets_every_run(spark, leaves):
+    """One hot text in every run, others in two runs each; each level reduces what a run sends."""
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 400)).alias("text"))
+    runs = exact_dedup.digest_runs(docs.repartition(leaves), "doc_id", "text")
+    rounds = exact_dedup.rounds_for(runs)
+    assert rounds == {2: 1, 17: 2, 300: 3}[leaves]
+    merged = exact_dedup.merge_runs(runs, rounds)
+    got = {(bytes(r.digest), r.keep_id, r.group_size) for r in merged.collect()}
+    want = {}
+    for i in range(1200):
+        d = hashlib.sha256(b"hot" if i % 3 == 0 else f"t{i % 400}".encode()).digest()
+        want[d] = (i, want.get(d, (0, 0))[1] + 1)
+    assert got == {(d, i, n) for d, (i, n) in want.items()}
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") >= 2 * rounds and "Python" not in plan
+
+
+def test_archives_do_not_depend_on_partitions(spark, tmp_path, monkeypatch):
+    from soundtable.llm import ranges
+
+    monkeypatch.setattr(ranges, "SMALL_BYTES", 4000)
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), F.col("id")).alias("url"), F.repeat(F.concat(F.lit("<p>"), F.col("id") % 90), 20).alias("html"))
+    seen = []
+    for n in (1, 7):
+        manifest = warc.write_warc(spark, pages.repartition(n), roll_bytes=3000, path=str(tmp_path / f"w{n}"))
+        files = sorted((r.shard, r.file, r.records, r.bytes, hashlib.sha1(open(r.path, "rb").read()).digest()) for r in manifest.collect())
+        seen.append(files)
+        rows = warc.read_warc(manifest).collect()
+        assert sorted(r.page_id for r in rows) == list(range(300))
+    assert seen[0] == seen[1] and len({f[0] for f in seen[0]}) > 3
+    record = warc.build_record(1, "http://h/1", b"x", 9, True, "http://h/9")
+    raw = __import__("gzip").decompress(record).decode()
+    other = __import__("gzip").decompress(warc.build_record(9, "http://h/9", b"x", None, False)).decode()
+    name = re.search("WARC-Record-ID: (.*)\r", other)[1]
+    assert f"WARC-Refers-To: {name}" in raw and "WARC-Refers-To-Target-URI: http://h/9" in raw and "WARC-Refers-To-Date: 2000" in raw
+
+
+def test_range_bounds_of_many_shards(spark):
+    from soundtable.llm import ranges
+
+    bounds = sorted({(int(x), int(y)) for x, y in np.random.default_rng(1).integers(-9, 9, (700, 2)) * 1000})
+    keys = [*bounds, *((x, y + 1) for x, y in bounds), *((x, y - 1) for x, y in bounds), (-(2**63), 0), (2**62, 5)]
+    got = spark.createDataFrame(keys, "a long, b long").withColumn("shard", ranges.shard_of(F.col("a"), F.col("b"), bounds)).collect()
+    assert all(r.shard == sum(b <= (r.a, r.b) for b in bounds) for r in got)
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/ b", "<p>x"), (2, None, "<p>x"), (3, "u", None), (4, "u", ""), (4, "u", ""), (None, "n\nn", "<p>x"), (9, "ü", "é" * 9)], "page_id long, url string, html string")
     manifest = warc.write_warc(spark, pages, roll_bytes=600, path=str(tmp_path / "w"))
