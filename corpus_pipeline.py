@@ -12,7 +12,7 @@ from soundtable.llm.common import load, write_table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in no known language go (no letters, empty, null)."""
-    model = language_id.train(spark, docs, F.col("text"), F.col("lang"))
+    model = language_id.train(spark, docs, F.col("text"), F.col("lang"), F.col("doc_id"))
     return language_id.keep_identified(spark, docs, model)
 
 
@@ -32,11 +32,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, ids, n_tokens, decoded_ok): the encoded documents, and whether decoding gives the text back."""
+    """(doc_id, lang, source, ids, n_tokens, decoded_ok): the encoded documents, and whether decoding gives the text back. A null text has no ids."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs.withColumn("__sum", F.sha2(F.coalesce("text", F.lit("")), 256)), ranks, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "__sum"))
-    decoded = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
-    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("__sum")).alias("decoded_ok"))
+    rows = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sum"))
+    encoded = bpe.encode(rows, ranks, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "sum"), decoded=True)
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("sum")).alias("decoded_ok"))
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_near_dedup", near), ("decontaminate", decontaminate), ("bpe", tokens)]
