@@ -258,8 +258,9 @@ def _verified(spark: SparkSession, docs: DataFrame, key: Column, text: Column, p
 #: One text in so many is counted for the order of shingles, and so many frequent shingles at most are told apart. Any
 #: order gives the same groups; these decide how long the lists of texts with a shingle are.
 SAMPLE, FREQUENT = 16, 1 << 17
-#: Texts that share a shingle above which one of them is compared with the others first.
-DENSE = 64
+
+#: Texts of a list with a shingle from which several of them, and about how many, are compared with the others first.
+LONG_LIST, HUBS = 64, 64
 
 
 def _text_shingles(text: str, k: int) -> np.ndarray:
@@ -277,7 +278,7 @@ def _text_shingles(text: str, k: int) -> np.ndarray:
 
 
 def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, similarity: float, k: int) -> DataFrame:
-    """(key, h, n, at), written: of each text's n shingles the first n - ceil(similarity n) + 1 in an order that is the same for all texts.
+    """(key, h, n), written: of each text's n shingles the first n - ceil(similarity n) + 1 in an order that is the same for all texts.
 
     Texts of that similarity share a shingle of these. The order puts those last that are frequent in a sample; any
     order is right, this one keeps the lists of texts with a shingle short.
@@ -310,11 +311,10 @@ def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, s
                 sizes.append(size)
             sizes = np.array(sizes, np.int64)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            columns = [batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.array(ns, np.int32)[owner]), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "n", "at"])
+            columns = [batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.array(ns, np.int32)[owner])]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "n"])
 
-    found = write_table(spark, rows.mapInArrow(run, "key binary, h long, n int, at int"), "prefixes")
+    found = write_table(spark, rows.mapInArrow(run, "key binary, h long, n int"), "prefixes")
     shared.destroy()
     return found
 
@@ -322,34 +322,41 @@ def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, s
 def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Column, links: DataFrame, similarity: float, k: int) -> DataFrame:
     """Links (a, b) that, with the given ones, connect all texts of that similarity: an exact join by prefixes.
 
-    Only texts not connected yet are compared, inside the join by shingle, and only if lengths and the places of the
-    shingle leave room for the similarity. Where many texts share a shingle, one of them is compared with the others first.
+    Only texts not connected yet are compared, inside the join by shingle. What two texts with n and m shingles have in
+    common is at most what their prefixes share and the larger rest behind the prefixes: of the two prefixes one ends
+    first in the common order, and its shingles are in the other text only if they are in the other prefix. So pairs
+    whose prefixes share too little never get as far as their whole sets. Where several texts share a shingle, the one
+    with the least hash (of many texts some more) is first compared with the others; that connects large groups by few pairs.
     """
     posted = _prefixes(spark, docs, key, text, similarity, k)
     one = F.xxhash64("key")
     many = posted.groupBy("h").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low != high").select("h")
     many = write_table(spark, many, "shared-shingles")
-    met = write_table(spark, posted.join(broadcast_within(many), "h", "left_semi").dropDuplicates(["h", "key"]), "shared-prefixes")
+    met = write_table(spark, posted.join(broadcast_within(many), "h", "left_semi").dropDuplicates(["h", "key"]).select("h", "key", "n"), "shared-prefixes")
     discard(spark, posted, many)
+    rest = lambda n: F.ceil(F.col(n) * F.lit(similarity) - 1e-9) - 1
+    needed = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
 
-    def meeting(left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:
+    def meeting(left: DataFrame, links: DataFrame, parts: int = 1) -> DataFrame:
         labels = broadcast_within(connected_components(spark, links))
-        named = lambda df: df.join(labels, F.col("key") == F.col("node"), "left").select("key", "h", "n", "at", F.coalesce("label", "key").alias("comp"))
-        other = named(right).select(F.col("h").alias("g"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("comp").alias("comp_b"))
+        named = lambda df: df.join(labels, F.col("key") == F.col("node"), "left").select("key", "h", "n", F.coalesce("label", "key").alias("comp"))
+        other = named(met).select(F.col("h").alias("g"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
         long = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-6
-        room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
-        return named(left).withColumnRenamed("key", "a").join(other, (F.col("h") == F.col("g")) & (F.col("comp") != F.col("comp_b")) & long & room)
-
-    hubs = met.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("at", "key", "n")).alias("hub")).where(F.col("c") > DENSE)
-    hubs = write_table(spark, hubs.select("h", "hub.key", "hub.n", "hub.at"), "prefix-hubs")
-    found = None
-    if hubs.limit(1).count():
-        star = meeting(hubs, met, links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = _verified(spark, docs, key, text, star, similarity, k)
-        links = links.union(found)
-    rest = _verified(spark, docs, key, text, meeting(met, met, links).where("a < b").select("a", "b"), similarity, k)
-    discard(spark, met, hubs)
-    return rest if found is None else found.union(rest)
+        once = F.lit(True) if left is not met else F.col("a") < F.col("b")
+        pairs = named(left).withColumnRenamed("key", "a").join(other, (F.col("h") == F.col("g")) & (F.col("comp") != F.col("comp_b")) & long & once)
+        shared = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"))
+        return shared.where(F.col("both") * parts + F.greatest(rest("n"), rest("m")) >= needed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    sizes = write_table(spark, met.groupBy("h").agg(F.count("*").alias("c"), F.min(one).alias("least")).where("c > 2"), "prefix-list-sizes")
+    # Of a long list about HUBS texts, those with low hashes, so that lists with the same texts have the same hubs.
+    low = F.pmod(one, F.lit(1 << 30)) * F.col("c") < F.lit(HUBS << 30)
+    hubs = met.join(broadcast_within(sizes), "h").where((one == F.col("least")) | (F.col("c") > LONG_LIST) & low)
+    hubs = write_table(spark, hubs.select("h", "key", "n"), "prefix-hubs")
+    # What two texts share may have several hubs, so here a part of it will do. What this leaves out is left to the whole join.
+    star = _verified(spark, docs, key, text, meeting(hubs, links, 4), similarity, k)
+    others = _verified(spark, docs, key, text, meeting(met, links.union(star)), similarity, k)
+    discard(spark, met, hubs, sizes)
+    return star.union(others)
 
 
 def near_duplicate_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, similarity: float = 0.8, k: int = 5) -> DataFrame:
