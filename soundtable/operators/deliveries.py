@@ -36,14 +36,14 @@ PLACEMENTS = [
 def parse_render_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, file_no, file and each measure of STAT_KEYS): a row for each FILE block of `KEY:VALUE;...` texts, from 1.
 
-    Pairs before the first block do not count; of a measure's numeric values the last one holds.
+    Pairs before the first block do not count; of a measure's numeric values (infinities are) the last one holds.
     """
     pairs = df.select(key, F.posexplode(F.split(text, ";")).alias("at", "pair")).where(F.instr("pair", ":") > 0)
     name = F.upper(F.regexp_replace(F.substring_index("pair", ":", 1), "[^A-Za-z0-9]", ""))
     value = F.expr("substr(pair, instr(pair, ':') + 1)")
     named = pairs.select(key, "at", name.alias("name"), value.alias("value"))
     block = F.sum((F.col("name") == "FILE").cast("int")).over(W.partitionBy(key).orderBy("at"))
-    number = F.regexp_extract("value", r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
+    number = F.regexp_extract("value", r"(?i)^\s*([+-]?(?:inf(?:inity)?|[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
     wide = named.withColumns({"file_no": block, "number": F.when(number != "", number).cast("double")}).where("file_no > 0")
     last = [F.max_by("number", F.when(F.col("name").isin(*names) & F.col("number").isNotNull(), F.col("at"))).alias(measure) for measure, names in STAT_KEYS.items()]
     return wide.groupBy(key, "file_no").agg(F.max(F.when(F.col("name") == "FILE", F.col("value"))).alias("file"), *last)

@@ -57,13 +57,22 @@ def waveform_overview(samples: DataFrame, keys: list[str], buckets: int = 512) -
 
 
 def power_bins(samples: DataFrame, keys: list[str], frames_per_bin: int, weight: Column | None = None) -> DataFrame:
-    """Weighted squares summed over channels and bins; a partial aggregation before anything is shuffled."""
+    """(keys, bin, power, frames): mean weighted square, summed over channels; a partial aggregation before anything is
+    shuffled. The last bin of a program may have fewer than frames_per_bin `frames`; its mean is over those."""
     square = F.col("x") * F.col("x") * (F.lit(1.0) if weight is None else weight)
-    return samples.groupBy(*keys, F.floor(F.col("frame") / frames_per_bin).alias("bin")).agg((F.sum(square) / frames_per_bin).alias("power"))
+    frames = F.max(F.col("frame") % frames_per_bin) + 1
+    binned = samples.groupBy(*keys, F.floor(F.col("frame") / frames_per_bin).alias("bin")).agg((F.sum(square) / frames).alias("power"), frames.alias("frames"))
+    return binned.withColumn("whole", F.col("frames") == frames_per_bin)
+
+
+def _counted(bins: DataFrame) -> DataFrame:
+    """Bins of another origin than power_bins are whole and weigh alike."""
+    return bins if "whole" in bins.columns else bins.withColumns({"frames": F.lit(1), "whole": F.lit(True)})
 
 
 def blocks(bins: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """Mean power of each full run of `length` bins, at its last bin."""
+    """Mean power of each full run of `length` whole bins, at its last bin."""
+    bins = _counted(bins).where("whole")
     w = W.partitionBy(*keys).orderBy("bin").rowsBetween(1 - length, 0)
     return bins.select(*keys, "bin", (F.sum("power").over(w) / length).alias("p"), F.count("*").over(w).alias("n")).where(F.col("n") == length).drop("n")
 
@@ -71,7 +80,8 @@ def blocks(bins: DataFrame, keys: list[str], length: int) -> DataFrame:
 def gated_loudness(bins: DataFrame, keys: list[str], length: int = 4) -> DataFrame:
     """BS.1770 gates: blocks above -70, then above the mean of those less 10 LU. A program shorter than a block is not
     gated; one whose blocks all fall below reads the floor."""
-    ungated = bins.groupBy(*keys).agg(F.avg("power").alias("all_power"))
+    bins = _counted(bins)
+    ungated = bins.groupBy(*keys).agg((F.sum(F.col("power") * F.col("frames")) / F.sum("frames")).alias("all_power"))
     block = blocks(bins, keys, length).withColumn("l", lufs(F.col("p")))
     first = block.groupBy(*keys).agg(F.count("*").alias("total_blocks"), F.avg(F.when(F.col("l") > -70, F.col("p"))).alias("mean1"))
     second = block.join(first, keys).where((F.col("l") > -70) & (F.col("l") > lufs(F.col("mean1")) - 10)).groupBy(*keys).agg(F.avg("p").alias("mean2"), F.count("*").alias("gated_blocks"))
@@ -84,6 +94,7 @@ def gated_loudness(bins: DataFrame, keys: list[str], length: int = 4) -> DataFra
 
 def loudness_timeline(bins: DataFrame, keys: list[str], momentary: int = 4, short_term: int = 30) -> DataFrame:
     """Momentary and short-term loudness at each bin from the first full momentary block; the short-term window grows until it is full."""
+    bins = _counted(bins).where("whole")
     order = W.partitionBy(*keys).orderBy("bin")
     m, s = order.rowsBetween(1 - momentary, 0), order.rowsBetween(1 - short_term, 0)
     wide = bins.select(*keys, "bin", F.avg("power").over(m).alias("pm"), F.count("*").over(m).alias("nm"), F.avg("power").over(s).alias("ps"), F.count("*").over(s).alias("ns"))
@@ -141,7 +152,9 @@ def mid_side(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def active_fraction(bins: DataFrame, keys: list[str], threshold_db: float = -60.0) -> DataFrame:
-    return bins.groupBy(*keys).agg(F.avg((pow_to_db(F.col("power")) > threshold_db).cast("double")).alias("active"))
+    """Share of the whole windows whose power is above the threshold; 0 for a program shorter than one."""
+    above = (pow_to_db(F.col("power")) > threshold_db).cast("double")
+    return _counted(bins).groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("whole"), above)), F.lit(0.0)).alias("active"))
 
 
 def spec_table(spark) -> DataFrame:
@@ -150,13 +163,19 @@ def spec_table(spark) -> DataFrame:
     return named.select("*", F.explode(F.concat(F.array("spec"), "aliases")).alias("asked"))
 
 
-def check_deliverable(measures: DataFrame, spec: str, eps: float = 1e-6) -> DataFrame:
-    """measures (channels, lufs, true_peak, short_term_max, null where unknown) with a verdict for each gate and over all; null where nothing gates."""
+def check_deliverable(measures: DataFrame, spec: str, eps: float = 1e-6, tol: float | None = None) -> DataFrame:
+    """measures (channels, lufs, true_peak, short_term, null where unknown) with a verdict for each gate and over all; null where nothing gates.
+
+    A spec goes by its name or an alias, in any case; an unknown one is an error. `tol` takes the place of its tolerance.
+    """
+    spec = spec.strip().lower()
+    if spec not in {name for row in SPECS for name in (row[0], *row[1])}:
+        raise ValueError(f"no deliverable spec has the name {spec!r}")
     found = F.broadcast(spec_table(measures.sparkSession).where(F.col("asked") == spec).drop("asked", "aliases"))
     wide = measures.crossJoin(found)  # one row
     target = F.when((F.col("channels") == 1) & F.col("target_mono").isNotNull(), F.col("target_mono")).otherwise(F.col("target"))
     gates = {
-        "lufs_pass": F.abs(F.col("lufs") - target) <= F.col("tol") + eps,
+        "lufs_pass": F.abs(F.col("lufs") - target) <= (F.col("tol") if tol is None else F.lit(tol)) + eps,
         "short_term_pass": F.col("short_term") <= F.col("short_term_max") + eps,
         "true_peak_pass": F.col("true_peak") <= F.col("true_peak_max") + eps,
     }

@@ -74,8 +74,8 @@ def tempo_positions(tempo: DataFrame, key: str) -> DataFrame:
 
 
 def time_to_qn(df: DataFrame, tempo: DataFrame, key: str, time: str) -> DataFrame:
-    """df with `qn` through the tempo map (our definition); 120 bpm where a key has no marker before."""
-    laid = tempo_positions(tempo, key).select(key, F.col(time if time in tempo.columns else "time").alias("t0"), "until", "bpm", F.col("qn").alias("q0"))
+    """df with `qn` through the tempo map (our definition); 120 bpm where a key has no marker before. Markers have their place in `time`, whatever else they have."""
+    laid = tempo_positions(tempo.select(key, "time", "bpm"), key).select(key, F.col("time").alias("t0"), "until", "bpm", F.col("qn").alias("q0"))
     at: Column = F.col(time)
     joined = df.join(laid, (df[key] == laid[key]) & (at >= F.col("t0")) & (at < F.coalesce("until", F.lit(float("inf")))), "left").drop(laid[key])
     return joined.withColumn("qn", F.coalesce(F.col("q0") + (at - F.col("t0")) * F.col("bpm") / 60, at * 2.0)).drop("t0", "until", "bpm", "q0")

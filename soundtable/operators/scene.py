@@ -37,13 +37,17 @@ def spatial_field(scene: DataFrame, keys: list[str], n3d: bool = False) -> DataF
 
 
 def spatial_field_timeline(scene: DataFrame, keys: list[str], window: int, hop: int) -> DataFrame:
-    """The field of each full window of `window` frames, a multiple of hop, at each hop: sums of hops first, then a frame over them."""
+    """The field of each full window of `window` frames, a multiple of hop, at each hop: sums of hops first, then a frame
+    over them. A program shorter than a window has one, over what it has."""
+    if hop < 1 or window % hop:
+        raise ValueError("the window must be a multiple of the hop")
     per = window // hop
     bins = scene.groupBy(*keys, F.floor(F.col("frame") / hop).alias("bin")).agg(*field_sums())
     w = W.partitionBy(*keys).orderBy("bin").rowsBetween(0, per - 1)
     names = ["n", "ww", "dd", "ix", "iy", "iz"]
-    rolled = bins.select(*keys, "bin", *[F.sum(c).over(w).alias(c) for c in names])
-    return field_of_sums(rolled.where(F.col("n") == window), [*keys, "bin"])
+    total = F.sum("n").over(W.partitionBy(*keys)).alias("total")
+    rolled = bins.select(*keys, "bin", total, *[F.sum(c).over(w).alias(c) for c in names])
+    return field_of_sums(rolled.where((F.col("n") == window) | (F.col("total") < window) & (F.col("bin") == 0)).drop("total"), [*keys, "bin"])
 
 
 def covariance(scene: DataFrame, keys: list[str], channels: int) -> DataFrame:

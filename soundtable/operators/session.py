@@ -13,10 +13,18 @@ DENIED_IDS = (40860,)
 
 
 def send_occupancy(sends: DataFrame, bus: str, expected: DataFrame | None = None) -> DataFrame:
-    """(bus, channel, uses, issue) for each channel up to the highest in use: collision, gap or null."""
-    each = sends.select(bus, F.explode(F.sequence(F.col("dst"), F.col("dst") + F.col("width") - 1)).alias("channel"))
+    """(bus, channel, uses, issue) for each channel up to the highest in use: collision, gap or null.
+
+    A send takes one channel at least; sends without a first channel are silent and take none. `expected` (bus, channels)
+    names buses and how many channels they should have: channels up to that are listed too, as gaps where nothing uses them.
+    """
+    wide = F.greatest(F.col("width"), F.lit(1))
+    each = sends.where("dst >= 0").select(bus, F.explode(F.sequence(F.col("dst"), F.col("dst") + wide - 1)).alias("channel"))
     used = each.groupBy(bus, "channel").agg(F.count("*").alias("uses"))
     top = used.groupBy(bus).agg(F.max("channel").alias("top"))
+    if expected is not None:
+        more = expected.groupBy(bus).agg((F.max("channels") - 1).cast("int").alias("top")).where("top >= 0")
+        top = top.unionByName(more).groupBy(bus).agg(F.max("top").alias("top"))
     every = top.select(bus, F.explode(F.sequence(F.lit(0), F.col("top"))).alias("channel"))
     out = every.join(used, [bus, "channel"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
     return out.withColumn("issue", F.when(F.col("uses") > 1, "collision").when(F.col("uses") == 0, "gap"))
@@ -64,9 +72,11 @@ def audit_actions(actions: DataFrame, name: str, ident: str, denied_ids=DENIED_I
 
 
 def chunk_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, depth, line): lines of a state text with their block depth, counted after a line that opens and before one that closes."""
-    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    bare = F.trim("line")
+    """(key, line_no, depth, line): lines of a state text with their block depth, counted after a line that opens and before one that closes.
+
+    Lines may end in CR LF; blanks and tabs around a line do not count for its depth."""
+    lines = df.select(key, F.posexplode(F.split(F.col(text), "\r?\n")).alias("line_no", "line"))
+    bare = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
     change = F.when(bare.startswith("<"), 1).when(bare == ">", -1).otherwise(0)
     w = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     return lines.withColumn("depth", F.sum(change).over(w))
@@ -87,15 +97,21 @@ def implode_to_takes(items: DataFrame, keys: list[str], order: list[str], item:
     return items.withColumns({"take": F.row_number().over(w) - 1, "into": F.first(item).over(w)})
 
 
-def resolve_params(requests: DataFrame, params: DataFrame, asked: str, name: str) -> DataFrame:
+def resolve_params(requests: DataFrame, params: DataFrame, asked: str, name: str, unmatched: bool = True, most: int = 10_000) -> DataFrame:
     """(asked, tier, candidates, idx): exact, case-insensitive, then substring matches; the first tier with hits decides,
-    several hits are ambiguous and give no index. requests: distinct names, far fewer than params."""
+    several hits are ambiguous and give no index. A request without a hit has no tier and no candidates (or, unless
+    `unmatched`, no row). requests: distinct names, `most` at most, as each is looked for in every parameter name."""
+    if requests.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} names are asked for")
     low_a, low_n = F.lower(F.col(asked)), F.lower(F.col(name))
     met = params.join(F.broadcast(requests), low_n.contains(low_a))
     tier = F.when(F.col(asked) == F.col(name), 1).when(low_a == low_n, 2).otherwise(3)
     best = met.groupBy(asked, tier.alias("tier")).agg(F.count("*").alias("candidates"), F.min("idx").alias("idx"))
     first = best.groupBy(asked).agg(F.min(F.struct("tier", "candidates", "idx")).alias("b"))
-    return first.select(asked, "b.tier", "b.candidates", F.when(F.col("b.candidates") == 1, F.col("b.idx")).alias("idx"))
+    found = first.select(asked, "b.tier", "b.candidates", F.when(F.col("b.candidates") == 1, F.col("b.idx")).alias("idx"))
+    if not unmatched:
+        return found
+    return requests.select(asked).join(found, asked, "left").select(asked, "tier", F.coalesce("candidates", F.lit(0)).alias("candidates"), "idx")
 
 
 def pack_census(refs: DataFrame, key: str, ref: str) -> DataFrame:

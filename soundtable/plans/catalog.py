@@ -475,7 +475,7 @@ def split_items(spark, sf):
     SELECT asked, tier, candidates, CASE WHEN candidates = 1 THEN idx END AS idx FROM f JOIN b USING (asked, tier)""")
 def param_resolve(spark, sf):
     asked = spark.createDataFrame([(x,) for x in ("NATION_7", "nation_11", "ION_2", "_24", "nobody")], "asked string")
-    return session.resolve_params(asked, B.table(spark, sf, "nation").withColumn("idx", F.col("n_nationkey")), "asked", "n_name")
+    return session.resolve_params(asked, B.table(spark, sf, "nation").withColumn("idx", F.col("n_nationkey")), "asked", "n_name", unmatched=False)
 
 
 NAMES = "CASE WHEN c_custkey % 4 = 0 THEN 'Track ' || c_custkey WHEN c_custkey % 4 = 1 THEN '' WHEN c_custkey % 4 = 2 THEN c_name ELSE '?? !' END"

@@ -3,11 +3,12 @@
 import math
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from soundtable.functions import harmonics
 from soundtable.functions import scalars as H
-from soundtable.operators import meter, notes, scene, sends, session, weighting
+from soundtable.operators import deliveries, meter, notes, scene, sends, session, weighting
 from soundtable.sources import wav
 
 
@@ -154,3 +155,60 @@ def test_sends_of_a_source_with_several_roster_rows(spark):
     existing = spark.createDataFrame([(1, 10, 7, 5, 1), (1, 11, 7, 0, 1), (1, 12, 9, 1, 1), (1, 13, 8, 3, 2), (1, 14, 8, 9, 2)], "bus int, send_index int, source int, dst int, width int")
     got = {(r.slot, r.send_index, r.action) for r in sends.reconcile_sends(roster, existing).collect()}
     assert got == {(0, 11, "reuse"), (1, 10, "reuse"), (2, None, "add"), (3, 14, "reuse"), (None, 12, "stray"), (None, 13, "stray")}
+
+
+def test_partial_last_bin(spark):
+    """31 frames of 0.1, 10 a bin: no whole block of four bins; the mean is over the frames that there are."""
+    samples = spark.range(31).select(F.lit("p").alias("program"), F.col("id").alias("frame"), F.lit(0.1).alias("x"))
+    bins = meter.power_bins(samples, ["program"], 10)
+    row = meter.gated_loudness(bins, ["program"]).first()
+    level = -0.691 + 10 * math.log10(0.01)
+    assert (row.total_blocks, row.gated_blocks) == (0, 0) and abs(row.ungated - level) < 1e-9 and abs(row.integrated - level) < 1e-9
+    assert meter.loudness_timeline(bins, ["program"], 4, 30).count() == 0 and meter.loudness_timeline(bins, ["program"], 3, 30).count() == 1
+    quiet = bins.withColumn("power", F.when(F.col("whole"), F.col("power")).otherwise(0.0))
+    assert meter.active_fraction(quiet, ["program"]).first().active == 1.0
+
+
+def test_deliverable_names(spark):
+    measures = spark.createDataFrame([(2, -16.0, -2.0, None)], "channels int, lufs double, true_peak double, short_term double")
+    assert meter.check_deliverable(measures, " Podcast").first()["pass"] is True
+    assert meter.check_deliverable(measures.withColumn("lufs", F.col("lufs") - 3), "PODCAST", tol=5.0).first().lufs_pass
+    with pytest.raises(ValueError):
+        meter.check_deliverable(measures, "nobody")
+
+
+def test_short_scene_has_one_window(spark):
+    frames = spark.range(7).select(F.lit("p").alias("program"), F.col("id").alias("frame"), F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 1.0)]).alias("acn"))
+    assert [r.bin for r in scene.spatial_field_timeline(frames, ["program"], 10, 5).collect()] == [0]
+    assert scene.spatial_field_timeline(frames, ["program"], 6, 3).count() == 1
+    with pytest.raises(ValueError):
+        scene.spatial_field_timeline(frames, ["program"], 10, 4)
+
+
+def test_sends_of_no_width_and_expected_channels(spark):
+    sends = spark.createDataFrame([("a", 5, 0), ("a", 0, 2), ("a", -1, 2)], "bus string, dst int, width int")
+    expected = spark.createDataFrame([("a", 8), ("b", 1)], "bus string, channels int")
+    found = {(r.bus, r.channel): (r.uses, r.issue) for r in session.send_occupancy(sends, "bus", expected).collect()}
+    gap, used = (0, "gap"), (1, None)
+    assert found == {("a", i): used if i in (0, 1, 5) else gap for i in range(8)} | {("b", 0): gap}
+
+
+def test_state_text_with_tabs_and_crlf(spark):
+    text = "<TRACK\r\n\t<ITEM\r\n\t\tNAME x\r\n\t>\r\n>\r\n"
+    lines = session.chunk_lines(spark.createDataFrame([(1, text)], "k int, text string"), "k", "text")
+    assert [r.depth for r in lines.orderBy("line_no").collect()][:5] == [1, 2, 2, 1, 0]
+    assert session.validate_chunks(lines, "k").first()[1:] == (0, True)
+
+
+def test_infinite_stats_and_unmatched_names(spark):
+    stats = deliveries.parse_render_stats(spark.createDataFrame([(1, "FILE:a.wav;LUFSI:-inf")], "k int, text string"), "k", "text").first()
+    assert float("-inf") in stats.asDict().values()
+    asked = spark.createDataFrame([("gain",), ("nothing",)], "asked string")
+    params = spark.createDataFrame([(3, "Gain")], "idx int, name string")
+    assert sorted(tuple(r) for r in session.resolve_params(asked, params, "asked", "name").collect()) == [("gain", 2, 1, 3), ("nothing", None, 0, None)]
+
+
+def test_tempo_may_have_other_columns(spark):
+    grid = spark.createDataFrame([("m", 3.0)], "map string, pos double")
+    tempo = spark.createDataFrame([("m", 0.0, 60.0, 9.0), ("m", 2.0, 120.0, 9.0)], "map string, time double, bpm double, pos double")
+    assert notes.time_to_qn(grid, tempo, "map", "pos").first().qn == 4.0
