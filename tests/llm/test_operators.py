@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -211,6 +212,18 @@ def test_toxicity_sample_is_bounded(spark):
     assert dict(seen) == {"drawn-ids": 60, "toxicity-sample": 60}
 
 
+def test_pages(spark):
+    hostile = ["<" * 300_000, "<!--" * 90_000, "<script" * 60_000, "<html lang" * 60_000, "<a " * 100_000, "</script  " * 60_000]
+    pages = ["<HTML class=x lang='EN-us'><p>the dog &amp; 1 < 2</p><style>x{}</style><!-- no --><script>if (a<b)</script >end", "<html><body lang=de>", None, "plain", "x <p unclosed", "a <!-- open"]
+    df = spark.createDataFrame([(p,) for p in [*pages, *hostile]], "html string")
+    began = time.time()
+    rows = df.select(language_id.html_text(F.col("html")).alias("text"), language_id.declared_language(F.col("html")).alias("declared")).collect()
+    assert time.time() - began < 60
+    assert [(r.text and r.text.split(), r.declared) for r in rows[:6]] == [(["the", "dog", "1", "<", "2", "end"], "en"), ([], None), (None, None), (["plain"], None), (["x"], None), (["a"], None)]
+    hosts = spark.createDataFrame([("HTTPS://u:p@Host.Org:80/x?y",), ("nothing",), (None,)], "url string").select(language_id.host(F.col("url"))).collect()
+    assert [r[0] for r in hosts] == ["host.org", "", None]
+
+
 def test_hmm_likelihood_is_exact():
     rng = np.random.default_rng(5)
     random = lambda *s: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(s))
