@@ -242,7 +242,7 @@ def _shingle_sets(spark: SparkSession, docs: DataFrame, key: Column, text: Colum
 def _verified(spark: SparkSession, docs: DataFrame, key: Column, text: Column, pairs: DataFrame, similarity: float, k: int) -> DataFrame:
     """The pairs (a, b) of keys whose shingle sets have at least that Jaccard similarity."""
     pairs = write_table(spark, pairs.distinct(), "candidates")
-    needed = write_table(spark, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "candidate-keys")
+    needed = write_table(spark, pairs.select(F.col("a").alias("key")).distinct().union(pairs.select("b").distinct()).distinct(), "candidate-keys")
     sets = _shingle_sets(spark, docs, key, text, needed, k)
     sizes = sets.select("key", F.size("s").alias("n"))
     sized = pairs.join(sizes.withColumnRenamed("key", "a"), "a").withColumnRenamed("n", "na").join(sizes.withColumnRenamed("key", "b"), "b")
