@@ -63,9 +63,16 @@ def split_items(items: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
     return wide.select(key, ok.alias("ok"), F.inline(F.when(ok, two).otherwise(one)))
 
 
-def audit_actions(actions: DataFrame, name: str, ident: str, denied_ids=DENIED_IDS, phrases=DENIED_PHRASES) -> DataFrame:
-    """actions with `allowed` and `reason`: denied by command or by a phrase in its name, in any case."""
+def audit_actions(actions: DataFrame, name: str, ident: str, denied_ids=DENIED_IDS, phrases=DENIED_PHRASES, allowed_ids=(), allowed_phrases=()) -> DataFrame:
+    """actions with `allowed` and `reason`: denied by command or by a phrase in its name, in any case.
+
+    With any `allowed_ids` or `allowed_phrases` only what they name is allowed, even if it would be denied otherwise."""
     low = F.lower(F.col(name))
+    if allowed_ids or allowed_phrases:
+        listed = F.lit(False)
+        for test in [F.col(ident).isin(*allowed_ids)] * bool(allowed_ids) + [low.contains(p.lower()) for p in allowed_phrases]:
+            listed = listed | F.coalesce(test, F.lit(False))
+        return actions.withColumns({"allowed": listed, "reason": F.when(~listed, "not_listed")})
     hit = F.coalesce(*[F.when(low.contains(p), p) for p in phrases])
     by_id = F.col(ident).isin(*denied_ids)
     return actions.withColumns({"allowed": ~(by_id | hit.isNotNull()), "reason": F.when(by_id, "command").otherwise(hit)})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from soundtable.functions import harmonics
 from soundtable.functions import scalars as H
-from soundtable.operators import deliveries, meter, notes, objects, scene, sends, session, weighting
+from soundtable.operators import beds, deliveries, meter, notes, objects, scene, sends, session, weighting
 from soundtable.plans import bindings as B
 from soundtable.streaming import updates
 
@@ -727,3 +729,116 @@ def check_ramp(spark, sf):
     length = F.when(F.col("seq") % 3 == 0, 250.0 / 48000).when(F.col("seq") % 3 == 1, 0.0)
     out = deliveries.check_ramp(B.trajectory(spark, sf).withColumn("interpolation", length), ["object_id"], ["t", "seq"], F.lit(48000.0))
     return rounded(out.select("object_id", "seq", "ramp", "ok"), "ramp")
+
+
+# ---- beds, objects and routing verdicts
+
+WIDTHS = [1, 2, 6, 8, 12, 16, 24, 5]
+BED_LABELS = ", ".join(f"({n}, {i}, '{x}')" for n, names in beds.LABELS.items() for i, x in enumerate(names))
+BED_NAMES = " ".join(f"WHEN {n} THEN '{x}'" for n, x in beds.NAMES.items())
+
+
+@query(f"""WITH d(width, channel, label) AS (VALUES {BED_LABELS}), c AS (SELECT event_id, [{', '.join(map(str, WIDTHS))}][(user_id % 8 + 1)::INT] AS width FROM events), r AS (SELECT event_id, width, (event_id % width)::INT AS channel FROM c),
+    l AS (SELECT event_id, width, channel, coalesce(label, 'ch' || channel) AS label, (width >= 6 AND channel = 3) OR (width = 24 AND channel = 9) AS lfe FROM r LEFT JOIN d USING (width, channel))
+    SELECT event_id, CASE width {BED_NAMES} ELSE 'multichannel' END AS layout, label, lfe, CASE WHEN lfe THEN 0.0::DOUBLE WHEN label IN ('Ls', 'Rs', 'Lss', 'Rss', 'Lw', 'Rw') THEN 1.41::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM l""")
+def label_channels(spark, sf):
+    width = F.element_at(F.array(*map(F.lit, WIDTHS)), (F.col("user_id") % 8 + 1).cast("int"))
+    rows = B.table(spark, sf, "events").select("event_id", width.alias("width")).withColumn("channel", (F.col("event_id") % F.col("width")).cast("int"))
+    return beds.label_channels(rows).select("event_id", "layout", "label", "lfe", "weight")
+
+
+@query(f"""WITH {B.MULTI}, {STEMS}, {GATED}, s AS (SELECT program_id // 10 AS program, program_id % 10 AS channel, integrated, CASE WHEN ungated > -143 THEN pow(10, (ungated + 0.691) / 10) ELSE 0 END AS p FROM loud),
+    bed AS (SELECT program, integrated AS bed FROM s WHERE channel = 0)
+    SELECT program AS program_id, channel::INT AS channel, {r6('integrated')} AS integrated, {r6('integrated - max(integrated) OVER w')} AS delta, {r6('CASE WHEN sum(p) OVER w > 1e-30 THEN p / sum(p) OVER w ELSE 0 END')} AS energy_share,
+    {r6('CASE WHEN bed > -143 AND max(integrated) OVER w > -144 THEN bed - max(integrated) OVER w END')} AS bed_vs_objects FROM s LEFT JOIN bed USING (program) WHERE channel > 0 WINDOW w AS (PARTITION BY program)""")
+def object_loudness(spark, sf):
+    rows = B.multichannel(spark, sf)
+    bed = meter.power_bins(rows.where("channel = 0"), P, 1)
+    out = beds.object_loudness(meter.power_bins(rows.where("channel > 0"), ["program_id", "channel"], 1), "program_id", "channel", bed)
+    return rounded(out.drop("ungated", "activity"), "integrated", "delta", "energy_share", "bed_vs_objects")
+
+
+@query(f"""WITH {B.MULTI}, f AS (SELECT program_id, frame, max(x) FILTER (channel = 0) AS u, max(x) FILTER (channel = 1) AS v FROM multi GROUP BY 1, 2),
+    s AS (SELECT program_id, count(*)::DOUBLE AS n, sum(u) su, sum(v) sv, sum(u * u) uu, sum(v * v) vv, sum(u * v) uv, sum((u + v) * (u + v) / 2) mm, sum((u - v) * (u - v) / 2) ss FROM f WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY 1),
+    d AS (SELECT *, sqrt(greatest((uu - su * su / n) * (vv - sv * sv / n), 0)) AS spread FROM s),
+    c AS (SELECT program_id, {db('uu / n')} - {db('vv / n')} AS balance, CASE WHEN spread < 1e-20 THEN 0 ELSE greatest(least((uv - su * sv / n) / spread, 1), -1) END AS corr, {db('ss / n')} - {db('mm / n')} AS side_to_mid FROM d)
+    SELECT program_id, {r6('balance')} AS balance, {r6('corr')} AS corr, {r6('side_to_mid')} AS side_to_mid, CASE WHEN corr IS NULL THEN 'not_binaural' WHEN corr < -0.2 THEN 'out_of_phase' WHEN side_to_mid < -20 THEN 'near_mono' WHEN abs(balance) > 3 THEN 'lopsided' ELSE 'healthy' END AS verdict
+    FROM (SELECT DISTINCT program_id FROM multi) LEFT JOIN c USING (program_id)""")
+def binaural_verdict(spark, sf):
+    return rounded(beds.binaural_verdict(B.multichannel(spark, sf), P), "balance", "corr", "side_to_mid")
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS request, (o_orderkey % 120 - 10)::DOUBLE AS s, (o_orderkey % 31 - 3)::DOUBLE AS d, 2.0::DOUBLE AS a, (o_custkey % 100)::DOUBLE AS z FROM orders),
+    w AS (SELECT *, least(greatest(s, a), z) AS lo, CASE WHEN d <= 0 THEN z ELSE least(greatest(s + d, a), z) END AS hi FROM r),
+    e AS (SELECT *, CASE WHEN z <= a THEN 'empty_source' WHEN hi <= lo THEN 'empty_window' END AS error FROM w)
+    SELECT request, CASE WHEN error IS NULL THEN lo END AS read_start, CASE WHEN error IS NULL THEN floor((hi - lo) * 10 + 0.5)::BIGINT END AS frames, CASE WHEN error IS NULL THEN s < a - 1e-6 OR (d > 0 AND s + d > z + 1e-6) END AS clamped, error FROM e""")
+def window_clamp(spark, sf):
+    o = B.table(spark, sf, "orders")
+    request = o.select(F.col("o_orderkey").alias("request"), (F.col("o_orderkey") % 120 - 10).cast("double").alias("start"), (F.col("o_orderkey") % 31 - 3).cast("double").alias("duration"), F.lit(2.0).alias("source_start"), (F.col("o_custkey") % 100).cast("double").alias("source_end"))
+    return beds.window_clamp(request, 10.0).select("request", "read_start", "frames", "clamped", "error")
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), a AS (SELECT k, (c % 360 - 180)::DOUBLE AS cur, CASE WHEN k % 7 = 0 THEN (k % 360 - 180)::DOUBLE END AS az, CASE WHEN k % 5 = 0 THEN (k % 181 - 90)::DOUBLE END AS el,
+    CASE WHEN k % 3 > 0 THEN (k % 8 - 3.5::DOUBLE) / 3 END AS x, CASE WHEN k % 2 = 0 THEN (c % 8 - 3.5::DOUBLE) / 3 END AS y, CASE WHEN c % 2 = 0 THEN (k % 10 - 4.5::DOUBLE) / 3 END AS z FROM r),
+    t AS (SELECT k, coalesce(az, CASE WHEN x IS NOT NULL OR y IS NOT NULL THEN degrees(atan2(-coalesce(x, -sin(radians(cur))), coalesce(y, cos(radians(cur))))) END) AS az, coalesce(el, degrees(asin(CASE WHEN z IS NOT NULL THEN greatest(least(z, 1), -1) END))) AS el FROM a)
+    SELECT k, {r6('az')} AS az, {r6('el')} AS el, {r6('1.5 * cos(radians(el)) * cos(radians(az))')} AS front, {r6('1.5 * cos(radians(el)) * sin(radians(az))')} AS "left", {r6('1.5 * sin(radians(el))')} AS up FROM t""")
+def compose_target(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    az, el = F.when(k % 7 == 0, (k % 360 - 180).cast("double")), F.when(k % 5 == 0, (k % 181 - 90).cast("double"))
+    x, y, z = F.when(k % 3 > 0, (k % 8 - 3.5) / 3), F.when(k % 2 == 0, (c % 8 - 3.5) / 3), F.when(c % 2 == 0, (k % 10 - 4.5) / 3)
+    az, el = beds.compose_target(az, el, x, y, z, (c % 360 - 180).cast("double"))
+    out = B.table(spark, sf, "orders").select(k.alias("k"), az.alias("az"), el.alias("el"))
+    front, left, up = beds.place_at_distance(F.lit(1.5), F.col("az"), F.col("el"))
+    return rounded(out.withColumns({"front": front, "left": left, "up": up}), "az", "el", "front", "left", "up")
+
+
+ROLE_NAMES = ["Azimuth 1", "Elevation", "Distance 2", "Pos X", "Quat X", "Pos Y 1", "Quat Y 1", "Size Z", "Gain", "Azim 2", "Mix", "Quat Z"]
+
+
+@query(f"""WITH n AS (SELECT p_partkey // 6 AS fx, p_partkey AS idx, lower([{', '.join(f"'{x}'" for x in ROLE_NAMES)}][((p_partkey * 7 + p_partkey // 6) % 12 + 1)::INT]) AS name FROM part),
+    k(role, part) AS (VALUES ('azimuth', 'azim'), ('elevation', 'elev'), ('distance', 'dist'), ('x', 'x'), ('y', 'y'), ('z', 'z')),
+    m AS (SELECT fx, role, idx, contains(name, '1') AS num, length(role) = 1 AND contains(name, 'quat') AS quat FROM n JOIN k ON contains(name, part)),
+    b AS (SELECT fx, role, coalesce(min(idx) FILTER (num AND NOT quat), min(idx) FILTER (NOT quat)) AS idx, min(idx) FILTER (num AND NOT quat) AS stop, min(idx) FILTER (quat) AS q FROM m GROUP BY 1, 2),
+    w AS (SELECT fx, max(idx) FILTER (role = 'azimuth') AS azimuth, max(idx) FILTER (role = 'elevation') AS elevation, max(idx) FILTER (role = 'distance') AS distance, max(idx) FILTER (role = 'x') AS x, max(idx) FILTER (role = 'y') AS y, max(idx) FILTER (role = 'z') AS z,
+        coalesce(bool_or(q IS NOT NULL AND (stop IS NULL OR q < stop)), false) AS quat FROM (SELECT DISTINCT fx FROM n) LEFT JOIN b USING (fx) GROUP BY 1)
+    SELECT fx, azimuth, elevation, distance, CASE WHEN azimuth IS NULL THEN x END AS x, CASE WHEN azimuth IS NULL THEN y END AS y, CASE WHEN azimuth IS NULL THEN z END AS z, azimuth IS NULL AND quat AS skipped_quaternion FROM w""")
+def param_roles(spark, sf):
+    name = F.element_at(F.array(*map(F.lit, ROLE_NAMES)), F.expr("int((p_partkey * 7 + p_partkey div 6) % 12 + 1)"))
+    params = B.table(spark, sf, "part").select(F.expr("p_partkey div 6").alias("fx"), F.col("p_partkey").alias("idx"), name.alias("name"))
+    return beds.param_roles(params, ["fx"], "idx", "name")
+
+
+@query("""SELECT event_id, coalesce(event_id % 50 = 0 OR event_type = 'signup', false) AS allowed, CASE WHEN event_id % 50 = 0 OR event_type = 'signup' THEN NULL ELSE 'not_listed' END AS reason FROM events""")
+def action_allow_list(spark, sf):
+    log = B.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, 40860).otherwise(1).alias("command"), F.concat(F.lit("Item: "), F.upper("event_type")).alias("name"))
+    return session.audit_actions(log, "name", "command", allowed_ids=(40860,), allowed_phrases=("signup",)).select("event_id", "allowed", "reason")
+
+
+ROUTED = [(0, 0.7), (1, 1.3), (2, 1.9), (3, 2.6), (4, 3.7)]
+ROUTED_HZ = f"[{', '.join(str(h) + '::DOUBLE' for _, h in ROUTED)}]"
+
+
+@query(f"""WITH {B.MULTI}, v AS (SELECT program_id, channel, frame, x * 0.01 AS noise, CASE WHEN program_id % 6 = 1 AND channel < 2 THEN 1 - channel WHEN program_id % 6 = 2 AND channel = 2 THEN 0 WHEN program_id % 6 = 3 AND channel IN (3, 4) THEN 7 - channel ELSE channel END AS slot,
+        CASE WHEN program_id % 6 = 3 AND channel = 0 THEN 0 WHEN program_id % 6 = 4 AND channel = 1 THEN 0.0000001 ELSE 1 END AS level FROM multi),
+    rows AS (SELECT program_id, channel, frame, (noise + sin(frame * {ROUTED_HZ}[slot + 1] * (2 * pi() / 10))) * level AS x FROM v),
+    plan(slot, hz) AS (VALUES {', '.join(f'({s}, {h}::DOUBLE)' for s, h in ROUTED)}),
+    t AS (SELECT program_id, channel, slot, sum(x * cos(frame * (2 * pi() / 10) * hz)) AS c, sum(x * sin(frame * (2 * pi() / 10) * hz)) AS s FROM rows, plan GROUP BY ALL), p AS (SELECT program_id, channel, slot, c * c + s * s AS p FROM t),
+    m AS (SELECT program_id, channel, count(*) AS n, sqrt(avg(x * x)) AS rms FROM rows GROUP BY ALL), l AS (SELECT *, CASE WHEN rms > 1e-12 THEN 20 * log10(rms) ELSE -144.0::DOUBLE END AS rms_db FROM m),
+    b AS (SELECT program_id, channel, slot AS best, p AS best_p FROM p QUALIFY row_number() OVER (PARTITION BY program_id, channel ORDER BY p DESC, slot) = 1),
+    o AS (SELECT program_id, channel, slot AS other_at, p AS other FROM p WHERE slot <> channel QUALIFY row_number() OVER (PARTITION BY program_id, channel ORDER BY p DESC, slot) = 1),
+    d AS (SELECT l.*, other_at, other, p.p AS own, CASE WHEN rms_db > -80 THEN best ELSE -1 END AS raw, CASE WHEN rms_db > -80 THEN sqrt(2 * best_p) / n / rms ELSE 0 END AS coverage,
+        count(*) OVER (PARTITION BY program_id) = 5 AS fits FROM l JOIN b USING (program_id, channel) JOIN o USING (program_id, channel) JOIN p ON p.program_id = l.program_id AND p.channel = l.channel AND p.slot = l.channel),
+    g AS (SELECT d.*, 10 * log10(CASE WHEN own > 0 THEN own ELSE 1e-300 END / CASE WHEN other > 0 THEN other ELSE 1e-300 END) AS margin, (SELECT e.raw FROM d e WHERE e.program_id = d.program_id AND e.channel = d.raw) = channel AS back,
+        (SELECT min(e.channel) FROM d e WHERE e.program_id = d.program_id AND e.channel <> d.channel AND e.raw = d.raw) AS twin FROM d),
+    k AS (SELECT *, CASE WHEN NOT fits THEN 'channels' WHEN raw < 0 THEN 'silent' WHEN coverage < 0.1 THEN 'dropped' WHEN raw = channel AND margin >= 15 THEN 'identity' WHEN raw = channel THEN 'bleed' WHEN back THEN 'swapped' WHEN twin >= 0 THEN 'duplicated' ELSE 'dropped' END AS verdict FROM g)
+    SELECT program_id, channel::INT AS channel, {r6('rms_db')} AS rms_db, CASE WHEN fits AND raw >= 0 AND coverage >= 0.1 THEN raw END::INT AS detected, {r6('coverage')} AS coverage, verdict,
+    CASE verdict WHEN 'bleed' THEN CASE WHEN other > 0 THEN other_at END WHEN 'swapped' THEN raw WHEN 'duplicated' THEN twin WHEN 'dropped' THEN CASE WHEN coverage >= 0.1 THEN raw END END::INT AS paired FROM k""")
+def verify_routing(spark, sf):
+    u, c = F.col("program_id") % 6, F.col("channel")
+    slot = F.when((u == 1) & (c < 2), 1 - c).when((u == 2) & (c == 2), 0).when((u == 3) & c.isin(3, 4), 7 - c).otherwise(c)
+    level = F.when((u == 3) & (c == 0), 0.0).when((u == 4) & (c == 1), 0.0000001).otherwise(1.0)
+    hz = F.get(F.array(*[F.lit(h) for _, h in ROUTED]), slot)
+    tone = F.sin(F.col("frame") * hz * (2 * math.pi / 10))
+    rows = B.multichannel(spark, sf).withColumn("x", (F.col("x") * 0.01 + tone) * level)
+    out = beds.verify_routing(rows, P, ROUTED, 10.0, margin_db=15.0)
+    return rounded(out.drop("margin_db"), "rms_db", "coverage")
