@@ -66,6 +66,10 @@ def binaural_verdict(samples: DataFrame, keys: list[str], weighted: DataFrame |
 
     balance: left less right in dB, of `weighted` samples (see `k_weight`) if given. A program without such a frame is
     not_binaural, with nulls. Two sums of frames by program, no join of the channels."""
+    samples, names, own_names = _set_apart(samples, keys, "channel", "frame", "x")
+    if weighted is not None:
+        weighted, _, _ = _set_apart(weighted, keys, "channel", "frame", "x")
+    keys = names
 
     def pairs(rows: DataFrame) -> DataFrame:
         two = rows.groupBy(*keys, "frame").agg(F.max(F.when(F.col("channel") == 0, F.col("x"))).alias("u"), F.max(F.when(F.col("channel") == 1, F.col("x"))).alias("v"))
@@ -83,7 +87,7 @@ def binaural_verdict(samples: DataFrame, keys: list[str], weighted: DataFrame |
     corr = F.when(F.col("spread") < 1e-20, 0.0).otherwise(clamp(F.expr("try_divide(uv - su * sv / n, spread)"), -1.0, 1.0))
     s = s.select(*keys, F.when(F.col("n") > 0, pow_to_db(F.col("lp")) - pow_to_db(F.col("rp"))).alias("balance"), F.when(F.col("n") > 0, corr).alias("corr"), F.when(F.col("n") > 0, pow_to_db(F.expr("try_divide(ss, n)")) - pow_to_db(F.expr("try_divide(mm, n)"))).alias("side_to_mid"))
     verdict = F.when(F.col("corr").isNull(), "not_binaural").when(F.col("corr") < -0.2, "out_of_phase").when(F.col("side_to_mid") < -20, "near_mono").when(F.abs("balance") > 3, "lopsided").otherwise("healthy")
-    return s.withColumn("verdict", verdict)
+    return s.select(*own_names, "balance", "corr", "side_to_mid", verdict.alias("verdict"))
 
 
 def window_clamp(requests: DataFrame, rate: float) -> DataFrame:
@@ -145,6 +149,12 @@ def param_roles(params: DataFrame, keys: list[str], idx: str, name: str, source:
     return out.select(*keys, F.col("azimuth.idx").alias("azimuth"), F.col("elevation.idx").alias("elevation"), F.col("distance.idx").alias("distance"), *[F.when(plain, F.col(f"{c}.idx")).alias(c) for c in letters], (plain & (skipped[0] | skipped[1] | skipped[2])).alias("skipped_quaternion"))
 
 
+def _set_apart(rows: DataFrame, keys: list[str], *columns: str) -> tuple[DataFrame, list[str], list[Column]]:
+    """rows of the keys under names that no working column has, the names, and the keys under their own names again."""
+    names = [f"__key{i}" for i in range(len(keys))]
+    return rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *columns), names, [F.col(n).alias(k) for k, n in zip(keys, names)]
+
+
 def tone_plan(slots: int, lfe: tuple[int, ...] = ()) -> list[tuple[int, float]]:
     """(slot, hz) of identity tones for up to 128 slots; fixed values: 313 Hz and steps of 139, 40 Hz for LFE."""
     return [(k, 40.0 if k in lfe else 313.0 + 139.0 * k) for k in range(min(slots, 128))]
@@ -157,6 +167,7 @@ def verify_routing(samples: DataFrame, keys: list[str], plan: list[tuple[int, fl
     program (as many as slots) then meet in a window. A program whose channels are not the plan's slots has the verdict
     `channels` on each row. Verdicts in order: silent, dropped (no tone explains the channel), identity or bleed,
     swapped, duplicated, dropped."""
+    samples, keys, own_names = _set_apart(samples, keys, "channel", "frame", "x")
     turn = F.col("frame") * (2 * math.pi / rate)
     sums = [F.sum(F.col("x") * f(turn * hz)).alias(f"{part}{slot}") for slot, hz in plan for part, f in (("c", F.cos), ("s", F.sin))]
     out = samples.groupBy(*keys, "channel").agg(F.count("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("xx"), *sums)
@@ -179,4 +190,4 @@ def verify_routing(samples: DataFrame, keys: list[str], plan: list[tuple[int, fl
     out = out.withColumn("verdict", verdict)
     paired = F.when(F.col("verdict") == "bleed", F.when(F.col("other") > 0, F.col("other_at"))).when(F.col("verdict") == "swapped", F.col("raw")).when(F.col("verdict") == "duplicated", F.col("twin")).when((F.col("verdict") == "dropped") & ~lost, F.col("raw"))
     detected = F.when(F.col("fits") & (F.col("raw") >= 0) & ~lost, F.col("raw"))
-    return out.select(*keys, "channel", "rms_db", detected.alias("detected"), "margin_db", "coverage", "verdict", paired.alias("paired"))
+    return out.select(*own_names, "channel", "rms_db", detected.alias("detected"), "margin_db", "coverage", "verdict", paired.alias("paired"))

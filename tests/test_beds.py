@@ -56,7 +56,7 @@ def test_objects_against_a_silent_bed(spark):
 def test_binaural_verdicts(spark):
     def verdict(left, right):
         rows = [(1, c, i, float(s)) for c, side in ((0, left), (1, right)) for i, s in enumerate(side)]
-        return beds.binaural_verdict(spark.createDataFrame(rows, "p int, channel int, frame long, x double"), ["p"]).first().verdict
+        return beds.binaural_verdict(spark.createDataFrame(rows, "n int, channel int, frame long, x double"), ["n"]).first().verdict
 
     a, b = [1, -1, 1, -1], [1, 1, -1, -1]
     assert verdict(a, [-x for x in a]) == "out_of_phase" and verdict(a, a) == "near_mono"
