@@ -33,7 +33,7 @@ def test_routing_verdicts(spark):
     assert routed(spark, {0: {0: 0.1}, 1: {1: 0.1}, 2: {2: 0.1}}) == [fine, ("identity", 1, None), ("identity", 2, None)]
     assert routed(spark, {0: {1: 0.1}, 1: {0: 0.1}, 2: {}}) == [("swapped", 1, 1), ("swapped", 0, 0), ("silent", None, None)]
     assert routed(spark, {0: {0: 0.1}, 1: {0: 0.1}, 2: {2: 0.1, 1: 0.01}}) == [fine, ("duplicated", 0, 0), ("bleed", 2, 1)]
-    assert routed(spark, {0: {0: 0.1}, 1: {9: 0.1}, 2: {1: 0.1}}) == [fine, ("dropped", None, None), ("dropped", 1, 1)]
+    assert routed(spark, {0: {0: 0.1}, 1: {9: 0.1, 0: 0.001}, 2: {1: 0.1}}) == [fine, ("dropped", None, None), ("dropped", 1, 1)]
     assert {v for v, _, _ in routed(spark, {0: {0: 0.1}, 1: {1: 0.1}})} == {"channels"}
 
 
