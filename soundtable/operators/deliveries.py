@@ -113,3 +113,29 @@ def check_ramp(blocks: DataFrame, keys: list[str], order: list[str], rate: Colum
     first = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) == 1
     want = F.when(first, 0.0).otherwise(250.0 / rate)
     return blocks.withColumns({"ramp": want, "ok": F.coalesce(F.abs(F.col(length) - want) <= 1e-4, first)})
+
+
+def validate_model(models: DataFrame, objects: DataFrame, blocks: DataFrame, max_objects: int = 118, max_channels: int = 128) -> DataFrame:
+    """(model, code, n): violations of the delivery profile by a model of bed and objects; a conformant model has no row.
+
+    models: (model, bed, bed_channels, rate), a null or empty bed has no channels; objects: (model, cartesian,
+    importance), null importance: none; blocks: (model, divergence, width, height, depth), nulls count as none. Objects
+    and blocks are counted by model before they are joined."""
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    kept = objects.groupBy("model").agg(F.count("*").alias("objects"), count(~F.coalesce("cartesian", F.lit(False))).alias("coordinate"), count(F.col("importance") >= 0).alias("importance"))
+    w, h, d = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("width", "height", "depth"))
+    uneven = F.greatest(w, h, d) > 0
+    uneven = uneven & ~((w == h) & (h == d) & (w <= 1))
+    sizes = blocks.groupBy("model").agg(count(F.col("divergence")).alias("divergence"), count(uneven).alias("extent"))
+    all_of = models.select("model", F.coalesce("bed", F.lit("")).alias("bed"), F.coalesce("bed_channels", F.lit(0)).alias("bed_channels"), "rate")
+    all_of = all_of.join(kept, "model", "left").join(sizes, "model", "left").fillna(0, ["objects", "coordinate", "importance", "divergence", "extent"])
+    one = lambda c: F.coalesce(c, F.lit(True)).cast("long")
+    found = {
+        "bed_layout": one(~F.col("bed").isin("", "5.1", "7.1", "7.1.2")),
+        "sample_rate": one(F.col("rate") != 48000),
+        "object_cap": one(F.col("objects") > max_objects),
+        "channel_cap": one(F.col("bed_channels") + F.col("objects") > max_channels),
+        "empty": one((F.col("bed_channels") == 0) & (F.col("objects") == 0)),
+    } | {c: F.col(c) for c in ("coordinate", "importance", "divergence", "extent")}
+    rows = F.array(*[F.struct(F.lit(code).alias("code"), n.cast("long").alias("n")) for code, n in found.items()])
+    return all_of.select("model", F.inline(F.filter(rows, lambda r: r["n"] > 0)))

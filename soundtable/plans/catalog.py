@@ -842,3 +842,21 @@ def verify_routing(spark, sf):
     rows = B.multichannel(spark, sf).withColumn("x", (F.col("x") * 0.01 + tone) * level)
     out = beds.verify_routing(rows, P, ROUTED, 10.0, margin_db=15.0)
     return rounded(out.drop("margin_db"), "rms_db", "coverage")
+
+
+@query("""WITH m AS (SELECT c_custkey AS model, ['', '5.1', '7.1', '7.1.2', '7.1.4'][(c_custkey % 5 + 1)::INT] AS bed, [0, 6, 8, 10, 12][(c_custkey % 5 + 1)::INT] AS ch, CASE WHEN c_custkey % 4 = 0 THEN 44100 ELSE 48000 END AS rate FROM customer),
+    o AS (SELECT o_custkey AS model, count(*) AS objects, count(*) FILTER (o_orderkey % 3 = 0) AS coordinate, count(*) FILTER (o_orderkey % 4 = 0) AS importance FROM orders GROUP BY 1),
+    b AS (SELECT o_custkey AS model, l_linenumber % 5 = 0 AS divergence, l_linenumber % 3 / 2.0::DOUBLE AS w, l_partkey % 2 / 2.0::DOUBLE AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    g AS (SELECT model, count(*) FILTER (divergence) AS divergence, count(*) FILTER (greatest(w, h) > 0 AND w <> h) AS extent FROM b GROUP BY 1),
+    f AS (SELECT model, (bed = '7.1.4')::BIGINT AS bed_layout, (rate <> 48000)::BIGINT AS sample_rate, (coalesce(objects, 0) > 12)::BIGINT AS object_cap, (ch + coalesce(objects, 0) > 18)::BIGINT AS channel_cap, (ch + coalesce(objects, 0) = 0)::BIGINT AS "empty",
+        coalesce(coordinate, 0) AS coordinate, coalesce(importance, 0) AS importance, coalesce(divergence, 0) AS divergence, coalesce(extent, 0) AS extent FROM m LEFT JOIN o USING (model) LEFT JOIN g USING (model))
+    SELECT model, code, n FROM (UNPIVOT f ON COLUMNS(* EXCLUDE model) INTO NAME code VALUE n) WHERE n > 0""")
+def validate_model(spark, sf):
+    c, o = B.table(spark, sf, "customer"), B.table(spark, sf, "orders")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    models = c.select(F.col("c_custkey").alias("model"), pick(["", "5.1", "7.1", "7.1.2", "7.1.4"]).alias("bed"), pick([0, 6, 8, 10, 12]).alias("bed_channels"), F.when(F.col("c_custkey") % 4 == 0, 44100).otherwise(48000).alias("rate"))
+    kept = o.select(F.col("o_custkey").alias("model"), (F.col("o_orderkey") % 3 > 0).alias("cartesian"), F.when(F.col("o_orderkey") % 4 == 0, 5).alias("importance"))
+    lines = B.table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    width = F.col("l_linenumber") % 3 / 2
+    blocks = lines.select(F.col("o_custkey").alias("model"), (F.col("l_linenumber") % 5 == 0).alias("divergence"), width.alias("width"), (F.col("l_partkey") % 2 / 2).alias("height"), width.alias("depth"))
+    return deliveries.validate_model(models, kept, blocks, max_objects=12, max_channels=18)

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from soundtable.operators import beds
+from soundtable.operators import beds, deliveries
 
 PLAN = beds.tone_plan(3)
 RATE, FRAMES = 8000.0, 8000
@@ -73,3 +73,11 @@ def test_second_source_needs_its_number(spark):
     rows = spark.createDataFrame([("f", 0, "Azimuth"), ("f", 1, "Azimuth 2"), ("g", 0, "Azimuth"), ("g", 1, None)], "fx string, idx int, name string")
     assert {(r.fx, r.azimuth) for r in beds.param_roles(rows, ["fx"], "idx", "name", source=1).collect()} == {("f", 1), ("g", None)}
     assert {r.azimuth for r in beds.param_roles(rows, ["fx"], "idx", "name").collect()} == {0}
+
+
+def test_model_with_nulls_and_without_objects(spark):
+    models = spark.createDataFrame([(1, None, None, 48000), (2, "5.1", 6, None), (3, "5.1", 6, 48000)], "model int, bed string, bed_channels int, rate int")
+    objects = spark.createDataFrame([(3, None, None), (3, True, 0)], "model int, cartesian boolean, importance int")
+    blocks = spark.createDataFrame([(3, None, 0.5, 0.5, None), (3, True, 0.5, 0.5, 0.5)], "model int, divergence boolean, width double, height double, depth double")
+    found = {tuple(r) for r in deliveries.validate_model(models, objects, blocks).collect()}
+    assert found == {(1, "empty", 1), (2, "sample_rate", 1), (3, "coordinate", 1), (3, "importance", 1), (3, "divergence", 1), (3, "extent", 1)}
