@@ -277,8 +277,23 @@ def _text_shingles(text: str, k: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+#: Longs of a text's parities (below), and rows up to which a table of them may be broadcast (about 50 MB).
+PARITY_LONGS, PARITY_ROWS = 4, 500_000
+_PARITIES = [f"p{i}" for i in range(PARITY_LONGS)]
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bits, as longs: each says whether an odd number of the hashes falls on it.
+
+    Each hash that only one of two sets has turns one bit, so their parities differ in at most as many bits as the sets in hashes."""
+    bits = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * PARITY_LONGS), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
+
+
 def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, similarity: float, k: int) -> DataFrame:
-    """(key, h, n), written: of each text's n shingles the first n - ceil(similarity n) + 1 in an order that is the same for all texts.
+    """(key, h, n, parities), written: of each text's n shingles the first n - ceil(similarity n) + 1 in an order that is the same for all texts.
+
+    The first row of a text has the parities of all its shingles, the others nulls.
 
     Texts of that similarity share a shingle of these. The order puts those last that are frequent in a sample; any
     order is right, this one keeps the lists of texts with a shingle short.
@@ -299,7 +314,7 @@ def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, s
     def run(batches):
         frequent, times = shared.value
         for batch in sliced(batches, 1):
-            hs, ns, sizes = [np.zeros(0, np.uint64)], [], []
+            hs, ns, sizes, odd = [np.zeros(0, np.uint64)], [], [], [np.zeros((0, PARITY_LONGS), np.int64)]
             for x in batch.column(1):
                 found = _text_shingles(x.as_py(), k)
                 if len(found) and len(frequent):
@@ -309,12 +324,19 @@ def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, s
                 hs.append(found[:size])
                 ns.append(len(found))
                 sizes.append(size)
+                if size:
+                    odd.append(parities(found)[None])
             sizes = np.array(sizes, np.int64)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             columns = [batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.array(ns, np.int32)[owner])]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "n"])
-
-    found = write_table(spark, rows.mapInArrow(run, "key binary, h long, n int"), "prefixes")
+            # The place among the batch's texts with shingles at the first row of each, null elsewhere.
+            first = np.diff(owner, prepend=-1) != 0
+            place = pa.array(np.cumsum(first) - 1, mask=~first)
+            columns += [pa.array(column).take(place) for column in np.concatenate(odd).T]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "n", *_PARITIES])
+
+    schema = ", ".join(["key binary", "h long", "n int", *[f"{p} long" for p in _PARITIES]])
+    found = write_table(spark, rows.mapInArrow(run, schema), "prefixes")
     shared.destroy()
     return found
 
@@ -325,25 +347,31 @@ def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Colum
     Only texts not connected yet are compared, inside the join by shingle. What two texts with n and m shingles have in
     common is at most what their prefixes share and the larger rest behind the prefixes: of the two prefixes one ends
     first in the common order, and its shingles are in the other text only if they are in the other prefix. So pairs
-    whose prefixes share too little never get as far as their whole sets. Where several texts share a shingle, the one
+    whose prefixes share too little never get as far as their whole sets. Nor, by the join's condition, do pairs whose
+    parities differ in more bits than sets of that similarity differ in shingles. Where several texts share a shingle, the one
     with the least hash (of many texts some more) is first compared with the others; that connects large groups by few pairs.
     """
     posted = _prefixes(spark, docs, key, text, similarity, k)
     one = F.xxhash64("key")
     many = posted.groupBy("h").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low != high").select("h")
     many = write_table(spark, many, "shared-shingles")
-    met = write_table(spark, posted.join(broadcast_within(many), "h", "left_semi").dropDuplicates(["h", "key"]).select("h", "key", "n"), "shared-prefixes")
-    discard(spark, posted, many)
+    met = posted.select("h", "key", "n").join(broadcast_within(many), "h", "left_semi").dropDuplicates(["h", "key"])
+    odd = posted.where("p0 IS NOT NULL").select("key", *_PARITIES).dropDuplicates(["key"])
+    odd = broadcast_within(write_table(spark, odd, "parities"), PARITY_ROWS)
+    met = write_table(spark, met.join(odd, "key").select("h", "key", "n", *_PARITIES), "shared-prefixes")
+    discard(spark, posted, many, odd)
     rest = lambda n: F.ceil(F.col(n) * F.lit(similarity) - 1e-9) - 1
     needed = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
 
     def meeting(left: DataFrame, links: DataFrame, parts: int = 1) -> DataFrame:
         labels = broadcast_within(connected_components(spark, links))
-        named = lambda df: df.join(labels, F.col("key") == F.col("node"), "left").select("key", "h", "n", F.coalesce("label", "key").alias("comp"))
-        other = named(met).select(F.col("h").alias("g"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
+        named = lambda df: df.join(labels, F.col("key") == F.col("node"), "left").select("key", "h", "n", *_PARITIES, F.coalesce("label", "key").alias("comp"))
+        other = named(met).select(F.col("h").alias("g"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), *[F.col(p).alias(f"{p}_b") for p in _PARITIES])
+        differ = sum((_distance(p, f"{p}_b") for p in _PARITIES), F.lit(0))
+        alike = differ <= (F.col("n") + F.col("m")) * ((1 - similarity) / (1 + similarity)) + 1e-6
         long = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-6
         once = F.lit(True) if left is not met else F.col("a") < F.col("b")
-        pairs = named(left).withColumnRenamed("key", "a").join(other, (F.col("h") == F.col("g")) & (F.col("comp") != F.col("comp_b")) & long & once)
+        pairs = named(left).withColumnRenamed("key", "a").join(other, (F.col("h") == F.col("g")) & (F.col("comp") != F.col("comp_b")) & long & once & alike)
         shared = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"))
         return shared.where(F.col("both") * parts + F.greatest(rest("n"), rest("m")) >= needed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -351,7 +379,7 @@ def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Colum
     # Of a long list about HUBS texts, those with low hashes, so that lists with the same texts have the same hubs.
     low = F.pmod(one, F.lit(1 << 30)) * F.col("c") < F.lit(HUBS << 30)
     hubs = met.join(broadcast_within(sizes), "h").where((one == F.col("least")) | (F.col("c") > LONG_LIST) & low)
-    hubs = write_table(spark, hubs.select("h", "key", "n"), "prefix-hubs")
+    hubs = write_table(spark, hubs.select("h", "key", "n", *_PARITIES), "prefix-hubs")
     # What two texts share may have several hubs, so here a part of it will do. What this leaves out is left to the whole join.
     star = _verified(spark, docs, key, text, meeting(hubs, links, 4), similarity, k)
     others = _verified(spark, docs, key, text, meeting(met, links.union(star)), similarity, k)

@@ -417,3 +417,12 @@ def test_shards(spark):
         assert abs(sum(r.shard == s and r.source == "hot" for r in rows) - 334 / 24) <= 2
     assert sharding.stratified_shards(df.limit(0)).count() == 0
     assert sharding.stratified_shards(table(spark)).count() == len(TEXTS) + 2
+
+
+def test_parities_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(7)
+    for size in (0, 1, 40, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[size // 5 :], rng.integers(0, 1 << 63, size // 4, dtype=np.uint64)]))
+        turned = int(np.bitwise_count(simhash.parities(a) ^ simhash.parities(b)).sum())
+        assert turned <= len(np.setxor1d(a, b)) and (turned > 0) == (size > 1)
