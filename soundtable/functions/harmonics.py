@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import cache
 
-from numpy.polynomial.legendre import Legendre
+from numpy.polynomial import Legendre, Polynomial
 
 
 def degree(k: int) -> int:
@@ -60,3 +60,23 @@ def speakers(layout: str | int) -> list[tuple[str, float, float, float]]:
 
 def basis(layout: str | int, channels: int) -> list[list[float]]:
     return [[at_vector(k, x, y, z) for k in range(channels)] for _, x, y, z in speakers(layout)]
+
+
+#: Labels of predicted decodes by azimuth (here positive to the left) and elevation, without the low-frequency speaker.
+PREDICTED = {
+    "2.0": [("M+030", 30, 0), ("M-030", -30, 0)],
+    "5.1": [("M+030", 30, 0), ("M-030", -30, 0), ("M+000", 0, 0), ("M+110", 110, 0), ("M-110", -110, 0)],
+    "7.1": [("M+030", 30, 0), ("M-030", -30, 0), ("M+000", 0, 0), ("M+090", 90, 0), ("M-090", -90, 0), ("M+135", 135, 0), ("M-135", -135, 0)],
+}
+PREDICTED["7.1.4"] = [*PREDICTED["7.1"], ("U+045", 45, 45), ("U-045", -45, 45), ("U+135", 135, 45), ("U-135", -135, 45)]
+
+
+def predicted_speakers(layout: str) -> list[tuple[str, float, float, float]]:
+    """(label, right, front, up) of a layout of predicted decodes."""
+    turned = [(label, math.radians(az), math.radians(el)) for label, az, el in PREDICTED[layout]]
+    return [(label, -math.sin(az) * math.cos(el), math.cos(az) * math.cos(el), math.sin(el)) for label, az, el in turned]
+
+
+def legendre_sum(order: int) -> list[float]:
+    """Coefficients, constant first, of the sum of the Legendre polynomials up to an order."""
+    return [float(c) for c in Legendre([1.0] * (order + 1)).convert(kind=Polynomial).coef]

@@ -139,3 +139,46 @@ def validate_model(models: DataFrame, objects: DataFrame, blocks: DataFrame, max
     } | {c: F.col(c) for c in ("coordinate", "importance", "divergence", "extent")}
     rows = F.array(*[F.struct(F.lit(code).alias("code"), n.cast("long").alias("n")) for code, n in found.items()])
     return all_of.select("model", F.inline(F.filter(rows, lambda r: r["n"] > 0)))
+
+
+def normalize_model(models: DataFrame, objects: DataFrame, blocks: DataFrame, max_objects: int = 118, max_channels: int = 128) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """models with `error`, the first rule that no change can mend (null: none), objects and blocks bent to the profile, each with `warnings`.
+
+    Tables as in validate_model. Objects become cartesian and lose their importance; blocks lose their divergence, and
+    their sizes become the largest of the three, at most 1. `warnings` names what changed. Rows of a model with an error,
+    or of none, stay as they are."""
+    kept = objects.groupBy("model").agg(F.count("*").alias("__objects"))
+    count, channels = F.coalesce("__objects", F.lit(0)), F.coalesce("bed_channels", F.lit(0))
+    rules = [(~F.coalesce("bed", F.lit("")).isin("", "5.1", "7.1", "7.1.2"), "bed_not_profile_conformant"), (~F.col("rate").eqNullSafe(F.lit(48000)), "sample_rate_not_48k"), (count > max_objects, "too_many_objects"), (channels + count > max_channels, "too_many_channels")]
+    judged = models.join(kept, "model", "left").withColumn("error", F.coalesce(*[F.when(bad, name) for bad, name in rules])).drop("__objects")
+    fit = judged.where("error is null").select("model", F.lit(True).alias("__fit"))
+    mended = lambda df: df.join(fit, "model", "left").withColumn("__fit", F.coalesce("__fit", F.lit(False)))
+    said = lambda *found: F.array_compact(F.array(*[F.when(F.col("__fit") & change, name) for change, name in found]))
+    polar, important = ~F.coalesce("cartesian", F.lit(False)), F.coalesce(F.col("importance") >= 0, F.lit(False))
+    new_objects = mended(objects).withColumn("warnings", said((polar, "coordinate"), (important, "importance")))
+    new_objects = new_objects.withColumns({"cartesian": F.when(F.col("__fit"), True).otherwise(F.col("cartesian")), "importance": F.when(~F.col("__fit"), F.col("importance"))})
+    w, h, d = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("width", "height", "depth"))
+    size, split = F.greatest(w, h, d), F.coalesce("divergence", F.lit(False))
+    uneven = (size > 0) & ~((w == h) & (h == d) & (w <= 1))
+    new_blocks = mended(blocks).withColumns({"warnings": said((split, "divergence"), (uneven, "extent")), "__size": F.least(size, F.lit(1.0)), "__sized": F.col("__fit") & (size > 0)})
+    new_blocks = new_blocks.withColumns({"divergence": F.when(F.col("__fit"), False).otherwise(F.col("divergence"))} | {c: F.when(F.col("__sized"), F.col("__size")).otherwise(F.col(c)) for c in ("width", "height", "depth")})
+    return judged, new_objects.drop("__fit"), new_blocks.drop("__fit", "__size", "__sized")
+
+
+def match_stem_files(stems: DataFrame, files: DataFrame, project: str = "project") -> DataFrame:
+    """stems (project, idx, label) with the `path` of the file (project, file_no, path) each was rendered to, and `matched_by`.
+
+    A project with as many files as stems matches them in order; in others a stem has its first file whose path contains
+    its label, in any case. Without one, or with an empty label, path is null. idx and file_no are unique in a project."""
+    def ranked(df: DataFrame, order: str) -> DataFrame:
+        w = W.partitionBy(project)
+        return df.withColumns({"__rank": F.row_number().over(w.orderBy(order)), "__count": F.count("*").over(w)})
+
+    left = ranked(stems, "idx")
+    right = ranked(files, "file_no").select(F.col(project).alias("__project"), "file_no", "path", F.col("__rank").alias("__file"), F.col("__count").alias("__files"))
+    even = F.col("__count") == F.col("__files")
+    named = (F.col("label") != "") & F.contains(F.lower("path"), F.lower("label"))
+    on = (F.col(project) == F.col("__project")) & ((even & (F.col("__rank") == F.col("__file"))) | (~even & named))
+    met = left.join(right, on, "left").groupBy(project, "idx").agg(F.first("label").alias("label"), F.min(F.struct("file_no", "path", even.alias("even"))).alias("best"))
+    by = F.when(F.col("best.path").isNotNull(), F.when(F.col("best.even"), "order").otherwise("name"))
+    return met.select(project, "idx", "label", F.col("best.path").alias("path"), by.alias("matched_by"))

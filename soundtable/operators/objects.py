@@ -133,3 +133,36 @@ def thin_timeline(slices: DataFrame, keys: list[str], order: list[str], most: in
     r = F.ceil((2 * idx - 1) * (most - 1) / (2 * last))  # the first whose index is not below this one
     kept = (last < most) | (F.floor((2 * r * last + (most - 1)) / (2 * (most - 1))) == idx)
     return wide.where(kept).drop("__last")
+
+
+def predict_decode(slices: DataFrame, layout: str, order: int = 3) -> DataFrame:
+    """slices (x, y, z, gain) with `dominant`, the label of the loudest speaker, and `fractions`, each speaker's share of the energy.
+
+    All speakers are columns of one row, so nothing is shuffled. A vector of no length faces front. Of several loudest
+    speakers, to nine places, the first counts; a slice of no energy has shares of zero.
+    """
+    norm = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    unit = lambda c, front: F.when(norm > 1e-12, F.col(c) / norm).otherwise(front)
+    placed = slices.withColumns({"__x": unit("x", 0.0), "__y": unit("y", 1.0), "__z": unit("z", 0.0)})
+    speakers, terms = harmonics.predicted_speakers(layout), harmonics.legendre_sum(max(1, order))
+
+    def energy(sx: float, sy: float, sz: float) -> Column:
+        cos = clamp(F.col("__x") * sx + F.col("__y") * sy + F.col("__z") * sz, -1.0, 1.0)
+        total = F.lit(terms[-1])
+        for term in reversed(terms[:-1]):
+            total = total * cos + term
+        return total * total * F.col("gain") * F.col("gain")
+
+    heard = placed.withColumn("__energies", F.array(*[energy(*s[1:]) for s in speakers]))
+    even = F.transform("__energies", lambda e: F.round(e * 1e9))
+    loudest = F.get(F.array(*[F.lit(s[0]) for s in speakers]), (F.array_position(even, F.array_max(even)) - 1).cast("int"))
+    total = F.aggregate("__energies", F.lit(0.0), lambda a, e: a + e)
+    shares = F.transform("__energies", lambda e: F.when(F.col("__total") > 1e-30, e / F.col("__total")).otherwise(0.0))
+    return heard.withColumns({"dominant": loudest, "__total": total}).withColumn("fractions", shares).drop("__x", "__y", "__z", "__energies", "__total")
+
+
+def decode_shares(predicted: DataFrame, keys: list[str], layout: str) -> DataFrame:
+    """(keys, label, coverage, dominant_slices): each speaker's mean share over the slices of predict_decode, and on how many it is the loudest."""
+    labels = F.array(*[F.lit(s[0]) for s in harmonics.predicted_speakers(layout)])
+    each = predicted.select(*keys, "dominant", F.inline(F.arrays_zip(labels.alias("label"), F.col("fractions").alias("share"))))
+    return each.groupBy(*keys, "label").agg(F.avg("share").alias("coverage"), F.count(F.when(F.col("dominant") == F.col("label"), 1)).alias("dominant_slices"))

@@ -41,11 +41,11 @@ def apply_edits(table: DataFrame, edits: DataFrame, key: str, fields: dict[str,
     """The last edit of each field wins; a key whose last operation is delete goes, one that the table lacks is added.
 
     edits: (key, op set or delete, field, value string, seq, unique within a key). fields: how each field reads the
-    string `value` it is given, clamps included; a value that does not read leaves the row as it was.
+    string `value` it is given, clamps included; a value that does not read (null) is no edit, so the one before it holds.
     """
     last = edits.groupBy(key).agg(F.max_by("op", "seq").alias("last_op"), F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("deleted"))
     live = edits.join(last, key).where((F.col("op") == "set") & (F.col("deleted").isNull() | (F.col("seq") > F.col("deleted"))))
-    values = live.groupBy(key).agg(*[F.max_by(F.when(F.col("field") == f, read), F.when(F.col("field") == f, F.col("seq"))).alias(f"__{f}") for f, read in fields.items()])
+    values = live.groupBy(key).agg(*[F.max_by(read, F.when((F.col("field") == f) & read.isNotNull(), F.col("seq"))).alias(f"__{f}") for f, read in fields.items()])
     base = table.join(last.select(key, "last_op", "deleted"), key, "full").where(F.coalesce(F.col("last_op") != "delete", F.lit(True)))
     out = base.join(values, key, "left")
     kept = lambda c: F.when(F.col("deleted").isNull(), F.col(c))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from soundtable.functions import harmonics
 from soundtable.functions import scalars as H
-from soundtable.operators import beds, deliveries, meter, notes, objects, scene, sends, session, weighting
+from soundtable.operators import beds, deliveries, edits, meter, notes, objects, scene, sends, session, weighting
 from soundtable.plans import bindings as B
 from soundtable.streaming import updates
 
@@ -852,6 +852,10 @@ def verify_routing(spark, sf):
         coalesce(coordinate, 0) AS coordinate, coalesce(importance, 0) AS importance, coalesce(divergence, 0) AS divergence, coalesce(extent, 0) AS extent FROM m LEFT JOIN o USING (model) LEFT JOIN g USING (model))
     SELECT model, code, n FROM (UNPIVOT f ON COLUMNS(* EXCLUDE model) INTO NAME code VALUE n) WHERE n > 0""")
 def validate_model(spark, sf):
+    return deliveries.validate_model(*_models(spark, sf), max_objects=12, max_channels=18)
+
+
+def _models(spark, sf):
     c, o = B.table(spark, sf, "customer"), B.table(spark, sf, "orders")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % 5 + 1).cast("int"))
     models = c.select(F.col("c_custkey").alias("model"), pick(["", "5.1", "7.1", "7.1.2", "7.1.4"]).alias("bed"), pick([0, 6, 8, 10, 12]).alias("bed_channels"), F.when(F.col("c_custkey") % 4 == 0, 44100).otherwise(48000).alias("rate"))
@@ -859,4 +863,99 @@ def validate_model(spark, sf):
     lines = B.table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     width = F.col("l_linenumber") % 3 / 2
     blocks = lines.select(F.col("o_custkey").alias("model"), (F.col("l_linenumber") % 5 == 0).alias("divergence"), width.alias("width"), (F.col("l_partkey") % 2 / 2).alias("height"), width.alias("depth"))
-    return deliveries.validate_model(models, kept, blocks, max_objects=12, max_channels=18)
+    return models, kept, blocks
+
+
+@query("""WITH m AS (SELECT c_custkey AS model, ['', '5.1', '7.1', '7.1.2', '7.1.4'][(c_custkey % 5 + 1)::INT] AS bed, [0, 6, 8, 10, 12][(c_custkey % 5 + 1)::INT] AS ch, CASE WHEN c_custkey % 4 = 0 THEN 44100 ELSE 48000 END AS rate FROM customer),
+    k AS (SELECT o_custkey AS model, count(*) AS n FROM orders GROUP BY 1),
+    e AS (SELECT model, CASE WHEN bed = '7.1.4' THEN 'bed_not_profile_conformant' WHEN rate <> 48000 THEN 'sample_rate_not_48k' WHEN n > 12 THEN 'too_many_objects' WHEN ch + coalesce(n, 0) > 18 THEN 'too_many_channels' END AS error FROM m LEFT JOIN k USING (model)),
+    b AS (SELECT o_custkey AS model, l_linenumber % 5 = 0 AS divergence, l_linenumber % 3 / 2.0::DOUBLE AS w, l_partkey % 2 / 2.0::DOUBLE AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT model, error, CASE WHEN error IS NULL THEN greatest(w, h) ELSE w END AS width, CASE WHEN error IS NULL THEN greatest(w, h) ELSE h END AS height, error IS NOT NULL AND divergence AS divergence,
+        concat_ws(',', CASE WHEN error IS NULL AND divergence THEN 'divergence' END, CASE WHEN error IS NULL AND w <> h THEN 'extent' END) AS warnings FROM b JOIN e USING (model)""")
+def normalize_model(spark, sf):
+    models, _, blocks = deliveries.normalize_model(*_models(spark, sf), max_objects=12, max_channels=18)
+    return blocks.join(models.select("model", "error"), "model").select("model", "error", "width", "height", "divergence", F.concat_ws(",", "warnings").alias("warnings"))
+
+
+@query("""WITH m AS (SELECT c_custkey AS model, CASE WHEN c_custkey % 5 = 4 OR c_custkey % 4 = 0 THEN 1 END AS bad, [0, 6, 8, 10, 12][(c_custkey % 5 + 1)::INT] AS ch FROM customer), k AS (SELECT o_custkey AS model, count(*) AS n FROM orders GROUP BY 1),
+    f AS (SELECT model, bad IS NULL AND coalesce(n, 0) <= 12 AND ch + coalesce(n, 0) <= 18 AS fit FROM m LEFT JOIN k USING (model))
+    SELECT o_custkey AS model, coalesce(fit, false) OR o_orderkey % 3 > 0 AS cartesian, CASE WHEN o_orderkey % 4 = 0 AND NOT coalesce(fit, false) THEN 5 END AS importance,
+        concat_ws(',', CASE WHEN fit AND o_orderkey % 3 = 0 THEN 'coordinate' END, CASE WHEN fit AND o_orderkey % 4 = 0 THEN 'importance' END) AS warnings FROM orders LEFT JOIN f ON o_custkey = model""")
+def normalize_objects(spark, sf):
+    _, objects_, _ = deliveries.normalize_model(*_models(spark, sf), max_objects=12, max_channels=18)
+    return objects_.select("model", "cartesian", "importance", F.concat_ws(",", "warnings").alias("warnings"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS project, o_orderkey AS idx, 'O' || o_orderkey % 10 AS label FROM orders), f AS (SELECT o_custkey AS project, o_orderkey AS file_no, 'Renders/Mix_o' || o_orderkey % 10 || '.wav' AS path FROM orders WHERE o_orderkey % 9 > 0),
+    a AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY idx) AS r, count(*) OVER (PARTITION BY project) AS n FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY file_no) AS r, count(*) OVER (PARTITION BY project) AS n FROM f),
+    j AS (SELECT a.project, a.idx, a.label, a.n = b.n AS even, b.path, b.file_no FROM a LEFT JOIN b ON a.project = b.project AND CASE WHEN a.n = b.n THEN a.r = b.r ELSE contains(lower(b.path), lower(a.label)) END)
+    SELECT project, idx, label, path, CASE WHEN path IS NOT NULL THEN CASE WHEN even THEN 'order' ELSE 'name' END END AS matched_by FROM j QUALIFY row_number() OVER (PARTITION BY project, idx ORDER BY file_no) = 1""")
+def match_stem_files(spark, sf):
+    o, k = B.table(spark, sf, "orders"), F.col("o_orderkey")
+    digit = (k % 10).cast("string")
+    stems = o.select(F.col("o_custkey").alias("project"), k.alias("idx"), F.concat(F.lit("O"), digit).alias("label"))
+    files = o.where(k % 9 > 0).select(F.col("o_custkey").alias("project"), k.alias("file_no"), F.concat(F.lit("Renders/Mix_o"), digit, F.lit(".wav")).alias("path"))
+    return deliveries.match_stem_files(stems, files)
+
+
+PREDICTED_AT = ", ".join(f"({i}, '{label}', {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, (label, x, y, z) in enumerate(harmonics.predicted_speakers("7.1.4")))
+
+
+@query(f"""WITH s AS ({ORACLE_SQL["sample_trajectory"]}), spk(idx, label, sx, sy, sz) AS (VALUES {PREDICTED_AT}), u AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM s),
+    c AS (SELECT object_id, slice, gain, idx, label, greatest(least(CASE WHEN n > 1e-12 THEN x / n * sx + y / n * sy + z / n * sz ELSE sy END, 1), -1) AS c FROM u, spk),
+    e AS (SELECT *, pow(1 + c + (3 * c * c - 1) / 2 + (5 * c * c * c - 3 * c) / 2, 2) * gain * gain AS energy FROM c),
+    d AS (SELECT object_id, slice, sum(energy) AS total, arg_max(label, (round(energy * 1000000000.0::DOUBLE), -idx)) AS loudest FROM e GROUP BY 1, 2)
+    SELECT object_id, label, {r6('avg(CASE WHEN total > 1e-30 THEN energy / total ELSE 0 END)')} AS coverage, count(*) FILTER (label = loudest) AS dominant_slices FROM e JOIN d USING (object_id, slice) GROUP BY 1, 2""")
+def predict_decode(spark, sf):
+    predicted = objects.predict_decode(sample_trajectory(spark, sf), "7.1.4")
+    return rounded(objects.decode_shares(predicted, ["object_id"], "7.1.4"), "coverage")
+
+
+# ---- edits of session tables: a row for each customer, an edit for each event; expressions that both engines read
+
+
+def _edit_query(name: str, fields, columns: dict[str, tuple[str, str]]) -> None:
+    """columns: of each field its first value and how SQL reads an edit's value."""
+    pick = " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(columns))
+    log = f"""SELECT user_id AS k, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'set' END AS op, CASE event_id % {len(columns)} {pick} END AS field,
+        CASE WHEN event_id % 11 = 0 THEN 'true' WHEN event_id % 11 = 1 THEN 'false' WHEN event_id % 11 = 2 THEN 'loud' ELSE CAST(event_id % 29 - 5 AS STRING) END AS value, event_id AS seq FROM events"""
+    base = "SELECT c_custkey AS k, " + ", ".join(f'{first} AS "{f}"' for f, (first, _) in columns.items()) + " FROM customer"
+    reads = ", ".join(f"arg_max({read}, seq) FILTER (field = '{f}' AND {read} IS NOT NULL) AS \"{f}\"" for f, (_, read) in columns.items())
+    sql = f"""WITH base AS ({base}), e AS ({log}), l AS (SELECT k, arg_max(op, seq) AS last_op, max(seq) FILTER (op = 'delete') AS deleted FROM e GROUP BY 1),
+        v AS (SELECT e.k, {reads} FROM e JOIN l USING (k) WHERE op = 'set' AND (deleted IS NULL OR seq > deleted) GROUP BY 1)
+        SELECT coalesce(base.k, l.k) AS k, {', '.join(f'coalesce(v."{f}", CASE WHEN deleted IS NULL THEN base."{f}" END) AS "{f}"' for f in columns)}
+        FROM base FULL JOIN l ON base.k = l.k LEFT JOIN v ON v.k = coalesce(base.k, l.k) WHERE coalesce(last_op <> 'delete', true)"""
+
+    def run(spark, sf):
+        first = B.table(spark, sf, "customer").selectExpr("c_custkey AS k", *[f"{e} AS `{f}`" for f, (e, _) in columns.items()])
+        log_of = spark.sql(log.replace("FROM events", "FROM {events}"), events=B.table(spark, sf, "events"))
+        return session.apply_edits(first, log_of, "k", fields())
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+def _number(low, high) -> str:
+    return f"CASE WHEN try_cast(value AS DOUBLE) BETWEEN {low} AND {high} THEN try_cast(value AS DOUBLE) END"
+
+
+def _whole(low, high) -> str:
+    return f"CASE WHEN try_cast(value AS INT) BETWEEN {low} AND {high} THEN try_cast(value AS INT) END"
+
+
+ANY, LATER, FLAG = _number(-1e300, 1e300), _number(0, 1e300), "try_cast(value AS BOOLEAN)"
+COLOR = _whole(0, 0xFFFFFF)
+SOME, NONE, OFF = "CAST(c_custkey % 7 AS DOUBLE)", "CAST(0 AS INT)", "CAST(false AS BOOLEAN)"
+_edit_query("edit_sends", edits.send_fields, {"vol_db": (SOME, ANY), "pan": ("CAST(0 AS DOUBLE)", _number(-1, 1)), "muted": (OFF, FLAG), "phase": (OFF, FLAG), "mode": (NONE, "CASE WHEN try_cast(value AS INT) IN (0, 1, 3) THEN try_cast(value AS INT) END")})
+_edit_query("edit_markers", edits.marker_fields, {"name": ("c_name", "value"), "position": (SOME, ANY), "end": (SOME, ANY), "color": (NONE, COLOR)})
+_edit_query("edit_tempo", edits.tempo_fields, {"bpm": ("CAST(120 AS DOUBLE)", _number(1, 960)), "beats": ("CAST(4 AS INT)", _whole(1, 2147483647)), "unit": ("CAST(4 AS INT)", _whole(1, 2147483647)), "linear": (OFF, FLAG)})
+_edit_query("edit_items", edits.item_fields, {"position": (SOME, LATER), "length": ("CAST(1 AS DOUBLE)", LATER), "muted": (OFF, FLAG), "vol_db": ("CAST(0 AS DOUBLE)", ANY), "fade_in": (SOME, LATER), "fade_out": (SOME, LATER), "color": (NONE, COLOR), "track": (NONE, _whole(0, 2147483647))})
+_edit_query("edit_points", edits.point_fields, {"time": (SOME, ANY), "value": ("CAST(0 AS DOUBLE)", ANY), "shape": (NONE, _whole(0, 5)), "tension": ("CAST(0 AS DOUBLE)", _number(-1, 1))})
+_edit_query("edit_notes", edits.note_fields, {"start": (SOME, LATER), "length": ("CAST(1 AS DOUBLE)", LATER), "pitch": ("CAST(60 AS INT)", _whole(0, 127)), "velocity": ("CAST(96 AS INT)", _whole(1, 127)), "channel": (NONE, _whole(0, 15)), "muted": (OFF, FLAG)})
+
+
+@query(f"""WITH p AS (SELECT user_id AS program_id, ts, value * value / 250000 AS power FROM events), w AS (SELECT program_id, time_bucket(INTERVAL '100 milliseconds', ts) - i * INTERVAL '100 milliseconds' AS window_start, power FROM p, range(4) r(i))
+    SELECT window_start, program_id, {r6(lufs('avg(power)'))} AS loudness, count(*) >= 4 AS full_window FROM w GROUP BY 1, 2""")
+def live_loudness(spark, sf):
+    powers = B.table(spark, sf, "events").select("ts", F.col("user_id").alias("program_id"), (F.col("value") * F.col("value") / 250000).alias("power"))
+    return rounded(updates.live_loudness(powers), "loudness")

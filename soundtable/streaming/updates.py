@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from soundtable.functions.scalars import lufs
+
 
 def coalesce_updates(events: DataFrame, subscriptions: DataFrame, every: str = "100 milliseconds", watermark: str = "3 seconds") -> DataFrame:
     """(window_start, uri): resources that events (ts, kind, track) touch, those subscribed to, once for each window."""
@@ -35,3 +37,12 @@ def silence_sessions(levels: DataFrame, threshold_db: float = -60.0, gap: str =
     w = F.session_window("ts", gap).alias("w")
     out = levels.where(F.col("level_db") > threshold_db).withWatermark("ts", watermark).groupBy(w, "program_id").agg(F.count("*").alias("frames"))
     return out.select("program_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames")
+
+
+def live_loudness(powers: DataFrame, length: str = "400 milliseconds", bins: int = 4, every: str = "100 milliseconds", watermark: str = "3 seconds") -> DataFrame:
+    """(window_start, program_id, loudness, full_window) over sliding windows of weighted power bins (ts, program_id, power).
+
+    Windows of 400 ms are momentary, of 3 seconds (30 bins) short-term loudness; `full_window` where all bins are there."""
+    w = F.window("ts", length, every).alias("w")
+    out = powers.withWatermark("ts", watermark).groupBy(w, "program_id").agg(lufs(F.avg("power")).alias("loudness"), F.count("power").alias("n"))
+    return out.select(F.col("w.start").alias("window_start"), "program_id", "loudness", (F.col("n") >= bins).alias("full_window"))
