@@ -260,7 +260,7 @@ def _verified(spark: SparkSession, docs: DataFrame, key: Column, text: Column, p
 SAMPLE, FREQUENT = 16, 1 << 17
 
 #: Texts of a list with a shingle from which several of them, and about how many, are compared with the others first.
-LONG_LIST, HUBS = 64, 64
+LONG_LIST, HUBS = 64, 16
 
 
 def _text_shingles(text: str, k: int) -> np.ndarray:
