@@ -140,6 +140,29 @@ def slug(name: Column, fallback: str) -> Column:
 
 def adm_time(seconds: Column) -> Column:
     ticks = F.floor(F.greatest(seconds, F.lit(0.0)) * 100000 + 0.5)
-    part = lambda n, size: F.lpad(n.cast("bigint").cast("string"), size, "0")
+    part = lambda n, size: F.format_string(f"%0{size}d", n.cast("bigint"))
     whole = F.floor(ticks / 100000)
     return F.concat(part(F.floor(whole / 3600), 2), F.lit(":"), part(F.floor(whole / 60) % 60, 2), F.lit(":"), part(whole % 60, 2), F.lit("."), part(ticks % 100000, 5))
+
+
+def hex_digits(number: Column, size: int = 4) -> Column:
+    """The low `size` hexadecimal digits, in lower case."""
+    return F.format_string(f"%0{size}x", number.cast("bigint").bitwiseAND(F.lit(16**size - 1).cast("bigint")))
+
+
+def fmt_num(value: Column) -> Column:
+    """Six decimals without the zeros behind them."""
+    return F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"\.?0+$", "")
+
+
+def xml_escape(text: Column) -> Column:
+    for mark, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos")):
+        text = F.replace(text, F.lit(mark), F.lit(f"&{name};"))
+    return text
+
+
+def yaml_quote(text: Column) -> Column:
+    """In double quotes, with quotes, backslashes and line ends escaped."""
+    for mark, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        text = F.replace(text, F.lit(mark), F.lit(escaped))
+    return F.concat(F.lit('"'), text, F.lit('"'))

@@ -959,3 +959,21 @@ _edit_query("edit_notes", edits.note_fields, {"start": (SOME, LATER), "length":
 def live_loudness(spark, sf):
     powers = B.table(spark, sf, "events").select("ts", F.col("user_id").alias("program_id"), (F.col("value") * F.col("value") / 250000).alias("power"))
     return rounded(updates.live_loudness(powers), "loudness")
+
+
+# ---- text formats of delivery files
+
+
+@query(r"""WITH t AS (SELECT o_orderkey, floor(o_totalprice * 100000 + 0.5)::BIGINT AS ticks FROM orders)
+    SELECT o_orderkey, printf('%02d:%02d:%02d.%05d', ticks // 360000000, ticks // 6000000 % 60, ticks // 100000 % 60, ticks % 100000) AS time, printf('%04x', o_orderkey & 65535) AS digits,
+    regexp_replace(printf('%.6f', o_orderkey / 8.0::DOUBLE), '\.?0+$', '') AS number FROM t""")
+def number_formats(spark, sf):
+    key = F.col("o_orderkey")
+    return B.table(spark, sf, "orders").select(key, H.adm_time(F.col("o_totalprice")).alias("time"), H.hex_digits(key).alias("digits"), H.fmt_num(key / 8).alias("number"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text || '"\''' || chr(10) AS text FROM documents), x AS (SELECT doc_id, text, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM t)
+    SELECT doc_id, md5(xml) AS xml, md5('"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') || '"') AS yaml FROM x""")
+def text_escapes(spark, sf):
+    text = F.concat("text", F.lit("\"\\'\n"))
+    return B.table(spark, sf, "documents").select("doc_id", F.md5(H.xml_escape(text)).alias("xml"), F.md5(H.yaml_quote(text)).alias("yaml"))
