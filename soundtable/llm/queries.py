@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from soundtable.llm import bpe, decontamination, exact_dedup, hmm, language_id, sharding, simhash, token_files, toxicity, warc
+from soundtable.llm import bpe, decontamination, embedding_dedup, exact_dedup, hmm, language_id, prefix_trie, sharding, simhash, spelling, token_files, toxicity, warc
 from soundtable.llm.common import load
 
 
@@ -66,7 +66,20 @@ def op10_shards(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_decontaminate, op4_language_id, op5_toxicity, op6_hmm_score, op7_elias_fano, op8_exact_dedup, op9_warc, op10_shards)}
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(spark, load(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_dedup(spark, sf_dir):
+    found = embedding_dedup.near_vectors(spark, load(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.spelling_variants(spark, load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_decontaminate, op4_language_id, op5_toxicity, op6_hmm_score, op7_elias_fano, op8_exact_dedup, op9_warc, op10_shards, op11_prefix_trie, op12_embedding_dedup, op13_spelling)}
 
 ORACLE_SQL = {
     "op3_decontaminate": r"""
@@ -119,4 +132,33 @@ ORACLE_SQL = {
         SELECT doc_id, size, text_crc32, 'rows' AS law, (position * 24 // total)::INT AS shard,
                position - ((position * 24 // total) * total + 23) // 24 AS slot, NULL::INT AS grown_shard
         FROM p""",
+    "op11_prefix_trie": r"""
+        WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+                lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+        c AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        h AS (SELECT conv_id, turns, xor(list_reduce(list_concat([4294967295], list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT)),
+                lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])), 4294967295) % 4 AS h FROM c, tbl),
+        r AS (SELECT h.conv_id, list_concat(CASE WHEN b.turns IS NULL THEN [] ELSE list_slice(b.turns, 1, h) END, list_slice(h.turns, h + 1, len(h.turns))) AS t
+              FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+        m AS (SELECT conv_id, d, list_slice(t, 1, d) AS p, len(t) = d AS ends FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM r)),
+        n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                     sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+        w AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE len(list_filter(string_split_regex(p[d].text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS words FROM n),
+        k AS (SELECT w.*, u.conv_id AS parent_conv_id FROM w LEFT JOIN w u ON u.d = w.d - 1 AND u.p = list_slice(w.p, 1, w.d - 1)),
+        f AS (SELECT list_slice(p, 1, d - 1) AS p, d - 1 AS d, count(*) AS n_children FROM w WHERE d > 0 GROUP BY 1, 2),
+        g AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN f USING (p, d)),
+        s AS (SELECT list_slice(p, 1, up) AS p, up AS d, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+              FROM (SELECT *, unnest(range(d + 1)) AS up FROM g) GROUP BY 1, 2)
+        SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+        FROM g JOIN s USING (p, d)""",
+    "op12_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER () AS row FROM embeddings),
+        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.row AS a, b.row AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.row <> b.row
+                 WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.98),
+        reach(a, b) AS (SELECT row, row FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+        c AS (SELECT reach.a AS row, min(v.vec_id) AS component_id FROM reach JOIN v ON v.row = reach.b GROUP BY 1),
+        n AS (SELECT a AS row, count(*) AS n FROM link GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (row) LEFT JOIN n USING (row)""",
 }
