@@ -92,7 +92,7 @@ def read_adm_corpus(spark: SparkSession, path: str) -> DataFrame:
     Spark lists the files; tasks read chunk headers, `fmt `, `chna` and `axml` by ranged reads, so a file of any size costs
     its metadata. A file that is none of the formats, or cannot be opened, gives a row with path and `error` alone and fails
     no job; one that is cut short gives what its beginning says, with warnings for what is missing. An `axml` of no text is
-    an empty string. No file gives no row.
+    an empty string. A file of no bytes has no row, as Spark passes over it; no file gives none.
     """
     schema = spark.createDataFrame([], FILES).schema
 
