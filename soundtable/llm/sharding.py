@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows that one ordered window should hold on average.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 
 def _rank(df: DataFrame, within: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
