@@ -14,7 +14,8 @@ _KEY = ["digest", "n_bytes", "check_hash"]
 
 
 def digest_runs(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """id, SHA-256, length and a second hash of each row's text (null: empty), and `more`."""
+    """id, SHA-256, length and a second hash of each row's text (null: empty), and `more`: one row for each row, ids null or
+    repeated as they are; an empty table gives an empty result."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return df.select(
         F.col(f"`{id_col}`").alias("id"),
@@ -31,24 +32,35 @@ def rounds_for(runs: DataFrame, fan_in_bits: int = FAN_IN_BITS) -> int:
     return max(1, -(-last.bit_length() // fan_in_bits))
 
 
+def _merged(level: DataFrame) -> DataFrame:
+    """Each run sorted by digest, with one row for each text: within partitions, which are runs, so nothing is exchanged."""
+    return level.sortWithinPartitions("run", *_KEY).groupBy("run", *_KEY).agg(F.max("keep").alias("keep"), F.sum("group_size").alias("group_size"))
+
+
+def dealt(level: DataFrame, r: int, rounds: int, fan_in_bits: int = FAN_IN_BITS) -> DataFrame:
+    """The rows of round r, each in the partition that has the number of its new run (column `run`)."""
+    leading = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int")
+    digit = ((1 << fan_in_bits) - 1) << r * fan_in_bits
+    kept = F.col("run").bitwiseAND(F.lit(~digit)).bitwiseOR(leading.bitwiseAND(F.lit(digit)))
+    return level.withColumn("run", kept).repartitionById(1 << rounds * fan_in_bits, F.col("run"))
+
+
 def merge_runs(runs: DataFrame, rounds: int, fan_in_bits: int = FAN_IN_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(digest, n_bytes, check_hash, keep_id, the `carry` columns, group_size) for each distinct text.
 
-    A partition's rows are a leaf run. In round r, the 2^fan_in_bits runs whose numbers agree in all but their r-th digit
-    exchange their rows: each keeps those digests that have its digit in that place. So after all rounds a run's number
-    is the beginning of its digests, and equal texts have met, without one task ever taking in more than a fan-in of
-    runs. What is kept is a struct, so Spark merges by sorting: runs are sorted by digest and reduced before they leave a
-    task, and sorted together and reduced again where they meet. Of equal texts only the row with the largest id (ties:
-    the largest `carry`) and the count go up, so a hot text sends one row for each run. Length and second hash are part
-    of the key at each level: rows of one digest that differ in them never merge.
+    A partition's rows, sorted by digest and reduced to one for each text, are a leaf run. In round r, the 2^fan_in_bits
+    runs whose numbers agree in all but their r-th digit exchange their rows: each keeps those digests that have its digit
+    in that place. Partitions are runs all the way, so a task takes in rows of a fan-in of runs and no others. After all
+    rounds a run's number is the beginning of its digests, and equal texts have met. Of equal texts only the row with the
+    largest id (ties: the largest `carry`) and the count go up, so a hot text sends one row for each run. Length and second
+    hash are part of the key at each level: rows of one digest that differ in them never merge.
     """
-    number = F.pmod(F.spark_partition_id().cast("long"), F.lit(1 << rounds * fan_in_bits))
+    count = 1 << rounds * fan_in_bits
+    number = F.pmod(F.spark_partition_id(), F.lit(count))
     level = runs.select(*_KEY, number.alias("run"), F.struct(F.col("id").alias("keep_id"), *carry).alias("keep"), F.lit(1).cast("long").alias("group_size"))
-    leading = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
+    level = _merged(level.repartitionById(count, F.col("run")))
     for r in range(rounds):
-        digit = ((1 << fan_in_bits) - 1) << r * fan_in_bits
-        kept = F.col("run").bitwiseAND(F.lit(~digit).cast("long")).bitwiseOR(leading.bitwiseAND(F.lit(digit).cast("long")))
-        level = level.withColumn("run", kept).groupBy("run", *_KEY).agg(F.max("keep").alias("keep"), F.sum("group_size").alias("group_size"))
+        level = _merged(dealt(level, r, rounds, fan_in_bits))
     return level.select(*_KEY, "keep.*", "group_size")
 
 
