@@ -44,7 +44,9 @@ def _index(items: DataFrame, radius: int) -> DataFrame:
 
 
 def item_table(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(item_id, width, item, item_fp): the words, shingle hashes and fingerprint of each item of at least k words."""
+    """(item_id, width, item, item_fp): the number of words, shingle hashes and fingerprint of each item of at least k words.
+
+    Null and shorter texts give no row, repeated rows one, null ids stay null; an empty table gives an empty result."""
     split = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), words(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("w"))
     items = split.where(F.size("w") >= k).select("item_id", F.size("w").alias("width"), shingle_hashes(F.col("w"), k).alias("item")).distinct()
     return items.select("*", simhash_of(F.col("item")).alias("item_fp"))
@@ -71,12 +73,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     stays with its task: the benchmark's shingles go to the documents, in blocks of at most BROADCAST_ROWS rows.
     """
     id_cols = id_cols or {"doc_id": F.col("doc_id")}
-    ids = list(id_cols)
+    names, ids = list(id_cols), [f"__id{i}" for i in range(len(id_cols))]  # no name of an id meets one of ours
     items = write_table(spark, item_table(benchmark, item_id_col, item_text_col, k), "items")
     # Which item widths a shingle calls for.
     starts = write_table(spark, items.select("width", F.explode(F.array_distinct("item")).alias("shingle")).distinct(), "item-shingles")
     count = starts.count()
-    split = docs.select(*[c.alias(n) for n, c in id_cols.items()], words(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("__w"))
+    split = docs.select(*[c.alias(n) for n, c in zip(ids, id_cols.values(), strict=True)], words(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("__w"))
     hashed = split.select(*ids, F.size("__w").alias("__words"), shingle_hashes(F.col("__w"), k).alias("__h"))
     each = hashed.select(*ids, "__words", "__h", F.posexplode_outer("__h").alias("__p", "__s"))
     blocks = max(1, -(-count // BROADCAST_ROWS))
@@ -104,11 +106,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     value = F.col("__common") / (F.col("__n") + F.col("__m") - F.col("__common"))
     scored = scored.withColumn("similarity", value)
     best = scored.groupBy(*ids, "item_id").agg(F.max(F.struct("similarity", (-F.col("position")).alias("back"))).alias("best"))
-    return best.where(F.col("best.similarity") >= similarity).select(*ids, "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("position"))
+    return best.where(F.col("best.similarity") >= similarity).select(*[F.col(i).alias(n) for i, n in zip(ids, names, strict=True)], "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("position"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that contain an item; rows with the same id and text share their fate, columns stay as they are."""
+    """docs without those that contain an item. Rows with the same id and text share their fate, a null id is a value like any
+    other, null and empty texts stay. Columns stay as they are, whatever their names. Either table may be empty."""
     keys = {"id": F.col(f"`{id_col}`"), "hash": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))}
     found = contaminated(spark, docs, benchmark, keys, text_col)
     return remove_rows(docs, write_table(spark, found.select(*keys).distinct(), "contaminated"), keys)

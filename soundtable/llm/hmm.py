@@ -367,9 +367,10 @@ def score_texts(spark: SparkSession, df: DataFrame, keep: dict[str, Column], tra
     empty. base_score is the add-one unigram score, score the model's log10 probability of the whole text. All words are
     counted; only frequent ones, whose number is bounded by `share`, go to the driver and all tasks, the rarer ones are
     tables. With no training row every word is unknown and scores are defined all the same. Rows may repeat, ids may be
-    null; other columns are not read; `keep` must not name "__train" or "__n". An empty table gives an empty result.
+    null; other columns are not read; `keep` may have any names. An empty table gives an empty result.
     """
     trained = F.coalesce(trains, F.lit(False))
+    names, keep = list(keep), {f"k{i}": column for i, column in enumerate(keep.values())}  # no name meets one of ours
     rows = df.select(*[c.alias(n) for n, c in keep.items()], trained.alias("__train"), text_or_empty(text_col).alias("__text"))
     blocks = write_table(spark, encode_blocks(rows, block_tokens), "word-blocks", "zstd")
     listed = blocks.select(F.inline(F.arrays_zip("words", "counts"))).where("counts > 0")
@@ -388,22 +389,30 @@ def score_texts(spark: SparkSession, df: DataFrame, keep: dict[str, Column], tra
     emission = np.concatenate([plain[:1], starting_emissions(counts[1:-1], frequent["h"].to_numpy(np.int64), states), plain[1:]])
     start = Hmm(even, even, 0.9 * np.eye(states) + 0.1 / states, emission / emission.sum(axis=0))
     begun, moved, emitted, rare = train(spark, blocks, vocabulary, start, counts, iterations)
+    # Counts are the words' own; only how a word's occurrences divide between the states comes from the model.
+    known = frequent_words(spark, vocabulary)
+    exact = counted.join(known, F.col("word") == F.col("often"), "left_anti").join(rare.select(F.col("word").alias("spelt"), "shares").hint("merge"), F.col("word") == F.col("spelt"), "left")
+    exact = write_table(spark, exact.select("word", "c", F.coalesce("shares", F.lit(bytes(states))).alias("shares")), "exact-counts")
     byte = [F.conv(F.hex(F.substring("shares", k + 1, 1)), 16, 10).cast("long") for k in range(states)]
-    others = rare.agg(*[F.coalesce(F.sum(F.col("c") * b), F.lit(0)) for b in byte]).first()
+    others = exact.agg(*[F.coalesce(F.sum(F.col("c") * b), F.lit(0)) for b in byte]).first()
     tokens = emitted[1:].sum(axis=0) + np.array(others, dtype=float) / _SHARES
     initial, _, transition = _moves(begun, moved)
     now = Shared(initial, transition, tokens, total, distinct, emitted, counts)
     now.emission = now.emissions(emitted)
     now.counts[RARE] = 0
-    frequents = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "often binary"))  # at most `share` words
-    own = blocks.select("block", F.posexplode("words").alias("local", "word")).join(frequents, F.col("word") == F.col("often"), "left_anti")
-    met = write_table(spark, own.join(rare.hint("merge"), "word").select("block", "local", "c", "shares"), "block-words")
-    discard(spark, rare, counted)
+    own = blocks.select("block", F.posexplode("words").alias("local", "word")).join(known, F.col("word") == F.col("often"), "left_anti")
+    met = write_table(spark, own.join(exact.hint("merge"), "word").select("block", "local", "c", "shares"), "block-words")
+    discard(spark, rare, counted, exact)
     run = _scoring(spark.sparkContext.broadcast((now, vocabulary)), list(keep))
     doc = blocks.schema["docs"].dataType.elementType.fields
     schema = T.StructType([*doc[: len(keep)], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     scored = blocks.select("block", "docs", "low", "middle", "high", "words").groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run, schema)
-    return scored.select(*keep, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(*[F.col(k).alias(name) for k, name in zip(keep, names, strict=True)], "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def frequent_words(spark: SparkSession, vocabulary: dict[bytes, int]) -> DataFrame:
+    """(often): the words of a vocabulary, whose number is bounded, to be sent to all tasks."""
+    return F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "often binary"))
 
 
 def _scoring(shared, kept: list[str]):

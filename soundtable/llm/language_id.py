@@ -136,7 +136,7 @@ def _score(df: DataFrame, keys: dict[str, Column], text: Column, model: TextMode
 def identify(spark: SparkSession, df: DataFrame, model: TextModel, keys: dict[str, Column], text: Column, declared: Column | None = None, place: Column | None = None) -> DataFrame:
     """(the keys, language, posterior, text_language, n), one row for each row of df.
 
-    The evidence of a row: its text's trigrams; P(declared | language), the share of each declaration among the rows
+    Keys may have any names. The evidence of a row: its text's trigrams; P(declared | language), the share of each declaration among the rows
     that look like a language; and the prior of its host, smoothed towards that of the host's suffix (what follows its
     last dot), which is smoothed towards that of all rows. All these shares are sums of text posteriors over all rows,
     by grouped aggregation; a row's own share is taken out of its host's. A missing declaration or address says nothing.
@@ -145,6 +145,8 @@ def identify(spark: SparkSession, df: DataFrame, model: TextModel, keys: dict[st
     written, then joined with the shares.
     """
     missing = F.lit(None).cast("string")
+    names = list(keys)
+    keys = {f"__key{i}": key for i, key in enumerate(keys.values())}  # no name of a key meets one of ours
     scored = _score(df, keys, text, model, missing if declared is None else declared, missing if place is None else place)
     known = F.col("declared").isin(*model.languages) | (F.col("declared") == "")
     scored = scored.withColumns({"suffix": F.element_at(F.split("host", r"\."), -1), "declared": F.when(known, F.col("declared")).otherwise("other")})
@@ -180,7 +182,7 @@ def identify(spark: SparkSession, df: DataFrame, model: TextModel, keys: dict[st
     weight = F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("logits")))
     by_text = F.element_at(name, F.array_position("post", F.array_max("post")).cast("int"))
     said = F.col("n") > 0
-    return fused.select(*keys, F.when(said, best).otherwise(UNDETERMINED).alias("language"), F.when(said, 1.0 / weight).otherwise(1.0).alias("posterior"), F.when(said, by_text).otherwise(UNDETERMINED).alias("text_language"), "n")
+    return fused.select(*[F.col(k).alias(name) for k, name in zip(keys, names, strict=True)], F.when(said, best).otherwise(UNDETERMINED).alias("language"), F.when(said, 1.0 / weight).otherwise(1.0).alias("posterior"), F.when(said, by_text).otherwise(UNDETERMINED).alias("text_language"), "n")
 
 
 def identify_pages(spark: SparkSession, pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
