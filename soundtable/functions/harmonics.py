@@ -80,3 +80,8 @@ def predicted_speakers(layout: str) -> list[tuple[str, float, float, float]]:
 def legendre_sum(order: int) -> list[float]:
     """Coefficients, constant first, of the sum of the Legendre polynomials up to an order."""
     return [float(c) for c in Legendre([1.0] * (order + 1)).convert(kind=Polynomial).coef]
+
+
+def legendre_derivative(l: int, m: int) -> list[float]:
+    """Coefficients, constant first, of the m-th derivative of the Legendre polynomial of degree l."""
+    return [float(c) for c in _derivative(l, m).convert(kind=Polynomial).coef]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soundtable.functions import harmonics
 from soundtable.functions.scalars import azimuth, clamp, elevation
@@ -56,20 +59,45 @@ def covariance(scene: DataFrame, keys: list[str], channels: int) -> DataFrame:
     return scene.groupBy(*keys).agg(F.array(*[F.sum(_acn(j) * _acn(k)) for j, k in pairs]).alias("c"))
 
 
-def speaker_energies(scene: DataFrame, keys: list[str], layout: str | int, channels: int = 16, n3d: bool = False) -> DataFrame:
-    """(keys, idx, label, x, y, z, energy) for each speaker of a layout, or each of so many directions of the sphere."""
-    rows = []
-    for i, ((label, x, y, z), y_k) in enumerate(zip(harmonics.speakers(layout), harmonics.basis(layout, channels), strict=True)):
-        scaled = [v / math.sqrt(2 * harmonics.degree(k) + 1) if n3d else v for k, v in enumerate(y_k)]
-        weights = [scaled[j] * scaled[k] * (1 if j == k else 2) for j in range(channels) for k in range(j, channels)]
-        rows.append((i, label, x, y, z, weights))
-    table = scene.sparkSession.createDataFrame(rows, "idx int, label string, x double, y double, z double, w array<double>")
+#: Channels up to which the sums of all products are columns; above, tasks project their frames and send one sum a speaker.
+COVARIANCE_CHANNELS = 16
+
+
+def speaker_energies(scene: DataFrame, keys: list[str], layout: str | int, channels: int = 64, n3d: bool = False) -> DataFrame:
+    """(keys, idx, label, x, y, z, energy) for each speaker of a layout, or each of so many directions of the sphere.
+
+    Scenes of fewer channels have silent ones above, those of more are decoded at the order of `channels`; null channels
+    are silent. Either way a task sends a few numbers for each program it has read."""
+    basis = [[v / math.sqrt(2 * harmonics.degree(k) + 1) if n3d else v for k, v in enumerate(y)] for y in harmonics.basis(layout, channels)]
+    places = [(i, *spot) for i, spot in enumerate(harmonics.speakers(layout))]
+    spark = scene.sparkSession
+    if channels > COVARIANCE_CHANNELS:
+        table = spark.createDataFrame(places, "idx int, label string, x double, y double, z double")
+        return _projected(scene, keys, np.array(basis)).join(F.broadcast(table), "idx").select(*keys, "idx", "label", "x", "y", "z", "energy")
+    rows = [(*spot, [y[j] * y[k] * (1 if j == k else 2) for j in range(channels) for k in range(j, channels)]) for spot, y in zip(places, basis, strict=True)]
+    table = spark.createDataFrame(rows, "idx int, label string, x double, y double, z double, w array<double>")
     sums = covariance(scene, keys, channels)
     # The table of speakers is fixed and small; each program meets each speaker once.
     met = sums.crossJoin(F.broadcast(table))
     return met.select(*keys, "idx", "label", "x", "y", "z", F.aggregate(F.zip_with("c", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("energy"))
 
 
+def _projected(scene: DataFrame, keys: list[str], basis: np.ndarray) -> DataFrame:
+    """(keys, idx, energy): sums of squares of the frames' projections on each row of the basis."""
+    speakers, channels = basis.shape
+    acn = F.concat(F.transform(F.slice("acn", 1, channels), lambda v: F.coalesce(v.cast("double"), F.lit(0.0))), F.array_repeat(F.lit(0.0), F.greatest(F.lit(channels) - F.size("acn"), F.lit(0))))
+    narrow = scene.where("acn IS NOT NULL").select(*keys, acn.alias("__acn"))
+
+    def run(frames):
+        for frame in frames:
+            for key, part in frame.groupby(keys, dropna=False, sort=False):
+                energy = ((np.stack(part["__acn"].to_numpy()) @ basis.T) ** 2).sum(axis=0)
+                yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "idx": np.arange(speakers), "energy": energy})
+
+    schema = T.StructType([*[scene.schema[k] for k in keys], T.StructField("idx", T.IntegerType()), T.StructField("energy", T.DoubleType())])
+    return narrow.mapInPandas(run, schema).groupBy(*keys, "idx").agg(F.sum("energy").alias("energy"))
+
+
 def energy_vector(energies: DataFrame, keys: list[str]) -> DataFrame:
     e = F.col("energy")
     s = energies.groupBy(*keys).agg(F.sum(e).alias("t"), *[F.sum(e * F.col(c)).alias(c) for c in "xyz"])
@@ -157,3 +185,73 @@ def rotate_yaw(acn: Column, degrees: float, channels: int = 64) -> Column:
     cos, sin, partner = (F.array(*[F.lit(v) for v in row]) for row in ([math.cos(math.radians(j * degrees)) for j in m], [math.sin(math.radians(j * degrees)) for j in m], [k - 2 * j + 1 for k, j in enumerate(m)]))
     other = lambda k: F.element_at(acn, F.element_at(partner, k + 1)).cast("double")
     return F.transform(acn, lambda a, k: a.cast("double") * F.element_at(cos, k + 1) - other(k) * F.element_at(sin, k + 1))
+
+
+def rotation_blocks(yaw: float, pitch: float, roll: float, order: int) -> list[np.ndarray]:
+    """For each degree the matrix that turns its channels with the sources: roll about the front axis, then pitch (front
+    upwards), then yaw (to the left), degrees.
+
+    A degree's channels turn among themselves, so its matrix is settled by what they are in enough directions before
+    and after the turn; the equations have an exact solution."""
+    a, b, c = (math.radians(v) for v in (yaw, pitch, roll))
+    turn_z = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]])
+    turn_x = np.array([[1, 0, 0], [0, math.cos(b), -math.sin(b)], [0, math.sin(b), math.cos(b)]])
+    turn_y = np.array([[math.cos(c), 0, math.sin(c)], [0, 1, 0], [-math.sin(c), 0, math.cos(c)]])
+    before = np.array(harmonics.sphere(4 * (order + 1) ** 2))
+    after = before @ (turn_z @ turn_x @ turn_y).T
+    out = []
+    for degree in range(order + 1):
+        of = [[[harmonics.at_vector(k, *d) for k in range(degree**2, (degree + 1) ** 2)] for d in spots] for spots in (before, after)]
+        out.append(np.linalg.lstsq(np.array(of[0]), np.array(of[1]), rcond=None)[0].T)
+    return out
+
+
+def rotate_scene(acn: Column, yaw: float = 0.0, pitch: float = 0.0, roll: float = 0.0, order: int = 7) -> Column:
+    """Scenes of up to that order turned by three angles (our definition, see rotation_blocks): channels of a degree mix, no
+    others. A scene of fewer channels is turned degree by degree as far as its degrees are whole; what is above is dropped."""
+    parts = []
+    for degree, block in enumerate(rotation_blocks(yaw, pitch, roll, order)):
+        first, width = degree**2, 2 * degree + 1
+        rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in block])
+        part = F.slice(acn, first + 1, width)
+        dot = lambda row, part=part: F.aggregate(F.zip_with(part, row, lambda v, w: v.cast("double") * w), F.lit(0.0), lambda s, v: s + v)
+        parts.append(F.when(F.size(acn) >= first + width, F.transform(rows, dot)).otherwise(F.array().cast("array<double>")))
+    return F.concat(*parts)
+
+
+def basis_columns(az: Column, el: Column, order: int) -> Column:
+    """The SN3D harmonics of a direction (degrees, azimuth to the left) in ACN order, as an array."""
+    a, e = F.radians(az), F.radians(el)
+    sine, cosine, out = F.sin(e), F.cos(e), []
+    for k in range((order + 1) ** 2):
+        l, m = harmonics.degree(k), harmonics.order(k)
+        value = F.lit(0.0)
+        for c in reversed(harmonics.legendre_derivative(l, abs(m))):
+            value = value * sine + F.lit(float(c))
+        norm = math.sqrt((2 if m else 1) * math.factorial(l - abs(m)) / math.factorial(l + abs(m)))
+        turn = F.sin(a * -m) if m < 0 else F.cos(a * m)
+        out.append(value * norm * F.pow(cosine, F.lit(abs(m))) * turn)
+    return F.array(*out)
+
+
+def encode_source(sources: DataFrame, keys: list[str], order: int = 3) -> DataFrame:
+    """(keys, acn): the scene of all sources (keys, x, az, el) of a frame. Null samples or directions are silent."""
+    y = basis_columns(F.col("az"), F.col("el"), order)
+    each = sources.where("x IS NOT NULL AND az IS NOT NULL AND el IS NOT NULL").select(*keys, F.posexplode(F.transform(y, lambda v: v * F.col("x"))).alias("k", "v"))
+    sums = each.groupBy(*keys, "k").agg(F.sum("v").alias("v"))
+    return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("acn"))
+
+
+def decode_scene(scene: DataFrame, keys: list[str], layout: str | int, channels: int = 64) -> DataFrame:
+    """(keys, idx, label, value): each frame's projection on each speaker, for the channels that the scene has."""
+    names = [label for label, *_ in harmonics.speakers(layout)]
+    table = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(n).alias("label"), F.array(*[F.lit(float(v)) for v in y]).alias("y")) for i, (n, y) in enumerate(zip(names, harmonics.basis(layout, channels), strict=True))])
+    each = scene.select(*keys, "acn", F.inline(table))
+    dot = F.aggregate(F.zip_with(F.slice("acn", 1, channels), F.slice("y", F.lit(1), F.least(F.size("acn"), F.lit(channels))), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
+    return each.select(*keys, "idx", "label", dot.alias("value"))
+
+
+def beam(acn: Column, az: Column, el: Column, order: int = 3) -> Column:
+    """What a scene of that order is towards a direction; strongest where its only source is."""
+    y = basis_columns(az, el, order)
+    return F.aggregate(F.zip_with(F.slice(acn, 1, (order + 1) ** 2), y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)

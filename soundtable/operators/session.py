@@ -37,19 +37,45 @@ def routing_graph(tracks: DataFrame, sends: DataFrame) -> tuple[DataFrame, DataF
     return tracks, edges.select(F.col("source").alias("from"), F.when(F.col("hardware"), -1).otherwise(F.coalesce("to", F.lit(-1))).alias("to"), kind.alias("kind"), "vol_db", "muted")
 
 
-def apply_edits(table: DataFrame, edits: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
-    """The last edit of each field wins; a key whose last operation is delete goes, one that the table lacks is added.
+def edit_state(edits: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+    """(key, state): what an edit log says of each key, one aggregation that can go on over any later edits (a stream's too).
+
+    edits: (key, op set or delete, field, value string, seq, unique within a key). fields: how each field reads the string
+    `value` it is given, clamps included; a value that does not read (null) is no edit. state has the last operation, the
+    last deletion, and of each field the last value with its seq."""
+    op, seq = F.col("op"), F.col("seq")
+    last = [F.max_by(F.struct(seq.alias("seq"), read.alias("value")), F.when((op == "set") & (F.col("field") == f) & read.isNotNull(), seq)).alias(f) for f, read in fields.items()]
+    parts = edits.groupBy(key).agg(F.max_by("op", "seq").alias("__op"), F.max(F.when(op == "delete", seq)).alias("__deleted"), *[c.alias(f"__f{i}") for i, c in enumerate(last)])
+    values = F.struct(*[F.col(f"__f{i}").alias(f) for i, f in enumerate(fields)])
+    return parts.select(key, F.struct(F.col("__op").alias("op"), F.col("__deleted").alias("deleted"), values.alias("fields")).alias("state"))
+
+
+def with_edits(table: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """table after the edits that `states` (key, state; see edit_state) sum up: a key whose last operation is delete goes,
+    one that the table lacks is added, with nulls where no edit says anything. What was set before a deletion is lost."""
+    told = unused("__state", table)
+    state, out = F.col(told), []
+    base = table.join(states.select(key, F.col("state").alias(told)), key, "full").where(F.coalesce(state["op"] != "delete", F.lit(True)))
+    edited = states.schema["state"].dataType["fields"].dataType.names
+    for c in table.columns:
+        kept = F.when(state["deleted"].isNull(), F.col(f"`{c}`"))
+        one = state["fields"][c] if c in edited else None
+        fresh = None if one is None else F.when(state["deleted"].isNull() | (one["seq"] > state["deleted"]), one["value"])
+        out.append(F.col(f"`{c}`") if one is None else F.coalesce(fresh, kept).alias(c))
+    return base.select(*out)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    edits: (key, op set or delete, field, value string, seq, unique within a key). fields: how each field reads the
-    string `value` it is given, clamps included; a value that does not read (null) is no edit, so the one before it holds.
-    """
-    last = edits.groupBy(key).agg(F.max_by("op", "seq").alias("last_op"), F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("deleted"))
-    live = edits.join(last, key).where((F.col("op") == "set") & (F.col("deleted").isNull() | (F.col("seq") > F.col("deleted"))))
-    values = live.groupBy(key).agg(*[F.max_by(read, F.when((F.col("field") == f) & read.isNotNull(), F.col("seq"))).alias(f"__{f}") for f, read in fields.items()])
-    base = table.join(last.select(key, "last_op", "deleted"), key, "full").where(F.coalesce(F.col("last_op") != "delete", F.lit(True)))
-    out = base.join(values, key, "left")
-    kept = lambda c: F.when(F.col("deleted").isNull(), F.col(c))
-    return out.select(*[F.coalesce(f"__{c}", kept(c)).alias(c) if c in fields else F.col(c) for c in table.columns])
+
+def apply_edits(table: DataFrame, edits: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+    """The last edit of each field wins, see edit_state and with_edits."""
+    return with_edits(table, edit_state(edits, key, fields), key)
 
 
 def split_items(items: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
@@ -82,8 +108,9 @@ def chunk_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, depth, line): lines of a state text with their block depth, counted after a line that opens and before one that closes.
 
     Lines may end in CR LF; blanks and tabs around a line do not count for its depth."""
-    lines = df.select(key, F.posexplode(F.split(F.col(text), "\r?\n")).alias("line_no", "line"))
-    bare = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
+    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.when(F.endswith("line", F.lit("\r")), F.substr("line", F.lit(1), F.length("line") - 1)).otherwise(F.col("line")))
+    bare = F.btrim("line", F.lit(" \t\r"))
     change = F.when(bare.startswith("<"), 1).when(bare == ">", -1).otherwise(0)
     w = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     return lines.withColumn("depth", F.sum(change).over(w))
@@ -91,7 +118,7 @@ def chunk_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def validate_chunks(lines: DataFrame, key: str) -> DataFrame:
     """(key, open, valid): a track's text begins with its block, the depth never falls below zero and ends there; `open` blocks stay."""
-    bare = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
+    bare = F.btrim("line", F.lit(" \t\r"))
     first = F.min(F.when(bare != "", F.struct("line_no", bare.startswith("<TRACK").alias("begins"))))
     out = lines.groupBy(key).agg(F.min("depth").alias("least"), F.max_by("depth", "line_no").alias("open"), first.alias("first"))
     valid = F.coalesce(F.col("first.begins"), F.lit(False)) & (F.col("least") >= 0) & (F.col("open") == 0)
@@ -104,21 +131,39 @@ def implode_to_takes(items: DataFrame, keys: list[str], order: list[str], item:
     return items.withColumns({"take": F.row_number().over(w) - 1, "into": F.first(item).over(w)})
 
 
-def resolve_params(requests: DataFrame, params: DataFrame, asked: str, name: str, unmatched: bool = True, most: int = 10_000) -> DataFrame:
-    """(asked, tier, candidates, idx): exact, case-insensitive, then substring matches; the first tier with hits decides,
-    several hits are ambiguous and give no index. A request without a hit has no tier and no candidates (or, unless
-    `unmatched`, no row). requests: distinct names, `most` at most, as each is looked for in every parameter name."""
-    if requests.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} names are asked for")
-    low_a, low_n = F.lower(F.col(asked)), F.lower(F.col(name))
-    met = params.join(F.broadcast(requests), low_n.contains(low_a))
-    tier = F.when(F.col(asked) == F.col(name), 1).when(low_a == low_n, 2).otherwise(3)
-    best = met.groupBy(asked, tier.alias("tier")).agg(F.count("*").alias("candidates"), F.min("idx").alias("idx"))
-    first = best.groupBy(asked).agg(F.min(F.struct("tier", "candidates", "idx")).alias("b"))
-    found = first.select(asked, "b.tier", "b.candidates", F.when(F.col("b.candidates") == 1, F.col("b.idx")).alias("idx"))
-    if not unmatched:
-        return found
-    return requests.select(asked).join(found, asked, "left").select(asked, "tier", F.coalesce("candidates", F.lit(0)).alias("candidates"), "idx")
+def _grams(low: Column, n: int) -> Column:
+    """The different substrings of n characters."""
+    last = F.length(low) - (n - 1)
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(low, i, F.lit(n)))))
+
+
+def param_candidates(requests: DataFrame, params: DataFrame, asked: str, name: str, idx: str = "idx") -> DataFrame:
+    """(asked, tier, idx, name): of each asked name the parameters of the first tier with a hit: equal, equal in any case, substring.
+
+    An inverted index: a name is looked for only where its rarest piece of (at most) three characters is, so work grows
+    with the hits of that piece, not with names times parameters. Null and empty names match nothing."""
+    ask = requests.select(F.col(f"`{asked}`").alias("asked")).where(F.length("asked") > 0).distinct().withColumn("low", F.lower("asked"))
+    known = params.select(F.col(f"`{name}`").alias("name"), F.col(f"`{idx}`").alias("idx"), F.lower(F.col(f"`{name}`")).alias("low_name")).where(F.length("name") > 0)
+    pieces = known.select("name", "idx", "low_name", F.explode(F.concat(*[F.coalesce(_grams(F.col("low_name"), n), F.array().cast("array<string>")) for n in (1, 2, 3)])).alias("piece"))
+    counts = pieces.groupBy("piece").agg(F.count("*").alias("n")).withColumnRenamed("piece", "counted")
+    own = F.when(F.length("low") >= 3, _grams(F.col("low"), 3)).when(F.length("low") == 2, _grams(F.col("low"), 2)).otherwise(_grams(F.col("low"), 1))
+    each = ask.select("asked", "low", F.explode(own).alias("own")).join(counts, F.col("own") == F.col("counted"), "left")
+    rarest = each.groupBy("asked", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "own")).alias("best")).where("best.n > 0").select("asked", "low", F.col("best.own").alias("own"))
+    met = rarest.join(pieces, (F.col("own") == F.col("piece")) & F.contains("low_name", "low"))
+    tier = F.when(F.col("asked") == F.col("name"), 1).when(F.col("low") == F.col("low_name"), 2).otherwise(3)
+    met = met.select("asked", tier.alias("tier"), "idx", "name")
+    first = met.groupBy("asked").agg(F.min("tier").alias("tier"))
+    return met.join(first, ["asked", "tier"])
+
+
+def resolve_params(requests: DataFrame, params: DataFrame, asked: str, name: str) -> DataFrame:
+    """(asked, tier, candidates, idx) for each different asked name: how many param_candidates it has, and the index if that is one.
+
+    Several are ambiguous and give no index; without any there is no tier. Null is a name that matches nothing."""
+    found = param_candidates(requests, params, asked, name).groupBy("asked").agg(F.min("tier").alias("tier"), F.count("*").alias("n"), F.min("idx").alias("least"))
+    names = requests.select(F.col(f"`{asked}`").alias("name_asked")).distinct()
+    out = names.join(found, F.col("name_asked") == F.col("asked"), "left")
+    return out.select(F.col("name_asked").alias(asked), "tier", F.coalesce("n", F.lit(0)).cast("long").alias("candidates"), F.when(F.col("n") == 1, F.col("least")).alias("idx"))
 
 
 def pack_census(refs: DataFrame, key: str, ref: str) -> DataFrame:

@@ -203,7 +203,7 @@ def spatial_field_timeline(spark, sf):
     return rounded(scene.spatial_field_timeline(B.scene(spark, sf), P, 10, 5), "az", "el", "diffuseness", "rv")
 
 
-def energies_sql(layout, channels=16) -> str:
+def energies_sql(layout, channels=64) -> str:
     rows = [f"({i}, '{label}', {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE, {y_k!r}::DOUBLE[])" for i, ((label, x, y, z), y_k) in enumerate(zip(harmonics.speakers(layout), harmonics.basis(layout, channels), strict=True))]
     return f"""{B.SCENE}, spk(idx, label, sx, sy, sz, yk) AS (VALUES {', '.join(rows)}),
     en AS (SELECT program_id, idx, label, sx AS x, sy AS y, sz AS z, sum(list_inner_product(acn[1:{channels}], yk) * list_inner_product(acn[1:{channels}], yk)) AS energy FROM scene, spk GROUP BY ALL)"""
@@ -442,17 +442,17 @@ def qn_time(spark, sf):
     return rounded(notes.time_to_qn(grid, tempo, "map", "pos"), "qn").select("o_orderkey", "map", "pos", "qn")
 
 
-@query(f"""WITH base AS (SELECT c_custkey AS track, c_acctbal / 1000 AS vol_db, 0.0::DOUBLE AS pan FROM customer WHERE c_custkey < 100),
+@query(f"""WITH base AS (SELECT c_custkey AS track, c_acctbal / 1000 AS vol_db, 0.0::DOUBLE AS pan FROM customer),
     e AS (SELECT user_id AS track, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'set' END AS op, CASE WHEN event_type = 'click' THEN 'pan' ELSE 'vol_db' END AS field, value, event_id AS seq FROM events),
     l AS (SELECT track, arg_max(op, seq) AS last_op, max(seq) FILTER (op = 'delete') AS deleted FROM e GROUP BY 1),
     v AS (SELECT e.track, arg_max(value, seq) FILTER (field = 'vol_db') AS vol, arg_max(value, seq) FILTER (field = 'pan') AS pn FROM e JOIN l USING (track) WHERE op = 'set' AND (deleted IS NULL OR seq > deleted) GROUP BY 1),
     j AS (SELECT coalesce(base.track, l.track) AS track, vol_db, pan, last_op, deleted FROM base FULL JOIN l ON base.track = l.track WHERE coalesce(last_op <> 'delete', true))
     SELECT j.track, {r6("coalesce(vol, CASE WHEN deleted IS NULL THEN vol_db END)")} AS vol_db, {r6("coalesce(CASE WHEN pn IS NOT NULL THEN greatest(-1, least(1, pn / 250 - 1)) END, CASE WHEN deleted IS NULL THEN pan END)")} AS pan FROM j LEFT JOIN v USING (track)""")
 def apply_edits(spark, sf):
-    return _edited(spark, sf, B.table(spark, sf, "customer").where("c_custkey < 100"))
+    return _edited(spark, sf, B.table(spark, sf, "customer"))
 
 
-@query(ORACLE_SQL["apply_edits"].replace(" WHERE c_custkey < 100", ""))
+@query(ORACLE_SQL["apply_edits"])
 def apply_edits_whole(spark, sf):
     return _edited(spark, sf, B.table(spark, sf, "customer"))
 
@@ -473,12 +473,18 @@ def split_items(spark, sf):
     return session.split_items(items, o.select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 70).cast("double").alias("cut")), "item")
 
 
-@query("""WITH r(asked) AS (VALUES ('NATION_7'), ('nation_11'), ('ION_2'), ('_24'), ('nobody')), m AS (SELECT asked, n_nationkey AS idx, CASE WHEN asked = n_name THEN 1 WHEN lower(asked) = lower(n_name) THEN 2 ELSE 3 END AS tier FROM nation JOIN r ON contains(lower(n_name), lower(asked))),
-    b AS (SELECT asked, tier, count(*) AS candidates, min(idx) AS idx FROM m GROUP BY 1, 2), f AS (SELECT asked, min(tier) AS tier FROM b GROUP BY 1)
-    SELECT asked, tier, candidates, CASE WHEN candidates = 1 THEN idx END AS idx FROM f JOIN b USING (asked, tier)""")
+ASKED = "CASE s_suppkey % 5 WHEN 0 THEN 'Customer#' || lpad(s_suppkey::VARCHAR, 9, '0') WHEN 1 THEN 'cUSTOMER#' || lpad(s_suppkey::VARCHAR, 9, '0') WHEN 2 THEN '#' || lpad((s_suppkey // 10)::VARCHAR, 8, '0') WHEN 3 THEN right(lpad(s_suppkey::VARCHAR, 9, '0'), 1 + s_suppkey % 4) ELSE 'nobody ' || s_suppkey END"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT {ASKED} AS asked FROM supplier), m AS (SELECT asked, c_custkey AS idx, CASE WHEN asked = c_name THEN 1 WHEN lower(asked) = lower(c_name) THEN 2 ELSE 3 END AS tier FROM customer JOIN r ON contains(lower(c_name), lower(asked))),
+    b AS (SELECT asked, tier, count(*) AS n, min(idx) AS idx FROM m GROUP BY 1, 2), f AS (SELECT asked, min(tier) AS tier FROM b GROUP BY 1), g AS (SELECT f.asked, f.tier, n, idx FROM f JOIN b ON b.asked = f.asked AND b.tier = f.tier)
+    SELECT r.asked, tier, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN idx END AS idx FROM r LEFT JOIN g ON g.asked = r.asked""")
 def param_resolve(spark, sf):
-    asked = spark.createDataFrame([(x,) for x in ("NATION_7", "nation_11", "ION_2", "_24", "nobody")], "asked string")
-    return session.resolve_params(asked, B.table(spark, sf, "nation").withColumn("idx", F.col("n_nationkey")), "asked", "n_name", unmatched=False)
+    k = F.col("s_suppkey")
+    nine = F.lpad(k.cast("string"), 9, "0")
+    asked = F.when(k % 5 == 0, F.concat(F.lit("Customer#"), nine)).when(k % 5 == 1, F.concat(F.lit("cUSTOMER#"), nine)).when(k % 5 == 2, F.concat(F.lit("#"), F.lpad(F.floor(k / 10).cast("string"), 8, "0"))).when(k % 5 == 3, F.right(nine, (1 + k % 4).cast("int"))).otherwise(F.concat(F.lit("nobody "), k))
+    params = B.table(spark, sf, "customer").select("c_name", F.col("c_custkey").alias("idx"))
+    return session.resolve_params(B.table(spark, sf, "supplier").select(asked.alias("asked")), params, "asked", "c_name")
 
 
 NAMES = "CASE WHEN c_custkey % 4 = 0 THEN 'Track ' || c_custkey WHEN c_custkey % 4 = 1 THEN '' WHEN c_custkey % 4 = 2 THEN c_name ELSE '?? !' END"
