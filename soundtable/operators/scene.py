@@ -213,12 +213,18 @@ def rotate_scene(acn: Column, yaw: float = 0.0, pitch: float = 0.0, roll: float
     for degree, block in enumerate(rotation_blocks(yaw, pitch, roll, order)):
         first, width = degree**2, 2 * degree + 1
         rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in block])
-        part = F.slice(acn, first + 1, width)
-        dot = lambda row, part=part: F.aggregate(F.zip_with(part, row, lambda v, w: v.cast("double") * w), F.lit(0.0), lambda s, v: s + v)
-        parts.append(F.when(F.size(acn) >= first + width, F.transform(rows, dot)).otherwise(F.array().cast("array<double>")))
+        dots = F.transform(rows, _dot_with(F.slice(acn, first + 1, width)))
+        parts.append(F.when(F.size(acn) >= first + width, dots).otherwise(F.array().cast("array<double>")))
     return F.concat(*parts)
 
 
+def _dot_with(part: Column):
+    def dot(row: Column) -> Column:
+        return F.aggregate(F.zip_with(part, row, lambda v, w: v.cast("double") * w), F.lit(0.0), lambda s, v: s + v)
+
+    return dot
+
+
 def basis_columns(az: Column, el: Column, order: int) -> Column:
     """The SN3D harmonics of a direction (degrees, azimuth to the left) in ACN order, as an array."""
     a, e = F.radians(az), F.radians(el)
