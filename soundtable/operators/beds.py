@@ -65,18 +65,20 @@ def binaural_verdict(samples: DataFrame, keys: list[str], weighted: DataFrame |
     """(keys, balance, corr, side_to_mid, verdict) of channels 0 and 1, over the frames that have both.
 
     balance: left less right in dB, of `weighted` samples (see `k_weight`) if given. A program without such a frame is
-    not_binaural, with nulls. Two sums of frames by program, no join of the channels."""
+    not_binaural, with nulls; so are mono and those whose width (its highest channel and one) is that of a labelled bed.
+    Two sums of frames by program, no join of the channels."""
     samples, names, own_names = _set_apart(samples, keys, "channel", "frame", "x")
     if weighted is not None:
         weighted, _, _ = _set_apart(weighted, keys, "channel", "frame", "x")
     keys = names
+    beds_or_mono = [n for n in NAMES if n != 2]
 
     def pairs(rows: DataFrame) -> DataFrame:
-        two = rows.groupBy(*keys, "frame").agg(F.max(F.when(F.col("channel") == 0, F.col("x"))).alias("u"), F.max(F.when(F.col("channel") == 1, F.col("x"))).alias("v"))
+        two = rows.groupBy(*keys, "frame").agg((F.max("channel") + 1).alias("width"), F.max(F.when(F.col("channel") == 0, F.col("x"))).alias("u"), F.max(F.when(F.col("channel") == 1, F.col("x"))).alias("v"))
         return two.withColumns({"u": F.when(F.col("v").isNotNull(), F.col("u")), "v": F.when(F.col("u").isNotNull(), F.col("v"))})
 
     u, v = F.col("u"), F.col("v")
-    s = pairs(samples).groupBy(*keys).agg(F.count("u").cast("double").alias("n"), F.sum(u).alias("su"), F.sum(v).alias("sv"), F.sum(u * u).alias("uu"), F.sum(v * v).alias("vv"), F.sum(u * v).alias("uv"), F.sum((u + v) * (u + v) / 2).alias("mm"), F.sum((u - v) * (u - v) / 2).alias("ss"))
+    s = pairs(samples).groupBy(*keys).agg(F.max("width").alias("width"), F.count("u").cast("double").alias("n"), F.sum(u).alias("su"), F.sum(v).alias("sv"), F.sum(u * u).alias("uu"), F.sum(v * v).alias("vv"), F.sum(u * v).alias("uv"), F.sum((u + v) * (u + v) / 2).alias("mm"), F.sum((u - v) * (u - v) / 2).alias("ss"))
     if weighted is None:
         s = s.withColumns({"lp": F.expr("try_divide(uu, n)"), "rp": F.expr("try_divide(vv, n)")})
     else:
@@ -85,6 +87,8 @@ def binaural_verdict(samples: DataFrame, keys: list[str], weighted: DataFrame |
     spread = F.expr("sqrt(greatest((uu - try_divide(su * su, n)) * (vv - try_divide(sv * sv, n)), 0D))")
     s = s.withColumn("spread", F.when(F.col("n") > 0, spread))
     corr = F.when(F.col("spread") < 1e-20, 0.0).otherwise(clamp(F.expr("try_divide(uv - su * sv / n, spread)"), -1.0, 1.0))
+    s = s.withColumn("n", F.when(~F.coalesce(F.col("width").isin(*beds_or_mono), F.lit(False)), F.col("n")))
+    corr = F.when(F.col("n") > 0, corr)
     s = s.select(*keys, F.when(F.col("n") > 0, pow_to_db(F.col("lp")) - pow_to_db(F.col("rp"))).alias("balance"), F.when(F.col("n") > 0, corr).alias("corr"), F.when(F.col("n") > 0, pow_to_db(F.expr("try_divide(ss, n)")) - pow_to_db(F.expr("try_divide(mm, n)"))).alias("side_to_mid"))
     verdict = F.when(F.col("corr").isNull(), "not_binaural").when(F.col("corr") < -0.2, "out_of_phase").when(F.col("side_to_mid") < -20, "near_mono").when(F.abs("balance") > 3, "lopsided").otherwise("healthy")
     return s.select(*own_names, "balance", "corr", "side_to_mid", verdict.alias("verdict"))

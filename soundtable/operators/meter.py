@@ -66,8 +66,9 @@ def power_bins(samples: DataFrame, keys: list[str], frames_per_bin: int, weight:
 
 
 def _counted(bins: DataFrame) -> DataFrame:
-    """Bins of another origin than power_bins are whole and weigh alike."""
-    return bins if "whole" in bins.columns else bins.withColumns({"frames": F.lit(1), "whole": F.lit(True)})
+    """Bins of another origin than power_bins are whole and weigh alike. A bin whose power is null or NaN is silent: it counts as 0."""
+    known = bins if "whole" in bins.columns else bins.withColumns({"frames": F.lit(1), "whole": F.lit(True)})
+    return known.withColumn("power", F.coalesce(F.nanvl(F.col("power").cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 
 def blocks(bins: DataFrame, keys: list[str], length: int) -> DataFrame:
@@ -79,17 +80,25 @@ def blocks(bins: DataFrame, keys: list[str], length: int) -> DataFrame:
 
 def gated_loudness(bins: DataFrame, keys: list[str], length: int = 4) -> DataFrame:
     """BS.1770 gates: blocks above -70, then above the mean of those less 10 LU. A program shorter than a block is not
-    gated; one whose blocks all fall below reads the floor."""
-    bins = _counted(bins)
-    ungated = bins.groupBy(*keys).agg((F.sum(F.col("power") * F.col("frames")) / F.sum("frames")).alias("all_power"))
-    block = blocks(bins, keys, length).withColumn("l", lufs(F.col("p")))
-    first = block.groupBy(*keys).agg(F.count("*").alias("total_blocks"), F.avg(F.when(F.col("l") > -70, F.col("p"))).alias("mean1"))
-    second = block.join(first, keys).where((F.col("l") > -70) & (F.col("l") > lufs(F.col("mean1")) - 10)).groupBy(*keys).agg(F.avg("p").alias("mean2"), F.count("*").alias("gated_blocks"))
-    out = ungated.join(first, keys, "left").join(second, keys, "left")
-    total, gated = F.coalesce("total_blocks", F.lit(0)), F.coalesce("gated_blocks", F.lit(0))
+    gated; one whose blocks all fall below reads the floor. Null and NaN powers are silence, in blocks and means alike.
+
+    Bins of a program are exchanged once: blocks, the first gate and the sums come from windows and groups of its rows."""
+    own = W.partitionBy(*keys)
+    row = own.orderBy(F.desc("whole"), "bin").rowsBetween(1 - length, 0)  # partial bins, if any, behind the whole ones
+    full = F.col("whole") & (F.count("*").over(row) == length)
+    block = _counted(bins).withColumn("p", F.when(full, F.sum("power").over(row) / length))
+    block = block.withColumn("l", lufs(F.col("p"))).withColumn("mean1", F.avg(F.when(F.col("l") > -70, F.col("p"))).over(own))
+    passed = (F.col("l") > -70) & (F.col("l") > lufs(F.col("mean1")) - 10)
+    out = block.groupBy(*keys).agg(
+        (F.sum(F.col("power") * F.col("frames")) / F.sum("frames")).alias("all_power"),
+        F.count("p").alias("total_blocks"),
+        F.avg(F.when(passed, F.col("p"))).alias("mean2"),
+        F.count_if(passed).alias("gated_blocks"),
+    )
+    total = F.col("total_blocks")
     integrated = F.when(total == 0, lufs(F.col("all_power"))).otherwise(lufs(F.coalesce("mean2", F.lit(0.0))))
-    activity = F.when(total == 0, 0.0).otherwise(F.expr("try_divide(coalesce(gated_blocks, 0), total_blocks)"))
-    return out.select(*keys, integrated.alias("integrated"), lufs(F.col("all_power")).alias("ungated"), total.alias("total_blocks"), gated.alias("gated_blocks"), activity.alias("activity"))
+    activity = F.when(total == 0, 0.0).otherwise(F.expr("try_divide(gated_blocks, total_blocks)"))
+    return out.select(*keys, integrated.alias("integrated"), lufs(F.col("all_power")).alias("ungated"), "total_blocks", "gated_blocks", activity.alias("activity"))
 
 
 def loudness_timeline(bins: DataFrame, keys: list[str], momentary: int = 4, short_term: int = 30) -> DataFrame:
@@ -102,13 +111,16 @@ def loudness_timeline(bins: DataFrame, keys: list[str], momentary: int = 4, shor
 
 
 def loudness_range(timeline: DataFrame, keys: list[str]) -> DataFrame:
-    """Tech 3342: full short-term values (all, where none is full) above -70 and above their mean power less 20 LU; 95th less 10th percentile."""
-    any_full = timeline.groupBy(*keys).agg(F.max(F.col("full").cast("int")).alias("any_full"))
-    pool = timeline.join(any_full, keys).where((F.col("full") | (F.col("any_full") == 0)) & (F.col("short_term") > -70)).withColumn("p", F.pow(F.lit(10.0), (F.col("short_term") + 0.691) / 10))
-    gate = pool.groupBy(*keys).agg((lufs(F.avg("p")) - 20).alias("gate"))
-    kept = pool.join(gate, keys).where("short_term > gate")
-    q = kept.groupBy(*keys).agg(F.percentile("short_term", F.array(F.lit(0.1), F.lit(0.95))).alias("q"))
-    return timeline.select(*keys).distinct().join(q, keys, "left").select(*keys, F.coalesce(F.col("q")[1] - F.col("q")[0], F.lit(0.0)).alias("lra"))
+    """Tech 3342: full short-term values (all, where none is full) above -70 and above their mean power less 20 LU; 95th less 10th
+    percentile. Both gates are windows of a program's rows, which are exchanged once."""
+    own = W.partitionBy(*keys)
+    counts = (F.col("full") | ~F.max("full").over(own)) & (F.col("short_term") > -70)
+    pool = timeline.withColumn("counts", counts)
+    power = F.when(F.col("counts"), F.pow(F.lit(10.0), (F.col("short_term") + 0.691) / 10))
+    gated = pool.withColumn("gate", lufs(F.avg(power).over(own)) - 20)
+    kept = F.when(F.col("counts") & (F.col("short_term") > F.col("gate")), F.col("short_term"))
+    q = gated.groupBy(*keys).agg(F.percentile(kept, F.array(F.lit(0.1), F.lit(0.95))).alias("q"))
+    return q.select(*keys, F.coalesce(F.get("q", F.lit(1)) - F.get("q", F.lit(0)), F.lit(0.0)).alias("lra"))
 
 
 def detect_silence(bins: DataFrame, keys: list[str], threshold_db: float = -60.0, window: int = 1, least: int = 1) -> DataFrame:

@@ -73,12 +73,28 @@ def tempo_positions(tempo: DataFrame, key: str) -> DataFrame:
     return laid.withColumn("qn", F.coalesce(F.sum("step").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).drop("step")
 
 
+def _through_map(df: DataFrame, laid: DataFrame, key: str, at: str, out: str, value) -> DataFrame:
+    """df with `out`: value(place, marker) by the last marker (struct of laid) at or before each row's place, null marker where
+    there is none. Rows and markers meet in one ordered window of a key, so a map of any length costs a sort."""
+    rows = df.select("*", F.col(key).alias("__map"), F.col(at).cast("double").alias("__at"), F.lit(None).cast(laid.schema["marker"].dataType).alias("__marker"), F.lit(1).alias("__row"))
+    marks = laid.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields], F.col(key).alias("__map"), F.col("place").alias("__at"), F.col("marker").alias("__marker"), F.lit(0).alias("__row"))
+    w = W.partitionBy("__map").orderBy("__at", "__row").rowsBetween(W.unboundedPreceding, 0)
+    met = rows.union(marks).withColumn("__marker", F.last("__marker", ignorenulls=True).over(w)).where("__row = 1")
+    return met.withColumn(out, value(F.col("__at"), F.col("__marker"))).drop("__map", "__at", "__marker", "__row")
+
+
 def time_to_qn(df: DataFrame, tempo: DataFrame, key: str, time: str) -> DataFrame:
-    """df with `qn` through the tempo map (our definition); 120 bpm where a key has no marker before. Markers have their place in `time`, whatever else they have."""
-    laid = tempo_positions(tempo.select(key, "time", "bpm"), key).select(key, F.col("time").alias("t0"), "until", "bpm", F.col("qn").alias("q0"))
-    at: Column = F.col(time)
-    joined = df.join(laid, (df[key] == laid[key]) & (at >= F.col("t0")) & (at < F.coalesce("until", F.lit(float("inf")))), "left").drop(laid[key])
-    return joined.withColumn("qn", F.coalesce(F.col("q0") + (at - F.col("t0")) * F.col("bpm") / 60, at * 2.0)).drop("t0", "until", "bpm", "q0")
+    """df with `qn` through the tempo map (our definition); 120 bpm from 0 where a key has no marker before. Markers have their
+    place in `time`, whatever else they have; markers without a time or tempo are none, a null time gives null."""
+    laid = tempo_positions(tempo.where("time IS NOT NULL AND bpm IS NOT NULL").select(key, "time", "bpm"), key).select(key, F.col("time").alias("place"), F.struct("time", "bpm", "qn").alias("marker"))
+    return _through_map(df, laid, key, time, "qn", lambda at, m: F.coalesce(m["qn"] + (at - m["time"]) * m["bpm"] / 60, at * 2.0))
+
+
+def qn_to_time(df: DataFrame, tempo: DataFrame, key: str, qn: str) -> DataFrame:
+    """df with `time`, the way back from time_to_qn: beats from a map's first marker on through its segments, those before it (and
+    where a key has no map) at 120 bpm from 0."""
+    laid = tempo_positions(tempo.where("time IS NOT NULL AND bpm IS NOT NULL").select(key, "time", "bpm"), key).select(key, F.col("qn").alias("place"), F.struct("time", "bpm", "qn").alias("marker"))
+    return _through_map(df, laid, key, qn, "time", lambda at, m: F.coalesce(m["time"] + (at - m["qn"]) * 60 / m["bpm"], at * 0.5))
 
 
 @lru_cache(maxsize=8)

@@ -83,9 +83,9 @@ def sample_envelope(points: DataFrame, grid: DataFrame, key: str, at: str = "at"
     """Value of (key, time, value) points at the (key, at) times of a grid: linear between neighbours, held outside.
 
     An as-of join both ways: the points' intervals are laid out once, and points and grid meet in one ordered window of a
-    key. Points of a key have different times.
+    key. Points of a key have different times; one without a time is no point.
     """
-    p = points.select(key, F.col("time").alias("at"), F.struct("time", "value").alias("point"), F.lit(None).cast("boolean").alias("asked"))
+    p = points.where("time IS NOT NULL").select(key, F.col("time").alias("at"), F.struct("time", "value").alias("point"), F.lit(None).cast("boolean").alias("asked"))
     g = grid.select(key, F.col(at).alias("at"), F.lit(None).cast("struct<time:double,value:double>").alias("point"), F.lit(True).alias("asked")).distinct()
     w = W.partitionBy(key).orderBy("at", F.col("asked").isNotNull())
     back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
@@ -166,3 +166,30 @@ def decode_shares(predicted: DataFrame, keys: list[str], layout: str) -> DataFra
     labels = F.array(*[F.lit(s[0]) for s in harmonics.predicted_speakers(layout)])
     each = predicted.select(*keys, "dominant", F.inline(F.arrays_zip(labels.alias("label"), F.col("fractions").alias("share"))))
     return each.groupBy(*keys, "label").agg(F.avg("share").alias("coverage"), F.count(F.when(F.col("dominant") == F.col("label"), 1)).alias("dominant_slices"))
+
+
+def object_trajectory(tracks: DataFrame, points: DataFrame, key: str, block_ms: float = 100.0, most: int = 1000) -> DataFrame:
+    """(key, block, rtime, az, el, dist, gain, source) of each object over its span (key, start, end, panned, az, el, dist).
+
+    An object without a panner has one block in front (source none), one without automation (points: key, axis az, el or
+    dist, time, value) one where its panner stands (static); else (envelope) a block every `block_ms`, the last at the end,
+    `most` at most by wider steps. Automation is linear between its points and held outside; an axis without any, or a null
+    one, is 0 (distance 1). Distances lie in 0 to 1.5. A span that ends before it begins has no length."""
+    length = F.greatest(F.coalesce(F.col("end") - F.col("start"), F.lit(0.0)), F.lit(0.0))
+    step = block_ms / 1000 if block_ms > 0 else 0.1
+    moved = points.where("axis IN ('az', 'el', 'dist') AND time IS NOT NULL").select(F.col(key).alias("__key"), F.lit(True).alias("__moves")).distinct()
+    spans = tracks.join(moved, F.col(key) == F.col("__key"), "left").withColumn("__length", length)
+    source = F.when(~F.coalesce("panned", F.lit(False)), "none").when(F.col("__moves").isNull(), "static").otherwise("envelope")
+    n = F.when((source == "envelope") & (F.col("__length") > 0), F.least(F.ceil(F.col("__length") / step) + 1, F.lit(most))).otherwise(1)
+    wide = F.when(F.ceil(F.col("__length") / step) + 1 > most, F.col("__length") / max(most - 1, 1)).otherwise(step)
+    spans = spans.withColumns({"source": source, "__step": wide}).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
+    grid = spans.withColumn("rtime", F.least(F.col("block") * F.col("__step"), F.col("__length"))).withColumn("__at", F.coalesce("start", F.lit(0.0)) + F.col("rtime"))
+    # All axes in one pass: an axis is part of the key of its points.
+    asked = grid.where("source = 'envelope'").select(key, F.col("__at").alias("at"), F.explode(F.array(F.lit("az"), F.lit("el"), F.lit("dist"))).alias("axis"))
+    asked = asked.select(F.struct(F.col(key).alias("k"), "axis").alias("of"), "at")
+    told = points.where("axis IN ('az', 'el', 'dist')").select(F.struct(F.col(key).alias("k"), "axis").alias("of"), "time", F.col("value").cast("double").alias("value"))
+    values = sample_envelope(told, asked, "of").groupBy(F.col("of.k").alias("__k"), F.col("at").alias("__t")).agg(*[F.max(F.when(F.col("of.axis") == a, F.col("value"))).alias(f"__{a}") for a in ("az", "el", "dist")])
+    out = grid.join(values, (F.col(key) == F.col("__k")) & (F.col("__at") == F.col("__t")), "left")
+    none = F.col("source") == "none"
+    axis = lambda a, rest: F.when(none, rest).otherwise(F.coalesce(f"__{a}", F.col(a).cast("double"), F.lit(rest)))
+    return out.select(key, "block", "rtime", axis("az", 0.0).alias("az"), axis("el", 0.0).alias("el"), F.greatest(F.least(axis("dist", 1.0), F.lit(1.5)), F.lit(0.0)).alias("dist"), F.lit(1.0).alias("gain"), "source")

@@ -70,3 +70,48 @@ def reconcile_sends(roster: DataFrame, existing: DataFrame) -> DataFrame:
     entries = quick.unionByName(slow)
     strays = sends.join(entries.where("send_index is not null").select("bus", "send_index"), ["bus", "send_index"], "left_anti")
     return entries.unionByName(strays.select("bus", F.lit(None).cast("long").alias("slot"), "send_index", F.lit("stray").alias("action")))
+
+
+#: Objects of a master and channels of its renderer at most.
+MOST_OBJECTS, MOST_CHANNELS = 118, 128
+
+
+def inspect_sends(receives: DataFrame, buses: DataFrame, bus: str) -> DataFrame:
+    """(bus, code, channel, count) of everything wrong with a renderer bus's receives (bus, dst, width, audio), one row each.
+
+    buses: (bus, bed_width, expected, channels), null or 0 bed and null (or negative) expected objects where none are
+    declared; buses without receives count. collision and gap name a channel from 0 and its uses; bed_missing,
+    bed_width_mismatch and object_width the declared or actual width; over_118, over_128 and unrouted how many there are.
+    Receives that are not audio, or have no first channel, do not count. Channels are counted in an exploded table, so a
+    bus of any number of receives is spread over tasks until its channels are known."""
+    wide = F.greatest(F.coalesce("width", F.lit(1)), F.lit(1))
+    live = receives.where("coalesce(audio, true) AND dst >= 0").select(F.col(bus).alias("of"), "dst", F.coalesce("width", F.lit(1)).alias("width"), wide.alias("wide"))
+    declared = buses.groupBy(F.col(bus).alias("of")).agg(F.coalesce(F.max("bed_width"), F.lit(0)).alias("bed"), F.coalesce(F.max("expected"), F.lit(-1)).alias("expected"))
+    every = declared.unionByName(live.select("of").distinct().join(declared, "of", "left_anti").select("of", F.lit(0).alias("bed"), F.lit(-1).alias("expected")))
+    met = live.join(every.withColumnRenamed("of", "o"), F.col("of").eqNullSafe(F.col("o")))
+    bed_send = F.col("dst") == 0
+    behind = F.col("dst") >= F.col("bed")
+    sums = met.groupBy("of").agg(
+        F.max(F.col("dst") + F.col("wide")).alias("top"),
+        F.count_if(bed_send & (F.col("width") == F.col("bed"))).alias("right"),
+        F.count_if(bed_send & (F.col("width") != 1)).alias("wrong"),
+        F.count_if(behind & (F.col("width") == 1)).alias("objects"),
+    )
+    used = live.select("of", F.explode(F.sequence(F.col("dst"), F.col("dst") + F.col("wide") - 1)).alias("channel")).groupBy("of", "channel").agg(F.count("*").alias("uses"))
+    row = lambda code, channel, count: F.struct(F.lit(code).alias("code"), channel.cast("int").alias("channel"), count.cast("long").alias("count"))
+    none = F.lit(None)
+    collisions = used.where("uses > 1").select("of", row("collision", F.col("channel"), F.col("uses")).alias("i"))
+    spans = sums.select("of", F.explode(F.sequence(F.lit(0), F.col("top") - 1)).alias("channel"))
+    gaps = spans.join(used.select(F.col("of").alias("o"), F.col("channel").alias("c")), F.col("of").eqNullSafe(F.col("o")) & (F.col("channel") == F.col("c")), "left_anti").select("of", row("gap", F.col("channel"), F.lit(0)).alias("i"))
+    widths = met.where(behind & (F.col("width") != 1)).select("of", row("object_width", F.col("dst"), F.col("width")).alias("i"))
+    whole = every.join(sums.withColumnRenamed("of", "o"), F.col("of").eqNullSafe(F.col("o")), "left").fillna(0, ["top", "right", "wrong", "objects"])
+    missing = (F.col("bed") > 0) & (F.col("right") == 0)
+    found = F.array(
+        F.when(missing & (F.col("wrong") > 0), row("bed_width_mismatch", none, F.col("bed"))),
+        F.when(missing & (F.col("wrong") == 0), row("bed_missing", none, F.col("bed"))),
+        F.when(F.col("objects") > MOST_OBJECTS, row("over_118", none, F.col("objects"))),
+        F.when(F.col("top") > MOST_CHANNELS, row("over_128", none, F.col("top"))),
+        F.when((F.col("expected") >= 0) & (F.col("objects") < F.col("expected")), row("unrouted", none, F.col("expected") - F.col("objects"))),
+    )
+    single = whole.select("of", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i"))
+    return collisions.union(gaps).union(widths).union(single).select(F.col("of").alias(bus), "i.*")

@@ -10,12 +10,12 @@ from soundtable.functions import harmonics
 from soundtable.functions import scalars as H
 from soundtable.operators import beds, deliveries, edits, meter, notes, objects, scene, sends, session, weighting
 from soundtable.plans import bindings as B
-from soundtable.plans import masters, scenes
+from soundtable.plans import masters, mixes, scenes
 from soundtable.streaming import updates
 
 FLAGSHIP = "check_deliverable"
-QUERIES: dict = masters.QUERIES | scenes.QUERIES
-ORACLE_SQL: dict = masters.ORACLE_SQL | scenes.ORACLE_SQL
+QUERIES: dict = masters.QUERIES | mixes.QUERIES | scenes.QUERIES
+ORACLE_SQL: dict = masters.ORACLE_SQL | mixes.ORACLE_SQL | scenes.ORACLE_SQL
 P = ["program_id"]
 
 
@@ -765,7 +765,7 @@ def object_loudness(spark, sf):
     return rounded(out.drop("ungated", "activity"), "integrated", "delta", "energy_share", "bed_vs_objects")
 
 
-@query(f"""WITH {B.MULTI}, f AS (SELECT program_id, frame, max(x) FILTER (channel = 0) AS u, max(x) FILTER (channel = 1) AS v FROM multi GROUP BY 1, 2),
+@query(f"""WITH {B.MULTI}, f AS (SELECT program_id, frame, max(x) FILTER (channel = 0) AS u, max(x) FILTER (channel = 1) AS v FROM multi WHERE program_id IN (SELECT program_id FROM multi GROUP BY 1 HAVING max(channel) + 1 NOT IN (1, 6, 8, 12, 16, 24)) GROUP BY 1, 2),
     s AS (SELECT program_id, count(*)::DOUBLE AS n, sum(u) su, sum(v) sv, sum(u * u) uu, sum(v * v) vv, sum(u * v) uv, sum((u + v) * (u + v) / 2) mm, sum((u - v) * (u - v) / 2) ss FROM f WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY 1),
     d AS (SELECT *, sqrt(greatest((uu - su * su / n) * (vv - sv * sv / n), 0)) AS spread FROM s),
     c AS (SELECT program_id, {db('uu / n')} - {db('vv / n')} AS balance, CASE WHEN spread < 1e-20 THEN 0 ELSE greatest(least((uv - su * sv / n) / spread, 1), -1) END AS corr, {db('ss / n')} - {db('mm / n')} AS side_to_mid FROM d)
