@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from soundtable.functions import scalars as H
 from soundtable.operators import profile
 from soundtable.plans import bindings as B
-from soundtable.sources import adm
+from soundtable.sources import adm, damf
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -123,3 +124,37 @@ def bed_gate(spark, sf):
     rows = B.table(spark, sf, "customer").select(k, F.posexplode(F.slice(F.array(*map(F.lit, BED)), 1, (2 + k % 9).cast("int"))).alias("i", "label")).where(~((F.col("i") == 3) & (k % 2 == 0)))
     rows = rows.select(k.alias("master"), "i", F.when((k % 19 == 0) & (F.col("i") == 2), "Cb").otherwise(F.col("label")).alias("label"), F.when(k % 5 == 0, 16).otherwise(24).alias("bits"), F.when(k % 7 == 0, 44100).otherwise(48000).alias("rate"))
     return profile.bed_gate(rows, "master", "label", "i", "bits", "rate")
+
+
+# ---- event lists of masters: suppliers as bed channels, customers as objects, their orders as blocks
+
+
+def _r6(x: str) -> str:
+    return f"(round(({x}) * 1000000.0::DOUBLE) / 1000000.0::DOUBLE + 0.0::DOUBLE)"
+
+
+EVENTS = f"""bed AS (SELECT s_nationkey AS program, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS id FROM supplier), n AS (SELECT program, count(*) AS n FROM bed GROUP BY 1),
+    obj AS (SELECT c_nationkey AS program, c_custkey AS idx, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + coalesce(n, 0) AS id FROM customer LEFT JOIN n ON n.program = c_nationkey),
+    blk AS (SELECT o_custkey AS idx, o_orderkey / 7.0::DOUBLE AS rtime, radians((o_orderkey % 360 - 180)::DOUBLE) AS az, radians((o_orderkey % 181 - 90)::DOUBLE) AS el, (o_orderkey % 4)::DOUBLE / 2 AS dist FROM orders),
+    ev AS (SELECT program, id, 0::BIGINT AS sample, NULL::DOUBLE AS x, NULL::DOUBLE AS y, NULL::DOUBLE AS z FROM bed UNION ALL
+        SELECT program, id, coalesce(floor(rtime * 48000 + 0.5), 0)::BIGINT, CASE WHEN rtime IS NULL THEN 0 ELSE greatest(-1, least(1, -dist * cos(el) * sin(az))) END, CASE WHEN rtime IS NULL THEN 1 ELSE greatest(-1, least(1, dist * cos(el) * cos(az))) END,
+            CASE WHEN rtime IS NULL THEN 0 ELSE greatest(0, least(1, dist * sin(el))) END FROM obj LEFT JOIN blk USING (idx))"""
+
+
+def _events(spark, sf):
+    beds = B.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("program"), F.col("s_suppkey").alias("idx"))
+    customers = B.table(spark, sf, "customer").select(F.col("c_nationkey").alias("program"), F.col("c_custkey").alias("idx"))
+    k = F.col("o_orderkey")
+    blocks = B.table(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("idx")).select("program", F.col("idx").alias("object"), (k / 7.0).alias("rtime"), (k % 360 - 180).cast("double").alias("az"), (k % 181 - 90).cast("double").alias("el"), ((k % 4) / 2).cast("double").alias("dist"))
+    return damf.master_events(beds, customers, blocks, "program")
+
+
+@query(f"WITH {EVENTS} SELECT program, id::BIGINT AS id, sample, {_r6('x')} AS x, {_r6('y')} AS y, {_r6('z')} AS z FROM ev")
+def master_events(spark, sf):
+    return _events(spark, sf).select("program", F.col("id").cast("long").alias("id"), "sample", *[H.rounded(F.col(c)).alias(c) for c in "xyz"])
+
+
+@query(f"""WITH {EVENTS} SELECT program || '.atmos.metadata' AS name, count(*) + 6 AS lines, count(x) AS places FROM ev GROUP BY program""")
+def metadata_lines(spark, sf):
+    lines = damf.metadata_lines(_events(spark, sf), "program")
+    return lines.groupBy("name").agg(F.count("line").alias("lines"), F.count_if(F.contains("line", F.lit("pos: ["))).alias("places"))
