@@ -10,12 +10,12 @@ from soundtable.functions import harmonics
 from soundtable.functions import scalars as H
 from soundtable.operators import beds, deliveries, edits, meter, notes, objects, scene, sends, session, weighting
 from soundtable.plans import bindings as B
-from soundtable.plans import masters, mixes, scenes
+from soundtable.plans import masters, mixes, scenes, sessions
 from soundtable.streaming import updates
 
 FLAGSHIP = "check_deliverable"
-QUERIES: dict = masters.QUERIES | mixes.QUERIES | scenes.QUERIES
-ORACLE_SQL: dict = masters.ORACLE_SQL | mixes.ORACLE_SQL | scenes.ORACLE_SQL
+QUERIES: dict = masters.QUERIES | mixes.QUERIES | scenes.QUERIES | sessions.QUERIES
+ORACLE_SQL: dict = masters.ORACLE_SQL | mixes.ORACLE_SQL | scenes.ORACLE_SQL | sessions.ORACLE_SQL
 P = ["program_id"]
 
 
