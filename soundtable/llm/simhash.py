@@ -290,22 +290,29 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
 
 
+def _number(key: Column) -> Column:
+    """Eight bytes for a text's sixteen where there is a row for each of its shingles. Two texts of one number (odds of 1 in 2^64)
+    are both candidates of what either meets, and whole sets decide."""
+    return F.xxhash64(key)
+
+
 def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, similarity: float, k: int) -> DataFrame:
     """(key, h, n, parities), written: of each text's n shingles the first n - ceil(similarity n) + 1 in an order that is the same for all texts.
 
-    The first row of a text has the parities of all its shingles, the others nulls.
+    Here a key is a 64-bit hash of a text's key (see _number). The first row of a text has the parities of all its shingles,
+    the others nulls.
 
     Texts of that similarity share a shingle of these. The order puts those last that are frequent in a sample; any
     order is right, this one keeps the lists of texts with a shingle short.
     """
-    rows = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = docs.select(_number(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
 
     def sampled(batches):
         for batch in sliced(batches, 0):
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(_text_shingles(x.as_py(), k).view(np.int64))], names=["h"])
 
-    counts = rows.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(sampled, "h long").groupBy("h").count()
+    counts = rows.where(F.pmod(F.col("key"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(sampled, "h long").groupBy("h").count()
     often = counts.where("count >= 4").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
     hashes = often["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -335,13 +342,13 @@ def _prefixes(spark: SparkSession, docs: DataFrame, key: Column, text: Column, s
             columns += [pa.array(column).take(place) for column in np.concatenate(odd).T]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "n", *_PARITIES])
 
-    schema = ", ".join(["key binary", "h long", "n int", *[f"{p} long" for p in _PARITIES]])
+    schema = ", ".join(["key long", "h long", "n int", *[f"{p} long" for p in _PARITIES]])
     found = write_table(spark, rows.mapInArrow(run, schema), "prefixes")
     shared.destroy()
     return found
 
 
-def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Column, links: DataFrame, similarity: float, k: int) -> DataFrame:
+def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Column, nodes: DataFrame, links: DataFrame, similarity: float, k: int) -> DataFrame:
     """Links (a, b) that, with the given ones, connect all texts of that similarity: an exact join by prefixes.
 
     Only texts not connected yet are compared, inside the join by shingle. What two texts with n and m shingles have in
@@ -352,7 +359,7 @@ def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Colum
     with the least hash (of many texts some more) is first compared with the others; that connects large groups by few pairs.
     """
     posted = _prefixes(spark, docs, key, text, similarity, k)
-    one = F.xxhash64("key")
+    one = F.col("key")
     many = posted.groupBy("h").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low != high").select("h")
     many = write_table(spark, many, "shared-shingles")
     met = posted.select("h", "key", "n").join(broadcast_within(many), "h", "left_semi").dropDuplicates(["h", "key"])
@@ -364,7 +371,8 @@ def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Colum
     needed = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
 
     def meeting(left: DataFrame, links: DataFrame, parts: int = 1) -> DataFrame:
-        labels = broadcast_within(connected_components(spark, links))
+        labels = connected_components(spark, links).select(_number(F.col("node")).alias("node"), _number(F.col("label")).alias("label"))
+        labels = broadcast_within(labels)
         named = lambda df: df.join(labels, F.col("key") == F.col("node"), "left").select("key", "h", "n", *_PARITIES, F.coalesce("label", "key").alias("comp"))
         other = named(met).select(F.col("h").alias("g"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), *[F.col(p).alias(f"{p}_b") for p in _PARITIES])
         differ = sum((_distance(p, f"{p}_b") for p in _PARITIES), F.lit(0))
@@ -380,9 +388,16 @@ def _prefix_links(spark: SparkSession, docs: DataFrame, key: Column, text: Colum
     low = F.pmod(one, F.lit(1 << 30)) * F.col("c") < F.lit(HUBS << 30)
     hubs = met.join(broadcast_within(sizes), "h").where((one == F.col("least")) | (F.col("c") > LONG_LIST) & low)
     hubs = write_table(spark, hubs.select("h", "key", "n", *_PARITIES), "prefix-hubs")
+
+    def keys_of(pairs: DataFrame) -> DataFrame:
+        numbered = nodes.select(_number(F.col("key")).alias("number"), "key")
+        for side in ("a", "b"):
+            pairs = pairs.join(numbered, F.col(side) == F.col("number")).drop(side, "number").withColumnRenamed("key", side)
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b")
+
     # What two texts share may have several hubs, so here a part of it will do. What this leaves out is left to the whole join.
-    star = _verified(spark, docs, key, text, meeting(hubs, links, 4), similarity, k)
-    others = _verified(spark, docs, key, text, meeting(met, links.union(star)), similarity, k)
+    star = _verified(spark, docs, key, text, keys_of(meeting(hubs, links, 4)), similarity, k)
+    others = _verified(spark, docs, key, text, keys_of(meeting(met, links.union(star))), similarity, k)
     discard(spark, met, hubs, sizes)
     return star.union(others)
 
@@ -409,7 +424,7 @@ def near_duplicate_texts(spark: SparkSession, docs: DataFrame, id_col: str = "do
     apart = near.join(head.withColumnsRenamed({"fp": "a", "head": "ha"}), "a").join(head.withColumnsRenamed({"fp": "b", "head": "hb"}), "b")
     links = _verified(spark, docs, key, text, same.union(apart.select(F.least("ha", "hb"), F.greatest("ha", "hb"))), similarity, k)
     discard(spark, near)
-    links = links.union(_prefix_links(spark, docs, key, text, links, similarity, k))
+    links = links.union(_prefix_links(spark, docs, key, text, nodes, links, similarity, k))
     labels = connected_components(spark, links)
     return nodes.join(labels, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("label", "key").alias("label"), F.col("node").isNotNull().alias("linked"))
 
