@@ -166,3 +166,42 @@ def yaml_quote(text: Column) -> Column:
     for mark, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
         text = F.replace(text, F.lit(mark), F.lit(escaped))
     return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def json_quote(text: Column) -> Column:
+    """A text as a JSON string: quotes, backslashes and control characters escaped, others as they are. Null is the empty string."""
+    out = F.coalesce(text, F.lit(""))
+    for mark, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(mark), F.lit(escaped))
+    rest = F.when(out.rlike(r"[\x00-\x1F]"), F.array_join(F.transform(F.split(out, ""), lambda c: F.when((c != "") & (F.ascii(c) < 32), F.concat(F.lit("\\u"), F.format_string("%04x", F.ascii(c)))).otherwise(c)), "")).otherwise(out)
+    return F.concat(F.lit('"'), rest, F.lit('"'))
+
+
+def yaml_path(text: Column) -> Column:
+    """A path as it is where letters, digits and _ - . / are all it has, else in quotes."""
+    return F.when(text.rlike(r"^[A-Za-z0-9_\-./]+$"), text).otherwise(yaml_quote(text))
+
+
+def clamp_el(el: Column) -> Column:
+    """Degrees within -90 and 90."""
+    return clamp(el, -90.0, 90.0)
+
+
+def nudge(beat: Column, by: float) -> Column:
+    """A start moved, not before zero."""
+    return F.greatest(beat + by, F.lit(0.0))
+
+
+def cc_encode(kind: Column, channel: Column, number: Column, value: Column) -> tuple[Column, Column, Column]:
+    """(status, msg2, msg3) of a control event of a kind (see cc_type); nulls for other kinds and for what is out of range.
+
+    Program changes and channel pressures have one byte of value, pitch bends 14 bits, the others a number and a value."""
+    codes = {"poly_aftertouch": 160, "cc": 176, "program_change": 192, "channel_pressure": 208, "pitch_bend": 224}
+    code = F.coalesce(*[F.when(kind == k, v) for k, v in codes.items()])
+    bend, single = code == 224, code.isin(192, 208)
+    two = ~bend & ~single
+    fits = channel.between(0, 15) & value.between(0, F.when(bend, 16383).otherwise(127)) & (~two | number.between(0, 127))
+    ok = code.isNotNull() & F.coalesce(fits, F.lit(False))
+    low = F.when(bend, value.bitwiseAND(127)).when(single, value).otherwise(number)
+    high = F.when(bend, F.shiftright(value, 7)).when(single, 0).otherwise(value)
+    return F.when(ok, code.bitwiseOR(channel)), F.when(ok, low), F.when(ok, high)

@@ -105,6 +105,16 @@ def patch_keys(lines: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     return texts.join(missing, key).select(key, F.when(F.size("missing") == 0, F.col("text")).alias("text"), "missing")
 
 
+def check_patches(patches: DataFrame, key: str) -> DataFrame:
+    """(key, name, error) of patches (key, name, value) that no text takes: a name that is empty or no bare word, a value of several
+    lines, and a name that a text's patches have twice (once a name)."""
+    bare = F.coalesce(F.col("name").rlike(r"^[^\s<>]+$"), F.lit(False))
+    lines = F.coalesce(F.col("value").rlike(r"[\r\n]"), F.lit(False))
+    single = patches.select(key, "name", F.explode(F.filter(F.array(F.when(~bare, "bad_key"), F.when(lines, "multi_line_value")), lambda e: e.isNotNull())).alias("error"))
+    twice = patches.groupBy(key, "name").count().where("count > 1").select(key, "name", F.lit("duplicate_key").alias("error"))
+    return single.union(twice)
+
+
 def check_ramp(blocks: DataFrame, keys: list[str], order: list[str], rate: Column, length: str = "interpolation") -> DataFrame:
     """blocks with the ramp that the profile asks for, 0 on a channel's first block and 250 samples after, in seconds, and `ok`.
 

@@ -261,3 +261,33 @@ def beam(acn: Column, az: Column, el: Column, order: int = 3) -> Column:
     """What a scene of that order is towards a direction; strongest where its only source is."""
     y = basis_columns(az, el, order)
     return F.aggregate(F.zip_with(F.slice(acn, 1, (order + 1) ** 2), y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
+
+
+#: Variation of energies and share of dead zones below which coverage is even, variation below which it is
+#: balanced, share of upper energy below which a scene is planar, and layouts that have heights.
+EVEN, EVEN_DEAD, BALANCED, PLANAR, HIGH_LAYOUTS = 0.35, 0.02, 0.8, 0.05, ("7.1.4", "9.1.6")
+
+
+def coverage_verdict(stats: DataFrame, layout: str | int) -> DataFrame:
+    """The coverage_stats of programs with `verdict` (even, balanced or directional) and `planar`, whether almost nothing comes
+    from above where something could."""
+    dead = F.col("dead_zones") / F.col("speakers")
+    verdict = F.when((F.col("cv") < EVEN) & (dead < EVEN_DEAD), "even").when(F.col("cv") < BALANCED, "balanced").otherwise("directional")
+    high = isinstance(layout, int) or layout in HIGH_LAYOUTS
+    return stats.withColumns({"verdict": verdict, "planar": (F.col("upper") < PLANAR) if high else F.lit(False)})
+
+
+def spatial_field_report(scene: DataFrame, keys: list[str], n3d: bool = False, speakers: int = 36, channels: int = 64) -> DataFrame:
+    """spatial_field with the order that the scene's channels hold (`order`) and its energy vector: `re`, `re_az`, `re_el`."""
+    field = spatial_field(scene, keys, n3d)
+    held = scene.groupBy(*keys).agg((F.floor(F.sqrt(F.max(F.size("acn")).cast("double")) + 1e-9).cast("int") - 1).alias("order"))
+    vector = energy_vector(speaker_energies(scene, keys, speakers, channels, n3d), keys)
+    renamed = lambda df, tag: df.withColumnsRenamed({k: f"__{tag}_{k}" for k in keys})
+    out = field
+    for side, tag in ((held, "o"), (vector.withColumnsRenamed({"az": "re_az", "el": "re_el"}), "v")):
+        on = None
+        for k in keys:
+            one = F.col(k).eqNullSafe(F.col(f"__{tag}_{k}"))
+            on = one if on is None else on & one
+        out = out.join(renamed(side, tag), on, "left").drop(*[f"__{tag}_{k}" for k in keys])
+    return out

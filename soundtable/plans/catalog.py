@@ -984,3 +984,67 @@ def number_formats(spark, sf):
 def text_escapes(spark, sf):
     text = F.concat("text", F.lit("\"\\'\n"))
     return B.table(spark, sf, "documents").select("doc_id", F.md5(H.xml_escape(text)).alias("xml"), F.md5(H.yaml_quote(text)).alias("yaml"))
+_edit_query("edit_tracks", edits.track_fields, {"name": ("c_name", "value"), "vol_db": (SOME, ANY), "pan": ("CAST(0 AS DOUBLE)", _number(-1, 1)), "width": ("CAST(1 AS DOUBLE)", _number(-1, 1)), "muted": (OFF, FLAG), "solo": (NONE, _whole(0, 2)), "phase": (OFF, FLAG), "rec_arm": (OFF, FLAG), "rec_mode": (NONE, _whole(0, 2147483647)), "color": (NONE, COLOR), "folder": (NONE, _whole(-1, 1)),
+    "channels": ("CAST(2 AS INT)", "greatest(2, least(128, try_cast(value AS INT))) + greatest(2, least(128, try_cast(value AS INT))) % 2 + 0 * try_cast(value AS INT)")})
+_edit_query("edit_takes", edits.take_fields, {"name": ("c_name", "value"), "vol_db": (SOME, ANY), "pan": ("CAST(0 AS DOUBLE)", _number(-1, 1)), "pitch": (SOME, ANY), "rate": ("CAST(1 AS DOUBLE)", _number(1e-300, 1e300))})
+_edit_query("edit_cc", edits.cc_fields, {"at": (SOME, LATER), "status": ("CAST(176 AS INT)", _whole(128, 239)), "msg2": (NONE, _whole(0, 127)), "msg3": (NONE, _whole(0, 127)), "muted": (OFF, FLAG)})
+_edit_query("edit_automation", edits.automation_fields, {"mode": (NONE, _whole(0, 4))})
+_edit_query("edit_fx", edits.fx_fields, {"value": ("CAST(0.5 AS DOUBLE)", _number(0, 1)), "enabled": (OFF, FLAG)})
+
+
+@query("""WITH r AS (SELECT l_orderkey AS take, l_linenumber, l_partkey, CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE (l_partkey % 100) / 4.0::DOUBLE - 1 END AS start, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE (l_suppkey % 5)::DOUBLE END AS length, (l_partkey % 140)::INT AS pitch, CASE WHEN l_suppkey % 2 = 0 THEN (l_suppkey % 130)::INT END AS velocity, CASE WHEN l_suppkey % 7 < 3 THEN (l_suppkey % 18)::INT END AS channel FROM lineitem),
+    f AS (SELECT take, l_linenumber, l_partkey, start, coalesce(length, 1) AS length, pitch, coalesce(velocity, 96) AS velocity, coalesce(channel, 0) AS channel FROM r)
+    SELECT *, CASE WHEN start IS NULL OR start < 0 THEN 'start' WHEN length <= 0 THEN 'length' WHEN pitch > 127 THEN 'pitch' WHEN velocity NOT BETWEEN 1 AND 127 THEN 'velocity' WHEN channel > 15 THEN 'channel' END AS error FROM f""")
+def insert_notes(spark, sf):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    rows = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("take"), "l_linenumber", "l_partkey", F.when(p % 17 != 0, (p % 100) / 4.0 - 1).alias("start"), F.when(s % 3 != 0, (s % 5).cast("double")).alias("length"), (p % 140).cast("int").alias("pitch"), F.when(s % 2 == 0, (s % 130).cast("int")).alias("velocity"), F.when(s % 7 < 3, (s % 18).cast("int")).alias("channel"))
+    return edits.insert_notes(rows)
+
+
+@query("""WITH i AS (SELECT o_orderkey AS item, (o_custkey % 50)::DOUBLE AS position, (1 + o_orderkey % 7)::DOUBLE AS length, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 4 - 1)::INT ELSE 0 END AS n, CASE WHEN o_orderkey % 3 = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS gap FROM orders)
+    SELECT item, copy::INT AS copy, position + copy * (length + gap) AS position, length FROM (SELECT *, unnest(range(n + 1)) AS copy FROM i)""")
+def duplicate_items(spark, sf):
+    k = F.col("o_orderkey")
+    o = B.table(spark, sf, "orders")
+    items = o.select(k.alias("item"), (F.col("o_custkey") % 50).cast("double").alias("position"), (1 + k % 7).cast("double").alias("length"))
+    copies = o.where(k % 4 > 0).select(k.alias("item"), (k % 4 - 1).cast("int").alias("copies"), F.when(k % 3 != 0, 0.5).alias("gap"))
+    return edits.duplicate_items(items, copies, "item").select("item", "copy", "position", "length")
+
+
+@query("""WITH c AS (SELECT event_id, ['poly_aftertouch', 'cc', 'program_change', 'channel_pressure', 'pitch_bend', 'odd'][(event_id % 6 + 1)::INT] AS kind, (event_id % 18)::INT AS channel, (user_id % 130)::INT AS number, (event_id * 7 % 17000)::INT AS big FROM events),
+    v AS (SELECT *, CASE WHEN kind = 'pitch_bend' THEN big ELSE big % 140 END AS value FROM c), k AS (SELECT *, channel < 16 AND kind <> 'odd' AND value <= CASE WHEN kind = 'pitch_bend' THEN 16383 ELSE 127 END AND (kind NOT IN ('cc', 'poly_aftertouch') OR number < 128) AS ok FROM v)
+    SELECT event_id, CASE WHEN ok THEN CASE kind WHEN 'poly_aftertouch' THEN 160 WHEN 'cc' THEN 176 WHEN 'program_change' THEN 192 WHEN 'channel_pressure' THEN 208 ELSE 224 END + channel END AS status, CASE WHEN ok THEN CASE WHEN kind = 'pitch_bend' THEN value % 128 WHEN kind IN ('program_change', 'channel_pressure') THEN value ELSE number END END AS msg2,
+        CASE WHEN ok THEN CASE WHEN kind = 'pitch_bend' THEN value // 128 WHEN kind IN ('program_change', 'channel_pressure') THEN 0 ELSE value END END AS msg3 FROM k""")
+def cc_encode(spark, sf):
+    e, n = F.col("event_id"), (F.col("user_id") % 130).cast("int")
+    kind = F.element_at(F.array(*map(F.lit, ("poly_aftertouch", "cc", "program_change", "channel_pressure", "pitch_bend", "odd"))), (e % 6 + 1).cast("int"))
+    big = (e * 7 % 17000).cast("int")
+    status, msg2, msg3 = H.cc_encode(kind, (e % 18).cast("int"), n, F.when(kind == "pitch_bend", big).otherwise(big % 140))
+    return B.table(spark, sf, "events").select("event_id", status.alias("status"), msg2.alias("msg2"), msg3.alias("msg3"))
+
+
+@query(f"""WITH s AS ({ORACLE_SQL["coverage_stats"]}) SELECT program_id, CASE WHEN cv < 0.35 AND dead_zones / speakers < 0.02 THEN 'even' WHEN cv < 0.8 THEN 'balanced' ELSE 'directional' END AS verdict, upper < 0.05 AS planar FROM s""")
+def coverage_verdict(spark, sf):
+    stats = scene.coverage_stats(scene.speaker_energies(B.scene(spark, sf), P, 64), P)
+    return scene.coverage_verdict(stats, 64).select("program_id", "verdict", "planar")
+
+
+@query(f"""WITH f AS ({ORACLE_SQL["spatial_field"]}), v AS ({ORACLE_SQL["energy_vector"]}) SELECT f.*, 7 AS "order", v.re, v.az AS re_az, v.el AS re_el FROM f JOIN v USING (program_id)""")
+def spatial_field_report(spark, sf):
+    return rounded(scene.spatial_field_report(B.scene(spark, sf), P), "az", "el", "diffuseness", "rv", "re", "re_az", "re_el")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS text, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'A B' WHEN 2 THEN NULL ELSE 'KEY' END AS name, CASE WHEN o_orderkey % 7 = 0 THEN 'x' || chr(10) || 'y' ELSE 'x' END AS value FROM orders UNION ALL SELECT o_orderkey, 'KEY', 'z' FROM orders WHERE o_orderkey % 3 = 0)
+    SELECT text, name, 'bad_key' AS error FROM p WHERE name IS NULL OR name IN ('', 'A B') UNION ALL SELECT text, name, 'multi_line_value' FROM p WHERE contains(value, chr(10)) UNION ALL SELECT text, name, 'duplicate_key' FROM p GROUP BY text, name HAVING count(*) > 1""")
+def check_patches(spark, sf):
+    k = F.col("o_orderkey")
+    o = B.table(spark, sf, "orders")
+    first = o.select(k.alias("text"), F.when(k % 5 == 0, "").when(k % 5 == 1, "A B").when(k % 5 > 2, "KEY").alias("name"), F.when(k % 7 == 0, "x\ny").otherwise("x").alias("value"))
+    more = o.where(k % 3 == 0).select(k.alias("text"), F.lit("KEY").alias("name"), F.lit("z").alias("value"))
+    return deliveries.check_patches(first.union(more), "text")
+
+
+@query(f"""WITH t(slot, hz) AS (VALUES {', '.join(f'({s}, {h}::DOUBLE)' for s, h in beds.tone_plan(6, (3,)))}) SELECT c_custkey AS program, slot AS channel, frame::INT AS frame, {r6('0.12589254117941673::DOUBLE * sin(frame * hz * 2 * 3.141592653589793::DOUBLE / 48000)')} AS x FROM customer, t, range(20) r(frame)""")
+def tone_samples(spark, sf):
+    programs = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("program"))
+    return rounded(beds.tone_samples(programs, "program", beds.tone_plan(6, (3,)), 48000.0, 20), "x")
