@@ -21,15 +21,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in the warehouse, or in local mode a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in the warehouse, or in local mode a temporary one.
+
+    A cluster with neither that setting nor a warehouse in a shared file system is an error: executors would write where nobody reads."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         local = spark.sparkContext.master.split("[")[0] == "local"
-        found = tempfile.mkdtemp(prefix="soundtable-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        found = tempfile.mkdtemp(prefix="soundtable-") if local else shared_warehouse(spark.conf.get("spark.sql.warehouse.dir"))
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def shared_warehouse(folder: str) -> str:
+    """The scratch folder in a warehouse that all machines see."""
+    if folder.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder.rstrip("/") + "/scratch"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/soundtable/{label}-{uuid.uuid4().hex}"
 

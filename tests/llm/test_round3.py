@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from soundtable.llm import decontamination, exact_dedup, hmm, language_id
+from soundtable.llm import common, decontamination, exact_dedup, hmm, language_id
 
 
 @pytest.mark.parametrize("leaves", [9, 40])
@@ -67,3 +67,10 @@ def test_base_scores_from_exact_counts(spark, share):
         tokens = [*re.findall(r"\S+", texts[r.doc_id] or ""), ""]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(w in counts for w in tokens), total)
         assert math.isclose(r.base_score, sum(math.log10((counts.get(w, 0) + 1) / (total + distinct + 1)) for w in tokens), rel_tol=1e-12)
+
+
+def test_scratch_of_a_cluster_is_shared():
+    assert common.shared_warehouse("hdfs://name/warehouse/") == "hdfs://name/warehouse/scratch"
+    for own in ("file:/home/x/spark-warehouse", "/home/x/spark-warehouse"):
+        with pytest.raises(ValueError):
+            common.shared_warehouse(own)
