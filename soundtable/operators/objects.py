@@ -55,6 +55,36 @@ def dominant(decoded: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, F.col("b.label").alias("label"))
 
 
+def _energy(terms: list[float], sx: float, sy: float, sz: float) -> Column:
+    """The square of a Legendre sum of the cosine between __x, __y, __z and a speaker, times the squared gain."""
+    cos = clamp(F.col("__x") * sx + F.col("__y") * sy + F.col("__z") * sz, -1.0, 1.0)
+    total = F.lit(terms[-1])
+    for term in reversed(terms[:-1]):
+        total = total * cos + term
+    return total * total * F.col("gain") * F.col("gain")
+
+
+def with_dominant(traj: DataFrame, layout: str, order: int = 3) -> DataFrame:
+    """traj with `label`, the loudest speaker of each sample: all speakers are in its row, nothing is shuffled. See dominant."""
+    speakers, terms = harmonics.speakers(layout), harmonics.legendre_sum(max(1, min(order, 7)))
+    x, y, z = direction(F.col("az"), F.col("el"))
+    heard = traj.withColumns({"__x": x, "__y": y, "__z": z}).withColumn("__even", F.array(*[F.round(_energy(terms, *s[1:]) * 1e9) for s in speakers]))
+    loudest = F.get(F.array(*[F.lit(s[0]) for s in speakers]), (F.array_position("__even", F.array_max("__even")) - 1).cast("int"))
+    return heard.withColumn("label", loudest).drop("__x", "__y", "__z", "__even")
+
+
+def decode_footprint(traj: DataFrame, layout: str, by: list[str], order: int = 3) -> DataFrame:
+    """(object_id, idx, label, x, y, z, energy): each speaker's energy over an object's samples, each for the time that it holds (see
+    sample_weights); goes into scene.coverage_stats. And `touched`, on how many speakers the object is loudest at some time."""
+    speakers, terms = harmonics.speakers(layout), harmonics.legendre_sum(max(1, min(order, 7)))
+    x, y, z = direction(F.col("az"), F.col("el"))
+    held = with_dominant(sample_weights(traj, by), layout, order).withColumns({"__x": x, "__y": y, "__z": z})
+    sums = [F.sum(_energy(terms, *s[1:]) * F.col("weight")).alias(f"__e{i}") for i, s in enumerate(speakers)]
+    whole = held.groupBy("object_id").agg(*sums, F.count_distinct("label").alias("touched"))
+    table = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(n).alias("label"), *[F.lit(v).alias(c) for c, v in zip("xyz", spot, strict=True)], F.col(f"__e{i}").alias("energy")) for i, (n, *spot) in enumerate(speakers)])
+    return whole.select("object_id", "touched", F.inline(table))
+
+
 def migration_runs(dominants: DataFrame, order: list[str]) -> DataFrame:
     """Runs of one dominant speaker with their first and last time."""
     w = W.partitionBy("object_id").orderBy(*order)
@@ -146,14 +176,7 @@ def predict_decode(slices: DataFrame, layout: str, order: int = 3) -> DataFrame:
     placed = slices.withColumns({"__x": unit("x", 0.0), "__y": unit("y", 1.0), "__z": unit("z", 0.0)})
     speakers, terms = harmonics.predicted_speakers(layout), harmonics.legendre_sum(max(1, order))
 
-    def energy(sx: float, sy: float, sz: float) -> Column:
-        cos = clamp(F.col("__x") * sx + F.col("__y") * sy + F.col("__z") * sz, -1.0, 1.0)
-        total = F.lit(terms[-1])
-        for term in reversed(terms[:-1]):
-            total = total * cos + term
-        return total * total * F.col("gain") * F.col("gain")
-
-    heard = placed.withColumn("__energies", F.array(*[energy(*s[1:]) for s in speakers]))
+    heard = placed.withColumn("__energies", F.array(*[_energy(terms, *s[1:]) for s in speakers]))
     even = F.transform("__energies", lambda e: F.round(e * 1e9))
     loudest = F.get(F.array(*[F.lit(s[0]) for s in speakers]), (F.array_position(even, F.array_max(even)) - 1).cast("int"))
     total = F.aggregate("__energies", F.lit(0.0), lambda a, e: a + e)

@@ -293,7 +293,7 @@ def angular_travel(spark, sf):
     r AS (SELECT *, sum(ch) OVER (PARTITION BY object_id ORDER BY t, seq) AS run FROM c)
     SELECT object_id, run::BIGINT AS run, min(label) AS label, min(t) AS "start", max(t) AS "end", count(*) AS samples FROM r GROUP BY 1, 2""")
 def migration_runs(spark, sf):
-    dominants = objects.dominant(objects.decode_timeline(B.trajectory(spark, sf), "5.1"), ["object_id", "seq", "t"])
+    dominants = objects.with_dominant(B.trajectory(spark, sf), "5.1").select("object_id", "seq", "t", "label")
     return objects.migration_runs(dominants, ["t", "seq"])
 
 
@@ -302,10 +302,20 @@ def migration_runs(spark, sf):
     d AS (SELECT object_id, label, w / sum(w) OVER (PARTITION BY object_id) AS dwell, row_number() OVER (PARTITION BY object_id ORDER BY w DESC, label) AS rank FROM s)
     SELECT object_id, label, {r6('dwell')} AS dwell, rank::INT AS rank FROM d WHERE rank <= 6 AND dwell > 0""")
 def dwell_fractions(spark, sf):
-    dominants = objects.dominant(objects.decode_timeline(B.trajectory(spark, sf), "5.1"), ["object_id", "seq", "t"])
+    dominants = objects.with_dominant(B.trajectory(spark, sf), "5.1").select("object_id", "seq", "t", "label")
     return rounded(objects.dwell_fractions(objects.sample_weights(dominants, ["t", "seq"])), "dwell")
 
 
+@query(f"""WITH {decode_sql('7.1.4')}, {DOMINANT}, w0 AS (SELECT object_id, seq, coalesce(greatest(lead(t) OVER w - t, 0), greatest(t - lag(t) OVER w, 0), 1) AS w FROM dom WINDOW w AS (PARTITION BY object_id ORDER BY t, seq)),
+    w1 AS (SELECT object_id, seq, CASE WHEN sum(w) OVER (PARTITION BY object_id) > 0 THEN w ELSE 1 END AS w FROM w0), u AS (SELECT object_id, count(DISTINCT label) AS touched FROM dom GROUP BY 1),
+    f AS (SELECT object_id, idx, label, sum(energy * w) AS energy FROM dec JOIN w1 USING (object_id, seq) GROUP BY 1, 2, 3), p AS (SELECT *, energy / sum(energy) OVER (PARTITION BY object_id) AS p FROM f)
+    SELECT object_id, touched, {r6('stddev_pop(p) * count(*)')} AS cv, count(*) FILTER (p < 0.1 / 11) AS dead_zones, {r6('max(p)')} AS most FROM p JOIN u USING (object_id) GROUP BY 1, 2""")
+def object_footprint(spark, sf):
+    energies = objects.decode_footprint(B.trajectory(spark, sf), "7.1.4", ["t", "seq"])
+    stats = scene.coverage_stats(energies, ["object_id", "touched"])
+    return rounded(stats.select("object_id", "touched", "cv", "dead_zones", "most"), "cv", "most")
+
+
 @query(f"""WITH {B.TRAJ}, b AS (SELECT object_id, seq, t AS rtime, CASE WHEN seq % 3 = 0 THEN 2.0::DOUBLE ELSE 0.0 END AS dur, seq % 2 = 0 AS jump FROM traj),
     f AS (SELECT object_id, seq, rtime, jump, CASE WHEN dur > 0 THEN dur ELSE greatest(coalesce(lead(rtime) OVER (PARTITION BY object_id ORDER BY rtime, seq), 3000.0) - rtime, 0) END AS duration FROM b)
     SELECT object_id, seq, rtime, jump, duration, CASE WHEN jump THEN rtime ELSE rtime + duration END AS reach FROM f""")
