@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from soundtable.functions import scalars as H
 from soundtable.operators import profile
 from soundtable.plans import bindings as B
-from soundtable.sources import adm, damf
+from soundtable.sources import adm, damf, object_metadata
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -158,3 +158,37 @@ def master_events(spark, sf):
 def metadata_lines(spark, sf):
     lines = damf.metadata_lines(_events(spark, sf), "program")
     return lines.groupBy("name").agg(F.count("line").alias("lines"), F.count_if(F.contains("line", F.lit("pos: ["))).alias("places"))
+
+
+# ---- object metadata
+
+OBJECTS = """obj AS (SELECT c_nationkey AS program, c_custkey AS idx, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 2 = 0 END AS cartesian, CASE WHEN c_custkey % 5 = 0 THEN CAST(0.5 AS DOUBLE) END AS size, CASE WHEN c_custkey % 7 = 0 THEN CAST(0.25 AS DOUBLE) END AS width,
+    CASE WHEN c_custkey % 4 = 0 THEN (c_custkey % 9) / CAST(4 AS DOUBLE) - CAST(0.5 AS DOUBLE) END AS divergence, CASE WHEN c_custkey % 8 = 0 THEN (c_custkey % 3) * CAST(10 AS DOUBLE) - 5 END AS divergence_range, CASE WHEN c_custkey % 6 = 0 THEN CAST(c_custkey % 20 - 4 AS INT) END AS importance FROM customer)"""
+BLOCKS = """blk AS (SELECT o_custkey AS object, o_orderkey / CAST(8 AS DOUBLE) AS rtime, CASE WHEN o_orderkey % 5 = 0 THEN CAST(2 AS DOUBLE) END AS duration, CAST(o_orderkey % 900 - 400 AS DOUBLE) AS az, CAST(o_orderkey % 241 - 120 AS DOUBLE) AS el, CASE WHEN o_orderkey % 9 > 0 THEN (o_orderkey % 7) / CAST(2 AS DOUBLE) - CAST(0.5 AS DOUBLE) END AS dist, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 = 2 END AS jump FROM orders)"""
+
+
+def _object_rows(spark, sf):
+    text = OBJECTS[OBJECTS.index("(") + 1 : -1].replace("FROM customer", "FROM {customer}")
+    none = {c: F.lit(None).cast("double") for c in ("height", "depth")}
+    return spark.sql(text, customer=B.table(spark, sf, "customer")).withColumns(none | {"name": F.lit(None).cast("string")})
+
+
+@query(f"""WITH {OBJECTS}, r AS (SELECT *, coalesce(cartesian, false) AS room, width IS NOT NULL OR size IS NOT NULL AS given FROM obj)
+    SELECT program, idx, room AS cartesian, greatest(0, least(10, importance)) + 0 * importance AS importance, CASE WHEN given THEN coalesce(width, size) END AS width, CASE WHEN given THEN coalesce(size, 0) END AS height,
+        CASE WHEN divergence IS NOT NULL THEN greatest(0, least(1, divergence)) END AS divergence, CASE WHEN divergence IS NOT NULL THEN CASE WHEN divergence_range >= 0 THEN divergence_range WHEN room THEN 0.5 ELSE 45 END::DOUBLE END AS divergence_range FROM r""")
+def object_table(spark, sf):
+    return object_metadata.object_table(_object_rows(spark, sf), "program").drop("name", "depth")
+
+
+@query(f"""WITH {OBJECTS}, {BLOCKS}, m AS (SELECT program, idx AS object, coalesce(cartesian, false) AS room, coalesce(rtime, 0) AS rtime, duration AS own, coalesce(az, 0) AS az, coalesce(el, 0) AS el, coalesce(dist, 1) AS dist FROM obj LEFT JOIN blk ON blk.object = idx),
+    n AS (SELECT *, row_number() OVER w - 1 AS block, CASE WHEN own > 0 THEN own ELSE greatest(coalesce(lead(rtime) OVER w, 10000) - rtime, 0) END AS duration, ((az % 360) + 360) % 360 AS turned FROM m WINDOW w AS (PARTITION BY program, object ORDER BY rtime, az, el, dist))
+    SELECT program, object, block::INT AS block, rtime, duration, CASE WHEN NOT room THEN CASE WHEN turned > 180 THEN turned - 360 ELSE turned END END AS az, CASE WHEN NOT room THEN greatest(-90, least(90, el)) END AS el, CASE WHEN NOT room THEN greatest(dist, 0) END AS dist,
+        CASE WHEN room THEN {_r6('greatest(-1, least(1, -dist * cos(radians(el)) * sin(radians(az))))')} END AS x, CASE WHEN room THEN {_r6('greatest(-1, least(1, dist * cos(radians(el)) * cos(radians(az))))')} END AS y, CASE WHEN room THEN {_r6('greatest(-1, least(1, dist * sin(radians(el))))')} END AS z,
+        CASE WHEN block = 0 THEN 0.0::DOUBLE ELSE 250.0::DOUBLE / 48000 END AS interpolation FROM n""")
+def block_table(spark, sf):
+    text = BLOCKS[BLOCKS.index("(") + 1 : -1].replace("FROM orders", "FROM {orders}")
+    blocks = spark.sql(text, orders=B.table(spark, sf, "orders"))
+    nations = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("of"), F.col("c_nationkey").alias("program"))
+    blocks = blocks.join(nations, F.col("object") == F.col("of")).drop("of").withColumn("gain", F.lit(1.0))
+    out = object_metadata.block_table(object_metadata.object_table(_object_rows(spark, sf), "program"), blocks, "program", 10000.0, profile=True)
+    return out.drop("gain", "jump").withColumns({c: H.rounded(F.col(c)) for c in "xyz"})
