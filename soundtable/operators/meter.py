@@ -230,3 +230,19 @@ def true_peak(samples: DataFrame, keys: list[str], block: int = 1 << 16) -> Data
     wide = spread.select(*keys, "frame", "__block", "x", *[n.alias(f"__{i}") for i, n in enumerate(near)]).where(at(0) == F.col("__block"))
     between = [F.abs(sum((F.col(f"__{i}") * c for i, c in enumerate(row)), F.lit(0.0))) for row in taps]
     return wide.groupBy(*keys).agg(lin_to_db(F.max(F.greatest(F.abs("x"), *between))).alias("true_peak_db"))
+
+
+def channel_report(samples: DataFrame, weighted: DataFrame, keys: list[str]) -> DataFrame:
+    """channel_metrics with the true peak and, of the K-weighted samples, the level `k_level`: all that is said of a channel.
+
+    Each part is one aggregation by the keys, so the joins meet rows that lie together already."""
+    loud = weighted.groupBy(*keys).agg(lufs(F.avg(F.col("x") * F.col("x"))).alias("k_level"))
+    return channel_metrics(samples, keys).join(true_peak(samples, keys), keys, "left").join(loud, keys, "left")
+
+
+def stem_report(samples: DataFrame, program: str, stem: str, frames_per_bin: int = 1) -> DataFrame:
+    """stem_loudness with each stem's sample peak and true peak."""
+    keys = [program, stem]
+    loud = stem_loudness(power_bins(samples, keys, frames_per_bin), program, stem)
+    peaks = channel_metrics(samples, keys).select(*keys, "peak_db")
+    return loud.join(peaks, keys, "left").join(true_peak(samples, keys), keys, "left")

@@ -1060,3 +1060,20 @@ def check_patches(spark, sf):
 def tone_samples(spark, sf):
     programs = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("program"))
     return rounded(beds.tone_samples(programs, "program", beds.tone_plan(6, (3,)), 48000.0, 20), "x")
+
+
+@query(f"""WITH a AS ({ORACLE_SQL["channel_metrics"]}), b AS ({ORACLE_SQL["true_peak"]}), c AS ({ORACLE_SQL["k_weighted_level"]}) SELECT a.*, true_peak_db, k_level FROM a JOIN b USING (program_id) JOIN c USING (program_id)""")
+def channel_report(spark, sf):
+    signal = B.signal(spark, sf)
+    chunks = weighting.k_weight(weighting.chunk_samples(signal, P, 48_000), P, 48_000)
+    samples = chunks.select(*P, "frame0", F.posexplode("samples").alias("i", "x")).select(*P, (F.col("frame0") + F.col("i")).alias("frame"), "x")
+    return rounded(meter.channel_report(signal, samples, P), "rms_db", "peak_db", "true_peak_db", "k_level")
+
+
+@query(f"""WITH l AS ({ORACLE_SQL["stem_loudness"]}), p AS (SELECT program_id, channel::INT AS channel, {r6('20 * log10(max(abs(x)))')} AS peak_db FROM (WITH {B.MULTI} FROM multi) GROUP BY 1, 2),
+    t AS (WITH {B.MULTI}, {STEMS} SELECT program_id // 10 AS program_id, (program_id % 10)::INT AS channel, {r6("CASE WHEN max(m) > 1e-12 THEN 20 * log10(max(m)) ELSE -144.0::DOUBLE END")} AS true_peak_db
+        FROM (SELECT program_id, greatest(abs(x), {', '.join(map(_between, meter.true_peak_taps()))}) AS m FROM signal WINDOW w AS (PARTITION BY program_id ORDER BY frame)) GROUP BY 1, 2)
+    SELECT l.*, peak_db, true_peak_db FROM l JOIN p USING (program_id, channel) JOIN t USING (program_id, channel)""")
+def stem_report(spark, sf):
+    out = meter.stem_report(B.multichannel(spark, sf), "program_id", "channel")
+    return rounded(out, "integrated", "delta", "energy_share", "peak_db", "true_peak_db")
