@@ -86,13 +86,13 @@ def gated_loudness(bins: DataFrame, keys: list[str], length: int = 4) -> DataFra
     own = W.partitionBy(*keys)
     row = own.orderBy(F.desc("whole"), "bin").rowsBetween(1 - length, 0)  # partial bins, if any, behind the whole ones
     full = F.col("whole") & (F.count("*").over(row) == length)
-    block = _counted(bins).withColumn("p", F.when(full, F.sum("power").over(row) / length))
-    block = block.withColumn("l", lufs(F.col("p"))).withColumn("mean1", F.avg(F.when(F.col("l") > -70, F.col("p"))).over(own))
-    passed = (F.col("l") > -70) & (F.col("l") > lufs(F.col("mean1")) - 10)
+    block = _counted(bins).withColumn("__p", F.when(full, F.sum("power").over(row) / length))
+    block = block.withColumn("__l", lufs(F.col("__p"))).withColumn("__mean1", F.avg(F.when(F.col("__l") > -70, F.col("__p"))).over(own))
+    passed = (F.col("__l") > -70) & (F.col("__l") > lufs(F.col("__mean1")) - 10)
     out = block.groupBy(*keys).agg(
         (F.sum(F.col("power") * F.col("frames")) / F.sum("frames")).alias("all_power"),
-        F.count("p").alias("total_blocks"),
-        F.avg(F.when(passed, F.col("p"))).alias("mean2"),
+        F.count("__p").alias("total_blocks"),
+        F.avg(F.when(passed, F.col("__p"))).alias("mean2"),
         F.count_if(passed).alias("gated_blocks"),
     )
     total = F.col("total_blocks")
@@ -115,12 +115,12 @@ def loudness_range(timeline: DataFrame, keys: list[str]) -> DataFrame:
     percentile. Both gates are windows of a program's rows, which are exchanged once."""
     own = W.partitionBy(*keys)
     counts = (F.col("full") | ~F.max("full").over(own)) & (F.col("short_term") > -70)
-    pool = timeline.withColumn("counts", counts)
-    power = F.when(F.col("counts"), F.pow(F.lit(10.0), (F.col("short_term") + 0.691) / 10))
-    gated = pool.withColumn("gate", lufs(F.avg(power).over(own)) - 20)
-    kept = F.when(F.col("counts") & (F.col("short_term") > F.col("gate")), F.col("short_term"))
-    q = gated.groupBy(*keys).agg(F.percentile(kept, F.array(F.lit(0.1), F.lit(0.95))).alias("q"))
-    return q.select(*keys, F.coalesce(F.get("q", F.lit(1)) - F.get("q", F.lit(0)), F.lit(0.0)).alias("lra"))
+    pool = timeline.withColumn("__counts", counts)
+    power = F.when(F.col("__counts"), F.pow(F.lit(10.0), (F.col("short_term") + 0.691) / 10))
+    gated = pool.withColumn("__gate", lufs(F.avg(power).over(own)) - 20)
+    kept = F.when(F.col("__counts") & (F.col("short_term") > F.col("__gate")), F.col("short_term"))
+    q = gated.groupBy(*keys).agg(F.percentile(kept, F.array(F.lit(0.1), F.lit(0.95))).alias("__q"))
+    return q.select(*keys, F.coalesce(F.get("__q", F.lit(1)) - F.get("__q", F.lit(0)), F.lit(0.0)).alias("lra"))
 
 
 def detect_silence(bins: DataFrame, keys: list[str], threshold_db: float = -60.0, window: int = 1, least: int = 1) -> DataFrame:
