@@ -131,29 +131,40 @@ def implode_to_takes(items: DataFrame, keys: list[str], order: list[str], item:
     return items.withColumns({"take": F.row_number().over(w) - 1, "into": F.first(item).over(w)})
 
 
-def _grams(low: Column, n: int) -> Column:
+#: Lengths of the pieces by which names are looked up; a name that is asked for has pieces of the longest that fits.
+PIECES = (1, 2, 3, 4, 8, 16, 32)
+
+
+def _grams(low: Column, n: Column) -> Column:
     """The different substrings of n characters."""
-    last = F.length(low) - (n - 1)
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(low, i, F.lit(n)))))
+    last = F.length(low) - n + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(low, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
 def param_candidates(requests: DataFrame, params: DataFrame, asked: str, name: str, idx: str = "idx") -> DataFrame:
     """(asked, tier, idx, name): of each asked name the parameters of the first tier with a hit: equal, equal in any case, substring.
 
-    An inverted index: a name is looked for only where its rarest piece of (at most) three characters is, so work grows
-    with the hits of that piece, not with names times parameters. Null and empty names match nothing."""
+    Equal names meet by their text. What has none is looked for in an inverted index of pieces, only where its rarest piece
+    is; pieces are long (see PIECES), so work grows with the hits, not with names times parameters. Tables are joined by
+    merges: pieces are many times what the planner reckons, and no side is sent to the driver. Null and empty names match
+    nothing."""
     ask = requests.select(F.col(f"`{asked}`").alias("asked")).where(F.length("asked") > 0).distinct().withColumn("low", F.lower("asked"))
-    known = params.select(F.col(f"`{name}`").alias("name"), F.col(f"`{idx}`").alias("idx"), F.lower(F.col(f"`{name}`")).alias("low_name")).where(F.length("name") > 0)
-    pieces = known.select("name", "idx", "low_name", F.explode(F.concat(*[F.coalesce(_grams(F.col("low_name"), n), F.array().cast("array<string>")) for n in (1, 2, 3)])).alias("piece"))
-    counts = pieces.groupBy("piece").agg(F.count("*").alias("n")).withColumnRenamed("piece", "counted")
-    own = F.when(F.length("low") >= 3, _grams(F.col("low"), 3)).when(F.length("low") == 2, _grams(F.col("low"), 2)).otherwise(_grams(F.col("low"), 1))
-    each = ask.select("asked", "low", F.explode(own).alias("own")).join(counts, F.col("own") == F.col("counted"), "left")
-    rarest = each.groupBy("asked", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "own")).alias("best")).where("best.n > 0").select("asked", "low", F.col("best.own").alias("own"))
-    met = rarest.join(pieces, (F.col("own") == F.col("piece")) & F.contains("low_name", "low"))
-    tier = F.when(F.col("asked") == F.col("name"), 1).when(F.col("low") == F.col("low_name"), 2).otherwise(3)
-    met = met.select("asked", tier.alias("tier"), "idx", "name")
-    first = met.groupBy("asked").agg(F.min("tier").alias("tier"))
-    return met.join(first, ["asked", "tier"])
+    known = params.select(F.col(f"`{name}`").alias("name"), F.col(f"`{idx}`").alias("idx")).where(F.length("name") > 0)
+    met = lambda left, on, how="inner": left.join(known.hint("merge"), on, how)
+    equal, cased = F.col("asked") == F.col("name"), F.col("low") == F.lower("name")
+    other = met(ask, equal, "left_anti")
+    rest = met(other, cased, "left_anti").withColumn("n", F.greatest(*[F.when(F.length("low") >= n, n) for n in PIECES]))
+    # A row that holds the lengths in use (at most all of PIECES).
+    lengths = F.broadcast(rest.agg(F.collect_set("n").alias("lengths")))
+    cut = F.flatten(F.transform("lengths", lambda n: _grams(F.lower("name"), n)))
+    pieces = known.repartition("name", "idx").crossJoin(lengths).select("name", "idx", F.explode(cut).alias("piece"))
+    counts = pieces.groupBy("piece").agg(F.count("*").alias("hits"))
+    own = rest.select("asked", "low", F.explode(_grams(F.col("low"), F.col("n"))).alias("own"))
+    each = own.join(counts.hint("merge"), F.col("own") == F.col("piece"), "left")
+    rarest = each.groupBy("asked", "low").agg(F.min(F.struct(F.coalesce("hits", F.lit(0)).alias("hits"), "own")).alias("best")).where("best.hits > 0").select("asked", "low", F.col("best.own").alias("own"))
+    within = rarest.join(pieces.hint("merge"), (F.col("own") == F.col("piece")) & F.contains(F.lower("name"), "low"))
+    tier = lambda rows, t: rows.select("asked", F.lit(t).alias("tier"), "idx", "name")
+    return tier(met(ask, equal), 1).union(tier(met(other, cased), 2)).union(tier(within, 3))
 
 
 def resolve_params(requests: DataFrame, params: DataFrame, asked: str, name: str) -> DataFrame:
