@@ -2,7 +2,7 @@
 
 import random
 
-from soundtable.operators import session
+from soundtable.operators import session, text_diff
 
 
 def plan(df) -> str:
@@ -25,3 +25,11 @@ def test_names_are_looked_up_without_the_driver(spark, tmp_path):
         rows = tiers[tier] if tier is not None else []
         want[a] = (None if tier is None else tier + 1, len(rows), rows[0] if len(rows) == 1 else None)
     assert {r.asked: (r.tier, r.candidates, r.idx) for r in found.collect()} == want
+
+
+def test_diffs_are_not_batched_by_thousands(spark):
+    """Pairs of texts go to Python in small batches, and the pairs may repeat or lack a key."""
+    rows = [(None, "a\nb", "a\nc"), (1, "x", None), (1, "x", None), (2, "same", "same")]
+    out = text_diff.diff_chunks(spark.createDataFrame(rows, "`the key` long, a string, b string"), "the key", "a", "b")
+    assert "BatchEvalPython" in plan(out) and "InPandas" not in plan(out)
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [(None, 0, "@@ -1,2 +1,2 @@", 1, 1, " a\n-b\n+c"), (1, 0, "@@ -1 +0,0 @@", 1, 0, "-x"), (1, 0, "@@ -1 +0,0 @@", 1, 0, "-x")]))
