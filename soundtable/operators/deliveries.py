@@ -36,17 +36,27 @@ PLACEMENTS = [
 def parse_render_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, file_no, file and each measure of STAT_KEYS): a row for each FILE block of `KEY:VALUE;...` texts, from 1.
 
-    Pairs before the first block do not count; of a measure's numeric values (infinities are) the last one holds.
+    Pairs before the first block do not count; of a measure's numeric values (infinities are) the last one holds. A text is
+    cut inside its row, so nothing is sorted or exchanged.
     """
-    pairs = df.select(key, F.posexplode(F.split(text, ";")).alias("at", "pair")).where(F.instr("pair", ":") > 0)
-    name = F.upper(F.regexp_replace(F.substring_index("pair", ":", 1), "[^A-Za-z0-9]", ""))
-    value = F.expr("substr(pair, instr(pair, ':') + 1)")
-    named = pairs.select(key, "at", name.alias("name"), value.alias("value"))
-    block = F.sum((F.col("name") == "FILE").cast("int")).over(W.partitionBy(key).orderBy("at"))
-    number = F.regexp_extract("value", r"(?i)^\s*([+-]?(?:inf(?:inity)?|[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
-    wide = named.withColumns({"file_no": block, "number": F.when(number != "", number).cast("double")}).where("file_no > 0")
-    last = [F.max_by("number", F.when(F.col("name").isin(*names) & F.col("number").isNotNull(), F.col("at"))).alias(measure) for measure, names in STAT_KEYS.items()]
-    return wide.groupBy(key, "file_no").agg(F.max(F.when(F.col("name") == "FILE", F.col("value"))).alias("file"), *last)
+    name = lambda pair: F.upper(F.regexp_replace(F.substring_index(pair, ":", 1), "[^A-Za-z0-9]", ""))
+    value = lambda pair: F.substr(pair, F.instr(pair, ":") + 1)
+    pairs = df.select(key, F.filter(F.split(text, ";"), lambda p: F.instr(p, ":") > 0).alias("pairs"))
+    named = pairs.select(key, F.transform("pairs", lambda p: F.struct(name(p).alias("name"), value(p).alias("value"))).alias("pairs"))
+    starts = F.filter(F.transform("pairs", lambda p, i: F.when(p["name"] == "FILE", i + 1)), lambda i: i.isNotNull())
+    begun = named.select(key, "pairs", F.concat(starts, F.array(F.size("pairs") + 1)).alias("starts"))
+    cut = F.transform(F.slice("starts", F.lit(1), F.size("starts") - 1), lambda at, i: F.slice("pairs", at, F.get("starts", i + 1) - at))
+    blocks = begun.select(key, F.posexplode(cut).alias("at", "block"))
+    shape = r"(?i)^\s*([+-]?(?:inf(?:inity)?|[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+
+    def last(names: list[str]) -> Column:
+        told = F.filter("block", lambda p: p["name"].isin(*names))
+        numbers = F.transform(told, lambda p: F.nullif(F.regexp_extract(p["value"], shape, 1), F.lit("")).cast("double"))
+        known = F.filter(numbers, lambda v: v.isNotNull())
+        return F.get(known, F.size(known) - 1)
+
+    measures = [last(names).alias(measure) for measure, names in STAT_KEYS.items()]
+    return blocks.select(key, (F.col("at") + 1).cast("long").alias("file_no"), F.get("block", F.lit(0))["value"].alias("file"), *measures)
 
 
 def placement_table(spark: SparkSession) -> DataFrame:

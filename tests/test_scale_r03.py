@@ -2,7 +2,10 @@
 
 import random
 
-from soundtable.operators import session, text_diff
+import pytest
+from pyspark.sql import functions as F
+
+from soundtable.operators import beds, deliveries, objects, scene, session, text_diff, weighting
 
 
 def plan(df) -> str:
@@ -33,3 +36,12 @@ def test_diffs_are_not_batched_by_thousands(spark):
     out = text_diff.diff_chunks(spark.createDataFrame(rows, "`the key` long, a string, b string"), "the key", "a", "b")
     assert "BatchEvalPython" in plan(out) and "InPandas" not in plan(out)
     assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [(None, 0, "@@ -1,2 +1,2 @@", 1, 1, " a\n-b\n+c"), (1, 0, "@@ -1 +0,0 @@", 1, 0, "-x"), (1, 0, "@@ -1 +0,0 @@", 1, 0, "-x")]))
+
+
+def test_render_stats_are_cut_inside_their_row(spark):
+    """No exchange or sort; a key of two texts has the blocks of each, and blocks without measures stay."""
+    rows = [(1, "PEAK:9;FILE:a;PEAK:-1;junk;PEAK:n/a;R M S:+inf;File:b:c;LRA:1;LRA:2e0x"), (1, "FILE:z"), (2, "PEAK:1"), (None, None), (3, "FILE:")]
+    out = deliveries.parse_render_stats(spark.createDataFrame(rows, "k int, text string"), "k", "text")
+    assert "Exchange" not in plan(out) and "Sort" not in plan(out)
+    got = sorted((r.k, r.file_no, r.file, r.sample_peak, r.rms, r.loudness_range) for r in out.collect())
+    assert got == sorted([(1, 1, "a", -1.0, float("inf"), None), (1, 2, "b:c", None, None, 2.0), (1, 1, "z", None, None, None), (3, 1, "", None, None, None)], key=lambda r: r[:3])
