@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,16 +58,14 @@ def k_weight(chunks: DataFrame, keys: list[str], rate: int) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("frame0")
     halo = F.coalesce(F.lag(F.slice("samples", -F.least(F.size("samples"), F.lit(rate)), F.least(F.size("samples"), F.lit(rate)))).over(w), F.array().cast("array<double>"))
 
-    @F.pandas_udf("array<double>")
-    def weighted(samples: pd.Series, before: pd.Series) -> pd.Series:
-        def one(x, past):
-            joined = np.nan_to_num(np.concatenate([np.asarray(past, float), np.asarray(x, float)]))
-            response = impulse_response(float(rate), rate)[: len(joined)]
-            size = 1 << (len(joined) + len(response) - 1).bit_length()
-            full = np.fft.irfft(np.fft.rfft(joined, size) * np.fft.rfft(response, size), size)
-            return full[len(past) : len(joined)]
-
-        return pd.Series([one(x, past) for x, past in zip(samples, before, strict=True)])
+    # Chunks go to Python a hundred at a time; an Arrow batch would hold ten thousand, whatever their length.
+    @F.udf("array<double>", useArrow=False)
+    def weighted(x, past):
+        joined = np.nan_to_num(np.concatenate([np.asarray(past, float), np.asarray(x, float)]))
+        response = impulse_response(float(rate), rate)[: len(joined)]
+        size = 1 << (len(joined) + len(response) - 1).bit_length()
+        full = np.fft.irfft(np.fft.rfft(joined, size) * np.fft.rfft(response, size), size)
+        return full[len(past) : len(joined)].tolist()
 
     filled = chunks.where(F.size("samples") > 0).select(*keys, "frame0", F.col("samples").cast("array<double>").alias("samples"))
     return filled.withColumn("__before", halo).select(*keys, "frame0", weighted("samples", "__before").alias("samples"))

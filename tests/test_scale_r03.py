@@ -45,3 +45,11 @@ def test_render_stats_are_cut_inside_their_row(spark):
     assert "Exchange" not in plan(out) and "Sort" not in plan(out)
     got = sorted((r.k, r.file_no, r.file, r.sample_peak, r.rms, r.loudness_range) for r in out.collect())
     assert got == sorted([(1, 1, "a", -1.0, float("inf"), None), (1, 2, "b:c", None, None, 2.0), (1, 1, "z", None, None, None), (3, 1, "", None, None, None)], key=lambda r: r[:3])
+
+
+def test_chunks_are_weighted_in_small_batches(spark):
+    """Chunks go to Python a hundred at a time; null samples are silence."""
+    chunks = spark.createDataFrame([("a", 0, [1.0, None, 0.5] * 20), ("a", 60, [0.25])], "k string, frame0 long, samples array<double>")
+    out = weighting.k_weight(chunks, ["k"], 60)
+    assert "BatchEvalPython" in plan(out) and "ArrowEval" not in plan(out)
+    assert [len(r.samples) for r in out.orderBy("frame0").collect()] == [60, 1]
