@@ -53,3 +53,13 @@ def test_chunks_are_weighted_in_small_batches(spark):
     out = weighting.k_weight(chunks, ["k"], 60)
     assert "BatchEvalPython" in plan(out) and "ArrowEval" not in plan(out)
     assert [len(r.samples) for r in out.orderBy("frame0").collect()] == [60, 1]
+
+
+def test_mean_timeline_is_the_mean_of_the_timeline(spark):
+    """One row goes out for each object: equal to the mean of all decoded samples, nulls among them."""
+    rows = [(i % 3 or None, float(7 * i % 360 - 180), None if i == 5 else float(i % 90), 1.0 + i % 2) for i in range(40)] + [(9, None, 0.0, 1.0)]
+    traj = spark.createDataFrame(rows, "object_id long, az double, el double, gain double")
+    got = {(r.object_id, r.label): r.energy for r in objects.mean_timeline(traj, "7.1.4").collect()}
+    want = {(r.object_id, r.label): r.energy for r in objects.decode_timeline(traj, "7.1.4").groupBy("object_id", "label").agg(F.avg("energy").alias("energy")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    assert "Join" not in plan(objects.mean_timeline(traj, "7.1.4"))
