@@ -243,9 +243,8 @@ def basis_columns(az: Column, el: Column, order: int) -> Column:
 def encode_source(sources: DataFrame, keys: list[str], order: int = 3) -> DataFrame:
     """(keys, acn): the scene of all sources (keys, x, az, el) of a frame. Null samples or directions are silent."""
     y = basis_columns(F.col("az"), F.col("el"), order)
-    each = sources.where("x IS NOT NULL AND az IS NOT NULL AND el IS NOT NULL").select(*keys, F.posexplode(F.transform(y, lambda v: v * F.col("x"))).alias("k", "v"))
-    sums = each.groupBy(*keys, "k").agg(F.sum("v").alias("v"))
-    return sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("acn"))
+    each = sources.where("x IS NOT NULL AND az IS NOT NULL AND el IS NOT NULL").select(*keys, F.transform(y, lambda v: v * F.col("x")).alias("v"))
+    return each.groupBy(*keys).agg(F.array(*[F.sum(F.get("v", F.lit(k))) for k in range((order + 1) ** 2)]).alias("acn"))
 
 
 def decode_scene(scene: DataFrame, keys: list[str], layout: str | int, channels: int = 64) -> DataFrame:
@@ -253,7 +252,12 @@ def decode_scene(scene: DataFrame, keys: list[str], layout: str | int, channels:
     names = [label for label, *_ in harmonics.speakers(layout)]
     table = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(n).alias("label"), F.array(*[F.lit(float(v)) for v in y]).alias("y")) for i, (n, y) in enumerate(zip(names, harmonics.basis(layout, channels), strict=True))])
     each = scene.select(*keys, "acn", F.inline(table))
-    dot = F.aggregate(F.zip_with(F.slice("acn", 1, channels), F.slice("y", F.lit(1), F.least(F.size("acn"), F.lit(channels))), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
+    if channels > 16:
+        dot = F.aggregate(F.zip_with(F.slice("acn", 1, channels), F.slice("y", F.lit(1), F.least(F.size("acn"), F.lit(channels))), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
+    else:  # written out, these few terms are compiled
+        dot = F.when(F.col("acn").isNotNull(), F.lit(0.0))
+        for k in range(channels):
+            dot = dot + F.when(F.size("acn") > k, F.get("acn", F.lit(k)).cast("double") * F.get("y", F.lit(k))).otherwise(0.0)
     return each.select(*keys, "idx", "label", dot.alias("value"))
 
 

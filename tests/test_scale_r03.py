@@ -63,3 +63,15 @@ def test_mean_timeline_is_the_mean_of_the_timeline(spark):
     want = {(r.object_id, r.label): r.energy for r in objects.decode_timeline(traj, "7.1.4").groupBy("object_id", "label").agg(F.avg("energy").alias("energy")).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
     assert "Join" not in plan(objects.mean_timeline(traj, "7.1.4"))
+
+
+def test_scenes_are_summed_in_one_row(spark):
+    """One exchange makes a scene; short, long and null scenes decode as the terms that they have."""
+    sources = spark.createDataFrame([(1, 1.0, 30.0, 10.0), (1, 0.5, -90.0, 0.0), (2, None, 0.0, 0.0), (None, 1.0, 0.0, 0.0)], "frame long, x double, az double, el double")
+    made = scene.encode_source(sources, ["frame"], 3)
+    assert plan(made).count("Exchange ") == 1 and "Generate" not in plan(made)
+    assert {r.frame: len(r.acn) for r in made.collect()} == {1: 16, None: 16}
+    odd = spark.createDataFrame([(0, [1.0]), (1, [0.5] * 30), (2, None), (3, []), (4, [1.0, None]), (5, [1.0] * 16)], "frame long, acn array<float>")
+    few, many = ({(r.frame, r.label): r.value for r in scene.decode_scene(odd.withColumn("acn", F.slice("acn", 1, 16)), ["frame"], "7.1.4", n).collect()} for n in (16, 64))
+    told = lambda rows: {k: v for k, v in rows.items() if v is not None}
+    assert few.keys() == many.keys() and told(few) == pytest.approx(told(many), rel=1e-12) and {k[0] for k in few.keys() - told(few).keys()} == {2, 4}
