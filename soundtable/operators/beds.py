@@ -167,7 +167,9 @@ def tone_plan(slots: int, lfe: tuple[int, ...] = ()) -> list[tuple[int, float]]:
 def tone_samples(programs: DataFrame, key: str, plan: list[tuple[int, float]], rate: float, frames: int, level_db: float = -18.0) -> DataFrame:
     """(key, channel, frame, x): each program's identity tones, a sine from phase 0 on each slot of the plan. Made row by row."""
     table = F.array(*[F.struct(F.lit(slot).alias("channel"), F.lit(float(hz)).alias("hz")) for slot, hz in plan])
-    each = programs.select(key, F.inline(table)).select(key, "channel", "hz", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("frame"))
+    # One file of keys may be one task's, and its rows grow by slots x frames; so few bytes would be dealt to few tasks again.
+    spread = programs.select(key).repartition(programs.sparkSession.sparkContext.defaultParallelism, key)
+    each = spread.select(key, F.inline(table)).select(key, "channel", "hz", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("frame"))
     return each.select(key, "channel", "frame", (10 ** (level_db / 20) * F.sin(F.col("frame") * F.col("hz") * (2 * math.pi / rate))).alias("x"))
 
 

@@ -75,3 +75,9 @@ def test_scenes_are_summed_in_one_row(spark):
     few, many = ({(r.frame, r.label): r.value for r in scene.decode_scene(odd.withColumn("acn", F.slice("acn", 1, 16)), ["frame"], "7.1.4", n).collect()} for n in (16, 64))
     told = lambda rows: {k: v for k, v in rows.items() if v is not None}
     assert few.keys() == many.keys() and told(few) == pytest.approx(told(many), rel=1e-12) and {k[0] for k in few.keys() - told(few).keys()} == {2, 4}
+
+
+def test_tones_of_one_file_are_made_by_many_tasks(spark):
+    """The few keys are dealt out before they become rows."""
+    out = beds.tone_samples(spark.range(8).coalesce(1), "id", beds.tone_plan(3), 48000.0, 4)
+    assert "hashpartitioning" in plan(out) and out.count() == 8 * 3 * 4 and out.distinct().count() == 96
