@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,17 +26,55 @@ from soundtable.llm.ranges import range_bounds, shard_count, shard_of
 #: Ones between two entries of the select directory.
 SELECT_STEP = 256
 #: Bytes of text encoded at once.
-ENCODE_BYTES = 1 << 21
-#: Pieces of text whose ids a worker remembers (about 200 bytes each), and the characters of the longest such piece.
-MEMO_PIECES, MEMO_CHARS = 1 << 20, 48
+ENCODE_BYTES = 1 << 22
+#: Pieces of text whose ids a worker remembers (about 200 bytes each), and the bytes of the longest such piece.
+MEMO_PIECES, MEMO_BYTES = 1 << 20, 48
 #: New pieces that go to the library as one text.
 JOINED = 128
 
-# After a non-blank, before a space or line end: no match of the byte-level splitting pattern spans such a place, and
-# none looks ahead past it, so both sides get the ids that they have in the whole text.
-_SAFE = re.compile(r"(?<=\S)(?=[ \n])")
-# Where no two blanks follow each other and the text does not begin with one, every space and line end is such a place.
-_PAIR = re.compile(r"\s\s|\A\s")
+# No match of the byte-level splitting pattern spans the place between a non-blank and a space or line end, nor that
+# between a letter and a punctuation mark, and none looks ahead past it: both sides get the ids they have in the whole text.
+_LETTER, _OTHER, _MARK, _BLANK, _HIGH = 1, 2, 3, 4, 5
+
+
+def _kind(byte: int) -> int:
+    """Of a byte of UTF-8; 0: neither end of a safe place."""
+    if byte >= 0x80:
+        return _HIGH
+    if chr(byte) in " \n":
+        return _BLANK
+    return 0 if byte <= 0x20 or byte == 0x7F else _LETTER if chr(byte).isalpha() else _OTHER if chr(byte).isdigit() else _MARK
+
+
+_KINDS = bytes(map(_kind, range(256)))
+# By the kinds of two neighbouring bytes: 1 for a safe place between them, 2 if what ends before it decides.
+_PLACES = bytearray(256)
+for _before in (_LETTER, _OTHER, _MARK):
+    _PLACES[_before << 3 | _BLANK] = 1
+_PLACES[_LETTER << 3 | _MARK] = 1
+_PLACES[_HIGH << 3 | _BLANK] = _PLACES[_HIGH << 3 | _MARK] = 2
+_PLACES = bytes(_PLACES)
+# The blanks beyond ASCII, their last three bytes or two of them.
+_WIDE = np.sort([int.from_bytes(chr(c).encode(), "big") for c in (0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+_NARROW = (0xC285, 0xC2A0)
+
+
+def safe_places(data: bytes, ends: np.ndarray) -> np.ndarray:
+    """Ascending places in the UTF-8 texts that end at `ends`: 0, these ends, and the safe places between them."""
+    marks = np.zeros(len(data) + 1, np.uint8)
+    if data:
+        kinds = np.frombuffer(data.translate(_KINDS), np.uint8)
+        marks[1:-1] = np.frombuffer((kinds[:-1] << 3 | kinds[1:]).tobytes().translate(_PLACES), np.uint8)
+        at, found = np.flatnonzero(marks == 2), np.frombuffer(data, np.uint8)
+        last, two = found[at - 1].astype(np.int32), found[at - 2].astype(np.int32) << 8
+        latin = (two == 0xC300) & (last != 0x97) & (last != 0xB7)  # all of these are letters
+        two |= last
+        blank = (two == _NARROW[0]) | (two == _NARROW[1]) | np.isin(two | found[at - 3].astype(np.int32) << 16, _WIDE)
+        marks[at] = latin | (kinds[at] == _BLANK) & ~blank
+    marks[0] = 1
+    marks[ends] = 1
+    return np.flatnonzero(marks)
+
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, bytes long"
 
@@ -175,8 +212,9 @@ class PieceEncoder:
     """Encodes texts by a byte-level tokenizer into bytes (little-endian, `width` each), every piece between safe places
     once for as long as it is remembered: common words repeat, and the library's time goes into splitting and merging.
 
-    Pieces are remembered in two generations: when the younger is full, it becomes the older, and what was the older
-    and not asked for since is forgotten. A piece's key lacks the space that it begins with.
+    Only the different pieces of a call become Python objects: Arrow numbers them, and puts their ids in the places of
+    their numbers. Pieces are remembered in two generations: when the younger is full, it becomes the older, and what was
+    the older and not asked for since is forgotten.
     """
 
     def __init__(self, found, width: int):
@@ -186,51 +224,52 @@ class PieceEncoder:
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
-        for text in texts:
-            head, *tail = text.replace("\n", " \n").split(" ") if _PAIR.search(text) is None else _keys(_SAFE.split(text))
-            heads.append(head)
-            tails.append(tail)
+        spelt = [text.encode() for text in texts]
+        data, ends = b"".join(spelt), np.cumsum([len(x) for x in spelt], dtype=np.int64)
+        if not data:
+            return [b""] * len(texts)
+        places = safe_places(data, ends)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
         if len(self.young) > MEMO_PIECES // 2:
             self.young, self.old = {}, self.young
-        new = set().union(*tails).difference(self.young)
+        own = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [p for p in own if p not in self.young]
         self._learn(new)
-        known = self.young.__getitem__
-        begun = self._library(heads)
-        coded = [np.array(head.ids, self.dtype).tobytes() + b"".join(map(known, tail)) for head, tail in zip(begun, tails, strict=True)]
+        coded = pa.array(list(map(self.young.__getitem__, own)), pa.large_binary()).take(pieces.indices)
         for piece in new:
-            if len(piece) > MEMO_CHARS:
+            if len(piece) > MEMO_BYTES:
                 del self.young[piece]
-        return coded
+        _, offsets, ids = coded.buffers()
+        at = np.frombuffer(offsets, np.int64, len(coded) + 1, coded.offset * 8)[np.searchsorted(places, [0, *ends])].tolist()
+        whole = memoryview(ids) if ids is not None else memoryview(b"")
+        return [bytes(whole[i:j]) for i, j in pairwise(at)]
 
-    def _learn(self, new: set[str]) -> None:
-        again = new & self.old.keys()
-        self.young.update((p, self.old[p]) for p in again)
-        # Pieces with one space, in front, go to the library together: their ids part where an id starts with a space.
+    def _learn(self, new: list[bytes]) -> None:
+        # Pieces with one blank, a space in front, go to the library together: their ids part where an id starts with a space.
         simple, others = [], []
-        for p in new - again:
-            (others if not p or p[0] in "\n" or " " in p or p[-1].isspace() else simple).append(p)
+        for p in new:
+            again = self.old.get(p)
+            if again is not None:
+                self.young[p] = again
+            else:
+                text = p.decode()
+                (simple if text[0] == " " and text.split() == [text[1:]] else others).append(text)
         together = [simple[k : k + JOINED] for k in range(0, len(simple), JOINED)]
         size = int(self.dtype[-1])
-        for group, coded in zip(together, self._library([" " + " ".join(group) for group in together]), strict=True):
+        for group, coded in zip(together, self._library(["".join(group) for group in together]), strict=True):
             ids = np.array(coded.ids)
             data, starts = ids.astype(self.dtype).tobytes(), (np.flatnonzero(self.opens[ids]) * size).tolist()
             if len(starts) != len(group):
                 raise ValueError("the tokenizer does not part words at spaces")
             starts.append(len(data))
-            self.young.update(zip(group, [data[a:b] for a, b in pairwise(starts)], strict=True))
-        for piece, coded in zip(others, self._library([p if p[:1] == "\n" else f" {p}" for p in others]), strict=True):
-            self.young[piece] = np.array(coded.ids, dtype=self.dtype).tobytes()
+            self.young.update(zip(map(str.encode, group), [data[a:b] for a, b in pairwise(starts)], strict=True))
+        for piece, coded in zip(others, self._library(others), strict=True):
+            self.young[piece.encode()] = np.array(coded.ids, dtype=self.dtype).tobytes()
 
     def _library(self, texts: list[str]) -> list:
         return self.found.encode_batch_fast(texts, add_special_tokens=False)
 
 
-def _keys(pieces: list[str]) -> list[str]:
-    """Pieces after the first begin with a space, which their keys lack, or a line end."""
-    return [pieces[0], *(p[1:] if p[0] == " " else p for p in pieces[1:])]
-
-
 @lru_cache(maxsize=2)
 def piece_encoder(tokenizer_file: str, width: int) -> PieceEncoder:
     """One for each worker process, so that what a task has learnt serves the next."""
