@@ -21,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundtable.llm.common import discard, short_shuffles, sliced, text_or_empty, write_table
-from soundtable.llm.simhash import word_blocks
+from soundtable.llm.common import SLICE_BYTES, discard, short_shuffles, sliced, text_or_empty, write_table
+from soundtable.llm.simhash import _BLANK, _LOWER
 
 STATES = 8
 ITERATIONS = 4
@@ -37,11 +38,14 @@ SHARE = 1 << 16
 SEGMENT = 512
 #: Tokens after which a block ends (with the text it is in), and those whose recursions run side by side.
 BLOCK_TOKENS, SIDE_TOKENS = 1 << 21, 1 << 19
-#: Tokens from which a text's likelihood is computed as a product of transfer matrices of its pieces.
-LONG = 2048
+#: Tokens from which a text's likelihood is computed as a product of transfer matrices of its pieces: eight times the
+#: work of the recursion, but fewer steps than a text has tokens.
+LONG = 8192
 #: The symbol of all words that are not frequent.
 RARE = 0
 _SHARES = 255
+_BLANK_BYTES = b" \t\n\v\f\r"
+_BLANKS = bytes(b in _BLANK_BYTES for b in range(256))
 
 
 @dataclass
@@ -72,33 +76,42 @@ def expectations(model: Hmm, ids: np.ndarray, starts: np.ndarray, lengths: np.nd
     starts, lengths, first = starts[order], lengths[order], first[order]
     active = _steps(lengths)
     alphas, scales, emits, places = [], [], [], []
+    onward = model.transition.T.copy()
     for t, n in enumerate(active):
         at = starts[:n] + t
-        before = np.where(first[:, None], model.initial, model.usual) if t == 0 else alphas[-1][:n] @ model.transition
-        emit = model.emission[ids[at]]
-        alpha = before * emit
-        scale = alpha.sum(axis=1)
-        alphas.append(alpha / scale[:, None])
+        alpha = np.where(first, model.initial[:, None], model.usual[:, None]) if t == 0 else onward @ alphas[-1][:, :n]
+        emit = _columns(model.emission, ids[at])
+        alpha *= emit
+        scale = alpha.sum(axis=0)
+        alpha /= scale
+        alphas.append(alpha)
         scales.append(scale)
         emits.append(emit)
         places.append(at)
     states = len(model.initial)
-    moved, begun, beta, gammas = np.zeros((states, states)), np.zeros(states), np.ones((0, states), model.emission.dtype), [None] * len(active)
-    back = model.transition.T.copy()
+    moved, begun, beta, gammas = np.zeros((states, states)), np.zeros(states), np.ones((states, 0), model.emission.dtype), [None] * len(active)
     for t in range(len(active) - 1, -1, -1):
-        beta = np.concatenate([beta, np.ones((active[t] - len(beta), states), beta.dtype)])
+        if active[t] > beta.shape[1]:
+            beta = np.concatenate([beta, np.ones((states, active[t] - beta.shape[1]), beta.dtype)], axis=1)
         gammas[t] = alphas[t] * beta
         if t:
-            ahead = emits[t] * beta / scales[t][:, None]
-            moved += alphas[t - 1][: active[t]].T @ ahead
-            beta = ahead @ back
+            ahead = emits[t]
+            ahead *= beta
+            ahead /= scales[t]
+            moved += alphas[t - 1][:, : active[t]] @ ahead.T
+            beta = model.transition @ ahead
         else:
-            begun = gammas[0][first].sum(axis=0)
-    gamma, flat = np.concatenate(gammas), slots[np.concatenate(places)]
-    emitted = np.stack([np.bincount(flat, weights=gamma[:, k], minlength=n_slots) for k in range(states)], axis=1)
+            begun = gammas[0][:, first].sum(axis=1)
+    gamma, flat = np.concatenate(gammas, axis=1), slots[np.concatenate(places)]
+    emitted = np.stack([np.bincount(flat, weights=g, minlength=n_slots) for g in gamma], axis=1)
     return begun, moved * model.transition, emitted
 
 
+def _columns(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """states x rows: recursions keep the states first, so that a step works on long rows."""
+    return np.ascontiguousarray(table.take(rows, axis=0).T)
+
+
 def log_likelihoods(model: Hmm, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each sequence, exact."""
     out = np.zeros(len(lengths))
@@ -108,11 +121,12 @@ def log_likelihoods(model: Hmm, ids: np.ndarray, starts: np.ndarray, lengths: np
     order = np.flatnonzero(~long)
     order = order[np.argsort(-lengths[order], kind="stable")]
     begin, alpha, total = starts[order], None, np.zeros(len(order))
+    onward = model.transition.T.copy()
     for t, n in enumerate(_steps(lengths[order])):
-        before = np.broadcast_to(model.initial, (n, len(model.initial))) if t == 0 else alpha[:n] @ model.transition
-        alpha = before * model.emission[ids[begin[:n] + t]]
-        scale = alpha.sum(axis=1)
-        alpha = alpha / scale[:, None]
+        emit = _columns(model.emission, ids[begin[:n] + t])
+        alpha = model.initial[:, None] * emit if t == 0 else (onward @ alpha[:, :n]) * emit
+        scale = alpha.sum(axis=0)
+        alpha /= scale
         total[:n] += np.log(scale)
     out[order] = total
     return out
@@ -192,9 +206,8 @@ def encode_blocks(rows: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFram
     doc = T.StructType([*rows.schema.fields[:-1], T.StructField("__n", T.IntegerType())])
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(doc)), *(T.StructField(c, T.BinaryType()) for c in ("low", "middle", "high")), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("counts", T.ArrayType(T.LongType()))])
 
-    def block(number: int, kept: list[pa.RecordBatch], ids: list[np.ndarray], own: dict[bytes, int]) -> pa.RecordBatch:
-        lengths = np.array([len(x) for x in ids], np.int32)
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+    def block(number: int, kept: list[pa.RecordBatch], sizes: list[np.ndarray], ids: list[np.ndarray], own: dict[bytes, int]) -> pa.RecordBatch:
+        lengths, flat = np.concatenate(sizes).astype(np.int32), np.concatenate(ids)
         table = pa.Table.from_batches(kept).combine_chunks()
         trains = np.repeat(table.column(len(names) - 1).to_numpy().astype(bool), lengths)
         order = np.argsort(-np.bincount(flat, minlength=len(own)), kind="stable")
@@ -204,40 +217,71 @@ def encode_blocks(rows: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFram
         planes = rank[flat].astype("<u4").view(np.uint8).reshape(-1, 4)
         if len(own) >= 1 << 24:
             raise ValueError("a text has too many different words for a block")
-        spelt = list(own)
         fields = [*(table.column(c).combine_chunks() for c in range(len(names))), pa.array(lengths)]
         fields = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in fields]
         docs = pa.StructArray.from_arrays(fields, names=[*names, "__n"])
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        columns = [pa.array([number], pa.int64()), one(docs), *(pa.array([planes[:, j].tobytes()], pa.binary()) for j in range(3)), one(pa.array([spelt[i] for i in order.tolist()], pa.binary())), one(pa.array(counts, pa.int64()))]
+        columns = [pa.array([number], pa.int64()), one(docs), *(pa.array([planes[:, j].tobytes()], pa.binary()) for j in range(3)), one(pa.array(list(own), pa.binary()).take(pa.array(order))), one(pa.array(counts, pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        kept, ids, size, own = [], [], 0, defaultdict()
-        own.default_factory = own.__len__
+        kept, sizes, ids, size, own = [], [], [], 0, _numbering()
         for batch in sliced(batches, len(names)):
-            first = 0
-            for i, text in enumerate(batch.column(len(names))):
-                mine = [np.fromiter(map(own.__getitem__, found), np.int32, len(found)) for found in word_blocks(text.as_py())]
-                ids.append(np.concatenate([*mine, np.zeros(0, np.int32)]))
-                size += len(ids[-1]) + 1
-                if size >= block_tokens or i + 1 == batch.num_rows:
-                    kept.append(batch.select(names).slice(first, i + 1 - first))
-                    first = i + 1
+            numbers, spelt, lengths = word_numbers(batch.column(len(names)).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+            ends, first, taken = np.cumsum(lengths + 1), 0, 0
+            while first < batch.num_rows:
+                last = min(batch.num_rows, int(np.searchsorted(ends, taken + block_tokens - size)) + 1)
+                mine = numbers[taken - first : ends[last - 1] - last]
+                used, renamed = np.flatnonzero(np.bincount(mine, minlength=len(spelt))), np.zeros(len(spelt), np.int32)
+                renamed[used] = np.fromiter((own[spelt[i]] for i in used.tolist()), np.int32, len(used))
+                kept.append(batch.select(names).slice(first, last - first))
+                sizes.append(lengths[first:last])
+                ids.append(renamed[mine])
+                size, taken, first = size + int(ends[last - 1]) - taken, int(ends[last - 1]), last
                 if size >= block_tokens:
-                    yield block(number, kept, ids, own)
-                    number, kept, ids, size = number + 1, [], [], 0
+                    yield block(number, kept, sizes, ids, own)
+                    number, kept, sizes, ids, size = number + 1, [], [], [], 0
                     own.clear()
+            pa.default_memory_pool().release_unused()  # else the worker keeps it beside what comes after
         if kept:
-            yield block(number, kept, ids, own)
+            yield block(number, kept, sizes, ids, own)
 
     return rows.mapInArrow(run, schema)
 
 
-def _symbols(row: dict, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """The symbol of each of the block's own words."""
-    return np.fromiter((vocabulary.get(w, RARE) for w in row["words"]), np.int32, len(row["words"]))
+def _numbering() -> defaultdict:
+    """Numbers its keys in the order in which they are asked for."""
+    own = defaultdict()
+    own.default_factory = own.__len__
+    return own
+
+
+def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """A number for each lower-cased word of the texts, the word of each number, and how many words each text has.
+
+    Arrow numbers the words of some megabytes at once, so that only the different ones become Python objects.
+    """
+    data, own, numbers = b" ".join(texts) + b" ", _numbering(), [np.zeros(0, np.int32)]
+    ends, below, at = np.cumsum([len(t) + 1 for t in texts]), np.zeros(len(texts), np.int64), 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + SLICE_BYTES)
+        part = data[at : cut.end() if cut else len(data)]  # ends with a blank
+        edges = np.flatnonzero(np.diff(np.frombuffer(part.translate(_BLANKS), np.uint8), prepend=np.uint8(1)))
+        starts, stops = edges[::2], edges[1::2]
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(stops - starts)])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(part.translate(_LOWER, _BLANK_BYTES))]).dictionary_encode()
+        spelt = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers.append(np.fromiter(map(own.__getitem__, spelt), np.int32, len(spelt))[coded.indices.to_numpy()])
+        below += np.searchsorted(starts, ends - at)
+        at += len(part)
+    return np.concatenate(numbers), list(own), np.diff(below, prepend=0)
+
+
+def _symbols(row: dict, vocabulary: pa.Array) -> np.ndarray:
+    """The symbol of each of the block's own words: its place in the vocabulary, from 1."""
+    found = pc.index_in(row["words"], value_set=vocabulary.cast(row["words"].type))
+    return pc.fill_null(found, RARE - 1).to_numpy(zero_copy_only=False) + np.int32(1)
 
 
 def _tokens(row: dict, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +296,7 @@ def _tokens(row: dict, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.nd
 
 
 def _row(batch, i: int) -> dict:
-    return {name: batch.column(name)[i].as_py() for name in ("low", "middle", "high", "words")}
+    return {name: batch.column(name)[i].as_buffer() for name in ("low", "middle", "high")} | {"words": batch.column("words")[i].values}
 
 
 def _docs(batch, i: int) -> pa.StructArray:
@@ -264,33 +308,34 @@ def _docs(batch, i: int) -> pa.StructArray:
 
 def train(spark: SparkSession, blocks: DataFrame, vocabulary: dict[bytes, int], start: Hmm, counts: np.ndarray, iterations: int):
     """Baum-Welch over the training texts of all blocks: begun, moved and emitted counts of the last iteration, the model
-    that gave them, and a written table (word, c, shares) of all words that are not in the vocabulary.
+    that gave them, and a written table (word, c, shares) of all training words that are not in the vocabulary; c is exact.
 
     A task sums the expected counts of its blocks; Spark adds them up by symbol. `shares` holds a byte for each state.
     """
     states = len(start.initial)
     columns, end = [f"s{k}" for k in range(states)], len(vocabulary) + 1
-    schema = "kind int, at long, " + ", ".join(f"{c} double" for c in columns) + ", word binary, c long, shares binary"
-    chosen, model, last = blocks.select("docs.__train", "docs.__n", "low", "middle", "high", "words"), start, None
+    schema = "kind int, at long, " + ", ".join(f"{c} double" for c in columns) + ", word binary, c long"
+    chosen, model, last = ["docs.__train", "docs.__n", "low", "middle", "high", "words"], start, None
     for iteration in range(max(1, iterations)):
         untied = iteration + 1 == max(1, iterations)
         shared = spark.sparkContext.broadcast((model.single(), vocabulary))
 
         def run(batches, shared=shared, untied=untied):
             now, words = shared.value
-            total = None
+            words, total = pa.array(list(words), pa.binary()), None
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = _row(batch, i)
                     numbers, starts, lengths = _tokens(row, batch.column("__n")[i].values.to_numpy(), len(row["words"]))
-                    trains = np.array(batch.column("__train")[i].values.to_pylist(), bool)
+                    trains = batch.column("__train")[i].values.to_numpy(zero_copy_only=False).astype(bool)
                     symbol = np.append(_symbols(row, words), end)
                     slot = np.where(symbol == RARE, end + 1 + np.arange(len(symbol)), symbol) if untied else symbol
                     found = _block_counts(now, symbol[numbers], starts[trains], lengths[trains], slot[numbers], int(end + 1 + len(symbol)) if untied else end + 1)
                     if found is None:
                         continue
                     if untied:
-                        yield _rare_rows(found[2][end + 1 : -1], row["words"], states)
+                        counted = np.where(symbol[:-1] == RARE, batch.column("counts")[i].values.to_numpy(), 0)
+                        yield _rare_rows(found[2][end + 1 : -1], counted, row["words"])
                         found = (*found[:2], found[2][: end + 1])
                     total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
             if total is not None:
@@ -298,10 +343,10 @@ def train(spark: SparkSession, blocks: DataFrame, vocabulary: dict[bytes, int],
                 table = np.vstack([total[0][None, :], total[1], total[2][used]])
                 kinds = np.repeat(np.arange(3, dtype=np.int32), [1, states, len(used)])
                 at = np.concatenate([[0], np.arange(states), used]).astype(np.int64)
-                none = [pa.nulls(len(at), kind) for kind in (pa.binary(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at), *(pa.array(table[:, k].copy()) for k in range(states)), *none], names=["kind", "at", *columns, "word", "c", "shares"])
+                none = [pa.nulls(len(at), kind) for kind in (pa.binary(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(at), *(pa.array(table[:, k].copy()) for k in range(states)), *none], names=["kind", "at", *columns, "word", "c"])
 
-        found = chosen.mapInArrow(run, schema)
+        found = blocks.select(*chosen, *["counts"] * untied).mapInArrow(run, schema)
         last = write_table(spark, found, "expected-counts", "zstd") if untied else None
         sums = (last.where("kind < 3") if untied else found).groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in columns])
         with short_shuffles(spark):
@@ -316,9 +361,8 @@ def train(spark: SparkSession, blocks: DataFrame, vocabulary: dict[bytes, int],
             emission, usual = emitted + share[:, None], emitted.sum(axis=0) + 1.0
             model = Hmm(*_moves(begun, moved), emission / emission.sum(axis=0))
             model.usual = usual / usual.sum()
-    byte = [F.conv(F.hex(F.substring("shares", k + 1, 1)), 16, 10).cast("long") for k in range(states)]
     # Each block sends a word once, so rows are not reduced before they leave; whole numbers add up alike in any order.
-    rare = last.where("kind = 3").select("word", "c", *[(F.col("c") * b).alias(c) for c, b in zip(columns, byte, strict=True)]).repartition("word")
+    rare = last.where("kind = 3").select("word", "c", *[F.col(c).cast("long").alias(c) for c in columns]).repartition("word")
     rare = rare.groupBy("word").agg(F.sum("c").alias("c"), *[F.sum(c).alias(c) for c in columns])
     code = [F.lpad(F.hex(F.round(F.col(c) / F.col("c")).cast("long")), 2, "0") for c in columns]
     rare = write_table(spark, rare.select("word", "c", F.unhex(F.concat(*code)).alias("shares")), "rare-words")
@@ -346,15 +390,12 @@ def _block_counts(model: Hmm, ids: np.ndarray, starts: np.ndarray, lengths: np.n
     return total
 
 
-def _rare_rows(expected: np.ndarray, words: list[bytes], states: int) -> pa.RecordBatch:
-    """A row for each word with expected counts: how often it occurs and each state's share of that."""
-    used = np.flatnonzero(expected.sum(axis=1) > 0.5)
-    c = np.rint(expected[used].sum(axis=1)).astype(np.int64)
-    shares = np.rint(expected[used] / expected[used].sum(axis=1, keepdims=True) * _SHARES).astype(np.uint8)
-    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(states), len(used), [None, pa.py_buffer(shares.tobytes())]).cast(pa.binary())
-    none = [pa.nulls(len(used), pa.float64())] * states
-    spelt = pa.array([words[i] for i in used.tolist()], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), 3, np.int32)), pa.nulls(len(used), pa.int64()), *none, spelt, pa.array(c), packed], names=["kind", "at", *(f"s{k}" for k in range(states)), "word", "c", "shares"])
+def _rare_rows(expected: np.ndarray, counts: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """A row for each word that is counted: how often it occurs, and that times each state's share in steps of 1/_SHARES."""
+    used, states = np.flatnonzero(counts), expected.shape[1]
+    c, sums = counts[used], expected[used].sum(axis=1, keepdims=True)
+    shares = np.rint(np.divide(expected[used], sums, out=np.zeros((len(used), states)), where=sums > 0) * _SHARES) * c[:, None]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), 3, np.int32)), pa.nulls(len(used), pa.int64()), *(pa.array(shares[:, k].copy()) for k in range(states)), words.take(pa.array(used)), pa.array(c)], names=["kind", "at", *(f"s{k}" for k in range(states)), "word", "c"])
 
 
 # ---- scores
@@ -391,18 +432,16 @@ def score_texts(spark: SparkSession, df: DataFrame, keep: dict[str, Column], tra
     begun, moved, emitted, rare = train(spark, blocks, vocabulary, start, counts, iterations)
     # Counts are the words' own; only how a word's occurrences divide between the states comes from the model.
     known = frequent_words(spark, vocabulary)
-    exact = counted.join(known, F.col("word") == F.col("often"), "left_anti").join(rare.select(F.col("word").alias("spelt"), "shares").hint("merge"), F.col("word") == F.col("spelt"), "left")
-    exact = write_table(spark, exact.select("word", "c", F.coalesce("shares", F.lit(bytes(states))).alias("shares")), "exact-counts")
     byte = [F.conv(F.hex(F.substring("shares", k + 1, 1)), 16, 10).cast("long") for k in range(states)]
-    others = exact.agg(*[F.coalesce(F.sum(F.col("c") * b), F.lit(0)) for b in byte]).first()
+    others = rare.agg(*[F.coalesce(F.sum(F.col("c") * b), F.lit(0)) for b in byte]).first()
     tokens = emitted[1:].sum(axis=0) + np.array(others, dtype=float) / _SHARES
     initial, _, transition = _moves(begun, moved)
     now = Shared(initial, transition, tokens, total, distinct, emitted, counts)
     now.emission = now.emissions(emitted)
     now.counts[RARE] = 0
     own = blocks.select("block", F.posexplode("words").alias("local", "word")).join(known, F.col("word") == F.col("often"), "left_anti")
-    met = write_table(spark, own.join(exact.hint("merge"), "word").select("block", "local", "c", "shares"), "block-words")
-    discard(spark, rare, counted, exact)
+    met = write_table(spark, own.join(rare.hint("merge"), "word").select("block", "local", "c", "shares"), "block-words")
+    discard(spark, rare, counted)
     run = _scoring(spark.sparkContext.broadcast((now, vocabulary)), list(keep))
     doc = blocks.schema["docs"].dataType.elementType.fields
     schema = T.StructType([*doc[: len(keep)], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -423,12 +462,14 @@ def _scoring(shared, kept: list[str]):
         left = left.combine_chunks().to_batches()[0]
         row, docs = _row(left, 0), _docs(left, 0)
         numbers, starts, lengths = _tokens(row, docs.field("__n").to_numpy(), len(row["words"]))
-        symbol, first = np.append(_symbols(row, vocabulary), len(vocabulary) + 1), len(vocabulary) + 2
+        symbol, first = np.append(_symbols(row, pa.array(list(vocabulary), pa.binary())), len(vocabulary) + 1), len(vocabulary) + 2
         c, expected = np.zeros(len(symbol)), np.zeros((len(symbol), len(now.tokens)))
         if right.num_rows:
             local = right["local"].to_numpy()
             c[local] = right["c"].to_numpy()
-            shares = np.frombuffer(b"".join(right["shares"].to_pylist()), np.uint8).reshape(len(local), -1)
+            packed = right["shares"].combine_chunks().cast(pa.binary(len(now.tokens)))
+            packed = pa.concat_arrays(packed.chunks) if isinstance(packed, pa.ChunkedArray) else packed
+            shares = np.frombuffer(packed.buffers()[1], np.uint8).reshape(-1, len(now.tokens))[packed.offset :][: len(local)]
             expected[local] = shares * (c[local] / _SHARES)[:, None]
         emission, count = np.concatenate([now.emission, now.emissions(expected)]), np.concatenate([now.counts, c])
         ids = np.where(symbol == RARE, first + np.arange(len(symbol)), symbol)[numbers]
